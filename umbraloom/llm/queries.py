@@ -6,16 +6,41 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from umbraloom.llm.common import table
+from umbraloom.llm import decontamination
+from umbraloom.llm.common import Scratch, table
+from umbraloom.llm.decontamination import decontaminate
 from umbraloom.llm.exact_dedup import exact_dedup
+from umbraloom.llm.html_text import extract
+from umbraloom.llm.quality import quality_scores
+from umbraloom.llm.url_filter import url_filter, url_filter_sql
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter(table(spark, sf_dir, "pages"))
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items", "spans")
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), Scratch(spark, "quality"))
+
+
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_url_filter": op2_url_filter,
+    "op3_decontamination": op3_decontamination,
+    "op4_quality": op4_quality,
+    "op7_html_text": op7_html_text,
 }
 
 SQL: dict[str, str] = {
@@ -24,4 +49,6 @@ SQL: dict[str, str] = {
         SELECT doc_id, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                doc_id = min(doc_id) OVER same AS kept, sha256(t) AS text_sha256
         FROM n WINDOW same AS (PARTITION BY t)""",
+    "op2_url_filter": url_filter_sql(),
+    "op3_decontamination": decontamination.SQL,
 }
