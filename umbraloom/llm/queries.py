@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from umbraloom.llm import decontamination
@@ -11,6 +12,7 @@ from umbraloom.llm.common import Scratch, table
 from umbraloom.llm.decontamination import decontaminate
 from umbraloom.llm.exact_dedup import exact_dedup
 from umbraloom.llm.html_text import extract
+from umbraloom.llm.packing import pack
 from umbraloom.llm.quality import quality_scores
 from umbraloom.llm.url_filter import url_filter, url_filter_sql
 
@@ -35,12 +37,17 @@ def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_url_filter": op2_url_filter,
     "op3_decontamination": op3_decontamination,
     "op4_quality": op4_quality,
     "op7_html_text": op7_html_text,
+    "op8_packing": op8_packing,
 }
 
 SQL: dict[str, str] = {
