@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from umbraloom.llm import decontamination
 from umbraloom.llm.common import Scratch, table
@@ -13,6 +14,7 @@ from umbraloom.llm.decontamination import decontaminate
 from umbraloom.llm.exact_dedup import exact_dedup
 from umbraloom.llm.html_text import extract
 from umbraloom.llm.packing import pack
+from umbraloom.llm.pii import pseudonymise
 from umbraloom.llm.quality import quality_scores
 from umbraloom.llm.url_filter import url_filter, url_filter_sql
 
@@ -33,6 +35,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), Scratch(spark, "quality"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymise(table(spark, sf_dir, "documents")).withColumn("found", F.to_json("found"))
+
+
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
@@ -46,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_filter": op2_url_filter,
     "op3_decontamination": op3_decontamination,
     "op4_quality": op4_quality,
+    "op5_pii": op5_pii,
     "op7_html_text": op7_html_text,
     "op8_packing": op8_packing,
 }
