@@ -65,6 +65,12 @@ def maybe_in(df: DataFrame, col: str, words: DataFrame) -> DataFrame:
     return df.join(F.broadcast(words), word == F.col("_word")).where(F.col("_bits").bitwiseAND(bit) != 0).drop("_word", "_bits")
 
 
+def not_in(df: DataFrame, col: str, words: DataFrame) -> DataFrame:
+    """The other rows: ids that are surely not in an id_filter, and null ones."""
+    word, bit = _spot(F.col(col))
+    return df.join(F.broadcast(words), word == F.col("_word"), "left").where(F.coalesce(F.col("_bits").bitwiseAND(bit), F.lit(0)) == 0).drop("_word", "_bits")
+
+
 def components(edges: DataFrame, scratch: Scratch, name: str = "cc") -> DataFrame:
     """(node, component) for all ends of edges (a, b): component is the smallest node that can be reached.
 

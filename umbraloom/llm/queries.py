@@ -13,6 +13,7 @@ from umbraloom.llm.common import Scratch, table
 from umbraloom.llm.decontamination import decontaminate
 from umbraloom.llm.exact_dedup import exact_dedup
 from umbraloom.llm.html_text import extract
+from umbraloom.llm.ngram_join import ngram_components
 from umbraloom.llm.packing import pack
 from umbraloom.llm.pii import pseudonymise
 from umbraloom.llm.quality import quality_scores
@@ -47,6 +48,10 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_components(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_url_filter": op2_url_filter,
@@ -55,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_pii": op5_pii,
     "op7_html_text": op7_html_text,
     "op8_packing": op8_packing,
+    "op9_ngram_join": op9_ngram_join,
 }
 
 SQL: dict[str, str] = {
