@@ -17,6 +17,7 @@ from umbraloom.llm.ngram_join import ngram_components
 from umbraloom.llm.packing import pack
 from umbraloom.llm.pii import pseudonymise
 from umbraloom.llm.quality import quality_scores
+from umbraloom.llm.repeats import remove_repeats
 from umbraloom.llm.url_filter import url_filter, url_filter_sql
 
 
@@ -52,6 +53,10 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(table(spark, sf_dir, "documents"))
 
 
+def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"), with_text=False).drop("kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_url_filter": op2_url_filter,
@@ -61,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_html_text": op7_html_text,
     "op8_packing": op8_packing,
     "op9_ngram_join": op9_ngram_join,
+    "op10_repeats": op10_repeats,
 }
 
 SQL: dict[str, str] = {
