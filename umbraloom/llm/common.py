@@ -79,8 +79,10 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "cc") -> DataFram
     a written table; the round before it is deleted.
     """
     both = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct()
-    at, k = scratch.keep(both, f"{name}0"), 0
-    while True:
+    state = lambda df: tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    at = scratch.keep(both, f"{name}0")
+    was, k = state(at), 0
+    while was[0]:
         # large star: of a node's neighbours and itself take the least; the larger neighbours point to it
         sym = at.unionAll(at.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = sym.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -89,9 +91,10 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "cc") -> DataFram
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         k += 1
-        new = scratch.keep(small, f"{name}{k}")
-        same = new.count() == at.count() and new.join(at, ["u", "v"], "left_anti").isEmpty()
+        at = scratch.keep(small, f"{name}{k}")
         scratch.drop(f"{name}{k - 1}")
-        if same:
-            return new.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node").unionAll(new.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-        at = new
+        now = state(at)
+        if now == was:
+            break
+        was = now
+    return at.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node").unionAll(at.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -7,7 +7,8 @@ Documents with the same set are one class from the start. Then, in two rounds:
    leader and its exact overlap with it. Linked classes form components.
 2. The rest, exactly. A prefix join: shingles are ordered by a corpus-wide count (rare ones first), and two sets that
    link must share one of their first ones. Index lists are sorted by set size; a position says how large a partner can be,
-   so each entry skips to the stretch of its list that can qualify. Pairs inside one component are not formed. A pair's
+   so each entry skips to the stretch of its list that can qualify. Pairs inside one component are not formed, and pairs
+   whose parity maps differ too much are dropped. A pair's
    answer is derived from its member's leader where possible: |x & y| lies between |x & L| - |L - y| and |x & L| + |y - L|,
    and only pairs that these bounds leave open, between components that are still apart, are compared themselves.
 
@@ -35,6 +36,7 @@ NUMERATOR, DENOMINATOR = 80, 100  # least similarity
 BINS, BANDS = 16, 8
 CELLS, CHUNKS = 1 << 20, 64  # of the count of shingles: 4 MB whatever the corpus
 PAIRS_AT_ONCE = 2_000_000
+PARITY = 2048  # bits of a set's parity map
 
 
 def shingle_set(words: list[bytes], hashes: WordHashes, width: int = WIDTH) -> np.ndarray:
@@ -55,31 +57,39 @@ def bands(s: np.ndarray) -> list[int]:
     return pairs.view(np.int64).tolist()
 
 
+def parity(s: np.ndarray) -> bytes:
+    """A bit for each of PARITY classes of shingles: whether the set has an odd number of them.
+
+    The maps of two sets differ in no more bits than the sets differ in shingles."""
+    return np.packbits(np.bincount((s & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1).tobytes()
+
+
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).where("doc_id is not null")
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, key, bands) of each document, and each task's count of shingles as rows (chunk, part, counts)."""
+    """(doc_id, n, key, bands, bits) of each document, and each task's count of shingles as rows (chunk, part, counts)."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, cells = WordHashes(), np.zeros(CELLS, np.uint32)
         for b in batches:
-            n, keys, marks, seen = [], [], [], []
+            n, keys, marks, maps, seen = [], [], [], [], []
             for text in b.column("text").to_pylist():
                 s = shingle_set(words_of(text), hashes)
                 n.append(len(s))
                 keys.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 marks.append(bands(s) if len(s) else [])
+                maps.append(parity(s))
                 seen.append(s)
             if seen:
                 cells += np.bincount((np.concatenate(seen) >> np.uint64(20)).astype(np.int64) & (CELLS - 1), minlength=CELLS).astype(np.uint32)
             none = pa.nulls(b.num_rows, pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int32()), pa.array(keys, pa.binary()), pa.array(marks, pa.list_(pa.int64())), none, none, pa.nulls(b.num_rows, pa.binary())], ["doc_id", "n", "key", "bands", "chunk", "part", "counts"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int32()), pa.array(keys, pa.binary()), pa.array(marks, pa.list_(pa.int64())), pa.array(maps, pa.binary()), none, none, pa.nulls(b.num_rows, pa.binary())], ["doc_id", "n", "key", "bands", "bits", "chunk", "part", "counts"])
         rows = [{"chunk": i, "part": TaskContext.get().partitionId(), "counts": zlib.compress(c.tobytes(), 1)} for i, c in enumerate(cells.reshape(CHUNKS, -1))]
-        yield pa.RecordBatch.from_pylist(rows, pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("key", pa.binary()), ("bands", pa.list_(pa.int64())), ("chunk", pa.int32()), ("part", pa.int32()), ("counts", pa.binary())]))
+        yield pa.RecordBatch.from_pylist(rows, pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("key", pa.binary()), ("bands", pa.list_(pa.int64())), ("bits", pa.binary()), ("chunk", pa.int32()), ("part", pa.int32()), ("counts", pa.binary())]))
 
-    return _texts(docs).mapInArrow(sign, "doc_id long, n int, key binary, bands array<long>, chunk int, part int, counts binary")
+    return _texts(docs).mapInArrow(sign, "doc_id long, n int, key binary, bands array<long>, bits binary, chunk int, part int, counts binary")
 
 
 def _added(rows: pa.Table) -> pa.Table:
@@ -100,6 +110,22 @@ def corpus_counts(signed: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
+def screened(pairs: DataFrame, signed: DataFrame, ends: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """The pairs that can link by their sets' sizes and parity maps: an exact bound at a sixteenth of the sets' bytes."""
+
+    def screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = [b.column(c).to_numpy().astype(np.int64) for c in ("n_x", "n_y")]
+            s, t = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint64).reshape(-1, PARITY // 64) for c in ("bits_x", "bits_y"))
+            apart = np.maximum(np.bitwise_count(s ^ t).sum(axis=1, dtype=np.int64), np.abs(n[0] - n[1]))
+            yield pa.RecordBatch.from_arrays([b.column("x"), b.column("y")], ["x", "y"]).filter(pa.array(apart <= n[0] + n[1] - 2 * least_overlap(*n)))
+
+    words = scratch.keep(id_filter(ends, "doc_id"), f"{name}_ends")
+    own = maybe_in(signed.where("chunk is null").select("doc_id", "n", "bits"), "doc_id", words).dropDuplicates(["doc_id"])
+    of = lambda c: own.select(F.col("doc_id").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
+    return pairs.join(of("x"), "x").join(of("y"), "y").select("x", "y", "n_x", "n_y", "bits_x", "bits_y").mapInArrow(screen, "x long, y long")
+
+
 def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(x, y, n_x, n_y, overlap) for pairs (x, y), with the sets of both."""
 
@@ -227,16 +253,17 @@ def ngram_components(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     scratch = Scratch(spark, "ngram")
     signed = scratch.keep(signatures(docs), "signed")
-    own = signed.where("chunk is null").select("doc_id", "n", "key", "bands")
+    own = signed.where("chunk is null").select("doc_id", "n", "key", "bands", "bits")
     if not own.groupBy("doc_id").count().where("count > 1").isEmpty():
-        own = own.groupBy("doc_id").agg(F.max(F.struct("n", "key", "bands")).alias("m")).select("doc_id", "m.*")
+        own = own.groupBy("doc_id").agg(F.max(F.struct("n", "key", "bands", "bits")).alias("m")).select("doc_id", "m.*")
     reps = scratch.keep(own.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "reps")
 
     # round 1: leaders
     marks = reps.select("rep", F.explode("bands").alias("band"))
     leaders = marks.groupBy("band").agg(F.min("rep").alias("leader"), F.count("*").alias("c")).where("c > 1").select("band", "leader")
-    pairs = scratch.keep(marks.join(leaders, "band").where("rep != leader").select(F.col("rep").alias("x"), F.col("leader").alias("y")).distinct(), "pairs1")
     ends = lambda p: p.select(F.col("x").alias("doc_id")).unionAll(p.select("y")).distinct()
+    met = scratch.keep(marks.join(leaders, "band").where("rep != leader").select(F.col("rep").alias("x"), F.col("leader").alias("y")).distinct(), "met1")
+    pairs = scratch.keep(screened(met, signed, ends(met), scratch, "met1"), "pairs1")
     links = scratch.keep(compared(pairs, scratch.keep(sets_of(docs, ends(pairs), scratch, "sets1"), "sets1")).where(linked()), "links1")
     scratch.drop("sets1")
     first = scratch.keep(components(links.select(F.col("x").alias("a"), F.col("y").alias("b")), scratch, "first"), "labels1")
@@ -251,7 +278,8 @@ def ngram_components(docs: DataFrame) -> DataFrame:
     known = maybe_in(text, "doc_id", words).join(info, "doc_id", "left").where("rep is null or rep = doc_id").select("doc_id", F.coalesce("component", "doc_id").alias("component"), "text")
     blocks = prefixes(plain.unionAll(known), corpus_counts(signed), shards(spark))
     found = blocks.groupBy("shard").applyInArrow(candidates, "x long, y long")
-    pairs = scratch.keep(found.distinct().join(family, "y", "left"), "pairs2")
+    met = scratch.keep(found.distinct(), "met2")
+    pairs = scratch.keep(screened(met, signed, ends(met), scratch, "met2").join(family, "y", "left"), "pairs2")
     label = first.select(F.col("node"), "component")
     at = lambda df, c: df.join(label.select(F.col("node").alias(c), F.col("component").alias(f"_{c}")), c, "left").withColumn(f"_{c}", F.coalesce(f"_{c}", c))
     through = pairs.select("x", F.coalesce("leader", "y").alias("y")).where("x != y").distinct()
