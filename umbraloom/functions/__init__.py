@@ -1,0 +1 @@
+"""Scalar functions of columns: geometry, radiometry, metadata, labels. All stay inside Catalyst expressions."""

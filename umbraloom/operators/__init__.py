@@ -1,0 +1 @@
+"""Relational operators over pixel, ray, footprint and tile tables."""

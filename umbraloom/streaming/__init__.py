@@ -1,0 +1 @@
+"""Incremental forms of batch operators with Structured Streaming."""
