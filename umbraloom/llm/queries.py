@@ -13,6 +13,7 @@ from umbraloom.llm.common import Scratch, table
 from umbraloom.llm.decontamination import decontaminate
 from umbraloom.llm.exact_dedup import exact_dedup
 from umbraloom.llm.html_text import extract
+from umbraloom.llm.licences import licence_scan, licence_sql
 from umbraloom.llm.ngram_join import ngram_components
 from umbraloom.llm.packing import pack
 from umbraloom.llm.pii import pseudonymise
@@ -41,6 +42,10 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymise(table(spark, sf_dir, "documents")).withColumn("found", F.to_json("found"))
 
 
+def op6_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licence_scan(table(spark, sf_dir, "documents")).drop("matches")
+
+
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
@@ -63,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontamination": op3_decontamination,
     "op4_quality": op4_quality,
     "op5_pii": op5_pii,
+    "op6_licences": op6_licences,
     "op7_html_text": op7_html_text,
     "op8_packing": op8_packing,
     "op9_ngram_join": op9_ngram_join,
@@ -77,4 +83,5 @@ SQL: dict[str, str] = {
         FROM n WINDOW same AS (PARTITION BY t)""",
     "op2_url_filter": url_filter_sql(),
     "op3_decontamination": decontamination.SQL,
+    "op6_licences": licence_sql(),
 }
