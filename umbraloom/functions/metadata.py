@@ -67,8 +67,9 @@ def required_mode(routed: Column, required: str) -> Column:
 
 def parsed_imd(text) -> Column:
     """map of `key = value;` lines; BEGIN_GROUP and END_GROUP lines are left out, quotes and semicolons stripped, the first of equal keys kept."""
-    lines = F.filter(F.split(col(text), "\r?\n"), lambda x: x.contains("=") & ~F.upper(F.trim(x)).rlike("^(BEGIN|END)_GROUP"))
-    pairs = F.transform(lines, lambda x: F.struct(F.trim(F.substring_index(x, "=", 1)).alias("key"), F.regexp_replace(F.trim(F.regexp_replace(x, "^[^=]*=", "")), '^"|"?;?$', "").alias("value")))
+    strip = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
+    lines = F.filter(F.split(col(text), "\r?\n"), lambda x: x.contains("=") & ~F.upper(x).rlike(r"^\s*(BEGIN|END)_GROUP"))
+    pairs = F.transform(lines, lambda x: F.struct(strip(F.substring_index(x, "=", 1)).alias("key"), F.regexp_replace(strip(F.regexp_replace(x, "^[^=]*=", "")), '^"|"?;?$', "").alias("value")))
     firsts = F.aggregate(pairs, F.array().cast("array<struct<key:string,value:string>>"), lambda a, p: F.when(F.exists(a, lambda q: q["key"] == p["key"]), a).otherwise(F.array_append(a, p)))
     return F.map_from_entries(firsts)
 
