@@ -303,3 +303,14 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, that are the first of their component."""
     kept = ngram_components(docs.select("doc_id", "text")).where("doc_id = component_id").select(F.col("doc_id").alias("_id"))
     return docs.join(kept, F.col("doc_id").cast("long") == F.col("_id"), "left_semi")
+
+
+SQL = r"""
+    WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+         k AS (SELECT DISTINCT doc_id, array_to_string(w[s : s + 4], ' ') AS key FROM (SELECT *, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS s FROM d WHERE len(w) > 0)),
+         n AS (SELECT doc_id, count(*) AS n FROM k GROUP BY doc_id),
+         p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM k a JOIN k b ON a.key = b.key AND a.doc_id < b.doc_id GROUP BY 1, 2),
+         l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 80 * (a.n + b.n - c)),
+         e AS (SELECT x AS a, y AS b FROM l UNION ALL SELECT y, x FROM l),
+         r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+    SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a) m USING (doc_id)"""

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from umbraloom.llm import decontamination
+from umbraloom.llm import decontamination, ngram_join, repeats
 from umbraloom.llm.common import Scratch, table
 from umbraloom.llm.decontamination import decontaminate
 from umbraloom.llm.exact_dedup import exact_dedup
@@ -84,4 +84,6 @@ SQL: dict[str, str] = {
     "op2_url_filter": url_filter_sql(),
     "op3_decontamination": decontamination.SQL,
     "op6_licences": licence_sql(),
+    "op9_ngram_join": ngram_join.SQL,
+    "op10_repeats": repeats.SQL,
 }

@@ -193,3 +193,13 @@ def remove_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
     confirmed = scratch.keep(windows.groupBy("shard").applyInArrow(lambda t: answers(t, True), BLOCK_SQL), "windows")
     scratch.drop("phrases")
     return by.cogroup(confirmed.groupBy("bucket")).applyInArrow(lambda a, b: remove(a, b, with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+
+
+SQL = r"""
+    WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+         k AS (SELECT doc_id, p, array_to_string(w[p : p + 12], ' ') AS key FROM (SELECT *, unnest(range(1, len(w) - 11)) AS p FROM d WHERE len(w) >= 13)),
+         f AS (SELECT key, min(doc_id) AS first FROM k GROUP BY key),
+         h AS (SELECT DISTINCT doc_id, unnest(range(p, p + 13)) AS pos FROM k JOIN f USING (key) WHERE first < doc_id),
+         x AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS pos, unnest(w) AS word FROM d),
+         g AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY pos) AS kept FROM x ANTI JOIN h USING (doc_id, pos) GROUP BY doc_id)
+    SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN g USING (doc_id)"""
