@@ -208,5 +208,13 @@ def test_splits(spark):
     assert crops.where("row_off > 88 or col_off > 188 or row_off < 0").count() == 0
 
 
+def test_selection_audit(spark):
+    audit = spark.createDataFrame([("a", 0, True)], "check string, n long, ok boolean")
+    r = lambda *x: spark.createDataFrame([(v,) for v in x], "region string")
+    assert splits.audit_selection(audit, r("a"), r("b"), "best").first()["ok"]
+    assert not splits.audit_selection(audit, r("b"), r("b"), "best").first()["ok"]
+    assert splits.audit_selection(audit, r("b"), r("b"), "final_epoch").first()["ok"]
+
+
 def test_math_of_grid_dl(spark):
     assert one(spark, G.explicit_grid_dl_px(F.lit(135.0)).alias("x"))["x"] == pytest.approx(1 / math.sqrt(2))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,20 +15,22 @@ def azimuth_scores(buildings: DataFrame, shadow: DataFrame, height: int, width:
     """(scene_id, azimuth, score): the share of shadow in the band behind all buildings, for each candidate.
 
     Many candidates shift a pixel to the same place, so places are found once for each distinct offset and only then dealt to
-    candidates. Joins are on equal keys; offsets are at most 17 x 17 rows.
+    candidates. The offsets, at most 17 x 17, are part of the plan; joins are on equal keys.
     """
-    spark = buildings.sparkSession
-    az = spark.range(0, 360 // step_deg).select((F.col("id") * step_deg).cast("double").alias("azimuth"))
-    rad = F.radians(F.pmod(F.col("azimuth") + 180.0, F.lit(360.0)))
-    steps = az.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(band_px))))
-    offsets = steps.select("azimuth", F.rint(-F.cos(rad) * F.col("k")).cast("int").alias("dr"), F.rint(F.sin(rad) * F.col("k")).cast("int").alias("dc")).distinct()
-    shifts = offsets.groupBy("dr", "dc").agg(F.collect_set("azimuth").alias("azimuths"))
+    candidates = [float(a) for a in range(0, 360, step_deg)]
+    by_offset: dict[tuple[int, int], set[float]] = {}
+    for a in candidates:
+        rad = math.radians((a + 180) % 360)
+        for k in range(1, band_px + 1):
+            by_offset.setdefault((round(-math.cos(rad) * k), round(math.sin(rad) * k)), set()).add(a)
+    shifts = F.array(*(F.struct(F.lit(dr).alias("dr"), F.lit(dc).alias("dc"), F.array(*map(F.lit, sorted(az))).alias("azimuths")) for (dr, dc), az in sorted(by_offset.items())))
     px = buildings.select(by, "row", "col").distinct()
-    moved = px.crossJoin(F.broadcast(shifts)).select(by, (F.col("row") + F.col("dr")).alias("row"), (F.col("col") + F.col("dc")).alias("col"), "azimuths")
+    moved = px.withColumn("_s", F.explode(shifts)).select(by, (F.col("row") + F.col("_s.dr")).alias("row"), (F.col("col") + F.col("_s.dc")).alias("col"), "_s.azimuths")
     moved = moved.where(F.col("row").between(0, height - 1) & F.col("col").between(0, width - 1)).join(px, [by, "row", "col"], "left_anti")
     band = moved.withColumn("azimuth", F.explode("azimuths")).select(by, "azimuth", "row", "col").distinct()
     score = band.join(shadow.select(by, "row", "col", F.lit(1.0).alias("_s")).distinct(), [by, "row", "col"], "left").groupBy(by, "azimuth").agg(F.avg(F.coalesce("_s", F.lit(0.0))).alias("score"))
-    return px.select(by).distinct().crossJoin(F.broadcast(az)).join(score, [by, "azimuth"], "left").fillna(0.0, ["score"])
+    every = px.select(by).distinct().withColumn("azimuth", F.explode(F.array(*map(F.lit, candidates))))
+    return every.join(score, [by, "azimuth"], "left").fillna(0.0, ["score"])
 
 
 def estimate_azimuth(scores: DataFrame, building_px: DataFrame, by: str = "scene_id", min_px: int = MIN_PX, min_peak: float = MIN_PEAK) -> DataFrame:

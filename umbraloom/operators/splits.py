@@ -60,10 +60,11 @@ def audit_split(declared: DataFrame, pairs: DataFrame, region: str = "region", s
 
 def audit_selection(audit: DataFrame, selection_regions: DataFrame, heldout: DataFrame, rule: str, region: str = "region") -> DataFrame:
     """(overlap, ok, reason): a model selected on held-out regions is allowed only by the final-epoch rule."""
-    n = selection_regions.select(region).distinct().join(heldout.select(region).distinct(), region).agg(F.count("*").alias("overlap"))
-    failed = audit.agg(F.count(F.when(~F.col("ok"), 1)).alias("_failed"))
-    ok = ((F.col("overlap") == 0) | F.lit(rule == "final_epoch")) & (F.col("_failed") == 0)
-    return n.crossJoin(failed).select("overlap", ok.alias("ok"), F.when(~ok, "selected on held-out regions, or the split failed its audit").alias("reason"))  # one row each
+    shared = selection_regions.select(region).distinct().join(heldout.select(region).distinct(), region).agg(F.count("*").alias("overlap"), F.lit(0).alias("failed"))
+    failed = audit.agg(F.lit(0).alias("overlap"), F.count(F.when(~F.col("ok"), 1)).alias("failed"))
+    n = shared.unionAll(failed).agg(F.sum("overlap").alias("overlap"), F.sum("failed").alias("failed"))
+    ok = ((F.col("overlap") == 0) | F.lit(rule == "final_epoch")) & (F.col("failed") == 0)
+    return n.select("overlap", ok.alias("ok"), F.when(~ok, "selected on held-out regions, or the split failed its audit").alias("reason"))
 
 
 def fixed_sample(rows: DataFrame, key: str, n: int, seed: str = "0") -> DataFrame:
