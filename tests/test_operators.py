@@ -218,3 +218,24 @@ def test_selection_audit(spark):
 
 def test_math_of_grid_dl(spark):
     assert one(spark, G.explicit_grid_dl_px(F.lit(135.0)).alias("x"))["x"] == pytest.approx(1 / math.sqrt(2))
+
+
+def test_balanced_nodes(spark):
+    from umbraloom.operators import lod
+
+    cells = spark.range(64 * 64).select(F.lit("s").alias("scene"), (F.col("id") / 64).cast("int").alias("row"), (F.col("id") % 64).cast("int").alias("col"), F.col("id").cast("double").alias("z"))
+    nodes = lod.quadtree_nodes(cells, ["scene"], "z", 3, 8)
+    fine = spark.createDataFrame([(1, 0, 0), (1, 0, 1), (1, 1, 0), *((3, 4 + i, 4 + j) for i in range(4) for j in range(4))], "level int, nr int, nc int")
+    got = [tuple(r) for r in lod.balanced(fine, nodes, 3, 8).collect()]
+    area = sum((64 >> r[0]) ** 2 for r in got)
+    assert area == 64 * 64 and len(got) == len(set(got)) and (2, 1, 3) in got and (1, 0, 0) in got and (1, 0, 1) not in got
+
+
+def test_small_lookups(spark):
+    tables = F.array(F.struct(F.lit("rpc").alias("label"), F.create_map(*map(F.lit, ("LINE_OFF", "5", "SAMP_OFF", "6", "LAT_OFF", "7.5", "LONG_OFF", "8", "HEIGHT_OFF", "9"))).alias("table")))
+    t = F.struct(*(F.lit(v).alias(k) for k, v in dict(a=0.5, b=0.0, c=699750.0, d=0.0, e=-0.5, f=3170250.0).items()))
+    r = one(spark, M.rpc_offsets(tables).alias("r"), G.centre_lonlat(t, F.lit(1000), F.lit(1000), F.lit(43)).alias("c"), G.utm_inverse(F.lit(700000.0), F.lit(3170000.0), F.lit(43)).alias("w"))
+    assert r["r"]["lat"] == 7.5 and r["c"] == r["w"]
+    grid = lambda p, w: F.struct(F.lit("x").alias("path"), F.lit(p).alias("product_type"), F.lit(w).alias("width"), F.lit(5).alias("height"), F.array(F.lit(1.0)).alias("transform"))
+    r = one(spark, V.overlay_reason(grid("dsm", 5), grid("error", 5)).alias("a"), V.overlay_reason(grid("dsm", 5), grid("error", 6)).alias("b"), V.overlay_reason(grid("dtm", 5), grid("error", 5)).alias("c"))
+    assert tuple(r) == (None, "sizes differ", "the surface is not a DSM")

@@ -105,3 +105,20 @@ def test_stream_equals_batch(spark, tmp_path):
     got = {r["c"]: r for r in S.totals(spark, str(tmp_path / "sums"), ["c"]).collect()}
     want = df.groupBy("c").agg(F.count("*").alias("n"), F.avg(F.abs(F.col("p") - F.col("r"))).alias("mae")).collect()
     assert all(got[r["c"]]["n"] == r["n"] and got[r["c"]]["mae"] == pytest.approx(r["mae"]) for r in want)
+
+
+def test_plans_index_and_figures(spark, tmp_path):
+    from umbraloom.operators.tiling import tile_plan
+    from umbraloom.sources import plots
+
+    plan = tile_plan(spark.createDataFrame([("s", 600, 700)], "scene_id string, height int, width int"))
+    records.save_tile_plan(plan, str(tmp_path / "plan"))
+    assert records.tile_plan(spark, str(tmp_path / "plan")).count() == plan.count() == 4
+    (tmp_path / "out" / "a").mkdir(parents=True)
+    for n in ("r.json", "a/x.npy", "a/y.txt"):
+        (tmp_path / "out" / n).write_text("1")
+    assert sorted(r["kind"] for r in records.output_index(spark, str(tmp_path / "out")).collect()) == ["array", "report"]
+    assert plots.scatter_png(np.array([np.nan]), np.array([1.0])) is None
+    assert png.parse_png(plots.scatter_png(np.array([1.0, 5.0]), np.array([2.0, 4.0]))).shape == (400, 400, 3)
+    got = png.parse_png(plots.error_map_png(np.array([[0.0, 2.0], [-2.0, np.nan]])))
+    assert got.tolist() == [[[255, 255, 255], [255, 0, 0]], [[0, 0, 255], [128, 128, 128]]]

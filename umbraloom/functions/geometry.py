@@ -196,3 +196,9 @@ def utm_inverse(easting, northing, zone, south=None) -> Column:
     lat = phi - (n * t / r) * (d * d / 2 - (5 + 3 * t2 + 10 * c2 - 4 * c2 * c2 - 9 * ep2) * F.pow(d, F.lit(4.0)) / 24 + (61 + 90 * t2 + 298 * c2 + 45 * t2 * t2 - 252 * ep2 - 3 * c2 * c2) * F.pow(d, F.lit(6.0)) / 720)
     lon = (d - (1 + 2 * t2 + c2) * F.pow(d, F.lit(3.0)) / 6 + (5 - 2 * c2 + 28 * t2 - 3 * c2 * c2 + 8 * ep2 + 24 * t2 * t2) * F.pow(d, F.lit(5.0)) / 120) / c
     return F.struct((F.degrees(lon) + (col(zone) * 6.0 - 183.0)).alias("lon"), F.degrees(lat).alias("lat"))
+
+
+def centre_lonlat(t: Column, width, height, zone=None, south=None) -> Column:
+    """struct(lon, lat) of a raster's centre: of its own coordinates, or of its UTM zone."""
+    c = pixel_to_map(t, col(width) / 2, col(height) / 2)
+    return F.struct(c["x"].alias("lon"), c["y"].alias("lat")) if zone is None else utm_inverse(c["x"], c["y"], zone, south)

@@ -86,3 +86,11 @@ def scene_of(stem, pattern: str) -> Column:
     s = col(stem)
     hit = s.rlike(pattern)
     return F.struct(F.when(hit, F.regexp_extract(s, pattern, 1)).otherwise(s).alias("scene_id"), F.when(hit, F.regexp_extract(s, pattern, 2)).alias("city"))
+
+
+def rpc_offsets(tables: Column) -> Column:
+    """struct(line, samp, lat, long, height) of the first table that has an RPC's offsets, else null."""
+    keys = ("LINE_OFF", "SAMP_OFF", "LAT_OFF", "LONG_OFF", "HEIGHT_OFF")
+    has = F.try_element_at(F.filter(tables, lambda t: F.map_contains_key(t["table"], F.lit(keys[0])) & F.map_contains_key(t["table"], F.lit(keys[1]))), F.lit(1))
+    given = F.struct(*(first_number(F.element_at(has["table"], k)).alias(k.split("_")[0].lower()) for k in keys))
+    return F.when(has.isNotNull(), given)

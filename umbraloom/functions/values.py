@@ -157,3 +157,12 @@ def diverging_color(value, limit) -> Column:
 def composite(base, overlay, opacity) -> Column:
     """The blend of two channels; the base where the overlay has no value."""
     return F.rint(F.when(col(overlay).isNull(), col(base)).otherwise(col(base) * (1 - col(opacity)) + col(overlay) * col(opacity))).cast("int")
+
+
+def overlay_reason(surface: Column, diagnostic: Column) -> Column:
+    """Why a diagnostic layer may not lie over a surface, or null: both are struct(path, product_type, width, height, transform array)."""
+    apart = F.exists(F.zip_with(surface["transform"], diagnostic["transform"], lambda a, b: F.abs(a - b) > 1e-9), lambda x: x)
+    return (
+        F.when(surface["product_type"] != "dsm", "the surface is not a DSM").when(diagnostic["path"].isNull(), "no such product")
+        .when((surface["width"] != diagnostic["width"]) | (surface["height"] != diagnostic["height"]), "sizes differ").when(apart, "grids differ")
+    )

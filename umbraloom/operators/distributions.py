@@ -87,3 +87,11 @@ def height_scaling(rows: DataFrame, tile: str, length: str, height: str, least:
     """(bin, n, length_ratio, height_ratio): medians of length and height over their tile's medians, by height bin, for tiles with `least` rows."""
     med = rows.groupBy(tile).agg(F.percentile(F.col(length), 0.5).alias("_l"), F.percentile(F.col(height), 0.5).alias("_h"), F.count("*").alias("_n")).where(F.col("_n") >= least)
     return rows.join(med, tile).groupBy(bin_of(F.col(height), edges).alias("bin")).agg(F.count("*").alias("n"), F.percentile(F.try_divide(F.col(length), F.col("_l")), 0.5).alias("length_ratio"), F.percentile(F.try_divide(F.col(height), F.col("_h")), 0.5).alias("height_ratio"))
+
+
+def height_census(pixels: DataFrame, by: Sequence[str] = ("scene_id", "building_id"), height: str = "height_m", speckle_px: int = 10) -> DataFrame:
+    """(scene_id, components, speckles, speckle_share, median_height): medians of components' median heights; small components are counted apart."""
+    scene = by[0]
+    each = pixels.groupBy(*by).agg(F.count("*").alias("_n"), F.percentile(F.col(height), 0.5).alias("_h"))
+    small = F.col("_n") < speckle_px
+    return each.groupBy(scene).agg(F.count("*").alias("components"), F.count(F.when(small, 1)).alias("speckles"), F.avg(small.cast("double")).alias("speckle_share"), F.percentile(F.when(~small, F.col("_h")), 0.5).alias("median_height"))

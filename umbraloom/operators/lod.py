@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from umbraloom.functions.values import not_finite
+from umbraloom.operators.lineage import cut
 
 
 def quadtree_nodes(cells: DataFrame, by: Sequence[str], value: str, depth: int, leaf: int) -> DataFrame:
@@ -79,3 +80,23 @@ def triangles(cells: DataFrame, by: Sequence[str], value: str = "z", stride: int
 def valid_stats(cells: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     ok = F.when(~not_finite(value), F.col(value))
     return cells.groupBy(*by).agg(F.count(ok).alias("n_valid"), F.min(ok).alias("low"), F.max(ok).alias("high"))
+
+
+def balanced(selected: DataFrame, nodes: DataFrame, depth: int, leaf: int) -> DataFrame:
+    """Selected nodes (level, nr, nc), split until neighbours differ by one level at most; sorted order is (level, nr, nc).
+
+    Each round splits all nodes that touch one two levels finer; depth rounds are enough, as each adds a level at most.
+    """
+    at = ["level", "nr", "nc"]
+    selected, nodes = cut(selected.select(*at)), cut(nodes.select(*at))
+    for _ in range(depth):
+        boxes = node_boxes(selected.select(*at), depth, leaf).withColumn("node_id", F.concat_ws(":", *at)).withColumn("page", F.lit(0))
+        pairs = shared_edges(boxes, ["page"])
+        level = boxes.select("node_id", "level")
+        met = pairs.join(level.select(F.col("node_id").alias("a"), F.col("level").alias("la")), "a").join(level.select(F.col("node_id").alias("b"), F.col("level").alias("lb")), "b")
+        coarse = met.where("lb - la >= 2").select(F.col("a").alias("node_id")).unionAll(met.where("la - lb >= 2").select(F.col("b").alias("node_id"))).distinct()
+        split = boxes.join(coarse, "node_id", "left_semi").select(*at)
+        four = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1))))
+        children = split.withColumn("_k", four).select((F.col("level") + 1).alias("level"), (F.col("nr") * 2 + F.col("_k.i")).alias("nr"), (F.col("nc") * 2 + F.col("_k.j")).alias("nc"))
+        selected = cut(selected.select(*at).join(split, at, "left_anti").unionAll(children.join(nodes.select(*at), at, "left_semi")))
+    return selected.select(*at)

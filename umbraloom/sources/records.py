@@ -89,3 +89,23 @@ def report_markdown(title: str, rows: list[Any]) -> str:
 
     body = ["| " + " | ".join(cell(r, c) for c in cols) + " |" for r in rows]
     return "\n".join([f"# {title}", "", "| " + " | ".join(cols) + " |", "|" + "---|" * len(cols), *body, "", *(f"[{k}] {n}" for k, n in enumerate(notes, 1))]) + "\n"
+
+
+TILE_PLAN = "scene_id string, tile_id long, row_off int, col_off int, height int, width int, valid_row int, valid_row_stop int, valid_col int, valid_col_stop int"
+
+
+def save_tile_plan(plan: DataFrame, path: str) -> None:
+    plan.write.mode("overwrite").json(path)
+
+
+def tile_plan(spark: SparkSession, path: str) -> DataFrame:
+    """A saved plan; a file that does not fit the schema is an error."""
+    return spark.read.schema(TILE_PLAN).option("mode", "FAILFAST").json(path)
+
+
+def output_index(spark: SparkSession, root: str, depth: int = 6) -> DataFrame:
+    """(path, length, kind) of reports and arrays up to so many folders below root; contents are not read."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length")
+    below = F.regexp_replace("path", r"^.*?\Q" + root.rstrip("/").rpartition("/")[2] + r"\E/", "")
+    kind = F.when(F.lower("path").rlike(r"\.(json|md)$"), "report").when(F.lower("path").rlike(r"\.(npy|tiff?)$"), "array")
+    return listed.withColumn("kind", kind).where((F.size(F.split(below, "/")) <= depth) & F.col("kind").isNotNull())
