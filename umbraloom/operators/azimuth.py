@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import DataFrame
@@ -23,13 +24,13 @@ def azimuth_scores(buildings: DataFrame, shadow: DataFrame, height: int, width:
         rad = math.radians((a + 180) % 360)
         for k in range(1, band_px + 1):
             by_offset.setdefault((round(-math.cos(rad) * k), round(math.sin(rad) * k)), set()).add(a)
-    shifts = F.array(*(F.struct(F.lit(dr).alias("dr"), F.lit(dc).alias("dc"), F.array(*map(F.lit, sorted(az))).alias("azimuths")) for (dr, dc), az in sorted(by_offset.items())))
+    shifts = F.from_json(F.lit(json.dumps([{"dr": dr, "dc": dc, "azimuths": sorted(az)} for (dr, dc), az in sorted(by_offset.items())])), "array<struct<dr:int,dc:int,azimuths:array<double>>>")
     px = buildings.select(by, "row", "col").distinct()
     moved = px.withColumn("_s", F.explode(shifts)).select(by, (F.col("row") + F.col("_s.dr")).alias("row"), (F.col("col") + F.col("_s.dc")).alias("col"), "_s.azimuths")
     moved = moved.where(F.col("row").between(0, height - 1) & F.col("col").between(0, width - 1)).join(px, [by, "row", "col"], "left_anti")
     band = moved.withColumn("azimuth", F.explode("azimuths")).select(by, "azimuth", "row", "col").distinct()
     score = band.join(shadow.select(by, "row", "col", F.lit(1.0).alias("_s")).distinct(), [by, "row", "col"], "left").groupBy(by, "azimuth").agg(F.avg(F.coalesce("_s", F.lit(0.0))).alias("score"))
-    every = px.select(by).distinct().withColumn("azimuth", F.explode(F.array(*map(F.lit, candidates))))
+    every = px.select(by).distinct().withColumn("azimuth", F.explode(F.from_json(F.lit(json.dumps(candidates)), "array<double>")))
     return every.join(score, [by, "azimuth"], "left").fillna(0.0, ["score"])
 
 
