@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import ahocorasick
 import numpy as np
@@ -31,10 +32,12 @@ from umbraloom.llm.words import WordHashes, runs
 
 WINDOW, PHRASE = 13, 5
 SPAN = WINDOW - PHRASE + 1  # phrases in a window
-COLUMNS = ("hash", "doc", "place", "many")
-BLOCK = pa.schema([("shard", pa.int32()), ("bucket", pa.int32()), *((c, pa.binary()) for c in COLUMNS)])
-BLOCK_SQL = "shard int, bucket int, hash binary, doc binary, place binary, many binary"
-KINDS = (np.uint64, np.int64, np.int32, np.bool_)
+COLUMNS = ("hash", "doc", "place", "many", "bucket")
+KINDS = (np.uint64, np.int64, np.int32, np.bool_, np.int32)
+#: What goes to the index shards, and what comes back for a bucket.
+BLOCK, BLOCK_SQL = pa.schema([("shard", pa.int32()), *((c, pa.binary()) for c in COLUMNS)]), "shard int, hash binary, doc binary, place binary, many binary, bucket binary"
+TOLD, TOLD_SQL = pa.schema([("bucket", pa.int32()), ("hash", pa.binary()), ("doc", pa.binary()), ("place", pa.binary())]), "bucket int, hash binary, doc binary, place binary"
+DIGIT = 64  # symbols of each digit of a word's number
 
 
 def anchors(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -47,20 +50,20 @@ def anchors(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return found, at[first].astype(np.int32)
 
 
-def entries(bucket: int, parts: list[tuple[np.ndarray, int, np.ndarray]], n_shards: int) -> list[dict]:
-    """Blocks for the index shards: each hash of the bucket's documents once, with the least doc and whether others have it too.
+def entries(parts: list[tuple[int, np.ndarray, int, np.ndarray]], n_shards: int) -> list[dict]:
+    """Blocks for the index shards: each hash of a bucket once, with the least doc that has it and whether others do.
 
-    parts: hashes, doc_id and places, without repeats inside a document."""
-    h = np.concatenate([p[0] for p in parts])
-    d = np.repeat(np.array([p[1] for p in parts], np.int64), [len(p[0]) for p in parts])
-    at = np.concatenate([p[2] for p in parts])
-    by = np.lexsort((d, h))
-    h, d, at = h[by], d[by], at[by]
-    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+    parts: bucket, hashes, doc_id and places of each document, without repeats inside it."""
+    size = [len(p[1]) for p in parts]
+    h, at = np.concatenate([p[1] for p in parts]), np.concatenate([p[3] for p in parts])
+    bucket, d = np.repeat(np.array([p[0] for p in parts], np.int32), size), np.repeat(np.array([p[2] for p in parts], np.int64), size)
+    by = np.lexsort((d, bucket, h))
+    h, d, at, bucket = h[by], d[by], at[by], bucket[by]
+    first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (bucket[1:] != bucket[:-1])]))
     many = np.maximum.reduceat(d, first) != d[first]
-    h, d, at = h[first], d[first], at[first]
-    cut = np.searchsorted(((h >> np.uint64(32)) * np.uint64(n_shards)) >> np.uint64(32), np.arange(n_shards + 1))
-    return [{"shard": s, "bucket": bucket, "hash": h[x:y].tobytes(), "doc": d[x:y].tobytes(), "place": at[x:y].tobytes(), "many": many[x:y].tobytes()} for s, (x, y) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if y > x]
+    cols = [h[first], d[first], at[first], many, bucket[first]]
+    cut = np.searchsorted(((cols[0] >> np.uint64(32)) * np.uint64(n_shards)) >> np.uint64(32), np.arange(n_shards + 1))
+    return [{"shard": s} | {c: v[x:y].tobytes() for c, v in zip(COLUMNS, cols, strict=True)} for s, (x, y) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if y > x]
 
 
 def answers(blocks: pa.Table, only_later: bool) -> pa.Table:
@@ -69,31 +72,31 @@ def answers(blocks: pa.Table, only_later: bool) -> pa.Table:
     With only_later: those that a document of the bucket has after the first one, whose doc_id is then told."""
     rows = blocks.to_pylist()
     cols = [np.concatenate([np.frombuffer(r[c], k) for r in rows]) for c, k in zip(COLUMNS, KINDS, strict=True)]
-    bucket = np.repeat([r["bucket"] for r in rows], [len(r["hash"]) // 8 for r in rows])
     by = np.lexsort((cols[1], cols[0]))
-    (h, d, at, many), bucket = (c[by] for c in cols), bucket[by]
+    h, d, at, many, bucket = (c[by] for c in cols)
     first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
     length = np.diff(np.append(first, len(h)))
     least = np.repeat(d[first], length)
     keep = (d > least) | many if only_later else np.repeat((np.maximum.reduceat(d, first) != d[first]) | np.logical_or.reduceat(many, first), length)
     told = least if only_later else d
     by = np.flatnonzero(keep)
-    by = by[np.argsort(bucket[by], kind="stable")]
+    by = by[np.lexsort((h[by], bucket[by]))]
+    by = by[np.concatenate([[True], (h[by][1:] != h[by][:-1]) | (bucket[by][1:] != bucket[by][:-1])])] if len(by) else by  # one example for each bucket
     cut = np.concatenate([[0], np.flatnonzero(np.diff(bucket[by])) + 1, [len(by)]])
-    return pa.Table.from_pylist([{"shard": 0, "bucket": int(bucket[by[x]]), "hash": h[k].tobytes(), "doc": told[k].tobytes(), "place": at[k].tobytes(), "many": b""} for x, y in zip(cut[:-1], cut[1:], strict=True) if y > x for k in [by[x:y]]], BLOCK)
+    return pa.Table.from_pylist([{"bucket": int(bucket[k[0]]), "hash": h[k].tobytes(), "doc": told[k].tobytes(), "place": at[k].tobytes()} for x, y in zip(cut[:-1], cut[1:], strict=True) if y > x for k in [by[x:y]]], TOLD)
 
 
 def find_anchors(texts: DataFrame, n_shards: int) -> DataFrame:
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for b in batches:
-            parts: dict[int, list] = {}
+            parts = []
             for doc, bucket, text in zip(b.column("doc_id").to_pylist(), b.column("bucket").to_pylist(), b.column("text"), strict=True):
                 found, at = anchors(hashes.of(text.as_py().split()))
                 if len(found):
-                    parts.setdefault(bucket, []).append((found, doc, at))
-            rows = [r for bucket, p in parts.items() for r in entries(bucket, p, n_shards)]
-            yield pa.RecordBatch.from_pylist(rows, BLOCK)
+                    parts.append((bucket, found, doc, at))
+            if parts:
+                yield pa.RecordBatch.from_pylist(entries(parts, n_shards), BLOCK)
 
     return texts.mapInArrow(find, BLOCK_SQL)
 
@@ -104,19 +107,28 @@ def _joined(rows: pa.Table, columns: tuple[str, ...]) -> list[np.ndarray]:
 
 
 class Phrases:
-    """The automaton over a bucket's repeated phrases; its symbols are word numbers."""
+    """The automaton over a bucket's repeated phrases.
 
-    def __init__(self) -> None:
-        self.numbers: dict[bytes, int] = {}
-        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
+    Its symbols are the digits of word numbers, each place with symbols of its own: a node then has DIGIT children at most, which
+    matters as they are searched one by one, and no match can start inside a word.
+    """
 
-    def add(self, words: list[bytes]) -> None:
-        self.automaton.add_word(tuple([self.numbers.setdefault(w, len(self.numbers) + 1) for w in words]))
+    def __init__(self, phrases: list[list[bytes]]) -> None:
+        words = dict.fromkeys(w for p in phrases for w in p)
+        self.digits = 1
+        while DIGIT**self.digits < len(words):
+            self.digits += 1
+        self.symbols = {w: tuple(1 + DIGIT * k + n // DIGIT**k % DIGIT for k in range(self.digits)) for n, w in enumerate(words)}
+        self.unknown = (0,) * self.digits
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
+        for p in phrases:
+            self.automaton.add_word(tuple(chain.from_iterable([self.symbols[w] for w in p])))
+        self.automaton.make_automaton()
 
     def ends(self, words: list[bytes]) -> np.ndarray:
         """Where a phrase ends in a document."""
-        number = self.numbers.get
-        return np.array([e for e, _ in self.automaton.iter(tuple([number(w, 0) for w in words]))], np.int64)
+        sequence = tuple(chain.from_iterable(map(self.symbols.get, words, repeat(self.unknown))))
+        return np.fromiter((e for e, _ in self.automaton.iter(sequence)), np.int64) // self.digits
 
 
 def locate(texts: pa.Table, told: pa.Table, n_shards: int) -> pa.Table:
@@ -126,30 +138,29 @@ def locate(texts: pa.Table, told: pa.Table, n_shards: int) -> pa.Table:
     doc, place = _joined(told, ("doc", "place"))
     by = np.argsort(doc, kind="stable")
     doc, place = doc[by], place[by]
-    phrases, ids = Phrases(), texts["doc_id"].to_numpy()
+    phrases, ids = [], texts["doc_id"].to_numpy()
     for k, d in enumerate(ids):
         x, y = np.searchsorted(doc, d, "left"), np.searchsorted(doc, d, "right")
         if y > x:
             words = texts["text"][k].as_py().split()
             for at in place[x:y].tolist():
                 if at + PHRASE <= len(words):
-                    phrases.add(words[at : at + PHRASE])
-    if not len(phrases.automaton):
+                    phrases.append(words[at : at + PHRASE])
+    if not phrases:
         return pa.Table.from_pylist([], BLOCK)
-    phrases.automaton.make_automaton()
-    hashes, parts = WordHashes(), []
+    automaton, bucket, hashes, parts = Phrases(phrases), int(texts["bucket"][0].as_py()), WordHashes(), []
     for d, text in zip(ids.tolist(), texts["text"], strict=True):
         words = text.as_py().split()
         starts = len(words) - WINDOW + 1
-        ends = phrases.ends(words) if starts > 0 else ()
+        ends = automaton.ends(words) if starts > 0 else ()
         if len(ends):
             near = np.zeros(starts + 1, np.int32)
             np.add.at(near, np.clip(ends - WINDOW + 1, 0, starts), 1)
             np.add.at(near, np.clip(ends - PHRASE + 2, 0, starts), -1)
             at = np.flatnonzero(np.cumsum(near[:-1]) > 0)
             found, first = np.unique(runs(hashes.of(words), WINDOW)[at], return_index=True)
-            parts.append((found, d, at[first].astype(np.int32)))
-    return pa.Table.from_pylist(entries(int(texts["bucket"][0].as_py()), parts, n_shards) if parts else [], BLOCK)
+            parts.append((bucket, found, d, at[first].astype(np.int32)))
+    return pa.Table.from_pylist(entries(parts, n_shards) if parts else [], BLOCK)
 
 
 def remove(texts: pa.Table, told: pa.Table, with_text: bool) -> pa.Table:
@@ -187,10 +198,10 @@ def remove_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
     scratch, n = Scratch(spark, "repeats"), shards(spark)
     ids = F.col("doc_id").cast("long")
     texts = docs.select(ids.alias("doc_id"), F.pmod(F.xxhash64(ids), F.lit(2 * n)).cast("int").alias("bucket"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text")).where("doc_id is not null")
-    repeated = scratch.keep(find_anchors(texts, n).groupBy("shard").applyInArrow(lambda t: answers(t, False), BLOCK_SQL), "phrases")
+    repeated = scratch.keep(find_anchors(texts, n).groupBy("shard").applyInArrow(lambda t: answers(t, False), TOLD_SQL), "phrases")
     by = texts.groupBy("bucket")
     windows = by.cogroup(repeated.groupBy("bucket")).applyInArrow(lambda a, b: locate(a, b, n), BLOCK_SQL)
-    confirmed = scratch.keep(windows.groupBy("shard").applyInArrow(lambda t: answers(t, True), BLOCK_SQL), "windows")
+    confirmed = scratch.keep(windows.groupBy("shard").applyInArrow(lambda t: answers(t, True), TOLD_SQL), "windows")
     scratch.drop("phrases")
     return by.cogroup(confirmed.groupBy("bucket")).applyInArrow(lambda a, b: remove(a, b, with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
 
