@@ -128,7 +128,7 @@ class Phrases:
     def ends(self, words: list[bytes]) -> np.ndarray:
         """Where a phrase ends in a document."""
         sequence = tuple(chain.from_iterable(map(self.symbols.get, words, repeat(self.unknown))))
-        return np.fromiter((e for e, _ in self.automaton.iter(sequence)), np.int64) // self.digits
+        return np.array([e for e, _ in self.automaton.iter(sequence)], np.int64) // self.digits
 
 
 def locate(texts: pa.Table, told: pa.Table, n_shards: int) -> pa.Table:
@@ -158,7 +158,9 @@ def locate(texts: pa.Table, told: pa.Table, n_shards: int) -> pa.Table:
             np.add.at(near, np.clip(ends - WINDOW + 1, 0, starts), 1)
             np.add.at(near, np.clip(ends - PHRASE + 2, 0, starts), -1)
             at = np.flatnonzero(np.cumsum(near[:-1]) > 0)
-            found, first = np.unique(runs(hashes.of(words), WINDOW)[at], return_index=True)
+            cut = [0, *(np.flatnonzero(np.diff(at) > 1) + 1).tolist(), len(at)]  # only words of such windows are hashed
+            own = [runs(hashes.of(words[at[x] : at[y - 1] + WINDOW]), WINDOW) for x, y in zip(cut[:-1], cut[1:], strict=True)]
+            found, first = np.unique(np.concatenate(own), return_index=True)
             parts.append((bucket, found, d, at[first].astype(np.int32)))
     return pa.Table.from_pylist(entries(parts, n_shards) if parts else [], BLOCK)
 
@@ -168,14 +170,17 @@ def remove(texts: pa.Table, told: pa.Table, with_text: bool) -> pa.Table:
     window, first = _joined(told, ("hash", "doc"))
     by = np.argsort(window)
     window, first = window[by], first[by]
+    low, known = np.uint64((1 << 20) - 1), np.zeros(1 << 20, bool)  # most windows are told apart by a few bits
+    known[(window & low).astype(np.int64)] = True
     hashes, out = WordHashes(), []
     for d, text in zip(texts["doc_id"].to_pylist(), texts["text"], strict=True):
         words = text.as_py().split()
         n, kept = len(words), words
         if len(window) and n >= WINDOW:
             own = runs(hashes.of(words), WINDOW)
-            k = np.minimum(np.searchsorted(window, own), len(window) - 1)
-            at = np.flatnonzero((window[k] == own) & (first[k] < d))
+            at = np.flatnonzero(known[(own & low).astype(np.int64)])
+            k = np.minimum(np.searchsorted(window, own[at]), len(window) - 1)
+            at = at[(window[k] == own[at]) & (first[k] < d)]
             if len(at):
                 cover = np.zeros(n + 1, np.int32)
                 np.add.at(cover, at, 1)
