@@ -78,6 +78,17 @@ def test_pseudonyms(spark):
     assert t[5] is None and t[6] == "" and t[7] == TEXTS[7]
 
 
+def test_secrets_go_whole(spark):
+    long = "x9" * 150
+    texts = [f"token={long} end", 'TOKEN = "9233A8ECD2D7E1"!! b', "Password: Hunter22x", 'password = "correct horse battery" c', "Secret='don\"t tell me' d", f'api_key="{long}', 'token = "abc" and "more words"']
+    got = [r["text"] for r in pseudonymise(spark.createDataFrame(list(enumerate(texts)), DOCS)).orderBy("doc_id").collect()]
+    assert got[6] == texts[6] and [len(x) for x in got] == [len(x) for x in texts]
+    for new, old, secret in zip(got, texts, (long, "9233A8ECD2D7E1", "Hunter22x", "correct horse battery", 'don"t tell me', long), strict=False):
+        head, tail = old.split(secret)
+        assert new.startswith(head) and new.endswith(tail) and all(c in "0123456789abcdef" for c in new[len(head) : len(new) - len(tail)])
+        assert not any(w in new[len(head) :] for w in ("x9x9", "9233A8", "Hunter", "horse", "tell"))
+
+
 def test_permutation_is_one_to_one(spark):
     df = spark.range(1000).selectExpr("id AS doc_id", "concat('(', lpad(id, 3, '0'), ') 555-01', lpad(id % 100, 2, '0')) AS text")
     assert pseudonymise(df).select("text").distinct().count() == 1000

@@ -17,7 +17,10 @@ ROUNDS = 8
 FIRST_DAY, DAYS, DAY_SIDE = "1900-01-01", 73049, 272
 WALK = 64  # steps of cycle walking: a failure has odds below 1e-20
 
-SECRET_HEAD = r"(?:password|passwd|secret|token|api_key)\s{0,3}[=:]\s{0,3}[\x22\x27]?"
+SECRET_NAME = r"(?i:password|passwd|secret|token|api_key)\s{0,3}[=:]\s{0,3}"
+SECRET_HEAD = rf"^{SECRET_NAME}[\x22\x27]?"
+#: A value in quotes ends at the closing one (or the text's end), any other at white space or a quote.
+SECRET_VALUE = r"(?:\x22(?!\s)[^\x22\r\n]{6,}(?=\x22|$)|\x27(?!\s)[^\x27\r\n]{6,}(?=\x27|$)|[\x22\x27]?[^\s\x22\x27]{6,})"
 #: Kinds in the order in which they are tried, with their patterns. Each starts and ends apart from what could continue it.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,6}\.[A-Za-z]{2,24}(?![A-Za-z0-9-])",
@@ -28,7 +31,7 @@ PATTERNS = {
     "card": r"(?<![0-9A-Za-z])(?:[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}|[0-9]{13,19})(?![0-9A-Za-z])",
     "phone": r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![0-9A-Za-z])",
     "key": r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])",
-    "secret": rf"(?<![A-Za-z0-9]){SECRET_HEAD}[^\s\x22\x27]{{6,128}}",
+    "secret": rf"(?<![A-Za-z0-9]){SECRET_NAME}{SECRET_VALUE}",
 }
 KINDS = tuple(PATTERNS)
 #: A text without any of these has no candidate.
@@ -126,8 +129,8 @@ def pseudonym(kind: str) -> str:
         return _let(_digits("m"), "d", f"if(length(d) between 7 and 15, {_let(f'concat(substr(d, 1, {keep}), ' + _permuted(f'substr(d, 1 + {keep})', 'phone') + ')', 'z', _filled('m', 'z'))}, null)")
     if kind == "key":
         return "concat('AKIA', upper(substr(sha2(concat_ws('|', _key, 'key', m), 256), 1, 16)))"
-    head = f"regexp_extract(m, {_quoted('^' + SECRET_HEAD)}, 0)"
-    return _let(head, "h", "concat(h, substr(repeat(sha2(concat_ws('|', _key, 'secret', substr(m, length(h) + 1)), 256), 2), 1, length(m) - length(h)))")
+    head = f"regexp_extract(m, {_quoted(SECRET_HEAD)}, 0)"
+    return _let(head, "h", "concat(h, substr(repeat(sha2(concat_ws('|', _key, 'secret', substr(m, length(h) + 1)), 256), (length(m) - length(h) + 63) div 64), 1, length(m) - length(h)))")
 
 
 def pseudonymise(docs: DataFrame, key: str = KEY, kinds: tuple[str, ...] = KINDS) -> DataFrame:
