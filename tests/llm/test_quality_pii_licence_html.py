@@ -89,6 +89,17 @@ def test_secrets_go_whole(spark):
         assert not any(w in new[len(head) :] for w in ("x9x9", "9233A8", "Hunter", "horse", "tell"))
 
 
+def test_ibans_before_other_words(spark):
+    ibans = ["BE68539007547034", "BE68 5390 0754 7034", "AT61 1904 3002 3457 3201", "ES9121000418450200051332", "PL61109010140000071219812874", "NO9386011117947", "XX07 5390 0754 7034"]
+    texts = [f"{i} {tail}" for i in ibans for tail in ("EUR", "2024", "EUR 12", "AMOUNT 7", "is mine")] + ["BE68 5390 0754 7034 DE89 3704 0044 0532 0130 00"]
+    got = pseudonymise(spark.createDataFrame(list(enumerate(texts)), DOCS)).orderBy("doc_id").collect()
+    assert [r["n_found"] for r in got] == [1] * 35 + [2]
+    for r, iban in zip(got, [i for i in ibans for _ in range(5)], strict=False):
+        new = r["text"][: len(iban)]
+        c = new.replace(" ", "")
+        assert new != iban and r["text"][len(iban) :] == texts[r["doc_id"]][len(iban) :] and int("".join(str(int(x, 36)) for x in c[4:] + c[:4])) % 97 == 1
+
+
 def test_permutation_is_one_to_one(spark):
     df = spark.range(1000).selectExpr("id AS doc_id", "concat('(', lpad(id, 3, '0'), ') 555-01', lpad(id % 100, 2, '0')) AS text")
     assert pseudonymise(df).select("text").distinct().count() == 1000

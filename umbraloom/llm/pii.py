@@ -21,10 +21,27 @@ SECRET_NAME = r"(?i:password|passwd|secret|token|api_key)\s{0,3}[=:]\s{0,3}"
 SECRET_HEAD = rf"^{SECRET_NAME}[\x22\x27]?"
 #: A value in quotes ends at the closing one (or the text's end), any other at white space or a quote.
 SECRET_VALUE = r"(?:\x22(?!\s)[^\x22\r\n]{6,}(?=\x22|$)|\x27(?!\s)[^\x27\r\n]{6,}(?=\x27|$)|[\x22\x27]?[^\s\x22\x27]{6,})"
+#: Lengths of the countries' IBANs.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA",
+    30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+IBAN_KNOWN = "|".join(IBAN_LENGTHS.values()).replace(" ", "|")
+
+
+def _iban_of(length: int, countries: str) -> str:
+    fours, rest = divmod(length - 4, 4)
+    return rf"(?:{countries.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{fours}}}" + (f" ?[A-Z0-9]{{{rest}}}" if rest else "")
+
+
+#: A known country's number has its length, so it takes no words behind it; any other is as long as can be.
+IBAN = "|".join([*(_iban_of(n, c) for n, c in IBAN_LENGTHS.items()), r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?"])
 #: Kinds in the order in which they are tried, with their patterns. Each starts and ends apart from what could continue it.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,6}\.[A-Za-z]{2,24}(?![A-Za-z0-9-])",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "iban": rf"(?<![A-Za-z0-9])(?:{IBAN})(?![A-Za-z0-9])",
     "ip": r"(?<![0-9A-Za-z.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9A-Za-z]|\.[0-9])",
     "date": r"(?<![0-9A-Za-z./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9A-Za-z/-])",
     "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
@@ -110,7 +127,10 @@ def pseudonym(kind: str) -> str:
     if kind == "iban":
         bban, head = "substr(c, 5)", "substr(c, 1, 2)"
         new = _let(f"if(length({_digits(bban)}) > 1, {_filled(bban, _let(_digits(bban), 'g', _permuted('g', 'iban')))}, {bban})", "o", f"concat({head}, lpad(cast(98 - {_mod97(f'concat(o, {head}, {chr(39)}00{chr(39)})')} as string), 2, '0'), o)")
-        return _let("replace(m, ' ', '')", "c", f"if(length(c) between 15 and 34 and {_mod97('concat(substr(c, 5), substr(c, 1, 4))')} = 1, {_let(new, 'z', _filled('m', _digits('z')))}, null)")
+        ok = _let("replace(e, ' ', '')", "c", f"length(c) between 15 and 34 and {_mod97('concat(substr(c, 5), substr(c, 1, 4))')} = 1")
+        ends = f"filter(transform(sequence(0, length(m) - 1), p -> substr(m, 1, length(m) - p)), e -> (e = m or substr(m, length(e) + 1, 1) = ' ' and m not rlike '^({IBAN_KNOWN})') and {ok})"
+        done = _let("replace(e, ' ', '')", "c", f"concat({_let(new, 'z', _filled('e', _digits('z')))}, substr(m, length(e) + 1))")
+        return _let(ends, "v", f"if(size(v) > 0, {_let('v[0]', 'e', done)}, null)")  # of an unknown country, the longest that is valid
     if kind == "ip":
         octets = "transform(split(m, '[.]'), x -> cast(x as int))"
         run = _let(_feistel("q[0] * 256 + q[1]", "q[2] * 256 + q[3]", "65536", "65536", "'ip'"), "e", "concat_ws('.', e.a div 256, e.a % 256, e.b div 256, e.b % 256)")
