@@ -129,6 +129,17 @@ def test_page_text(spark):
     assert [r["n_chars"] for r in got if r["page_id"] in (2, None, 4)] == [0, 0, 0] and max(r["n_chars"] for r in got) == 499_999
 
 
+def test_page_text_outside_of_the_inner_region():
+    nav, long = "<nav>" + "<a href=/>x</a>" * 9 + "</nav>", [f"{k} " + "word " * 79 + "end" for k in range(6)]
+    body = "".join(f"<p>{x}</p>" for x in long)
+    whole = "\n".join(["A headline of 21 chars", *long, "The end of a story."])
+    assert main_text(f"<body>{nav}<h1>A headline of 21 chars</h1>{body}<p>The end of a story.</p></body>") == whole
+    links = "<div><a href=/>Home</a></div><div><a href=/>News</a></div>"
+    assert main_text(f"<body>{links}<h2>A headline of 21 chars</h2>{body}<p>The end of a story.</p>{links}<p>\u00a9 us</p></body>") == whole
+    two = "<main><h1>Title</h1><p>Intro.</p><article><p>One.</p></article><article><p>Second one.</p><section><article>Inner</article></section></article><div class=comments><article>No</article></div></main>"
+    assert main_text(f"<body>{two}</body>") == "Title\nIntro.\nOne.\nSecond one.\nInner"
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text("abcdefgh ,.é", min_size=1, max_size=40).filter(lambda s: s.strip()), min_size=1, max_size=8))
 def test_article_blocks_come_back(blocks):

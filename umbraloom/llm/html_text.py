@@ -2,8 +2,8 @@
 
 Each block becomes a line with its text-to-tag ratio. Ratios are smoothed with a Gaussian, lines above a threshold form
 clusters, and the clusters say which region of the page is content: the article or main element that holds most of
-their text, else the stretch from the first cluster to the last. Menus, forms, adverts and the like are no
-lines at all. All lines of the chosen region are kept, short ones too.
+their text with what is nested in it, else the stretch from the first cluster to the last with the headings and short blocks
+next to it. Menus, forms, adverts and the like are no lines at all. All lines of the chosen region are kept, short ones too.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,7 @@ NEVER = frozenset("aside audio button canvas dialog embed fieldset footer form h
 #: The same, as words of a class, id or role.
 NEVER_WORDS = frozenset("ad ads advert advertisement adverts alert banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies disqus footer gdpr masthead menu modal nav navbar navigation newsletter notice pager pagination popup promo related replies search share sharing sidebar social sponsor sponsored subscribe toolbar widget".split())
 CONTENT = frozenset(("article", "main"))
+HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 #: Elements that end where the next of the listed ones starts.
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 SEPARATOR = re.compile(r"[^a-z0-9]+")
@@ -39,7 +41,28 @@ SEPARATOR = re.compile(r"[^a-z0-9]+")
 class Line:
     text: str
     tags: int
-    region: int | None  # number of the innermost article or main around it
+    regions: tuple[int, ...]  # numbers of the article and main elements around it, outermost first
+    marks: tuple[int, ...]  # numbers of the marked elements around it
+    heading: str  # name of the heading it stands in, or empty
+    linked: int  # characters in links
+
+
+class Element(NamedTuple):
+    name: str
+    never: bool  # whether its text is never content
+    regions: tuple[int, ...]
+    marks: tuple[int, ...]
+    heading: str
+    link: bool
+
+
+@dataclass
+class Mark:
+    whole: bool  # whether a word of NEVER_WORDS is a whole name, not a part of one
+    region: int | None  # the innermost article or main around it
+
+
+ROOT = Element("", False, (), (), "", False)
 
 
 class Lines(HTMLParser):
@@ -48,9 +71,11 @@ class Lines(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
-        self.open: list[tuple[str, bool, int | None]] = []  # name, whether its text is never content, region
+        self.open: list[Element] = []
         self.parts: list[str] = []
-        self.tags = self.regions = 0
+        self.marks: dict[int, Mark] = {}
+        self.region_marks: dict[int, tuple[int, ...]] = {}  # the marked elements around each region
+        self.tags = self.linked = 0
 
     def parse_marked_section(self, i: int, report: int = 1) -> int:
         return self.parse_bogus_comment(i, report)
@@ -58,9 +83,10 @@ class Lines(HTMLParser):
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            self.lines.append(Line(text, self.tags, self.open[-1][2] if self.open else None))
+            at = self.open[-1] if self.open else ROOT
+            self.lines.append(Line(text, self.tags, at.regions, at.marks, at.heading, self.linked))
             self.tags = 0
-        self.parts = []
+        self.parts, self.linked = [], 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.tags += 1
@@ -71,22 +97,28 @@ class Lines(HTMLParser):
             self.parts.append(" ")
         if tag in VOID:
             return
-        _, never, region = self.open[-1] if self.open else ("", False, None)
+        _, never, regions, marks, heading, link = self.open[-1] if self.open else ROOT
         if tag in CONTENT and not never:
-            self.regions += 1
-            region = self.regions
+            number = len(self.region_marks) + 1
+            self.region_marks[number] = marks
+            regions = (*regions, number)
         elif not never:
-            marks = {w for k, v in attrs if k in ("class", "id", "role") and v for w in SEPARATOR.split(v.lower())}
+            names = [w for k, v in attrs if k in ("class", "id", "role") and v for w in v.lower().split()]
             hidden = any(k == "hidden" or k == "aria-hidden" and v == "true" or k == "style" and v and "display:none" in v.replace(" ", "").lower() for k, v in attrs)
-            never = tag in NEVER or tag == "header" and region is None or hidden or tag not in ("body", "html") and not marks.isdisjoint(NEVER_WORDS)
+            never = tag in NEVER or tag == "header" and not regions or hidden
+            if not never and names and tag not in ("body", "html") and any(map(_marked, names)):
+                number = len(self.marks) + 1
+                self.marks[number] = Mark(not NEVER_WORDS.isdisjoint(names), regions[-1] if regions else None)
+                self.flush()
+                marks = (*marks, number)
             if never:
                 self.flush()
-        self.open.append((tag, never, region))
+        self.open.append(Element(tag, never, regions, marks, tag if tag in HEADINGS else heading, link or tag == "a"))
 
     def close_implied(self, tag: str) -> None:
         """A block ends an open paragraph, with what is open in it; list items and cells end those before them."""
         for k in range(len(self.open) - 1, -1, -1):
-            name = self.open[k][0]
+            name = self.open[k].name
             if name == "p" or tag in CLOSED_BY.get(name, ()):
                 del self.open[k:]
                 return
@@ -98,15 +130,36 @@ class Lines(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
-        at = next((k for k in range(len(self.open) - 1, -1, -1) if self.open[k][0] == tag), None)
-        if tag not in INLINE or at is not None and self.open[at][1]:
+        at = next((k for k in range(len(self.open) - 1, -1, -1) if self.open[k].name == tag), None)
+        if tag not in INLINE or at is not None and (self.open[at].never or self.open[-1].marks != (self.open[at - 1] if at else ROOT).marks):
             self.flush()
         if at is not None:
             del self.open[at:]
 
     def handle_data(self, data: str) -> None:
-        if not (self.open and self.open[-1][1]):
+        at = self.open[-1] if self.open else ROOT
+        if not at.never:
             self.parts.append(data)
+            if at.link:
+                self.linked += len(data.strip())
+
+    def content(self) -> list[Line]:
+        """The lines outside of marked elements."""
+        lines, out = self.lines, set(self.marks)
+        kept, tags = [], 0
+        for x in lines:
+            if out.isdisjoint(x.marks):
+                x.tags += tags
+                tags = 0
+                kept.append(x)
+            else:
+                tags += x.tags
+        return kept
+
+
+def _marked(name: str) -> bool:
+    words = [w for w in SEPARATOR.split(name) if w]
+    return not NEVER_WORDS.isdisjoint(words)
 
 
 def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
@@ -124,20 +177,38 @@ def main_text(html: str | None) -> str:
     parser.feed(html)
     parser.close()
     parser.flush()
-    lines = parser.lines
+    lines = parser.content()
     if not lines:
         return ""
     score = smoothed(np.array([len(x.text) / max(1, x.tags) for x in lines]))
     content = score >= THRESHOLD * score.mean()
     weight: dict[int, int] = defaultdict(int)
     for x, c in zip(lines, content, strict=True):
-        if x.region is not None:
-            weight[x.region] += len(x.text) * (1 + bool(c))
+        for r in x.regions:
+            weight[r] += len(x.text) * (1 + bool(c))
     if weight:
         best = max(weight, key=lambda r: (weight[r], -r))
-        return "\n".join(x.text for x in lines if x.region == best)
+        return "\n".join(x.text for x in lines if best in x.regions)
     at = np.flatnonzero(content)
-    return "\n".join(x.text for x in lines[at[0] : at[-1] + 1])
+    return "\n".join(x.text for x in lines[_start(lines, at[0]) : _end(lines, at[-1])])
+
+
+def _boilerplate(x: Line) -> bool:
+    return not x.heading and (2 * x.linked > len(x.text) or x.text.lower().startswith(("\u00a9", "copyright", "all rights reserved")))
+
+
+def _start(lines: list[Line], i: int) -> int:
+    """The first line of the content around line i: back to the page's title, or to where links are. One line of links below a heading is a byline."""
+    while i > 0 and lines[i].heading != "h1" and (not _boilerplate(lines[i - 1]) or i > 1 and lines[i - 2].heading):
+        i -= 1
+    return i
+
+
+def _end(lines: list[Line], i: int) -> int:
+    i += 1
+    while i < len(lines) and not _boilerplate(lines[i]):
+        i += 1
+    return i
 
 
 def extract(pages: DataFrame) -> DataFrame:
