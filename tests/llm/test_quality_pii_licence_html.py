@@ -140,6 +140,18 @@ def test_page_text_outside_of_the_inner_region():
     assert main_text(f"<body>{two}</body>") == "Title\nIntro.\nOne.\nSecond one.\nInner"
 
 
+def test_page_text_in_wrappers_with_marked_names():
+    page = "<article><h1>T</h1><p>One two three.</p></article>"
+    noise = '<div class="sidebar">Side</div><div class="comment-list"><article>Nice</article></div>'
+    for name in ('class="no-sidebar"', 'id="page" class="layout has-sidebar"', 'class="content with-comments"', 'class="widget area"', 'id="search"'):
+        assert main_text(f"<body><div {name}>{page}{noise}</div></body>") == "T\nOne two three."
+        assert main_text(f"<body><div {name}><p>One two three.</p></div><p>x</p></body>").startswith("One two three.")
+    assert main_text('<article><h1>T</h1><div class="comments-open post">Long enough text.</div><div class="comments">A comment that is longer.</div></article>') == "T\nLong enough text."
+    assert main_text('<article><h1>T</h1><div class="comments-open post">Long enough text.</div></article>') == "T\nLong enough text."
+    assert main_text('<p>The text of the page.</p><div class="cookie">Ok?</div>') == "The text of the page."
+    assert main_text('<p>A <b><span class="ad">buy</b> now</p>') == "A\nnow"
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text("abcdefgh ,.é", min_size=1, max_size=40).filter(lambda s: s.strip()), min_size=1, max_size=8))
 def test_article_blocks_come_back(blocks):

@@ -4,6 +4,7 @@ Each block becomes a line with its text-to-tag ratio. Ratios are smoothed with a
 clusters, and the clusters say which region of the page is content: the article or main element that holds most of
 their text with what is nested in it, else the stretch from the first cluster to the last with the headings and short blocks
 next to it. Menus, forms, adverts and the like are no lines at all. All lines of the chosen region are kept, short ones too.
+An element that only its class, id or role marks as an advert or the like counts as content where it holds the page.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 NEVER = frozenset("aside audio button canvas dialog embed fieldset footer form head iframe input map menu nav noscript object option script select style svg template textarea title video".split())
 #: The same, as words of a class, id or role.
 NEVER_WORDS = frozenset("ad ads advert advertisement adverts alert banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies disqus footer gdpr masthead menu modal nav navbar navigation newsletter notice pager pagination popup promo related replies search share sharing sidebar social sponsor sponsored subscribe toolbar widget".split())
+#: A name that starts with one of these, such as has-sidebar, tells what is around and marks nothing.
+MODIFIERS = frozenset("has have no not with without".split())
 CONTENT = frozenset(("article", "main"))
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 #: Elements that end where the next of the listed ones starts.
@@ -144,8 +147,34 @@ class Lines(HTMLParser):
                 self.linked += len(data.strip())
 
     def content(self) -> list[Line]:
-        """The lines outside of marked elements."""
+        """The lines outside of marked elements, but for those that turn out to hold the page or most of a region."""
         lines, out = self.lines, set(self.marks)
+        if out:
+            of_mark, of_region, inner = defaultdict(int), defaultdict(int), defaultdict(set)
+            for x in lines:
+                for m in x.marks:
+                    of_mark[m] += len(x.text)
+                for r in x.regions:
+                    of_region[r] += len(x.text)
+            for r in of_region:
+                for m in self.region_marks[r]:
+                    inner[m].add(r)
+            total = sum(len(x.text) for x in lines)
+            free = lambda of: any(out.isdisjoint(self.region_marks[r]) for r in of)
+            while not free(of_region):  # the outermost ones around regions are wrappers
+                wrappers = {next(m for m in self.region_marks[r] if m in out) for r in of_region}
+                out -= wrappers
+                if not wrappers:
+                    break
+            for m, mark in self.marks.items():  # outer ones first
+                if mark.region is None:
+                    keep = 2 * of_mark[m] > total and not of_region or any(2 * of_region[r] > total for r in inner[m])
+                else:
+                    rest = [x for x in lines if mark.region in x.regions and (mark.whole or not any(self.marks[k].whole and k in out for k in x.marks))]
+                    within = {r for x in rest for r in x.regions[x.regions.index(mark.region) + 1 :]}
+                    keep = 2 * sum(len(x.text) for x in rest if m in x.marks) > sum(len(x.text) for x in rest) and (not mark.whole or bool(inner[m]) and not free(within))
+                if keep:
+                    out.discard(m)
         kept, tags = [], 0
         for x in lines:
             if out.isdisjoint(x.marks):
@@ -159,7 +188,7 @@ class Lines(HTMLParser):
 
 def _marked(name: str) -> bool:
     words = [w for w in SEPARATOR.split(name) if w]
-    return not NEVER_WORDS.isdisjoint(words)
+    return bool(words) and words[0] not in MODIFIERS and not NEVER_WORDS.isdisjoint(words)
 
 
 def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
