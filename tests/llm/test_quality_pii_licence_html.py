@@ -1,5 +1,6 @@
 """Classifier, pseudonyms, licences and page text."""
 
+import textwrap
 import zlib
 
 import numpy as np
@@ -117,6 +118,23 @@ def test_licences(spark):
     assert docs[0][1][m["start"] : m["end"]] == "Released under the MIT License"
 
 
+def test_wrapped_licences(spark):
+    known, runs = L.identifiers(L.RULES)
+    one = {name: text for name, text in reversed(L.RULES)}
+    for name in ("MIT", "BSD-3-Clause", "BSD-2-Clause", "ISC", "GPL-3.0-or-later", "GPL-2.0-or-later", "MPL-2.0", "Apache-2.0"):
+        for width, before in ((78, ""), (60, " * "), (70, "# "), (72, "// "), (66, ";; "), (40, "dnl "), (50, "! ")):
+            lines = [x for s in one[name].split("\n") for x in textwrap.wrap(s, width)]
+            for end in ("\n", "\r\n"):
+                text = end.join(["Copyright 2020 A. Person", *(before + x for x in lines), before.rstrip(), "x"])
+                n, found = L.scan(text, known, runs)
+                assert [f[0] for f in found] == [name] and n == L.scan(one[name], known, runs)[0], text
+                assert L.normalised(text[found[0][1] : found[0][2]]).split()[-1] == L.normalised(one[name]).split()[-1]
+    parted = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby\n\ngranted, provided that the above copyright notice and this permission notice appear in all copies."
+    assert L.scan(parted, known, runs) == (0, []) and L.scan(parted.replace("\n\n", "\n"), known, runs)[0] == 1
+    docs = spark.createDataFrame([(1, one["ISC"].replace(" ", "\n"))], DOCS)
+    assert L.licence_scan(docs).first()["licences"] == "ISC"
+
+
 PAGE = '<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><header>Site</header><nav><ul><li><a href="/a">A</a></ul></nav><div class="ad">Buy.</div><article><h1>Title &amp; more</h1><p>One <b>two</b>\n three.<br>four<p>Est.<div class="comments"><p>Nice</p></div><aside>side</aside><form>f</form></article><footer>&copy; us</footer></body></html>'
 
 

@@ -30,11 +30,16 @@ RULES = (
 )
 #: Unknown sentences that may stand between two of a rule.
 GAP = 2
-#: A sentence ends at a line feed, or at one of .!?:; before white space or the end.
+#: A piece ends at a line feed, or at one of .!?:; before white space or the end. The SQL takes pieces for sentences; the
+#: operator also joins those of a wrapped sentence.
 SENTENCE = r"(?:[^.!?:;\n]+|[.!?:;]+[^\s.!?:;])+"
 _SENTENCE = re.compile(SENTENCE.replace(r"\s", r" \t\n\f\r"))
 _FOLD = {i: i + 32 for i in range(65, 91)}
 _OTHER = re.compile(r"[^a-z0-9]+")
+#: What stands between two pieces of a wrapped sentence: one line feed and comment marks that are no part of a piece.
+_WRAP = re.compile(r"[ \t\f\r]*\n[ \t\f]*[;:!]*[ \t\f]*")
+#: Comment marks that are words.
+_REMARK = re.compile(r"(?:dnl|rem) ")
 
 
 def normalised(sentence: str) -> str:
@@ -48,21 +53,44 @@ def identifiers(rules: tuple[tuple[str, str], ...]) -> tuple[dict[str, int], lis
     return known, runs
 
 
-def scan(text: str, known: dict[str, int], runs: list[tuple[str, tuple[int, ...]]], gap: int = GAP) -> tuple[int, list[tuple[str, int, int]]]:
+def beginnings(known: dict[str, int]) -> set[str]:
+    """The beginnings of known sentences, by whole words, where a line may end."""
+    return {" ".join(words[:i]) for words in map(str.split, known) for i in range(1, len(words))}
+
+
+def sentences(text: str, known: dict[str, int], starts: set[str]) -> Iterator[tuple[int, int, int, int, int]]:
+    """(identifier, first piece, last piece, start, end) of each known sentence; the longest where one begins another."""
+    pieces = list(_SENTENCE.finditer(text))
+    words = [_REMARK.sub("", n, count=1) if n.startswith(("dnl ", "rem ")) else n for n in (normalised(m.group()) for m in pieces)]
+    k = 0
+    while k < len(pieces):
+        whole, last, got = words[k], k, None
+        while True:
+            if whole in known:
+                got = known[whole], k, last, pieces[k].start(), pieces[last].end()
+            if whole not in starts or last + 1 == len(pieces) or not words[last + 1] or not _WRAP.fullmatch(text, pieces[last].end(), pieces[last + 1].start()):
+                break
+            last += 1
+            whole += " " + words[last]
+        if got:
+            yield got
+            k = got[2]
+        k += 1
+
+
+def scan(text: str, known: dict[str, int], runs: list[tuple[str, tuple[int, ...]]], gap: int = GAP, starts: set[str] | None = None) -> tuple[int, list[tuple[str, int, int]]]:
     """The number of known sentences, and (licence, start, end) of each match in code points."""
     ids, at, places = [], [], []
-    for k, m in enumerate(_SENTENCE.finditer(text)):
-        n = known.get(normalised(m.group()))
-        if n:
-            ids.append(n)
-            at.append(k)
-            places.append(m.span())
+    for n, first, last, start, end in sentences(text, known, beginnings(known) if starts is None else starts):
+        ids.append(n)
+        at.append((first, last))
+        places.append((start, end))
     found: list[tuple[str, int, int]] = []
     taken = [len(runs)] * len(ids)  # the first rule that occurs over each sentence
     hits = []
     for r, (name, run) in enumerate(runs):
         for i in range(len(ids) - len(run) + 1):
-            if tuple(ids[i : i + len(run)]) == run and all(at[j + 1] - at[j] <= gap + 1 for j in range(i, i + len(run) - 1)):
+            if tuple(ids[i : i + len(run)]) == run and all(at[j + 1][0] - at[j][1] <= gap + 1 for j in range(i, i + len(run) - 1)):
                 hits.append((r, i, i + len(run)))
                 for j in range(i, i + len(run)):
                     taken[j] = min(taken[j], r)
@@ -75,17 +103,18 @@ def scan(text: str, known: dict[str, int], runs: list[tuple[str, tuple[int, ...]
 def licence_scan(docs: DataFrame, rules: tuple[tuple[str, str], ...] = RULES) -> DataFrame:
     """(doc_id, n_sentences, n_matches, licences, matches) for every row of docs, one for one.
 
-    n_sentences counts known licence sentences, licences is the sorted comma-joined list of different ones, or empty.
+    n_sentences counts known licence sentences, those wrapped over lines too, licences is the sorted comma-joined list of different ones, or empty.
     A match is dropped where an earlier rule occurs over one of its sentences. Null and empty texts match nothing; a null doc_id is
     passed on; an empty table gives no rows. Other columns are not read.
     """
     known, runs = identifiers(rules)
+    starts = beginnings(known)
     ids = docs.schema["doc_id"].dataType.simpleString()
     kind = pa.list_(pa.struct([("licence", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [scan(t.as_py() or "", known, runs) for t in b.column("text")]
+            got = [scan(t.as_py() or "", known, runs, starts=starts) for t in b.column("text")]
             yield pa.RecordBatch.from_arrays([
                 b.column("doc_id"), pa.array([n for n, _ in got], pa.int64()), pa.array([len(f) for _, f in got], pa.int64()), pa.array([",".join(sorted({x[0] for x in f})) for _, f in got], pa.string()),
                 pa.array([[dict(zip(("licence", "start", "end"), x, strict=True)) for x in f] for _, f in got], kind),
