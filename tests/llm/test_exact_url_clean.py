@@ -89,6 +89,16 @@ def test_decontamination(spark):
     assert decontaminate(df, none).where("contaminated").count() == 0 and decontaminate(spark.createDataFrame([], DOCS), bench).count() == 0
 
 
+def test_decontamination_does_not_depend_on_blocks(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, text), (1, text), (1, text.upper() + "."), (None, "a b c"), (None, "c b a"), (None, None), (None, ""), (2, "x " + text)], DOCS)
+    bench = spark.createDataFrame([(i, " ".join(f"w{k}" for k in range(5 * i, 5 * i + 12))) for i in range(4)] + [(9, "w30 w31 w32 w33 w34 w35 w36 w37 w38 w39")], "item_id long, text string")
+    rows = [sorted(map(str, decontaminate(docs, bench, size).collect())) for size in (1, 60, 1 << 20)]
+    assert len(rows[0]) == 8 and rows[0] == rows[1] == rows[2]
+    spans = decontaminate(docs, bench, 1).where("doc_id = 2").first()["spans"]
+    assert [tuple(s) for s in spans] == [(2, 2 + text.index(" w27")), (2 + text.index("w30"), 2 + len(text))]
+
+
 def test_components_of_paths(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 101), (7, 7)] + [(200, 200 + i) for i in range(1, 30)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "t")).collect()}

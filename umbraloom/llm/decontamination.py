@@ -61,6 +61,7 @@ def blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[Win
 
 
 def _scan(docs: DataFrame, found: Windows) -> DataFrame:
+    """(doc_id, text_sha256, n_words, hits, items): hits are the words of windows with their places in the original text, in code points."""
     ids = docs.schema["doc_id"].dataType.simpleString()
     windows = docs.sparkSession.sparkContext.broadcast(found)
 
@@ -68,7 +69,7 @@ def _scan(docs: DataFrame, found: Windows) -> DataFrame:
         numbers, a = windows.value.automaton()
         number = numbers.get
         for b in batches:
-            n_words, hit_words, items, spans = [], [], [], []
+            n_words, hits, items = [], [], []
             for text in b.column("text").to_pylist():
                 words = words_of(text or b"")
                 n_words.append(len(words))
@@ -79,22 +80,21 @@ def _scan(docs: DataFrame, found: Windows) -> DataFrame:
                         mark[end - length + 1 : end + 1] = True
                         own.update(names)
                 at = [] if mark is None else np.flatnonzero(mark).tolist()
-                hit_words.append(at)
+                places = [m.span() for m in PLACES.finditer(text.decode())] if at else []
+                hits.append([{"word": i, "start": places[i][0], "end": places[i][1]} for i in at])
                 items.append(sorted(own))
-                spans.append(_spans(text.decode(), at) if at else [])
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(hit_words, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))],
-                ["doc_id", "n_words", "hit_words", "items", "spans"],
+                [b.column("doc_id"), b.column("text_sha256"), pa.array(n_words, pa.int64()), pa.array(hits, pa.list_(pa.struct([("word", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))), pa.array(items, pa.list_(pa.string()))],
+                ["doc_id", "text_sha256", "n_words", "hits", "items"],
             )
 
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(scan, f"doc_id {ids}, n_words long, hit_words array<int>, items array<string>, spans array<struct<start:int,end:int>>")
+    text = F.col("text").cast("binary")
+    return docs.select("doc_id", text.alias("text"), F.sha2(text, 256).alias("text_sha256")).mapInArrow(scan, f"doc_id {ids}, text_sha256 string, n_words long, hits array<struct<word:int,start:int,end:int>>, items array<string>")
 
 
-def _spans(text: str, at: list[int]) -> list[dict]:
-    """Runs of hit words as places in the original text, in code points."""
-    places = [m.span() for m in PLACES.finditer(text)]
-    cuts = [0, *(i for i in range(1, len(at)) if at[i] != at[i - 1] + 1), len(at)]
-    return [{"start": places[at[x]][0], "end": places[at[y - 1]][1]} for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+#: Runs of hit words as places.
+SPANS = """zip_with(filter(hits, (h, k) -> k = 0 or hits[k - 1].word + 1 < h.word), filter(hits, (h, k) -> k = size(hits) - 1 or hits[k + 1].word > h.word + 1),
+           (a, b) -> named_struct('start', a.start, 'end', b.end))"""
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -102,17 +102,19 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOC
 
     Null or empty texts have no words and no hits; null items, or items without words, have no windows; an item_id that
     repeats unites its texts' windows. An empty benchmark hits nothing, an empty docs gives no rows. A null doc_id
-    is passed on. Should the items fill several blocks, repeated rows of a document become one. Other columns are not read.
+    is passed on, and repeated rows get a row each, whatever the number of blocks. Other columns are not read.
     """
     scans = [_scan(docs, w) for w in blocks(benchmark, block_bytes)]
     out = scans[0]
     if len(scans) > 1:
         for s in scans[1:]:
             out = out.unionAll(s)
-        union = lambda c: F.array_distinct(F.flatten(F.collect_list(c)))
-        out = out.groupBy("doc_id", "n_words").agg(union("hit_words").alias("hit_words"), F.sort_array(union("items")).alias("items"), F.sort_array(union("spans")).alias("spans"))
-    n = F.size("hit_words").cast("long")
-    return out.select("doc_id", "n_words", n.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n > 0).alias("contaminated"), "items", "spans")
+        # rows of the same doc_id and text have the same hits: each group's rows come back as often as they were
+        union = lambda c: F.sort_array(F.array_distinct(F.flatten(F.collect_set(c))))
+        out = out.groupBy("doc_id", "text_sha256", "n_words").agg(union("hits").alias("hits"), union("items").alias("items"), F.count("*").alias("n"))
+        out = out.withColumn("n", F.explode(F.sequence(F.lit(1), F.expr(f"n div {len(scans)}"))))
+    n = F.size("hits").cast("long")
+    return out.select("doc_id", "n_words", n.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n > 0).alias("contaminated"), "items", F.expr(SPANS).alias("spans"))
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
