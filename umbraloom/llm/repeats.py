@@ -3,22 +3,22 @@
 A window is WINDOW consecutive words. Of the phrases of PHRASE words in it the one with the least hash is its anchor, so equal
 windows have equal anchors, and a document has about one anchor for each five words.
 
+Documents lie in buckets of BUCKET_BYTES of text: the text is shuffled once, into a bucketed table, and stays there.
+
 1. Anchors that occur in two documents at least are repeated phrases.
-2. Documents lie in buckets. For each bucket an Aho-Corasick automaton is compiled over its repeated phrases (one example
-   of each suffices), and all its documents are streamed through it: every place of a repeated phrase is found by its
-   words, and only windows around such places can repeat.
-3. Windows that occur in several documents are confirmed, with the smallest doc_id; the bucket's documents that come later
-   lose the words that such windows cover.
+2. The phrases are sharded by the buckets that hold them. For each bucket an Aho-Corasick automaton is compiled over its repeated
+   phrases (one example of each suffices), and its documents are streamed through it: every place of a repeated phrase is
+   found by its words, and only windows around such places can repeat. Documents without any are done.
+3. Windows that occur in several documents are confirmed by 128 bits, with the smallest doc_id; the bucket's other documents
+   lose the words that such windows of earlier documents cover.
 
 What goes to an index shard is one entry for each phrase or window and bucket, whatever the number of copies, so a passage that a third
-of all documents share is no heavy key. Phrases and windows are compared by 64-bit hashes across buckets.
+of all documents share is no heavy key. Buckets, shards and tasks have a fixed size; their number grows with the text.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
-from itertools import chain, repeat
 
 import ahocorasick
 import numpy as np
@@ -27,17 +27,22 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from umbraloom.llm.common import Scratch, shards
-from umbraloom.llm.words import WordHashes, runs
+from umbraloom.llm.common import Scratch, pieces_of
+from umbraloom.llm.words import Symbols, WordHashes, runs
 
 WINDOW, PHRASE = 13, 5
 SPAN = WINDOW - PHRASE + 1  # phrases in a window
-COLUMNS = ("hash", "doc", "place", "many", "bucket")
-KINDS = (np.uint64, np.int64, np.int32, np.bool_, np.int32)
-#: What goes to the index shards, and what comes back for a bucket.
-BLOCK, BLOCK_SQL = pa.schema([("shard", pa.int32()), *((c, pa.binary()) for c in COLUMNS)]), "shard int, hash binary, doc binary, place binary, many binary, bucket binary"
-TOLD, TOLD_SQL = pa.schema([("bucket", pa.int32()), ("hash", pa.binary()), ("doc", pa.binary()), ("place", pa.binary())]), "bucket int, hash binary, doc binary, place binary"
-DIGIT = 64  # symbols of each digit of a word's number
+#: Bytes of text in a bucket, in a task's file of buckets, and behind an index shard.
+BUCKET_BYTES, FILE_BYTES, SHARD_BYTES = 8 << 20, 128 << 20, 32 << 20
+#: Entries as arrays: two hashes (the second of windows only), the least doc_id that has it, a place of it there, and whether other documents have it.
+KINDS = {"hash": np.uint64, "check": np.uint64, "doc": np.int64, "place": np.int32, "many": np.bool_}
+BLOCK = [("shard", pa.int32()), ("bucket", pa.int32()), *((c, pa.binary()) for c in KINDS)]
+BLOCK_SQL = "shard int, bucket int, hash binary, check binary, doc binary, place binary, many binary"
+RESULT = [("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string())]
+RESULT_SQL = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
+#: What the second step gives: entries of windows, documents that are done, and for each bucket those that are not.
+LOCATED = pa.schema([*BLOCK, *RESULT, ("open", pa.binary())])
+LOCATED_SQL = f"{BLOCK_SQL}, {RESULT_SQL}, open binary"
 
 
 def anchors(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -50,165 +55,198 @@ def anchors(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return found, at[first].astype(np.int32)
 
 
-def entries(parts: list[tuple[int, np.ndarray, int, np.ndarray]], n_shards: int) -> list[dict]:
-    """Blocks for the index shards: each hash of a bucket once, with the least doc that has it and whether others do.
+def _starts(*keys: np.ndarray) -> np.ndarray:
+    """Where a new key starts in sorted arrays."""
+    new = np.zeros(len(keys[0]), bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    return np.flatnonzero(new)
+
+
+def entries(bucket: int, parts: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]], n_shards: int) -> list[dict]:
+    """A bucket's blocks for the index shards: each hash once, with the least doc_id that has it and whether others do.
 
-    parts: bucket, hashes, doc_id and places of each document, without repeats inside it."""
-    size = [len(p[1]) for p in parts]
-    h, at = np.concatenate([p[1] for p in parts]), np.concatenate([p[3] for p in parts])
-    bucket, d = np.repeat(np.array([p[0] for p in parts], np.int32), size), np.repeat(np.array([p[2] for p in parts], np.int64), size)
-    by = np.lexsort((d, bucket, h))
-    h, d, at, bucket = h[by], d[by], at[by], bucket[by]
-    first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (bucket[1:] != bucket[:-1])]))
+    parts: doc_id, hashes, checks and places of each document."""
+    if not parts:
+        return []
+    h, check, at = (np.concatenate([p[k] for p in parts]) for k in (1, 2, 3))
+    d = np.repeat(np.array([p[0] for p in parts], np.int64), [len(p[1]) for p in parts])
+    by = np.lexsort((d, check, h))
+    h, check, d, at = h[by], check[by], d[by], at[by]
+    first = _starts(h, check)
     many = np.maximum.reduceat(d, first) != d[first]
-    cols = [h[first], d[first], at[first], many, bucket[first]]
-    cut = np.searchsorted(((cols[0] >> np.uint64(32)) * np.uint64(n_shards)) >> np.uint64(32), np.arange(n_shards + 1))
-    return [{"shard": s} | {c: v[x:y].tobytes() for c, v in zip(COLUMNS, cols, strict=True)} for s, (x, y) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if y > x]
+    cols = dict(zip(KINDS, (h[first], check[first], d[first], at[first], many), strict=True))
+    cut = np.searchsorted(((cols["hash"] >> np.uint64(32)) * np.uint64(n_shards)) >> np.uint64(32), np.arange(n_shards + 1))
+    return [{"shard": s, "bucket": bucket} | {c: v[x:y].tobytes() for c, v in cols.items()} for s, (x, y) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if y > x]
+
+
+def _arrays(rows: pa.Table, columns: tuple[str, ...]) -> list[np.ndarray]:
+    return [np.concatenate([np.empty(0, KINDS[c]), *(np.frombuffer(v, KINDS[c]) for v in rows[c].to_pylist() if v is not None)]) for c in columns]
 
 
 def answers(blocks: pa.Table, only_later: bool) -> pa.Table:
     """For each bucket the hashes of a shard that occur in several documents.
 
     With only_later: those that a document of the bucket has after the first one, whose doc_id is then told."""
-    rows = blocks.to_pylist()
-    cols = [np.concatenate([np.frombuffer(r[c], k) for r in rows]) for c, k in zip(COLUMNS, KINDS, strict=True)]
-    by = np.lexsort((cols[1], cols[0]))
-    h, d, at, many, bucket = (c[by] for c in cols)
-    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+    h, check, d, at, many = _arrays(blocks, tuple(KINDS))
+    bucket = np.repeat(blocks["bucket"].to_numpy(), [len(v) // 8 for v in blocks["hash"].to_pylist()])
+    by = np.lexsort((d, check, h))
+    h, check, d, at, many, bucket = (c[by] for c in (h, check, d, at, many, bucket))
+    first = _starts(h, check)
     length = np.diff(np.append(first, len(h)))
     least = np.repeat(d[first], length)
     keep = (d > least) | many if only_later else np.repeat((np.maximum.reduceat(d, first) != d[first]) | np.logical_or.reduceat(many, first), length)
     told = least if only_later else d
     by = np.flatnonzero(keep)
-    by = by[np.lexsort((h[by], bucket[by]))]
-    by = by[np.concatenate([[True], (h[by][1:] != h[by][:-1]) | (bucket[by][1:] != bucket[by][:-1])])] if len(by) else by  # one example for each bucket
-    cut = np.concatenate([[0], np.flatnonzero(np.diff(bucket[by])) + 1, [len(by)]])
-    return pa.Table.from_pylist([{"bucket": int(bucket[k[0]]), "hash": h[k].tobytes(), "doc": told[k].tobytes(), "place": at[k].tobytes()} for x, y in zip(cut[:-1], cut[1:], strict=True) if y > x for k in [by[x:y]]], TOLD)
+    by = by[np.argsort(bucket[by], kind="stable")]
+    first = _starts(bucket[by]) if len(by) else by
+    shard = blocks["shard"][0].as_py()
+    rows = [{"shard": shard, "bucket": int(bucket[k[0]]), "hash": h[k].tobytes(), "check": check[k].tobytes(), "doc": told[k].tobytes(), "place": at[k].tobytes(), "many": b""} for k in np.split(by, first[1:]) if len(k)]
+    return pa.Table.from_pylist(rows, pa.schema(BLOCK))
 
 
-def find_anchors(texts: DataFrame, n_shards: int) -> DataFrame:
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for b in batches:
-            parts = []
-            for doc, bucket, text in zip(b.column("doc_id").to_pylist(), b.column("bucket").to_pylist(), b.column("text"), strict=True):
-                found, at = anchors(hashes.of(text.as_py().split()))
-                if len(found):
-                    parts.append((bucket, found, doc, at))
-            if parts:
-                yield pa.RecordBatch.from_pylist(entries(parts, n_shards), BLOCK)
-
-    return texts.mapInArrow(find, BLOCK_SQL)
-
-
-def _joined(rows: pa.Table, columns: tuple[str, ...]) -> list[np.ndarray]:
-    kind = dict(zip(COLUMNS, KINDS, strict=True))
-    return [np.concatenate([np.empty(0, kind[c]), *(np.frombuffer(v, kind[c]) for v in rows[c].to_pylist())]) for c in columns]
+def find(texts: pa.Table, n_shards: int) -> pa.Table:
+    """The anchors of one bucket's documents, as entries for the index shards."""
+    hashes, parts = WordHashes(), []
+    for d, text in zip(texts["doc_id"].to_pylist(), texts["text"], strict=True):
+        found, at = anchors(hashes.of(text.as_py().split()))
+        if len(found):
+            parts.append((d, found, np.zeros(len(found), np.uint64), at))
+    return pa.Table.from_pylist(entries(texts["bucket"][0].as_py(), parts, n_shards), pa.schema(BLOCK))
 
 
 class Phrases:
-    """The automaton over a bucket's repeated phrases.
-
-    Its symbols are the digits of word numbers, each place with symbols of its own: a node then has DIGIT children at most, which
-    matters as they are searched one by one, and no match can start inside a word.
-    """
+    """The automaton over a bucket's repeated phrases."""
 
     def __init__(self, phrases: list[list[bytes]]) -> None:
-        words = dict.fromkeys(w for p in phrases for w in p)
-        self.digits = 1
-        while DIGIT**self.digits < len(words):
-            self.digits += 1
-        self.symbols = {w: tuple(1 + DIGIT * k + n // DIGIT**k % DIGIT for k in range(self.digits)) for n, w in enumerate(words)}
-        self.unknown = (0,) * self.digits
-        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
+        self.symbols = Symbols(w for p in phrases for w in p)
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
         for p in phrases:
-            self.automaton.add_word(tuple(chain.from_iterable([self.symbols[w] for w in p])))
-        self.automaton.make_automaton()
+            self.automaton.add_word(self.symbols.of(p))
+        if phrases:
+            self.automaton.make_automaton()
 
     def ends(self, words: list[bytes]) -> np.ndarray:
         """Where a phrase ends in a document."""
-        sequence = tuple(chain.from_iterable(map(self.symbols.get, words, repeat(self.unknown))))
-        return np.array([e for e, _ in self.automaton.iter(sequence)], np.int64) // self.digits
+        if not len(self.automaton):
+            return np.empty(0, np.int64)
+        return np.array([e for e, _ in self.automaton.iter(self.symbols.of(words))], np.int64) // self.symbols.digits
 
 
-def locate(texts: pa.Table, told: pa.Table, n_shards: int) -> pa.Table:
-    """The windows around repeated phrases of one bucket, as entries for the index shards."""
-    if not told.num_rows or not texts.num_rows:
-        return pa.Table.from_pylist([], BLOCK)
-    doc, place = _joined(told, ("doc", "place"))
+def examples(texts: pa.Table, told: pa.Table) -> list[list[bytes]]:
+    """The words of a bucket's repeated phrases, each taken from a document that has it."""
+    doc, place = _arrays(told, ("doc", "place"))
     by = np.argsort(doc, kind="stable")
-    doc, place = doc[by], place[by]
-    phrases, ids = [], texts["doc_id"].to_numpy()
-    for k, d in enumerate(ids):
+    doc, place, out = doc[by], place[by], []
+    for k, d in enumerate(texts["doc_id"].to_numpy()):
         x, y = np.searchsorted(doc, d, "left"), np.searchsorted(doc, d, "right")
         if y > x:
             words = texts["text"][k].as_py().split()
-            for at in place[x:y].tolist():
-                if at + PHRASE <= len(words):
-                    phrases.append(words[at : at + PHRASE])
-    if not phrases:
-        return pa.Table.from_pylist([], BLOCK)
-    automaton, bucket, hashes, parts = Phrases(phrases), int(texts["bucket"][0].as_py()), WordHashes(), []
-    for d, text in zip(ids.tolist(), texts["text"], strict=True):
+            out += [words[at : at + PHRASE] for at in place[x:y].tolist() if at + PHRASE <= len(words)]
+    return out
+
+
+def _result(doc: int, n: int, kept: list[bytes], with_text: bool) -> dict:
+    joined = b" ".join(kept)
+    return {"doc_id": doc, "n_words": n, "n_removed": n - len(kept), "kept_sha256": hashlib.sha256(joined).hexdigest(), "kept": joined.decode() if with_text else None}
+
+
+def locate(texts: pa.Table, told: pa.Table, n_shards: int, with_text: bool) -> pa.Table:
+    """The windows around repeated phrases of one bucket as entries for the index shards, and its documents without any as results."""
+    if not texts.num_rows:
+        return pa.Table.from_pylist([], LOCATED)
+    phrases, parts, done = Phrases(examples(texts, told)), [], []
+    hashes, checks, bucket = WordHashes(), WordHashes(1), texts["bucket"][0].as_py()
+    for d, text in zip(texts["doc_id"].to_pylist(), texts["text"], strict=True):
         words = text.as_py().split()
         starts = len(words) - WINDOW + 1
-        ends = automaton.ends(words) if starts > 0 else ()
+        ends = phrases.ends(words) if starts > 0 else ()
         if len(ends):
             near = np.zeros(starts + 1, np.int32)
             np.add.at(near, np.clip(ends - WINDOW + 1, 0, starts), 1)
             np.add.at(near, np.clip(ends - PHRASE + 2, 0, starts), -1)
             at = np.flatnonzero(np.cumsum(near[:-1]) > 0)
             cut = [0, *(np.flatnonzero(np.diff(at) > 1) + 1).tolist(), len(at)]  # only words of such windows are hashed
-            own = [runs(hashes.of(words[at[x] : at[y - 1] + WINDOW]), WINDOW) for x, y in zip(cut[:-1], cut[1:], strict=True)]
-            found, first = np.unique(np.concatenate(own), return_index=True)
-            parts.append((bucket, found, d, at[first].astype(np.int32)))
-    return pa.Table.from_pylist(entries(parts, n_shards) if parts else [], BLOCK)
+            own = [words[at[x] : at[y - 1] + WINDOW] for x, y in zip(cut[:-1], cut[1:], strict=True)]
+            parts.append((d, *(np.concatenate([runs(h.of(w), WINDOW) for w in own]) for h in (hashes, checks)), at.astype(np.int32)))
+        else:
+            done.append(_result(d, len(words), words, with_text))
+    if parts:
+        done.append({"bucket": bucket, "open": np.unique(np.array([p[0] for p in parts], np.int64)).tobytes()})
+    return pa.Table.from_pylist([*entries(bucket, parts, n_shards), *done], LOCATED)
 
 
 def remove(texts: pa.Table, told: pa.Table, with_text: bool) -> pa.Table:
-    """One bucket's documents without the words that windows of earlier documents cover."""
-    window, first = _joined(told, ("hash", "doc"))
-    by = np.argsort(window)
-    window, first = window[by], first[by]
+    """One bucket's open documents without the words that windows of earlier documents cover."""
+    window, check, first = _arrays(told, ("hash", "check", "doc"))
+    left = {d for v in told["open"].to_pylist() if v is not None for d in np.frombuffer(v, np.int64).tolist()}
+    by = np.lexsort((check, window))
+    window, check, first = window[by], check[by], first[by]
+    alike = int(np.diff(np.append(_starts(window), len(window))).max()) if len(window) else 0  # windows under one hash
     low, known = np.uint64((1 << 20) - 1), np.zeros(1 << 20, bool)  # most windows are told apart by a few bits
     known[(window & low).astype(np.int64)] = True
-    hashes, out = WordHashes(), []
+    hashes, checks, out = WordHashes(), WordHashes(1), []
     for d, text in zip(texts["doc_id"].to_pylist(), texts["text"], strict=True):
+        if d not in left:
+            continue
         words = text.as_py().split()
         n, kept = len(words), words
-        if len(window) and n >= WINDOW:
+        if len(window):
             own = runs(hashes.of(words), WINDOW)
             at = np.flatnonzero(known[(own & low).astype(np.int64)])
             k = np.minimum(np.searchsorted(window, own[at]), len(window) - 1)
-            at = at[(window[k] == own[at]) & (first[k] < d)]
+            hit = window[k] == own[at]
+            at, k = at[hit], k[hit]
+            if len(at):
+                second = runs(checks.of(words), WINDOW)[at]
+                gone = np.zeros(len(at), bool)
+                for more in range(alike):
+                    j = np.minimum(k + more, len(window) - 1)
+                    gone |= (window[j] == own[at]) & (check[j] == second) & (first[j] < d)
+                at = at[gone]
             if len(at):
                 cover = np.zeros(n + 1, np.int32)
                 np.add.at(cover, at, 1)
                 np.add.at(cover, at + WINDOW, -1)
                 kept = [words[i] for i in np.flatnonzero(np.cumsum(cover[:-1]) == 0)]
-        joined = b" ".join(kept)
-        out.append((d, n, n - len(kept), hashlib.sha256(joined).hexdigest(), joined.decode() if with_text else None))
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
-    return pa.table([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
+        out.append(_result(d, n, kept, with_text))
+    return pa.Table.from_pylist(out, pa.schema(RESULT))
+
+
+def untouched(batches, with_text: bool):
+    """The results of documents that lose nothing."""
+    for b in batches:
+        rows = [_result(None, len(w), w, with_text) for w in (t.as_py().split() for t in b.column("text"))]
+        yield pa.RecordBatch.from_pylist(rows, pa.schema(RESULT))
 
 
-def remove_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_sha256, kept) for every document; kept, the words that stay, is null unless with_text.
+def remove_repeats(docs: DataFrame, with_text: bool = True, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept_sha256, kept) for every row of docs; kept, the words that stay, is null unless with_text.
 
     Null texts, and texts without words, have none and lose none. A window that repeats inside one document only is kept, and so
-    is it in all rows that share the smallest doc_id. Rows without doc_id are left out; an empty table gives no rows.
-    Other columns are not read.
+    is it in all rows that share the smallest doc_id; rows that repeat a doc_id get a row each. A row without doc_id
+    comes before and after no other: it keeps its words and takes none away. doc_id must be a number, or text of one.
+    An empty table gives no rows. Other columns are not read.
     """
-    spark = docs.sparkSession
-    scratch, n = Scratch(spark, "repeats"), shards(spark)
+    scratch = Scratch(docs.sparkSession, "repeats")
+    text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0]
+    n = pieces_of(total, SHARD_BYTES)
     ids = F.col("doc_id").cast("long")
-    texts = docs.select(ids.alias("doc_id"), F.pmod(F.xxhash64(ids), F.lit(2 * n)).cast("int").alias("bucket"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text")).where("doc_id is not null")
-    repeated = scratch.keep(find_anchors(texts, n).groupBy("shard").applyInArrow(lambda t: answers(t, False), TOLD_SQL), "phrases")
-    by = texts.groupBy("bucket")
-    windows = by.cogroup(repeated.groupBy("bucket")).applyInArrow(lambda a, b: locate(a, b, n), BLOCK_SQL)
-    confirmed = scratch.keep(windows.groupBy("shard").applyInArrow(lambda t: answers(t, True), TOLD_SQL), "windows")
+    bucket = F.pmod(F.xxhash64(ids), F.lit(pieces_of(total, bucket_bytes))).cast("int")
+    files = max(pieces_of(total, FILE_BYTES), min(pieces_of(total, bucket_bytes), docs.sparkSession.sparkContext.defaultParallelism))
+    by = scratch.keep_bucketed(docs.select(ids.alias("doc_id"), bucket.alias("bucket"), text.alias("text")).where("doc_id is not null"), "texts", files, "bucket").groupBy("bucket")
+    phrases = by.applyInArrow(lambda t: find(t, n), BLOCK_SQL).groupBy("shard").applyInArrow(lambda t: answers(t, False), BLOCK_SQL)
+    located = scratch.keep(by.cogroup(scratch.keep(phrases, "phrases").groupBy("bucket")).applyInArrow(lambda a, b: locate(a, b, n, with_text), LOCATED_SQL), "located")
     scratch.drop("phrases")
-    return by.cogroup(confirmed.groupBy("bucket")).applyInArrow(lambda a, b: remove(a, b, with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+    windows = located.where("shard is not null").select(*(c for c, _ in BLOCK)).groupBy("shard").applyInArrow(lambda t: answers(t, True), BLOCK_SQL)
+    told = scratch.keep(windows.select("bucket", "hash", "check", "doc", F.lit(None).cast("binary").alias("open")), "windows")
+    told = told.unionAll(located.where("open is not null").select("bucket", "hash", "check", "doc", "open"))
+    out = by.cogroup(told.groupBy("bucket")).applyInArrow(lambda a, b: remove(a, b, with_text), RESULT_SQL)
+    names = [c for c, _ in RESULT]
+    none = docs.where(ids.isNull()).select(text.alias("text")).mapInArrow(lambda it: untouched(it, with_text), RESULT_SQL)
+    return out.unionAll(located.where("n_words is not null").select(*names)).unionAll(none)
 
 
 SQL = r"""

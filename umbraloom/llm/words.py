@@ -1,7 +1,9 @@
-"""Hashes of words and of runs of words, as arrays."""
+"""Hashes of words and of runs of words as arrays, and words as symbols of an automaton."""
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
 import xxhash
 
@@ -10,13 +12,20 @@ REMEMBERED = 300_000
 _ODD = np.random.default_rng(7).integers(0, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+DIGIT = 64  # symbols of each digit of a word's number
+
+
 class WordHashes(dict):
-    """The 64-bit hash of each word, computed once while it is remembered."""
+    """The 64-bit hash of each word, computed once while it is remembered. Another seed gives an independent hash."""
+
+    def __init__(self, seed: int = 0) -> None:
+        super().__init__()
+        self.seed = seed
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= REMEMBERED:
             self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
+        self[word] = h = xxhash.xxh3_64_intdigest(word, self.seed)
         return h
 
     def of(self, words: list[bytes]) -> np.ndarray:
@@ -38,3 +47,22 @@ def runs(hashes: np.ndarray, k: int) -> np.ndarray:
     for i in range(1, k):
         total += hashes[i : i + n] * _ODD[i]
     return mixed(total)
+
+
+class Symbols(dict):
+    """Known words as strings of symbols, all of one length: the digits of the word's number, each place with symbols of its own.
+
+    A node of an automaton then has DIGIT children at most, which matters as they are searched one by one, and no
+    match can start inside a word. A word that is not known is a string that no known one shares a symbol with.
+    """
+
+    def __init__(self, words: Iterable[bytes]) -> None:
+        words = dict.fromkeys(words)
+        self.digits = 1
+        while DIGIT**self.digits < len(words):
+            self.digits += 1
+        super().__init__((w, "".join(chr(1 + DIGIT * k + n // DIGIT**k % DIGIT) for k in range(self.digits))) for n, w in enumerate(words))
+        self.unknown = "\0" * self.digits
+
+    def of(self, words: list[bytes]) -> str:
+        return "".join([self.get(w, self.unknown) for w in words])
