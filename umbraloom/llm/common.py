@@ -8,8 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Words of 64 bits in an id filter: 2 MB of bits whatever the number of ids, so that it may be broadcast.
-FILTER_WORDS = 1 << 18
+#: Most words of 64 bits in an id filter: 8 MB of bits.
+FILTER_WORDS = 1 << 20
+#: Rows of one key that need no spreading, and most keys that are spread.
+HEAVY, HEAVY_KEYS = 500, 100_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,16 +19,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Where spark.checkpoint.dir is unset (tests), one of our own is set."""
+    """The folder that driver and executors share, from spark.checkpoint.dir. Where none is set, a session on one machine gets a
+    folder of its own, and a cluster is an error: a folder of the driver's machine would not do."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="umbraloom-")
         spark.sparkContext.setCheckpointDir(at)
     return at
 
 
 def shards(spark: SparkSession) -> int:
-    """How many shards an index is cut into: the session's number of shuffle partitions, which grows with the data."""
+    """The session's number of shuffle partitions."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
@@ -48,7 +53,7 @@ class Scratch:
     def keep_bucketed(self, df: DataFrame, name: str, n: int, col: str) -> DataFrame:
         """The same as a table cut into n files by a column, so that later groups by it need no shuffle of the table."""
         n = max(1, min(n, 100_000))
-        df.repartition(n, col).write.bucketBy(n, col).option("path", f"{self.root}/{name}").saveAsTable(held := f"{name}_{uuid.uuid4().hex}")
+        df.repartition(n, col).write.bucketBy(n, col).option("compression", "zstd").option("path", f"{self.root}/{name}").saveAsTable(held := f"{name}_{uuid.uuid4().hex}")
         return self.spark.table(held)
 
     def drop(self, *names: str) -> None:
@@ -59,27 +64,44 @@ class Scratch:
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def _spot(col) -> tuple:
-    h = F.xxhash64(col)
-    return F.pmod(h, F.lit(FILTER_WORDS)), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftrightunsigned(h, 32), F.lit(64)).cast("int"))
+class IdFilter:
+    """Bits that hold every id of a column, and by chance others. `most` bounds the number of ids; the filter has 32 bits for each,
+    but FILTER_WORDS words of 64 at most, so that it may be broadcast whatever the table. A full one lets all rows pass."""
 
+    def __init__(self, scratch: Scratch, ids: DataFrame, col: str, most: int, name: str) -> None:
+        self.words = min(FILTER_WORDS, max(1 << 10, 1 << (int(most) // 2).bit_length()))
+        word, bit = self._spot(col)
+        self.bits = scratch.keep(ids.select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits")), name)
 
-def id_filter(ids: DataFrame, col: str) -> DataFrame:
-    """At most FILTER_WORDS rows of (word, bits) that hold every id of a column, and by chance others."""
-    word, bit = _spot(F.col(col))
-    return ids.select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    def _spot(self, col: str) -> tuple:
+        h = F.xxhash64(col)
+        return F.pmod(h, F.lit(self.words)), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftrightunsigned(h, 32), F.lit(64)).cast("int"))
 
+    def maybe_in(self, df: DataFrame, col: str) -> DataFrame:
+        """The rows whose id may be in the filter."""
+        word, bit = self._spot(col)
+        return df.join(F.broadcast(self.bits), word == F.col("_word")).where(F.col("_bits").bitwiseAND(bit) != 0).drop("_word", "_bits")
 
-def maybe_in(df: DataFrame, col: str, words: DataFrame) -> DataFrame:
-    """The rows whose id may be in an id_filter. The filter's size is fixed, so it is broadcast; a full filter lets all rows pass."""
-    word, bit = _spot(F.col(col))
-    return df.join(F.broadcast(words), word == F.col("_word")).where(F.col("_bits").bitwiseAND(bit) != 0).drop("_word", "_bits")
+    def not_in(self, df: DataFrame, col: str) -> DataFrame:
+        """The other rows: ids that are surely not in the filter, and null ones."""
+        word, bit = self._spot(col)
+        return df.join(F.broadcast(self.bits), word == F.col("_word"), "left").where(F.coalesce(F.col("_bits").bitwiseAND(bit), F.lit(0)) == 0).drop("_word", "_bits")
 
 
-def not_in(df: DataFrame, col: str, words: DataFrame) -> DataFrame:
-    """The other rows: ids that are surely not in an id_filter, and null ones."""
-    word, bit = _spot(F.col(col))
-    return df.join(F.broadcast(words), word == F.col("_word"), "left").where(F.coalesce(F.col("_bits").bitwiseAND(bit), F.lit(0)) == 0).drop("_word", "_bits")
+def spread_join(left: DataFrame, right: DataFrame, key: str, scratch: Scratch, name: str) -> DataFrame:
+    """The inner join of a written table with one that has each key once, with the rows of heavy keys spread by a salt.
+
+    A key is heavy with more than HEAVY left rows, or a HEAVY_KEYS-th of them all: so the list of heavy keys, which is broadcast, is bounded, and
+    the right rows are copied once for each HEAVY left ones at most.
+    """
+    each = max(HEAVY, left.count() // HEAVY_KEYS)
+    heavy = scratch.keep(left.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > each).select(key, F.ceil(F.col("_n") / each).cast("int").alias("_copies")), f"{name}_heavy")
+    if heavy.isEmpty():
+        return left.join(right, key)
+    heavy = F.broadcast(heavy)
+    salted = left.join(heavy, key, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(*left.columns), F.col("_copies")), F.lit(0)).cast("int")).drop("_copies")
+    copied = right.join(heavy, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_copies", F.lit(1)) - 1))).drop("_copies")
+    return salted.join(copied, [key, "_salt"]).drop("_salt")
 
 
 def components(edges: DataFrame, scratch: Scratch, name: str = "cc") -> DataFrame:

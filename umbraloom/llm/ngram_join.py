@@ -28,24 +28,30 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from umbraloom.llm.common import Scratch, components, id_filter, maybe_in, not_in, shards
-from umbraloom.llm.words import WordHashes, runs
+from umbraloom.llm.common import IdFilter, Scratch, components, pieces_of, spread_join
+from umbraloom.llm.words import LOWER, Words, mixed, runs, slices
 
 WIDTH = 5
 NUMERATOR, DENOMINATOR = 80, 100  # least similarity
 BINS, BANDS = 16, 8
-CELLS, CHUNKS = 1 << 20, 64  # of the count of shingles: 4 MB whatever the corpus
+CELLS, CHUNKS = 1 << 20, 64  # of the count of shingles: 8 MB whatever the corpus
+SHARD_SHINGLES = 2_000_000  # behind an index shard
+LONG = 20_000  # a shingle that may be in more places has its list cut by set size
+STEP = np.log(DENOMINATOR / NUMERATOR)  # sizes of linked sets are at most so far apart, as logarithms
 PAIRS_AT_ONCE = 2_000_000
 PARITY = 2048  # bits of a set's parity map
+_ODD_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-def shingle_set(words: list[bytes], hashes: WordHashes, width: int = WIDTH) -> np.ndarray:
-    """The sorted hashes of a text's distinct shingles."""
-    return np.unique(runs(hashes.of(words), min(width, len(words)))) if words else np.empty(0, np.uint64)
-
-
-def words_of(text: bytes | None) -> list[bytes]:
-    return (text or b"").lower().split()
+def shingle_sets(texts: list[bytes | None], width: int = WIDTH) -> Iterator[np.ndarray]:
+    """The sorted hashes of each text's distinct shingles."""
+    texts = [t or b"" for t in texts]
+    for x, y in slices(texts):
+        words = Words(texts[x:y], LOWER)
+        hashes = words.hashes()
+        shingles = runs(hashes, width)
+        for at, n in zip(words.first.tolist(), words.counts.tolist(), strict=True):
+            yield np.unique(shingles[at : at + n - width + 1]) if n >= width else runs(hashes[at : at + n], max(n, 1))
 
 
 def bands(s: np.ndarray) -> list[int]:
@@ -65,37 +71,36 @@ def parity(s: np.ndarray) -> bytes:
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).where("doc_id is not null")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
 
 
-def signatures(docs: DataFrame) -> DataFrame:
+def signatures(texts: DataFrame) -> DataFrame:
     """(doc_id, n, key, bands, bits) of each document, and each task's count of shingles as rows (chunk, part, counts)."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, cells = WordHashes(), np.zeros(CELLS, np.uint32)
+        cells = np.zeros(CELLS, np.uint64)
         for b in batches:
             n, keys, marks, maps, seen = [], [], [], [], []
-            for text in b.column("text").to_pylist():
-                s = shingle_set(words_of(text), hashes)
+            for s in shingle_sets(b.column("text").to_pylist()):
                 n.append(len(s))
                 keys.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 marks.append(bands(s) if len(s) else [])
                 maps.append(parity(s))
-                seen.append(s)
+                seen.append(((s >> np.uint64(20)) & np.uint64(CELLS - 1)).astype(np.int32))
             if seen:
-                cells += np.bincount((np.concatenate(seen) >> np.uint64(20)).astype(np.int64) & (CELLS - 1), minlength=CELLS).astype(np.uint32)
+                cells += np.bincount(np.concatenate(seen), minlength=CELLS).astype(np.uint64)
             none = pa.nulls(b.num_rows, pa.int32())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int32()), pa.array(keys, pa.binary()), pa.array(marks, pa.list_(pa.int64())), pa.array(maps, pa.binary()), none, none, pa.nulls(b.num_rows, pa.binary())], ["doc_id", "n", "key", "bands", "bits", "chunk", "part", "counts"])
         rows = [{"chunk": i, "part": TaskContext.get().partitionId(), "counts": zlib.compress(c.tobytes(), 1)} for i, c in enumerate(cells.reshape(CHUNKS, -1))]
         yield pa.RecordBatch.from_pylist(rows, pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("key", pa.binary()), ("bands", pa.list_(pa.int64())), ("bits", pa.binary()), ("chunk", pa.int32()), ("part", pa.int32()), ("counts", pa.binary())]))
 
-    return _texts(docs).mapInArrow(sign, "doc_id long, n int, key binary, bands array<long>, bits binary, chunk int, part int, counts binary")
+    return texts.mapInArrow(sign, "doc_id long, n int, key binary, bands array<long>, bits binary, chunk int, part int, counts binary")
 
 
 def _added(rows: pa.Table) -> pa.Table:
-    total = np.zeros(CELLS // CHUNKS, np.uint32)
+    total = np.zeros(CELLS // CHUNKS, np.uint64)
     for c in rows["counts"]:
-        total += np.frombuffer(zlib.decompress(c.as_py()), np.uint32)
+        total += np.frombuffer(zlib.decompress(c.as_py()), np.uint64)
     return pa.table({"chunk": rows["chunk"][:1], "part": pa.array([0], pa.int32()), "counts": pa.array([zlib.compress(total.tobytes(), 1)])})
 
 
@@ -104,9 +109,9 @@ def corpus_counts(signed: DataFrame) -> np.ndarray:
     rows = signed.where("chunk is not null").select("chunk", "part", "counts")
     for keys in (["chunk", F.col("part") % 64], ["chunk"]):
         rows = rows.groupBy(*keys).applyInArrow(lambda t: _added(t), "chunk int, part int, counts binary")
-    out = np.zeros(CELLS, np.uint32).reshape(CHUNKS, -1)
-    for chunk, _, counts in rows.collect():  # CHUNKS rows, 4 MB in all
-        out[chunk] = np.frombuffer(zlib.decompress(counts), np.uint32)
+    out = np.zeros(CELLS, np.uint64).reshape(CHUNKS, -1)
+    for chunk, _, counts in rows.collect():  # CHUNKS rows, 8 MB in all
+        out[chunk] = np.frombuffer(zlib.decompress(counts), np.uint64)
     return out.ravel()
 
 
@@ -120,39 +125,36 @@ def screened(pairs: DataFrame, signed: DataFrame, ends: DataFrame, scratch: Scra
             apart = np.maximum(np.bitwise_count(s ^ t).sum(axis=1, dtype=np.int64), np.abs(n[0] - n[1]))
             yield pa.RecordBatch.from_arrays([b.column("x"), b.column("y")], ["x", "y"]).filter(pa.array(apart <= n[0] + n[1] - 2 * least_overlap(*n)))
 
-    words = scratch.keep(id_filter(ends, "doc_id"), f"{name}_ends")
-    own = maybe_in(signed.where("chunk is null").select("doc_id", "n", "bits"), "doc_id", words).dropDuplicates(["doc_id"])
+    own = IdFilter(scratch, ends, "doc_id", 2 * pairs.count(), f"{name}_ends").maybe_in(signed.where("chunk is null").select("doc_id", "n", "bits"), "doc_id")
     of = lambda c: own.select(F.col("doc_id").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
-    return pairs.join(of("x"), "x").join(of("y"), "y").select("x", "y", "n_x", "n_y", "bits_x", "bits_y").mapInArrow(screen, "x long, y long")
+    return spread_join(pairs, of("y"), "y", scratch, name).join(of("x"), "x").select("x", "y", "n_x", "n_y", "bits_x", "bits_y").mapInArrow(screen, "x long, y long")
 
 
-def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(x, y, n_x, n_y, overlap) for pairs (x, y), with the sets of both."""
+def compared(pairs: DataFrame, sets: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """(x, y, n_x, n_y, overlap) for written pairs (x, y), with the sets of both."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n_x, n_y, both = [], [], []
-            for p, q in zip(b.column("s").to_pylist(), b.column("t").to_pylist(), strict=True):
-                s, t = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
+            for p, q in zip(b.column("s"), b.column("t"), strict=True):
+                s, t = np.frombuffer(p.as_py(), np.uint64), np.frombuffer(q.as_py(), np.uint64)
                 n_x.append(len(s))
                 n_y.append(len(t))
                 both.append(len(np.intersect1d(s, t, assume_unique=True)))
             yield pa.RecordBatch.from_arrays([b.column("x"), b.column("y"), *(pa.array(v, pa.int32()) for v in (n_x, n_y, both))], ["x", "y", "n_x", "n_y", "overlap"])
 
-    near = pairs.join(sets.select(F.col("doc_id").alias("x"), F.col("s")), "x").join(sets.select(F.col("doc_id").alias("y"), F.col("s").alias("t")), "y")
+    near = spread_join(pairs, sets.select(F.col("doc_id").alias("y"), F.col("s").alias("t")), "y", scratch, name).join(sets.select(F.col("doc_id").alias("x"), F.col("s")), "x")
     return near.select("x", "y", "s", "t").mapInArrow(count, "x long, y long, n_x int, n_y int, overlap int")
 
 
-def sets_of(docs: DataFrame, ids: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+def sets_of(texts: DataFrame, ids: DataFrame, most: int, scratch: Scratch, name: str) -> DataFrame:
     """(doc_id, s): the sets of the documents in ids, and of others that share their filter bits. Other texts stay where they are."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([shingle_set(words_of(t), hashes).tobytes() for t in b.column("text").to_pylist()], pa.binary())], ["doc_id", "s"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([s.tobytes() for s in shingle_sets(b.column("text").to_pylist())], pa.binary())], ["doc_id", "s"])
 
-    words = scratch.keep(id_filter(ids, "doc_id"), f"{name}_filter")
-    return maybe_in(_texts(docs), "doc_id", words).mapInArrow(build, "doc_id long, s binary")
+    return IdFilter(scratch, ids, "doc_id", most, f"{name}_filter").maybe_in(texts, "doc_id").mapInArrow(build, "doc_id long, s binary")
 
 
 def least_overlap(n_x, n_y):
@@ -165,23 +167,32 @@ def linked() -> F.Column:
 
 
 def prefixes(docs: DataFrame, counts: np.ndarray, n_shards: int) -> DataFrame:
-    """Index entries of documents (doc_id, component, text): blocks of entries by shard of the shingles' hashes."""
+    """Index entries of documents (doc_id, component, text): blocks of entries by shard of the shingles' hashes.
+
+    The list of a shingle that may be long is cut by set size: a set goes to the part of its size and to the next, so two sets that link
+    share a part, and each part has a hash of its own in place of the shingle's.
+    """
     order = docs.sparkSession.sparkContext.broadcast(counts)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for b in batches:
             token, doc, place, size = [], [], [], []
-            for k, text in enumerate(b.column("text").to_pylist()):
-                s = shingle_set(words_of(text), hashes)
+            for k, s in enumerate(shingle_sets(b.column("text").to_pylist())):
                 n = len(s)
                 size.append(n)
                 if n:
                     p = n - -(-NUMERATOR * n // DENOMINATOR) + 1
-                    first = np.lexsort((s, order.value[(s >> np.uint64(20)).astype(np.int64) & (CELLS - 1)]))[:p]
-                    token.append(s[first])
-                    doc.append(np.full(p, k, np.int32))
-                    place.append(np.arange(p, dtype=np.int32))
+                    seen = order.value[(s >> np.uint64(20)).astype(np.int64) & (CELLS - 1)]
+                    first = np.lexsort((s, seen))[:p]
+                    own, at = s[first], np.arange(p, dtype=np.int32)
+                    long = np.flatnonzero(seen[first] > LONG)
+                    if len(long):
+                        part = int(np.log(n) / STEP) + np.array([[1], [2]], np.uint64)
+                        cut = mixed(own[long] + _ODD_STEP * part)
+                        own, at = np.concatenate([np.delete(own, long), *cut]), np.concatenate([np.delete(at, long), at[long], at[long]])
+                    token.append(own)
+                    doc.append(np.full(len(own), k, np.int32))
+                    place.append(at)
             if not token:
                 continue
             token, doc, place = map(np.concatenate, (token, doc, place))
@@ -246,63 +257,66 @@ def candidates(blocks: pa.Table) -> pa.Table:
 def ngram_components(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every document.
 
-    Null and empty texts, and texts of white space, have an empty set and are linked with nothing. Rows that
-    repeat a doc_id with the same text count once. Rows without doc_id are left out; an empty table gives no rows.
-    Other columns are not read. Shingles are held as 64-bit hashes.
+    Null and empty texts, and texts of white space, have an empty set and are linked with nothing. Rows that repeat a doc_id are
+    one document; should their texts differ, the one that sorts last counts. Rows without doc_id get a row each, link with
+    nothing and have a null component_id. doc_id must be a number, or text of one. An empty table gives no rows. Other columns
+    are not read. Shingles are held as 64-bit hashes.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "ngram")
-    signed = scratch.keep(signatures(docs), "signed")
-    own = signed.where("chunk is null").select("doc_id", "n", "key", "bands", "bits")
-    if not own.groupBy("doc_id").count().where("count > 1").isEmpty():
-        own = own.groupBy("doc_id").agg(F.max(F.struct("n", "key", "bands", "bits")).alias("m")).select("doc_id", "m.*")
+    scratch = Scratch(docs.sparkSession, "ngram")
+    texts = _texts(docs)
+    if not texts.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        once = texts.where("doc_id is not null").groupBy("doc_id").agg(F.max("text").alias("text"))
+        texts = scratch.keep(once.unionAll(texts.where("doc_id is null")), "once")
+    signed = scratch.keep(signatures(texts), "signed")
+    own, texts = signed.where("chunk is null and doc_id is not null"), texts.where("doc_id is not null")
     reps = scratch.keep(own.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "reps")
 
     # round 1: leaders
-    marks = reps.select("rep", F.explode("bands").alias("band"))
+    marks = scratch.keep(reps.select("rep", F.explode("bands").alias("band")), "marks")
     leaders = marks.groupBy("band").agg(F.min("rep").alias("leader"), F.count("*").alias("c")).where("c > 1").select("band", "leader")
     ends = lambda p: p.select(F.col("x").alias("doc_id")).unionAll(p.select("y")).distinct()
-    met = scratch.keep(marks.join(leaders, "band").where("rep != leader").select(F.col("rep").alias("x"), F.col("leader").alias("y")).distinct(), "met1")
+    met = scratch.keep(spread_join(marks, leaders, "band", scratch, "marks").where("rep != leader").select(F.col("rep").alias("x"), F.col("leader").alias("y")).distinct(), "met1")
     pairs = scratch.keep(screened(met, signed, ends(met), scratch, "met1"), "pairs1")
-    links = scratch.keep(compared(pairs, scratch.keep(sets_of(docs, ends(pairs), scratch, "sets1"), "sets1")).where(linked()), "links1")
-    scratch.drop("sets1")
+    sets = scratch.keep(sets_of(texts, ends(pairs), 2 * pairs.count(), scratch, "sets1"), "sets1")
+    links = scratch.keep(compared(pairs, sets, scratch, "pairs1").where(linked()), "links1")
+    scratch.drop("sets1", "marks")
     first = scratch.keep(components(links.select(F.col("x").alias("a"), F.col("y").alias("b")), scratch, "first"), "labels1")
     family = scratch.keep(links.groupBy("x").agg(F.min(F.struct("y", "overlap", "n_x", "n_y")).alias("l")).select(F.col("x").alias("y"), F.col("l.y").alias("leader"), (F.col("l.n_x") - F.col("l.overlap")).alias("more"), (F.col("l.n_y") - F.col("l.overlap")).alias("less")), "family")
 
     # round 2: documents whose label is not just themselves are looked up; all others are indexed where they are read
     info = own.where("n > 0").join(reps.select("key", "rep"), "key").join(first, F.col("rep") == F.col("node"), "left")
     info = scratch.keep(info.select("doc_id", "n", "rep", F.coalesce("component", "rep").alias("component")).where("doc_id != rep or component != doc_id or node is not null"), "info")
-    words = scratch.keep(id_filter(info, "doc_id"), "info_filter")
-    text = _texts(docs)
-    plain = not_in(text, "doc_id", words).select("doc_id", F.col("doc_id").alias("component"), "text")
-    known = maybe_in(text, "doc_id", words).join(info, "doc_id", "left").where("rep is null or rep = doc_id").select("doc_id", F.coalesce("component", "doc_id").alias("component"), "text")
-    blocks = prefixes(plain.unionAll(known), corpus_counts(signed), shards(spark))
+    listed = IdFilter(scratch, info, "doc_id", info.count(), "info_filter")
+    plain = listed.not_in(texts, "doc_id").select("doc_id", F.col("doc_id").alias("component"), "text")
+    known = listed.maybe_in(texts, "doc_id").join(info, "doc_id", "left").where("rep is null or rep = doc_id").select("doc_id", F.coalesce("component", "doc_id").alias("component"), "text")
+    n_shards = pieces_of(own.agg(F.sum("n")).first()[0], SHARD_SHINGLES)
+    blocks = prefixes(plain.unionAll(known), corpus_counts(signed), n_shards)
     found = blocks.groupBy("shard").applyInArrow(candidates, "x long, y long")
     met = scratch.keep(found.distinct(), "met2")
     pairs = scratch.keep(screened(met, signed, ends(met), scratch, "met2").join(family, "y", "left"), "pairs2")
     label = first.select(F.col("node"), "component")
     at = lambda df, c: df.join(label.select(F.col("node").alias(c), F.col("component").alias(f"_{c}")), c, "left").withColumn(f"_{c}", F.coalesce(f"_{c}", c))
-    through = pairs.select("x", F.coalesce("leader", "y").alias("y")).where("x != y").distinct()
-    sets = scratch.keep(sets_of(docs, ends(through.unionAll(pairs.select("x", "y"))), scratch, "sets2"), "sets2")
-    known2 = scratch.keep(compared(through, sets), "through2")
+    through = scratch.keep(pairs.select("x", F.coalesce("leader", "y").alias("y")).where("x != y").distinct(), "asked2")
+    sets = scratch.keep(sets_of(texts, ends(through.unionAll(pairs.select("x", "y"))), 3 * pairs.count(), scratch, "sets2"), "sets2")
+    known2 = scratch.keep(compared(through, sets, scratch, "through2"), "through2")
     near = at(at(known2.where(linked()), "x"), "y").select("_x", "_y").distinct()
     bound = pairs.where("leader is not null and x != leader").join(known2.select("x", F.col("y").alias("leader"), F.col("overlap").alias("through"), F.col("n_x").alias("size_x"), F.col("n_y").alias("size_l")), ["x", "leader"])
     bound = bound.withColumn("need", F.ceil(NUMERATOR * (F.col("size_x") + F.col("size_l") - F.col("less") + F.col("more")) / F.lit(NUMERATOR + DENOMINATOR)))
     sure = bound.where("through - less >= need")
     open_ = bound.where("through - less < need and through + more >= need - 1")  # one to spare for rounding
-    open_ = at(at(open_, "x"), "y").join(near, ["_x", "_y"], "left_anti").select("x", "y")
-    links2 = near.unionAll(at(at(sure, "x"), "y").select("_x", "_y")).unionAll(at(at(compared(open_, sets).where(linked()), "x"), "y").select("_x", "_y"))
+    open_ = scratch.keep(at(at(open_, "x"), "y").join(near, ["_x", "_y"], "left_anti").select("x", "y"), "open2")
+    links2 = near.unionAll(at(at(sure, "x"), "y").select("_x", "_y")).unionAll(at(at(compared(open_, sets, scratch, "open2").where(linked()), "x"), "y").select("_x", "_y"))
     second = scratch.keep(components(scratch.keep(links2.select(F.col("_x").alias("a"), F.col("_y").alias("b")).distinct(), "links2"), scratch, "second"), "labels2")
     scratch.drop("sets2", "through2", "pairs2")
-    out = own.join(info.select("doc_id", "component"), "doc_id", "left").withColumn("_c", F.coalesce("component", "doc_id"))
-    out = out.join(second.select(F.col("node").alias("_c"), F.col("component").alias("_d")), "_c", "left")
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("_d", "_c").alias("component_id"))
+    out = own.select("doc_id", "n").join(info.select("doc_id", "component"), "doc_id", "left").withColumn("_c", F.coalesce("component", "doc_id"))
+    out = out.join(second.select(F.col("node").alias("_c"), F.col("component").alias("_d")), "_c", "left").select("doc_id", "n", F.coalesce("_d", "_c").alias("component_id"))
+    return out.unionAll(signed.where("chunk is null and doc_id is null").select("doc_id", "n", F.lit(None).cast("long"))).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs, with all their columns, that are the first of their component."""
-    kept = ngram_components(docs.select("doc_id", "text")).where("doc_id = component_id").select(F.col("doc_id").alias("_id"))
-    return docs.join(kept, F.col("doc_id").cast("long") == F.col("_id"), "left_semi")
+    """The rows of docs, with all their columns, that are the first of their component. Rows that share a doc_id stay or go together; those without stay."""
+    gone = ngram_components(docs.select("doc_id", "text")).where("doc_id != component_id").select(F.col("doc_id").alias("_id"))
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_id"), "left_anti")
 
 
 SQL = r"""
