@@ -8,8 +8,8 @@ Documents lie in buckets of BUCKET_BYTES of text: the text is shuffled once, int
 1. Anchors that occur in two documents at least are repeated phrases.
 2. The phrases are sharded by the buckets that hold them. For each bucket an Aho-Corasick automaton is compiled over its repeated
    phrases (one example of each suffices), and its documents are streamed through it: every place of a repeated phrase is
-   found by its words, and only windows around such places can repeat. Documents without any are done.
-3. Windows that occur in several documents are confirmed by 128 bits, with the smallest doc_id; the bucket's other documents
+   found by its words, and only windows around such places can repeat.
+3. Windows that occur in several documents are confirmed by 96 bits of two independent hashes, with the smallest doc_id; the bucket's other documents
    lose the words that such windows of earlier documents cover.
 
 What goes to an index shard is one entry for each phrase or window and bucket, whatever the number of copies, so a passage that a third
@@ -19,6 +19,8 @@ of all documents share is no heavy key. Buckets, shards and tasks have a fixed s
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterable, Iterator
+from itertools import compress
 
 import ahocorasick
 import numpy as np
@@ -27,32 +29,26 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from umbraloom.llm.common import Scratch, pieces_of
-from umbraloom.llm.words import Symbols, WordHashes, runs
+from umbraloom.llm.common import Scratch, pieces_of, shards
+from umbraloom.llm.words import Symbols, Words, covered, runs
 
 WINDOW, PHRASE = 13, 5
 SPAN = WINDOW - PHRASE + 1  # phrases in a window
 #: Bytes of text in a bucket, in a task's file of buckets, and behind an index shard.
-BUCKET_BYTES, FILE_BYTES, SHARD_BYTES = 8 << 20, 128 << 20, 32 << 20
-#: Entries as arrays: two hashes (the second of windows only), the least doc_id that has it, a place of it there, and whether other documents have it.
-KINDS = {"hash": np.uint64, "check": np.uint64, "doc": np.int64, "place": np.int32, "many": np.bool_}
-BLOCK = [("shard", pa.int32()), ("bucket", pa.int32()), *((c, pa.binary()) for c in KINDS)]
+BUCKET_BYTES, FILE_BYTES, SHARD_BYTES = 4 << 20, 64 << 20, 16 << 20
+ROWS = 1 << 17  # windows that are searched for their anchors at a time
+#: Entries as arrays: two hashes, the least doc_id that has it, a place of it there, and whether other documents have it. Phrases have no second hash, windows no place.
+KINDS = {"hash": np.uint64, "check": np.uint32, "doc": np.int64, "place": np.int32, "many": np.bool_}
+BLOCK = pa.schema([("shard", pa.int32()), ("bucket", pa.int32()), *((c, pa.binary()) for c in KINDS)])
 BLOCK_SQL = "shard int, bucket int, hash binary, check binary, doc binary, place binary, many binary"
-RESULT = [("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string())]
+RESULT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string())])
 RESULT_SQL = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
-#: What the second step gives: entries of windows, documents that are done, and for each bucket those that are not.
-LOCATED = pa.schema([*BLOCK, *RESULT, ("open", pa.binary())])
-LOCATED_SQL = f"{BLOCK_SQL}, {RESULT_SQL}, open binary"
 
 
-def anchors(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct anchors of a document's windows, and a place of each."""
-    phrases = runs(hashes, PHRASE)
-    if len(hashes) < WINDOW:
-        return phrases[:0], np.empty(0, np.int32)
-    at = np.unique(sliding_window_view(phrases, SPAN).argmin(axis=1) + np.arange(len(hashes) - WINDOW + 1))
-    found, first = np.unique(phrases[at], return_index=True)
-    return found, at[first].astype(np.int32)
+def anchors(words: Words, phrases: np.ndarray) -> np.ndarray:
+    """Where the anchors of the windows are."""
+    at, window = words.runs_inside(WINDOW), sliding_window_view(phrases, SPAN) if len(phrases) >= SPAN else None
+    return np.unique(np.concatenate([np.empty(0, np.int64), *(x + window[x].argmin(axis=1) for x in (at[k : k + ROWS] for k in range(0, len(at), ROWS)))]))
 
 
 def _starts(*keys: np.ndarray) -> np.ndarray:
@@ -64,161 +60,139 @@ def _starts(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def entries(bucket: int, parts: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]], n_shards: int) -> list[dict]:
-    """A bucket's blocks for the index shards: each hash once, with the least doc_id that has it and whether others do.
-
-    parts: doc_id, hashes, checks and places of each document."""
-    if not parts:
-        return []
-    h, check, at = (np.concatenate([p[k] for p in parts]) for k in (1, 2, 3))
-    d = np.repeat(np.array([p[0] for p in parts], np.int64), [len(p[1]) for p in parts])
-    by = np.lexsort((d, check, h))
-    h, check, d, at = h[by], check[by], d[by], at[by]
-    first = _starts(h, check)
-    many = np.maximum.reduceat(d, first) != d[first]
-    cols = dict(zip(KINDS, (h[first], check[first], d[first], at[first], many), strict=True))
+def entries(bucket: int, cols: dict[str, np.ndarray], n_shards: int) -> pa.Table:
+    """A bucket's blocks for the index shards: each hash once, with the least doc_id that has it and whether others do."""
+    if not len(cols["hash"]):
+        return pa.Table.from_pylist([], BLOCK)
+    cols = {c: v.astype(KINDS[c]) for c, v in cols.items()}
+    keys = [cols[c] for c in ("hash", "check") if c in cols]
+    by = np.lexsort((cols["doc"], *reversed(keys)))
+    cols = {c: v[by] for c, v in cols.items()}
+    first = _starts(*(k[by] for k in keys))
+    many = np.maximum.reduceat(cols["doc"], first) != cols["doc"][first]
+    cols = {c: v[first] for c, v in cols.items()} | {"many": many}
     cut = np.searchsorted(((cols["hash"] >> np.uint64(32)) * np.uint64(n_shards)) >> np.uint64(32), np.arange(n_shards + 1))
-    return [{"shard": s, "bucket": bucket} | {c: v[x:y].tobytes() for c, v in cols.items()} for s, (x, y) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if y > x]
+    return pa.Table.from_pylist([{"shard": s, "bucket": bucket} | {c: v[x:y].tobytes() for c, v in cols.items()} for s, (x, y) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if y > x], BLOCK)
 
 
-def _arrays(rows: pa.Table, columns: tuple[str, ...]) -> list[np.ndarray]:
-    return [np.concatenate([np.empty(0, KINDS[c]), *(np.frombuffer(v, KINDS[c]) for v in rows[c].to_pylist() if v is not None)]) for c in columns]
+def _arrays(rows: pa.Table, columns: Iterable[str]) -> dict[str, np.ndarray]:
+    return {c: np.concatenate([np.empty(0, KINDS[c]), *(np.frombuffer(v, KINDS[c]) for v in rows[c].to_pylist())]) for c in columns if not rows[c].null_count}
 
 
 def answers(blocks: pa.Table, only_later: bool) -> pa.Table:
     """For each bucket the hashes of a shard that occur in several documents.
 
     With only_later: those that a document of the bucket has after the first one, whose doc_id is then told."""
-    h, check, d, at, many = _arrays(blocks, tuple(KINDS))
-    bucket = np.repeat(blocks["bucket"].to_numpy(), [len(v) // 8 for v in blocks["hash"].to_pylist()])
-    by = np.lexsort((d, check, h))
-    h, check, d, at, many, bucket = (c[by] for c in (h, check, d, at, many, bucket))
-    first = _starts(h, check)
-    length = np.diff(np.append(first, len(h)))
+    cols = _arrays(blocks, KINDS)
+    cols["bucket"] = np.repeat(blocks["bucket"].to_numpy(), [len(v) // 8 for v in blocks["hash"].to_pylist()])
+    keys = [cols[c] for c in ("hash", "check") if c in cols]
+    by = np.lexsort((cols["doc"], *reversed(keys)))
+    cols, d, many = {c: v[by] for c, v in cols.items()}, cols["doc"][by], cols["many"][by]
+    first = _starts(*(k[by] for k in keys))
+    length = np.diff(np.append(first, len(d)))
     least = np.repeat(d[first], length)
-    keep = (d > least) | many if only_later else np.repeat((np.maximum.reduceat(d, first) != d[first]) | np.logical_or.reduceat(many, first), length)
-    told = least if only_later else d
+    if only_later:
+        keep, cols["doc"] = (d > least) | many, least
+    else:
+        keep = np.repeat((np.maximum.reduceat(d, first) != d[first]) | np.logical_or.reduceat(many, first), length)
     by = np.flatnonzero(keep)
-    by = by[np.argsort(bucket[by], kind="stable")]
-    first = _starts(bucket[by]) if len(by) else by
-    shard = blocks["shard"][0].as_py()
-    rows = [{"shard": shard, "bucket": int(bucket[k[0]]), "hash": h[k].tobytes(), "check": check[k].tobytes(), "doc": told[k].tobytes(), "place": at[k].tobytes(), "many": b""} for k in np.split(by, first[1:]) if len(k)]
-    return pa.Table.from_pylist(rows, pa.schema(BLOCK))
+    by = by[np.argsort(cols["bucket"][by], kind="stable")]
+    cut = _starts(cols["bucket"][by]) if len(by) else by
+    shard, told = blocks["shard"][0].as_py(), [c for c in cols if c not in ("bucket", "many")]
+    return pa.Table.from_pylist([{"shard": shard, "bucket": int(cols["bucket"][k[0]])} | {c: cols[c][k].tobytes() for c in told} for k in np.split(by, cut[1:]) if len(k)], BLOCK)
 
 
 def find(texts: pa.Table, n_shards: int) -> pa.Table:
     """The anchors of one bucket's documents, as entries for the index shards."""
-    hashes, parts = WordHashes(), []
-    for d, text in zip(texts["doc_id"].to_pylist(), texts["text"], strict=True):
-        found, at = anchors(hashes.of(text.as_py().split()))
-        if len(found):
-            parts.append((d, found, np.zeros(len(found), np.uint64), at))
-    return pa.Table.from_pylist(entries(texts["bucket"][0].as_py(), parts, n_shards), pa.schema(BLOCK))
-
-
-class Phrases:
-    """The automaton over a bucket's repeated phrases."""
-
-    def __init__(self, phrases: list[list[bytes]]) -> None:
-        self.symbols = Symbols(w for p in phrases for w in p)
-        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-        for p in phrases:
-            self.automaton.add_word(self.symbols.of(p))
-        if phrases:
-            self.automaton.make_automaton()
-
-    def ends(self, words: list[bytes]) -> np.ndarray:
-        """Where a phrase ends in a document."""
-        if not len(self.automaton):
-            return np.empty(0, np.int64)
-        return np.array([e for e, _ in self.automaton.iter(self.symbols.of(words))], np.int64) // self.symbols.digits
-
-
-def examples(texts: pa.Table, told: pa.Table) -> list[list[bytes]]:
-    """The words of a bucket's repeated phrases, each taken from a document that has it."""
-    doc, place = _arrays(told, ("doc", "place"))
-    by = np.argsort(doc, kind="stable")
-    doc, place, out = doc[by], place[by], []
-    for k, d in enumerate(texts["doc_id"].to_numpy()):
-        x, y = np.searchsorted(doc, d, "left"), np.searchsorted(doc, d, "right")
-        if y > x:
-            words = texts["text"][k].as_py().split()
-            out += [words[at : at + PHRASE] for at in place[x:y].tolist() if at + PHRASE <= len(words)]
-    return out
-
-
-def _result(doc: int, n: int, kept: list[bytes], with_text: bool) -> dict:
+    words, ids = Words(texts["text"].to_pylist()), texts["doc_id"].to_numpy()
+    phrases = runs(words.hashes(), PHRASE)
+    at = anchors(words, phrases)
+    text = words.text[at]
+    return entries(texts["bucket"][0].as_py(), {"hash": phrases[at], "doc": ids[text], "place": at - words.first[text]}, n_shards)
+
+
+def examples(words: Words, ids: np.ndarray, told: pa.Table) -> np.ndarray:
+    """Where a bucket's repeated phrases start, each in a document that has it; in all rows of the document."""
+    doc, place = _arrays(told, ("doc", "place")).values()
+    order = np.argsort(ids, kind="stable")
+    left, right = (np.searchsorted(ids[order], doc, side) for side in ("left", "right"))
+    many = right - left
+    row = order[np.repeat(left - np.cumsum(many) + many, many) + np.arange(many.sum())]
+    place = np.repeat(place, many)
+    return (words.first[row] + place)[place + PHRASE <= words.counts[row]]
+
+
+def ends_of(phrases: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Where phrases, which are rows of words, end in a sequence of words: the automaton over them, run once over it."""
+    symbols, automaton = Symbols(phrases), ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+    all_of, size = symbols.of(phrases.ravel()), phrases.shape[1] * symbols.digits
+    for k in range(0, len(all_of), size):
+        automaton.add_word(all_of[k : k + size])
+    if not len(automaton):
+        return np.empty(0, np.int64)
+    automaton.make_automaton()
+    return np.array([e for e, _ in automaton.iter(symbols.of(hashes))], np.int64) // symbols.digits
+
+
+def locate(texts: pa.Table, told: pa.Table, n_shards: int) -> pa.Table:
+    """The windows around repeated phrases of one bucket, as entries for the index shards."""
+    if not texts.num_rows or not told.num_rows:
+        return pa.Table.from_pylist([], BLOCK)
+    words, ids = Words(texts["text"].to_pylist()), texts["doc_id"].to_numpy()
+    hashes = words.hashes()
+    ends = ends_of(hashes[examples(words, ids, told)[:, None] + np.arange(PHRASE)], hashes)
+    near = covered(len(words), np.maximum(ends - WINDOW + 1, 0), np.maximum(ends - PHRASE + 2, 0))
+    at = words.runs_inside(WINDOW)
+    at = at[near[at]]
+    return entries(texts["bucket"][0].as_py(), {"hash": runs(hashes, WINDOW)[at], "check": _check(words, at), "doc": ids[words.text[at]]}, n_shards)
+
+
+def _check(words: Words, at: np.ndarray) -> np.ndarray:
+    return (runs(words.hashes(1), WINDOW)[at] >> np.uint64(32)).astype(np.uint32) if len(at) else np.empty(0, np.uint32)
+
+
+def _result(doc: int | None, words: list[bytes], kept: list[bytes], with_text: bool) -> dict:
     joined = b" ".join(kept)
-    return {"doc_id": doc, "n_words": n, "n_removed": n - len(kept), "kept_sha256": hashlib.sha256(joined).hexdigest(), "kept": joined.decode() if with_text else None}
-
-
-def locate(texts: pa.Table, told: pa.Table, n_shards: int, with_text: bool) -> pa.Table:
-    """The windows around repeated phrases of one bucket as entries for the index shards, and its documents without any as results."""
-    if not texts.num_rows:
-        return pa.Table.from_pylist([], LOCATED)
-    phrases, parts, done = Phrases(examples(texts, told)), [], []
-    hashes, checks, bucket = WordHashes(), WordHashes(1), texts["bucket"][0].as_py()
-    for d, text in zip(texts["doc_id"].to_pylist(), texts["text"], strict=True):
-        words = text.as_py().split()
-        starts = len(words) - WINDOW + 1
-        ends = phrases.ends(words) if starts > 0 else ()
-        if len(ends):
-            near = np.zeros(starts + 1, np.int32)
-            np.add.at(near, np.clip(ends - WINDOW + 1, 0, starts), 1)
-            np.add.at(near, np.clip(ends - PHRASE + 2, 0, starts), -1)
-            at = np.flatnonzero(np.cumsum(near[:-1]) > 0)
-            cut = [0, *(np.flatnonzero(np.diff(at) > 1) + 1).tolist(), len(at)]  # only words of such windows are hashed
-            own = [words[at[x] : at[y - 1] + WINDOW] for x, y in zip(cut[:-1], cut[1:], strict=True)]
-            parts.append((d, *(np.concatenate([runs(h.of(w), WINDOW) for w in own]) for h in (hashes, checks)), at.astype(np.int32)))
-        else:
-            done.append(_result(d, len(words), words, with_text))
-    if parts:
-        done.append({"bucket": bucket, "open": np.unique(np.array([p[0] for p in parts], np.int64)).tobytes()})
-    return pa.Table.from_pylist([*entries(bucket, parts, n_shards), *done], LOCATED)
+    return {"doc_id": doc, "n_words": len(words), "n_removed": len(words) - len(kept), "kept_sha256": hashlib.sha256(joined).hexdigest(), "kept": joined.decode() if with_text else None}
 
 
 def remove(texts: pa.Table, told: pa.Table, with_text: bool) -> pa.Table:
-    """One bucket's open documents without the words that windows of earlier documents cover."""
-    window, check, first = _arrays(told, ("hash", "check", "doc"))
-    left = {d for v in told["open"].to_pylist() if v is not None for d in np.frombuffer(v, np.int64).tolist()}
-    by = np.lexsort((check, window))
-    window, check, first = window[by], check[by], first[by]
-    alike = int(np.diff(np.append(_starts(window), len(window))).max()) if len(window) else 0  # windows under one hash
-    low, known = np.uint64((1 << 20) - 1), np.zeros(1 << 20, bool)  # most windows are told apart by a few bits
-    known[(window & low).astype(np.int64)] = True
-    hashes, checks, out = WordHashes(), WordHashes(1), []
-    for d, text in zip(texts["doc_id"].to_pylist(), texts["text"], strict=True):
-        if d not in left:
-            continue
-        words = text.as_py().split()
-        n, kept = len(words), words
-        if len(window):
-            own = runs(hashes.of(words), WINDOW)
-            at = np.flatnonzero(known[(own & low).astype(np.int64)])
-            k = np.minimum(np.searchsorted(window, own[at]), len(window) - 1)
-            hit = window[k] == own[at]
-            at, k = at[hit], k[hit]
-            if len(at):
-                second = runs(checks.of(words), WINDOW)[at]
-                gone = np.zeros(len(at), bool)
-                for more in range(alike):
-                    j = np.minimum(k + more, len(window) - 1)
-                    gone |= (window[j] == own[at]) & (check[j] == second) & (first[j] < d)
-                at = at[gone]
-            if len(at):
-                cover = np.zeros(n + 1, np.int32)
-                np.add.at(cover, at, 1)
-                np.add.at(cover, at + WINDOW, -1)
-                kept = [words[i] for i in np.flatnonzero(np.cumsum(cover[:-1]) == 0)]
-        out.append(_result(d, n, kept, with_text))
-    return pa.Table.from_pylist(out, pa.schema(RESULT))
-
-
-def untouched(batches, with_text: bool):
+    """One bucket's documents without the words that windows of earlier documents cover."""
+    if not texts.num_rows:
+        return pa.Table.from_pylist([], RESULT)
+    window, check, first = _arrays(told, ("hash", "check", "doc")).values()
+    all_of, ids = texts["text"].to_pylist(), texts["doc_id"].to_numpy()
+    words = Words(all_of)
+    gone = np.zeros(len(words), bool)
+    if len(window):
+        by = np.lexsort((check, window))
+        window, check, first = window[by], check[by], first[by]
+        alike = int(np.diff(np.append(_starts(window), len(window))).max())  # windows under one hash
+        low, known = np.uint64((1 << 20) - 1), np.zeros(1 << 20, bool)  # most windows are told apart by a few bits
+        known[(window & low).astype(np.int64)] = True
+        own, at = runs(words.hashes(), WINDOW), words.runs_inside(WINDOW)
+        at = at[known[(own[at] & low).astype(np.int64)]]
+        k = np.minimum(np.searchsorted(window, own[at]), len(window) - 1)
+        hit = window[k] == own[at]
+        at, k = at[hit], k[hit]
+        own, second, doc, later = own[at], _check(words, at), ids[words.text[at]], np.zeros(len(at), bool)
+        for more in range(alike):
+            j = np.minimum(k + more, len(window) - 1)
+            later |= (window[j] == own) & (check[j] == second) & (first[j] < doc)
+        gone = covered(len(words), at[later], at[later] + WINDOW)
+    touched = np.bincount(words.text[gone], minlength=len(ids)) > 0
+    out = []
+    for d, text, x, n, less in zip(ids.tolist(), all_of, words.first.tolist(), words.counts.tolist(), touched.tolist(), strict=True):
+        own = text.split()
+        out.append(_result(d, own, list(compress(own, (~gone[x : x + n]).tolist())) if less else own, with_text))
+    return pa.Table.from_pylist(out, RESULT)
+
+
+def untouched(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.RecordBatch]:
     """The results of documents that lose nothing."""
     for b in batches:
-        rows = [_result(None, len(w), w, with_text) for w in (t.as_py().split() for t in b.column("text"))]
-        yield pa.RecordBatch.from_pylist(rows, pa.schema(RESULT))
+        rows = [_result(None, w, w, with_text) for w in (t.as_py().split() for t in b.column("text"))]
+        yield pa.RecordBatch.from_pylist(rows, RESULT)
 
 
 def remove_repeats(docs: DataFrame, with_text: bool = True, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
@@ -235,18 +209,16 @@ def remove_repeats(docs: DataFrame, with_text: bool = True, bucket_bytes: int =
     n = pieces_of(total, SHARD_BYTES)
     ids = F.col("doc_id").cast("long")
     bucket = F.pmod(F.xxhash64(ids), F.lit(pieces_of(total, bucket_bytes))).cast("int")
-    files = max(pieces_of(total, FILE_BYTES), min(pieces_of(total, bucket_bytes), docs.sparkSession.sparkContext.defaultParallelism))
+    files = max(pieces_of(total, FILE_BYTES), shards(docs.sparkSession))  # with fewer than the session's partitions Spark would shuffle them again
     by = scratch.keep_bucketed(docs.select(ids.alias("doc_id"), bucket.alias("bucket"), text.alias("text")).where("doc_id is not null"), "texts", files, "bucket").groupBy("bucket")
-    phrases = by.applyInArrow(lambda t: find(t, n), BLOCK_SQL).groupBy("shard").applyInArrow(lambda t: answers(t, False), BLOCK_SQL)
-    located = scratch.keep(by.cogroup(scratch.keep(phrases, "phrases").groupBy("bucket")).applyInArrow(lambda a, b: locate(a, b, n, with_text), LOCATED_SQL), "located")
+    index = lambda found, later: found.groupBy("shard").applyInArrow(lambda t: answers(t, later), BLOCK_SQL)
+    phrases = scratch.keep(index(by.applyInArrow(lambda t: find(t, n), BLOCK_SQL), False).select("bucket", "doc", "place"), "phrases")
+    found = by.cogroup(phrases.groupBy("bucket")).applyInArrow(lambda a, b: locate(a, b, n), BLOCK_SQL)
+    windows = scratch.keep(index(found, True).select("bucket", "hash", "check", "doc"), "windows")
     scratch.drop("phrases")
-    windows = located.where("shard is not null").select(*(c for c, _ in BLOCK)).groupBy("shard").applyInArrow(lambda t: answers(t, True), BLOCK_SQL)
-    told = scratch.keep(windows.select("bucket", "hash", "check", "doc", F.lit(None).cast("binary").alias("open")), "windows")
-    told = told.unionAll(located.where("open is not null").select("bucket", "hash", "check", "doc", "open"))
-    out = by.cogroup(told.groupBy("bucket")).applyInArrow(lambda a, b: remove(a, b, with_text), RESULT_SQL)
-    names = [c for c, _ in RESULT]
+    out = by.cogroup(windows.groupBy("bucket")).applyInArrow(lambda a, b: remove(a, b, with_text), RESULT_SQL)
     none = docs.where(ids.isNull()).select(text.alias("text")).mapInArrow(lambda it: untouched(it, with_text), RESULT_SQL)
-    return out.unionAll(located.where("n_words is not null").select(*names)).unionAll(none)
+    return out.unionAll(none)
 
 
 SQL = r"""
