@@ -20,9 +20,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from umbraloom.llm.common import Scratch, id_filter, maybe_in, shards
+from umbraloom.llm.common import IdFilter, Scratch, pieces_of, spread_join
 
 MEMTABLE_ROWS = 200_000
+#: Rows behind an index shard; rows of a digest, and most digests, that are broadcast with their answer.
+SHARD_ROWS, HOT_ROWS, HOT_DIGESTS = 500_000, 10_000, 100_000
+LAST = (1 << 63) - 1  # stands for a null doc_id
 FAN_IN = 8
 FILTER_BITS, FILTER_PROBES = 12, 4  # bits for each digest, cells for each digest
 RUN = pa.schema([("shard", pa.int32()), ("run", pa.string()), ("digests", pa.binary()), ("ids", pa.binary()), ("counts", pa.binary()), ("filter", pa.binary())])
@@ -150,34 +153,38 @@ def exact_dedup(docs: DataFrame, digest_bytes: int = 32, memtable_rows: int = ME
 
     Texts are equal when they are after each run of white space has become one space. Null text counts as empty, and
     empty texts are equal to each other. Rows that repeat a doc_id with an equal text are one document; a doc_id with
-    different texts gets a row for each, of which the text decides. Rows without doc_id are left out. An empty table gives no
-    rows. Other columns are not read. digest_bytes, a multiple of 8, shortens the digests of the index; results are the
-    same for any, as hits are verified.
+    different texts gets a row for each, of which the text decides. A null doc_id is an id like others that comes after all of them. doc_id must
+    be a number, or text of one, below 2^63 - 1. An empty table gives no rows. Other columns are not read. digest_bytes, a
+    multiple of 8, shortens the digests of the index; results are the same for any, as hits are verified.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "exact")
-    norm = normalised(F.col("text"))
-    scan = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2(norm, 256)).alias("sha")).where("doc_id is not null")
-    seen = scratch.keep(scan, "digests")
+    norm, ids = normalised(F.col("text")), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id")
+    seen = scratch.keep(docs.select(ids, F.unhex(F.sha2(norm, 256)).alias("sha")), "digests")
     one = seen.groupBy("doc_id", "sha").agg(F.count("*").alias("n"))
     if one.where("n > 1").isEmpty():  # repeated rows are rare: without them the table is used as it is
         one = seen
     one = one.select("doc_id", "sha", F.substring("sha", 1, digest_bytes).alias("digest"))
-    index = scratch.keep(build_index(one.select("doc_id", "digest"), shards(spark), memtable_rows), "index")
+    n_shards = pieces_of(seen.count(), SHARD_ROWS)
+    index = scratch.keep(build_index(one.select("doc_id", "digest"), n_shards, memtable_rows), "index")
     found = scratch.keep(hits(index), "hits")
-    joined = scratch.keep(one.join(found, "digest", "left"), "joined")  # unique on the right: a hot digest is split by rows
+    # a digest of many rows is broadcast with its answer: there are few, as their rows add up to no more than the table's
+    many = max(HOT_ROWS, seen.count() // HOT_DIGESTS)
+    hot = scratch.keep(found.where(F.col("group_size") > many), "hot")
+    known = one.join(F.broadcast(hot), "digest", "left")
+    rest = known.where("keep_id is null").select(*one.columns).join(found.where(F.col("group_size") <= many), "digest", "left")
+    joined = scratch.keep(known.where("keep_id is not null").unionAll(rest.select(*known.columns)), "joined")
 
     # verify: members of a group, and the texts they are held against; only texts that may be hits leave their place
     member = joined.where("keep_id is not null").select("doc_id", "digest", "sha", "keep_id")
-    words = scratch.keep(id_filter(member, "doc_id"), "filter")
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), norm.alias("norm")).where("doc_id is not null")
-    text = maybe_in(text, "doc_id", words)
-    own = text.select("doc_id", "norm", F.unhex(F.sha2("norm", 256)).alias("sha")).dropDuplicates(["doc_id", "sha"]) if one is not seen and not seen.groupBy("doc_id").count().where("count > 1").isEmpty() else text.select("doc_id", "norm")
-    keys = ["doc_id", "sha"] if "sha" in own.columns else ["doc_id"]
-    kept = found.select("keep_id", "digest").join(member.select("doc_id", "digest", "sha"), (F.col("keep_id") == F.col("doc_id")) & (found.digest == member.digest)).select(found.digest, "keep_id", "sha")
-    kept = kept.join(own.select(F.col("doc_id").alias("keep_id"), *keys[1:], F.col("norm").alias("kept_norm")), ["keep_id", *keys[1:]])
-    kept = kept.groupBy("digest", "keep_id").agg(F.min("kept_norm").alias("kept_norm")) if keys[1:] else kept.select("digest", "keep_id", "kept_norm")
-    held = member.where("doc_id != keep_id").join(own, keys).join(kept, ["digest", "keep_id"])
+    grouped = joined.where("keep_id is not null").count()
+    text = IdFilter(scratch, member, "doc_id", grouped, "filter").maybe_in(docs.select(ids, norm.alias("norm")), "doc_id")
+    twice = one is not seen or not seen.groupBy("doc_id").count().where("count > 1").isEmpty()
+    own = text.select("doc_id", "norm", F.unhex(F.sha2("norm", 256)).alias("sha")).dropDuplicates(["doc_id", "sha"]) if twice else text
+    keys = ["doc_id", "sha"] if twice else ["doc_id"]
+    kept = member.where("doc_id = keep_id").select("digest", *keys).join(own, keys).groupBy("digest").agg(F.min("norm").alias("kept_norm"))
+    others = scratch.keep(member.where("doc_id != keep_id"), "others")
+    held = spread_join(others, kept, "digest", scratch, "others").join(own, keys)
     differ = scratch.keep(held.where("norm != kept_norm").select("doc_id", "digest", "sha", "norm"), "differ")
     out = joined
     if not differ.isEmpty():
@@ -187,12 +194,18 @@ def exact_dedup(docs: DataFrame, digest_bytes: int = 32, memtable_rows: int = ME
         out = joined.join(moved, ["doc_id", "sha"], "left").join(fewer, "digest", "left").select(
             "doc_id", "sha", F.coalesce("keep2", "keep_id").alias("keep_id"), F.coalesce("n2", F.col("group_size") - F.coalesce("less", F.lit(0))).alias("group_size"))
     keep = F.coalesce("keep_id", "doc_id")
-    return out.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), (F.col("doc_id") == keep).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
+    real = lambda c: F.nullif(c, F.lit(LAST))
+    return out.select(real(F.col("doc_id")).alias("doc_id"), real(keep).alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), (F.col("doc_id") == keep).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The documents that stay, with all their columns; one row of those that repeat a doc_id."""
-    kept = exact_dedup(docs.select("doc_id", "text")).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    out = docs.join(kept, F.col("doc_id").cast("long") == F.col("_id"), "left_semi")
-    twice = docs.groupBy("doc_id").count().where("count > 1").isEmpty()
-    return out if twice else out.dropDuplicates(["doc_id"])
+    """The rows of docs that stay, with all their columns: the first of equal texts. A row that repeats both doc_id and text stays once; of a doc_id with
+    several texts each text is judged by itself."""
+    told = exact_dedup(docs.select("doc_id", "text"))
+    gone = told.where("not kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
+    ids = F.col("doc_id").cast("long")
+    if docs.groupBy(ids).count().where("count > 1").isEmpty():
+        return docs.join(gone, ids.eqNullSafe(F.col("_id")), "left_anti")
+    sha = F.sha2(normalised(F.col("text")), 256)
+    marked = docs.withColumns({"_own": ids, "_digest": sha})
+    return marked.join(gone, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_sha")), "left_anti").dropDuplicates(["_own", "_digest"]).drop("_own", "_digest")
