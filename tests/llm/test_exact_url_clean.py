@@ -42,9 +42,24 @@ def test_exact_verifies_colliding_digests(spark, monkeypatch):
 def test_exact_odd_tables(spark):
     assert exact_dedup(spark.createDataFrame([], DOCS)).count() == 0
     rows = [(1, "a"), (1, "a"), (None, "a"), (2, "a")]
-    got = sorted((r["doc_id"], r["keep_id"], r["group_size"]) for r in exact_dedup(spark.createDataFrame(rows, DOCS)).collect())
-    assert got == [(1, 1, 2), (2, 1, 2)]
+    got = {(r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == {(1, 1, 3, True), (2, 1, 3, False), (None, 1, 3, False)}
     assert [r["doc_id"] for r in keep_first(extra(spark, rows)).collect()] == [1]
+    rows = [(None, "a"), (None, "a "), (None, "b"), (5, "c"), (5, "d"), (6, "d"), (5, "c")]
+    assert {(r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup(spark.createDataFrame(rows, DOCS)).collect()} == {(None, None, 1, True), (5, 5, 1, True), (5, 5, 2, True), (6, 5, 2, False)}
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in keep_first(extra(spark, rows)).collect()) == [(0, "a"), (0, "a "), (0, "b"), (5, "c"), (5, "d")]
+    assert keep_first(extra(spark, [])).count() == 0
+
+
+def test_exact_hot_digests(spark, monkeypatch):
+    from umbraloom.llm import common, exact_dedup as E
+
+    monkeypatch.setattr(E, "HOT_ROWS", 3)
+    monkeypatch.setattr(common, "HEAVY", 3)
+    rows = [(i, "same  text" if i % 3 else f"t {i % 7}") for i in range(1, 200)]
+    got = {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in exact_dedup(extra(spark, rows)).collect()}
+    texts = dict(rows)
+    assert got == {i: (min(j for j in texts if texts[j] == t), sum(u == t for u in texts.values())) for i, t in rows}
 
 
 def test_url_rules_and_terms(spark):

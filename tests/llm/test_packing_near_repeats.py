@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from umbraloom.llm.common import table
-from umbraloom.llm.ngram_join import ngram_components
+from umbraloom.llm.ngram_join import keep_one, ngram_components
 from umbraloom.llm.packing import encode, encoder, pack, plan, sequences
 from umbraloom.llm.repeats import remove_repeats
+from umbraloom.llm.words import Words
 
 DOCS = "doc_id long, text string"
 VOCABULARY = P.path("byte_bpe_50k.tiktoken")
@@ -114,7 +115,40 @@ def test_shingle_join(spark, seed):
 def test_shingle_join_odd_tables(spark):
     assert ngram_components(spark.createDataFrame([], DOCS)).count() == 0
     df = spark.createDataFrame([(2, "a b c d e f"), (2, "a b c d e f"), (None, "a b c d e f"), (1, "a b c d e f")], DOCS)
-    assert {(r["doc_id"], r["component_id"]) for r in ngram_components(df).collect()} == {(1, 1), (2, 1)}
+    assert {(r["doc_id"], r["component_id"]) for r in ngram_components(df).collect()} == {(1, 1), (2, 1), (None, None)}
+    df = spark.createDataFrame([(5, "a b c d e f"), (5, "g h i j k l"), (1, "a b c d e f"), (2, "g h i j k l"), (7, "long " * 100_000), (8, "LONG\t" * 100_000)], DOCS)
+    assert {(r["doc_id"], r["component_id"]) for r in ngram_components(df).collect()} == {(1, 1), (2, 2), (5, 2), (7, 7), (8, 7)}  # of a document's texts the last one counts
+    extra = spark.createDataFrame([(None, None, 1), (3, "a b", 2), (4, "A  B", 3), (None, "a b", 4)], "doc_id long, text string, component_id int")
+    assert sorted(r["component_id"] for r in keep_one(extra).collect()) == [1, 2, 4] and keep_one(extra.limit(0)).columns == extra.columns
+
+
+def test_long_lists_are_cut_by_size(spark, monkeypatch):
+    rng = random.Random(5)
+    base = [f"c{i}" for i in range(40)]
+    docs = [(i, " ".join(base[: rng.randint(5, 40)] + [f"x{rng.randrange(9)}" for _ in range(rng.randint(0, 6))])) for i in range(150)]
+    from umbraloom.llm import ngram_join as N
+
+    monkeypatch.setattr(N, "LONG", 3)
+    df = spark.createDataFrame(docs, DOCS).repartition(3)
+    rows = df.select("doc_id", F.lit(0).cast("long").alias("component"), F.col("text").cast("binary").alias("text")).collect()
+    import pyarrow as pa
+
+    class Fake:
+        sparkSession = spark
+
+        def mapInArrow(self, f, _):  # in this process, so that LONG is as set
+            t = pa.table({"doc_id": pa.array([r["doc_id"] for r in rows], pa.int64()), "component": pa.array([r["doc_id"] for r in rows], pa.int64()), "text": pa.array([bytes(r["text"]) for r in rows], pa.binary())})
+            return pa.Table.from_batches(list(f(iter(t.to_batches()))))
+
+    def pairs(counts):
+        blocks = N.prefixes(Fake(), counts, 1)
+        got = N.candidates(blocks)
+        return set(zip(got["x"].to_pylist(), got["y"].to_pylist(), strict=True))
+
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(max(1, len(t.split()) - 4))} for i, t in docs}
+    near = {(i, j) for i in sets for j in sets if i < j and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
+    for counts in (np.full(N.CELLS, 9, np.uint64), np.zeros(N.CELLS, np.uint64)):  # all lists cut, none cut
+        assert near <= pairs(counts)
 
 
 def test_repeats(spark):
@@ -140,9 +174,30 @@ def test_repeats(spark):
     df = spark.createDataFrame(docs, DOCS).withColumns({"bucket": F.lit(1), "shard": F.lit(2), "hash": F.lit(3)}).repartition(3)
     assert {r["doc_id"]: tuple(r)[1:] for r in remove_repeats(df).collect()} == want
     assert sum(w[1] for w in want.values()) > 200
+    assert {r["doc_id"]: tuple(r)[1:] for r in remove_repeats(df, bucket_bytes=2000).collect()} == want
     assert remove_repeats(df.limit(0)).count() == 0
 
 
+def test_repeats_odd_rows(spark):
+    long = " ".join(f"w{i}" for i in range(20))
+    docs = [(1, long), (1, long), (1, "x " + long), (None, long), (None, None), (2, long + " y"), (3, long.replace(" ", "\x0b\n")), (4, long.upper())]
+    got = sorted(((r["doc_id"] or 0, r["n_words"], r["n_removed"], r["kept"]) for r in remove_repeats(spark.createDataFrame(docs, DOCS)).collect()))
+    assert got == [(0, 0, 0, ""), (0, 20, 0, long), (1, 20, 0, long), (1, 20, 0, long), (1, 21, 0, "x " + long), (2, 21, 20, "y"), (3, 20, 20, ""), (4, 20, 0, long.upper())]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text("ab é\t\n\x0c\x00\u00a0", max_size=30), max_size=6))
+def test_words_of_many_texts(texts):
+    raw = [t.encode() for t in texts]
+    w = Words(raw)
+    words = [x for t in raw for x in t.split()]
+    assert [bytes(w.data[a:b]) for a, b in zip(w.starts, w.ends, strict=True)] == words and w.counts.tolist() == [len(t.split()) for t in raw]
+    for k in (0, 1):
+        h = w.hashes(k).tolist()
+        assert len(set(h)) == len(set(words)) == len(set(zip(words, h, strict=True)))
+    assert w.runs_inside(2).tolist() == [a + k for a, n in zip(w.first.tolist(), w.counts.tolist(), strict=True) for k in range(n - 1)]
+
+
 def test_pipeline(spark):
     import corpus_pipeline as C
 
