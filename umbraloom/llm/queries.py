@@ -31,7 +31,8 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items", "spans")
+    got = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
+    return got.withColumn("spans", F.array_join(F.transform("spans", lambda s: F.concat(s["start"], F.lit("-"), s["end"])), ","))
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,7 +39,7 @@ class Words:
     """The words of several texts in UTF-8, one text after the other.
 
     table: what each byte becomes first; a space ends a word. first and counts say which words are a text's, text which text is a
-    word's."""
+    word's, starts and ends where a word is in data, begin where a text is."""
 
     def __init__(self, texts: list[bytes], table: bytes = SPACES) -> None:
         self.data = np.frombuffer(b" ".join([b"", *texts, b""]).translate(table), np.uint8)
@@ -48,7 +48,7 @@ class Words:
         self.starts, self.ends = edge[0::2], edge[1::2]
         at = np.cumsum([1, *(len(t) + 1 for t in texts)])
         cut = np.searchsorted(self.starts, at)
-        self.first, self.counts = cut[:-1], np.diff(cut)
+        self.first, self.counts, self.begin = cut[:-1], np.diff(cut), at[:-1]
         self.text = np.repeat(np.arange(len(texts)), self.counts)
 
     def __len__(self) -> int:
