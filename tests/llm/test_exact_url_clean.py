@@ -1,10 +1,15 @@
 """Exact dedup, url filter and decontamination: brute force and edge cases."""
 
 import hashlib
+import random
 import re
+import time
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
+from umbraloom.llm import decontamination as D
 from umbraloom.llm import url_filter as U
 from umbraloom.llm.common import Scratch, components
 from umbraloom.llm.decontamination import clean_documents, decontaminate
@@ -114,6 +119,39 @@ def test_decontamination_does_not_depend_on_blocks(spark):
     assert [tuple(s) for s in spans] == [(2, 2 + text.index(" w27")), (2 + text.index("w30"), 2 + len(text))]
 
 
+def test_decontamination_odd_rows(spark):
+    bench = spark.createDataFrame([(1, "one two three four five six seven eight nine ten eleven"), (2, "Solo"), (3, "duo pair"), (4, None), (1, "again here")], "item_id long, text string")
+    docs = spark.createDataFrame([(None, "solo", "a"), (1, "x solo, DUO-pair", "b"), (1, "x solo, DUO-pair", "b"), (2, "duo. solos", "c"), (3, None, "d"), (4, "again here", "e"), (5, "two three four five six seven eight nine ten", "f")], "doc_id long, text string, items string").repartition(2)
+    got = sorted((r["doc_id"] or 0, r["n_hit"], ",".join(r["items"])) for r in decontaminate(docs, bench).collect())
+    assert got == [(0, 1, "2"), (1, 3, "2,3"), (1, 3, "2,3"), (2, 0, ""), (3, 0, ""), (4, 2, "1"), (5, 0, "")]
+    for size in (1, 1 << 20):
+        assert sorted(r["items"] for r in clean_documents(docs, bench, size).collect()) == ["c", "d", "f"]
+
+
+def test_many_items_stay_fast():
+    rng = random.Random(2)
+    words = [f"w{i}" for i in range(30_000)]
+    text = lambda n: " ".join(rng.choices(words, k=n))
+    docs, took = [text(2000).encode() for _ in range(40)], []
+    for n in (200, 20_000):
+        m = D.Matcher([(str(i), text(30)) for i in range(n)])
+        began = time.process_time()
+        list(D.scanned(docs, m))
+        took.append(time.process_time() - began)
+    assert took[1] < 4 * took[0] + 0.2
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text("abA .é\n", max_size=40), max_size=5), st.lists(st.text("abA .é", max_size=30), max_size=4))
+def test_matcher_against_brute_force(texts, items):
+    named = [(str(i), t) for i, t in enumerate(items)]
+    got = list(D.scanned([t.encode() for t in texts], D.Matcher(named)))
+    want = brute_windows(list(enumerate(texts)), named)
+    assert [(n, len(h), len(i)) for n, h, i in got] == [want[k][:3] for k in range(len(texts))]
+    for (_, hits, _), t in zip(got, texts, strict=True):
+        assert all(re.fullmatch(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", t[h["start"] : h["end"]]) for h in hits)
+
+
 def test_components_of_paths(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 101), (7, 7)] + [(200, 200 + i) for i in range(1, 30)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "t")).collect()}
