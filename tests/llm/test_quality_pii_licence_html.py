@@ -13,7 +13,7 @@ from umbraloom.llm import licences as L
 from umbraloom.llm.common import Scratch, table
 from umbraloom.llm.html_text import extract, main_text
 from umbraloom.llm.pii import pseudonymise
-from umbraloom.llm.quality import Model, keep_good, quality_scores, statistics
+from umbraloom.llm.quality import Model, fit, keep_good, quality_scores, statistics
 
 DOCS = "doc_id long, text string"
 
@@ -47,7 +47,31 @@ def test_scores_are_density_ratios():
     m = Model(means, np.array([np.linalg.inv(x) for x in lower]), 0.0, 0.5)
     x = rng.normal(size=(5, k))
     far = [np.einsum("ij,jk,ik->i", x - u, np.linalg.inv(c @ c.T), x - u) for u, c in zip(means, lower, strict=True)]
-    assert np.allclose(m.scores(x), 1 / (1 + np.exp(-(far[0] - far[1]) / 2 / k)))
+    assert np.allclose(m.scores(x), 1 / (1 + np.exp(-np.clip((far[0] - far[1]) / 2, -500, 500))))
+    m.temperature = 7.0
+    assert np.allclose(m.scores(x), 1 / (1 + np.exp(-(far[0] - far[1]) / 14)))
+
+
+def test_fit_against_numpy(spark):
+    rng = np.random.default_rng(4)
+    k = len(statistics(b""))
+    x, y = rng.normal(size=(400, k)) @ rng.normal(size=(k, k)) / 2, rng.integers(0, 2, 400)
+    x[y == 1] += 0.3
+    ids = [i for i in range(5000) if zlib.crc32(str(i).encode()) % 5][:400]
+    held = [i for i in range(5000) if not zlib.crc32(str(i).encode()) % 5][:20]
+    rows = [(i, v.tolist()) for i, v in zip(ids, x, strict=True)] + [(i, [99.0] * k) for i in held]
+    marks = [(i, int(q)) for i, q in zip(ids, y, strict=True)] + [(i, 1) for i in held] + [(None, 1), (ids[0] + 10**6, 0)]
+    m = fit(spark.createDataFrame(rows, "doc_id long, x array<double>").repartition(3), spark.createDataFrame(marks, "doc_id long, quality int"), Scratch(spark, "t"))
+    difference = np.full(400, np.log((y == 1).sum() / (y == 0).sum()))
+    for c, sign in ((0, -1), (1, 1)):
+        cov = np.cov(x[y == c].T, bias=True)
+        cov = 0.8 * cov + 0.2 * np.diag(np.diag(cov)) + 0.15**2 * np.eye(k)
+        assert np.allclose(m.means[c], x[y == c].mean(axis=0)) and np.allclose(m.factors[c].T @ m.factors[c], np.linalg.inv(cov))
+        far = x - x[y == c].mean(axis=0)
+        difference += sign * -0.5 * (np.einsum("ij,jk,ik->i", far, np.linalg.inv(cov), far) + np.linalg.slogdet(cov)[1])
+    assert np.allclose(m.differences(x), difference)
+    loss = lambda t: np.logaddexp(0, np.where(y == 1, -1, 1) * np.rint(difference) / t).sum()
+    assert 1 <= m.temperature <= 64 and loss(m.temperature) <= min(loss(t) for t in np.geomspace(1, 64, 40)) + 1e-9
 
 
 def luhn(s):
