@@ -31,6 +31,10 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 NEVER = frozenset("aside audio button canvas dialog embed fieldset footer form head iframe input map menu nav noscript object option script select style svg template textarea title video".split())
 #: The same, as words of a class, id or role.
 NEVER_WORDS = frozenset("ad ads advert advertisement adverts alert banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies disqus footer gdpr masthead menu modal nav navbar navigation newsletter notice pager pagination popup promo related replies search share sharing sidebar social sponsor sponsored subscribe toolbar widget".split())
+#: Words beside which they still mark, as in comment-list; beside others, as in social-science, they do not.
+LAYOUT = frozenset("area article articles bar block body bottom box btn button buttons card cards container content dialog entry feed fixed float form global group header heading holder icons inner item items label layer layout left left2 link links list main message middle mobile module outer overlay page panel part post posts right row section signup site slot small sticky story stories text thread title top unit view wrap wrapper".split())
+#: Words of a class or id that tell readers' comments even on an article.
+REPLIES = frozenset("comment comments disqus replies reply".split())
 #: A name that starts with one of these, such as has-sidebar, tells what is around and marks nothing.
 MODIFIERS = frozenset("has have no not with without".split())
 CONTENT = frozenset(("article", "main"))
@@ -101,15 +105,16 @@ class Lines(HTMLParser):
         if tag in VOID:
             return
         _, never, regions, marks, heading, link = self.open[-1] if self.open else ROOT
-        if tag in CONTENT and not never:
-            number = len(self.region_marks) + 1
-            self.region_marks[number] = marks
-            regions = (*regions, number)
-        elif not never:
+        if not never:
             names = [w for k, v in attrs if k in ("class", "id", "role") and v for w in v.lower().split()]
             hidden = any(k == "hidden" or k == "aria-hidden" and v == "true" or k == "style" and v and "display:none" in v.replace(" ", "").lower() for k, v in attrs)
             never = tag in NEVER or tag == "header" and not regions or hidden
-            if not never and names and tag not in ("body", "html") and any(map(_marked, names)):
+            marked = names and tag not in ("body", "html") and any(map(_marked if tag not in CONTENT else _marked_region, names))
+            if tag in CONTENT and not never and not marked:
+                number = len(self.region_marks) + 1
+                self.region_marks[number] = marks
+                regions = (*regions, number)
+            if not never and marked:
                 number = len(self.marks) + 1
                 self.marks[number] = Mark(not NEVER_WORDS.isdisjoint(names), regions[-1] if regions else None)
                 self.flush()
@@ -188,7 +193,12 @@ class Lines(HTMLParser):
 
 def _marked(name: str) -> bool:
     words = [w for w in SEPARATOR.split(name) if w]
-    return bool(words) and words[0] not in MODIFIERS and not NEVER_WORDS.isdisjoint(words)
+    return bool(words) and words[0] not in MODIFIERS and not NEVER_WORDS.isdisjoint(words) and all(w in NEVER_WORDS or w in LAYOUT or w.isdigit() or len(w) < 3 for w in words)
+
+
+def _marked_region(name: str) -> bool:
+    """An article or main element is taken at its word: only a whole name, or readers' comments, mark it."""
+    return name in NEVER_WORDS or _marked(name) and not REPLIES.isdisjoint(SEPARATOR.split(name))
 
 
 def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
@@ -244,7 +254,7 @@ def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) for every row of pages, one for one.
 
     Null or empty html, and pages without content, have an empty text. Null page_id and url are passed on.
-    Repeated rows get a row each; an empty table gives none. Other columns are not read.
+    Repeated rows get a row each; an empty table gives none. Pages of any length are read whole. Other columns are not read.
     """
     ids = pages.schema["page_id"].dataType.simpleString()
 
