@@ -19,6 +19,14 @@ RULES = (
     ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License");\nyou may not use this file except in compliance with the License.'),
     ("ISC", 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.'),
     ("MPL-2.0", 'This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.'),
+    ("AGPL-3.0-or-later", 'This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.'),
+    ("LGPL-3.0-or-later", 'This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.'),
+    ("LGPL-2.1-or-later", 'This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.'),
+    ("BSL-1.0", 'Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:'),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty.\nIn no event will the authors be held liable for any damages arising from the use of this software.\nPermission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"),
+    ("EPL-2.0", 'This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at'),
+    ("CC0-1.0", 'To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide.'),
+    ("0BSD", 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.'),
     ("Unlicense", 'This is free and unencumbered software released into the public domain.'),
     ("Apache-2.0", 'Licensed under the Apache License, Version 2.0.'),
     ("MIT", 'Released under the MIT License.'),
@@ -28,6 +36,9 @@ RULES = (
     ("CC-BY-4.0", 'This work is licensed under a Creative Commons Attribution 4.0 International License.'),
     ("CC-BY-SA-4.0", 'This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.'),
 )
+#: Identifiers that may stand in a tag.
+TAGS = ("MIT", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "ISC", "MPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-or-later", "LGPL-3.0-or-later", "AGPL-3.0-or-later", "EPL-2.0", "Zlib", "BSL-1.0", "CC0-1.0", "0BSD", "Unlicense")
+RULES += tuple((name, f"SPDX-License-Identifier:\n{name}") for name in TAGS)
 #: Unknown sentences that may stand between two of a rule.
 GAP = 2
 #: A piece ends at a line feed, or at one of .!?:; before white space or the end. The SQL takes pieces for sentences; the
@@ -105,7 +116,7 @@ def licence_scan(docs: DataFrame, rules: tuple[tuple[str, str], ...] = RULES) ->
 
     n_sentences counts known licence sentences, those wrapped over lines too, licences is the sorted comma-joined list of different ones, or empty.
     A match is dropped where an earlier rule occurs over one of its sentences. Null and empty texts match nothing; a null doc_id is
-    passed on; an empty table gives no rows. Other columns are not read.
+    passed on; repeated rows get a row each; texts of any length are read whole; an empty table gives no rows. Other columns are not read.
     """
     known, runs = identifiers(rules)
     starts = beginnings(known)
