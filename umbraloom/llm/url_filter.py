@@ -20,6 +20,14 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = frozenset(LOWER + "0123456789")
 
 
+def vocabulary(terms: DataFrame, soft_limit: int = SOFT_LIMIT, most: int = 1_000_000) -> tuple[list[str], list[str]]:
+    """(strict, soft) terms of a table (term, weight): a weight of soft_limit or more is strict. The table is sent to all workers, so it has at most `most` terms; more are an error."""
+    rows = terms.select(F.translate("term", UPPER, LOWER).alias("term"), "weight").where("length(term) > 0 and weight > 0").groupBy("term").agg(F.max("weight").alias("weight")).orderBy("term").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} terms")
+    return [r["term"] for r in rows if r["weight"] >= soft_limit], [r["term"] for r in rows if r["weight"] < soft_limit]
+
+
 def automaton(strict: Sequence[str], soft: Sequence[str], soft_limit: int) -> ahocorasick.Automaton:
     """Terms with their weights: a strict one weighs as much as the limit."""
     a = ahocorasick.Automaton()
@@ -45,7 +53,7 @@ def found_terms(a: ahocorasick.Automaton, url: str) -> dict[str, int]:
 def url_filter(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, strict: Sequence[str] = STRICT, soft: Sequence[str] = SOFT, soft_limit: int = SOFT_LIMIT) -> DataFrame:
     """(page_id, host, path, rule, verdict, weight, terms) for every row of pages, one for one.
 
-    The longest rule that fits decides; without one, a url is blocked if the weights of its distinct terms reach
+    The longest rule that fits decides, of equally long ones the last in the order of their texts; without one, a url is blocked if the weights of its distinct terms reach
     soft_limit. A null url, or one without ://, has an empty host and path, and no rule; a null url has no terms either.
     A null page_id is passed on; repeated rows get a row each. Other columns are not read.
     """
