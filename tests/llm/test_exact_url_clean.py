@@ -76,6 +76,21 @@ def test_url_rules_and_terms(spark):
     assert (got[13]["host"], got[13]["path"]) == ("b:", "//c/d") and (got[0]["host"], got[0]["path"]) == ("a.example.com", "/en/7") and got[11]["host"] == got[10]["host"] == ""
 
 
+def test_url_odd_rows_and_tables_of_terms(spark):
+    rows = [(None, "http://a.org/casino"), (1, "http://a.org/x" + "y" * 300_000 + "/casino"), (1, "http://a.org/x" + "y" * 300_000 + "/casino"), (2, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string").selectExpr("*", "'z' AS rule", "'z' AS verdict")
+    assert sorted((r["page_id"] or 0, r["verdict"]) for r in U.url_filter(df).collect()) == [(0, "block"), (1, "block"), (1, "block"), (2, "allow")]
+    assert U.url_filter(df.limit(0)).count() == 0
+    strict, soft = U.vocabulary(spark.createDataFrame([("Bad", 5), ("meh", 1), ("so", 1), ("meh", 1), ("", 9), (None, 2)], "term string, weight int"))
+    assert (strict, soft) == (["bad"], ["meh", "so"])
+    urls = spark.createDataFrame(list(enumerate(["h://a/bad", "h://a/meh", "h://a/meh/so", "h://a/casino"])), "page_id long, url string")
+    assert [r["verdict"] for r in U.url_filter(urls, strict=strict, soft=soft).orderBy("page_id").collect()] == ["block", "allow", "block", "allow"]
+    with pytest.raises(ValueError):
+        U.vocabulary(spark.createDataFrame([("a", 1), ("b", 1)], "term string, weight int"), most=1)
+    same = U.url_filter(urls, rules=(("block", "a/me"), ("allow", "a/me"))).collect()
+    assert [r["verdict"] for r in same if r["rule"]] == ["allow", "allow"]
+
+
 def brute_windows(docs, items):
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m.group().lower(), t or ""))
     out = {}

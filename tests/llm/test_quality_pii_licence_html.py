@@ -1,7 +1,10 @@
 """Classifier, pseudonyms, licences and page text."""
 
+import hashlib
+import random
 import textwrap
 import zlib
+from datetime import date, timedelta
 
 import numpy as np
 from conftest import SF
@@ -133,6 +136,86 @@ def test_permutation_is_one_to_one(spark):
     assert out.where("n_found = 1").select("text").distinct().count() == days.count() and out.where("to_date(text) is null").count() == 0
 
 
+def plain_mac(text, key="demonstration key"):
+    inner, outer = (hashlib.sha256(f"{name}|{key}".encode()).hexdigest() for name in ("inner", "outer"))
+    return hashlib.sha256((outer + hashlib.sha256((inner + text).encode()).hexdigest()).encode()).hexdigest()
+
+
+def plain_feistel(a, b, m, n, tweak):
+    for i in range(8):
+        mix = lambda x: int(plain_mac(f"{tweak}|{i}|{x}")[:15], 16)  # noqa: B023, E731
+        a, b = ((a + mix(b) % m) % m, b) if i % 2 == 0 else (a, (b + mix(a) % n) % n)
+    return a, b
+
+
+def plain_digits(d, tweak):
+    u = len(d) // 2
+    a, b = plain_feistel(int(d[:u] or 0), int(d[u:]), 10**u, 10 ** (len(d) - u), f"{tweak}{len(d)}")
+    return f"{a:0{u}d}{b:0{len(d) - u}d}"
+
+
+def plain_day(day):
+    first, days = next((f, n) for f, n in ((date(1900, 1, 1), 73049), (date(1, 1, 1), 693595), (date(2100, 1, 1), 2885415)) if 0 <= (day - f).days < n and (f.year > 1 or day.year < 1900))
+    side, x = int(days**0.5) + 1, (day - first).days
+    while True:
+        a, b = plain_feistel(x // side, x % side, side, side, f"date{first}")
+        x = a * side + b
+        if x < days and ((first + timedelta(x)).day > 12) == (day.day > 12):
+            return first + timedelta(x)
+
+
+def test_pseudonyms_against_plain_python(spark):
+    rng, docs, want = random.Random(6), [], []
+    for _ in range(25):
+        card = "".join(rng.choices("0123456789", k=15))
+        last = lambda c: next(str(k) for k in range(10) if luhn(c + str(k)))
+        docs.append(card + last(card))
+        new = plain_digits(card, "card")
+        want.append(new + last(new))
+        day = date(1, 1, 1) + timedelta(rng.randrange(3652058)) if rng.random() < 0.4 else date(1900, 1, 1) + timedelta(rng.randrange(73049))
+        new = plain_day(day)
+        for form in ("%Y-%m-%d", "%d.%m.%Y") + (("%d/%m/%Y",) if day.day > 12 else ()) + ("%m/%d/%Y",):
+            shown = lambda d: form.replace("%Y", f"{d.year:04d}").replace("%m", f"{d.month:02d}").replace("%d", f"{d.day:02d}")  # noqa: B023, E731
+            docs.append(shown(day))
+            want.append(shown(new))
+        ip = [rng.randrange(256) for _ in range(4)]
+        a, b = plain_feistel(ip[0] * 256 + ip[1], ip[2] * 256 + ip[3], 65536, 65536, "ip")
+        docs.append(".".join(map(str, ip)))
+        want.append(f"{a >> 8}.{a & 255}.{b >> 8}.{b & 255}")
+        number = "".join(rng.choices("0123456789", k=9))
+        docs.append(f"+1 ({number[:3]}) 555-{number[3:7]}")
+        new = "1" + plain_digits(number[:3] + "555" + number[3:7], "phone")
+        want.append(f"+1 ({new[1:4]}) {new[4:7]}-{new[7:]}")
+        w = [rng.randrange(1 << 32) for _ in range(4)]
+        six = lambda v: ":".join(f"{x >> 16:x}:{x & 65535:x}" for x in v)
+        docs.append(six(w))
+        want.append(six([*plain_feistel(w[0], w[1], 1 << 32, 1 << 32, "net"), *plain_feistel(w[2], w[3], 1 << 32, 1 << 32, f"host{w[0]}|{w[1]}")]))
+    got = [r["text"] for r in pseudonymise(spark.createDataFrame(list(enumerate(f"a {d} b" for d in docs)), DOCS).repartition(8)).orderBy("doc_id").collect()]
+    assert got == [f"a {w} b" for w in want]
+
+
+def test_personal_data_without_caps(spark):
+    texts = [
+        "user" + "x" * 70 + "@example.org", "jörg.müller@web.de", "a@" + "b." * 200 + "org", "token    = abcdef123456", "password=" + "q" * 180, "05.03.1987 and 1987-03-05 and 03/05/1987", "1850-02-03 9999-12-31 0001-01-01",
+        "fe80::1 and 2001:db8:0:0:0:0:2:1, 2001:db8::2:1", "12:30:45 a::b 1:2:3", "GB82 WEST 1234 5698 7654 32", "(030) 12345678 or 030/12345678 or 0171 1234567", "a..b@x..y", "word " * 40_000 + "a.b@x.org",
+    ]
+    df = spark.createDataFrame([*enumerate(texts), (None, "a.b@x.org"), (None, "a.b@x.org")], DOCS)
+    rows = pseudonymise(df).collect()
+    got = {r["doc_id"]: r["text"] for r in rows}
+    assert sorted(r["text"] for r in rows if r["doc_id"] is None)[0] == next(r["text"] for r in rows if r["doc_id"] is None) and sum(r["doc_id"] is None for r in rows) == 2
+    assert all(got[k].startswith("user") and got[k].endswith("@mail.invalid") and len(got[k]) == 33 for k in (0, 1, 2))
+    assert "abcdef" not in got[3] and "qqq" not in got[4] and len(got[4]) == len(texts[4])
+    a, b, c = got[5].split(" and ")
+    assert b.split("-")[::-1] == a.split(".") and [c[6:], c[:2], c[3:5]] == b.split("-") and b != "1987-03-05"
+    assert all(x != y for x, y in zip(got[6].split(), texts[6].split(), strict=True))
+    six = got[7].replace(",", "").split()
+    assert six[2] == six[3] and len(six[0].split(":")) == 8 and got[8] == texts[8]
+    new = got[9].replace(" ", "")
+    assert new[4:8].isalpha() and new[4:8] != "WEST" and int("".join(str(int(x, 36)) for x in new[4:] + new[:4])) % 97 == 1
+    assert all(x not in got[10] for x in ("12345678", "1234567")) and got[11] == texts[11] and got[12].endswith("@mail.invalid") and len(got[12]) > 200_000
+    assert pseudonymise(df.limit(0)).count() == 0
+
+
 def test_licences(spark):
     mit = L.RULES[4][1]
     docs = [(1, "x.\nReleased under the MIT License.\ny"), (2, mit), (3, mit.replace("\n", "\nCopyright me.\nAll.\n")), (4, mit.replace("\n", "\na.\nb.\nc.\n")), (5, L.RULES[0][1]), (6, None), (7, ""), (8, "released UNDER the mit license"), (9, "not released under the MIT License."), (10, "Licensed under CC BY-NC 4.0.\nLicensed under CC BY-NC 4.0.")]
@@ -159,6 +242,19 @@ def test_wrapped_licences(spark):
     assert L.licence_scan(docs).first()["licences"] == "ISC"
 
 
+def test_more_licences_and_tags(spark):
+    known, runs = L.identifiers(L.RULES)
+    for name, text in L.RULES:
+        assert name in [f[0] for f in L.scan(text, known, runs)[1]]
+    for name in L.TAGS:
+        assert [f[0] for f in L.scan(f"# SPDX-License-Identifier: {name}\nimport x\n", known, runs)[1]] == [name]
+    long = "word. " * 60_000 + L.RULES[4][1]
+    rows = [(None, "SPDX-License-Identifier: MIT"), (1, long), (1, long), (2, None)]
+    got = sorted((r["doc_id"] or 0, r["licences"]) for r in L.licence_scan(spark.createDataFrame(rows, DOCS).withColumn("matches", F.lit(1))).collect())
+    assert got == [(0, "MIT"), (1, "MIT"), (1, "MIT"), (2, "")]
+    assert L.licence_scan(spark.createDataFrame([], DOCS)).count() == 0
+
+
 PAGE = '<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><header>Site</header><nav><ul><li><a href="/a">A</a></ul></nav><div class="ad">Buy.</div><article><h1>Title &amp; more</h1><p>One <b>two</b>\n three.<br>four<p>Est.<div class="comments"><p>Nice</p></div><aside>side</aside><form>f</form></article><footer>&copy; us</footer></body></html>'
 
 
@@ -194,6 +290,18 @@ def test_page_text_in_wrappers_with_marked_names():
     assert main_text('<p>A <b><span class="ad">buy</b> now</p>') == "A\nnow"
 
 
+def test_page_text_of_regions_and_comments(spark):
+    lead = "<main><h1>Title</h1><p>Lead of it.</p><article><p>Body of the page.</p></article><p>Conclusion here.</p></main>"
+    assert main_text(lead) == "Title\nLead of it.\nBody of the page.\nConclusion here."
+    comment = "I think that this is a very long comment of a reader. " * 9
+    page = "<article><h1>T</h1><p>The short article.</p></article>"
+    for mark in ('class="comment"', 'class="comment-body 12"', 'id="comments"', "hidden", 'style="display: none"'):
+        assert main_text(f"<body>{page}<article {mark}><p>{comment}</p></article></body>") == "T\nThe short article."
+    assert main_text(f'<body><nav>m</nav><div class="social-science"><p>{comment}</p></div><div class="search-theory"><p>{comment}</p></div></body>').count("reader") == 18
+    assert main_text(f'<body><p>{comment}</p><div class="social-share-buttons">Share</div><div class="ad-slot-3">Buy</div></body>') == comment.strip()
+    assert extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text("abcdefgh ,.é", min_size=1, max_size=40).filter(lambda s: s.strip()), min_size=1, max_size=8))
 def test_article_blocks_come_back(blocks):
