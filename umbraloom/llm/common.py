@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+LAST = (1 << 63) - 1  # stands for a null doc_id
 #: Most words of 64 bits in an id filter: 8 MB of bits.
 FILTER_WORDS = 1 << 20
 #: Rows of one key that need no spreading, and most keys that are spread.
@@ -104,6 +105,15 @@ def spread_join(left: DataFrame, right: DataFrame, key: str, scratch: Scratch, n
     return salted.join(copied, [key, "_salt"]).drop("_salt")
 
 
+def without(docs: DataFrame, gone: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """The rows of docs whose doc_id is not in a written column of ids, _id. Only rows that may be in it leave their place."""
+    own = docs.withColumn("_own", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)))
+    listed = IdFilter(scratch, gone, "_id", gone.count(), name)
+    # an anti join would be pushed below the filter's join, to where all rows are shuffled; an outer one stays above it
+    rest = listed.maybe_in(own, "_own").join(gone.select("_id").distinct(), F.col("_own") == F.col("_id"), "left").where("_id is null").drop("_id")
+    return listed.not_in(own, "_own").unionAll(rest).drop("_own")
+
+
 def components(edges: DataFrame, scratch: Scratch, name: str = "cc") -> DataFrame:
     """(node, component) for all ends of edges (a, b): component is the smallest node that can be reached.
 

@@ -20,12 +20,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from umbraloom.llm.common import IdFilter, Scratch, pieces_of, spread_join
+from umbraloom.llm.common import LAST, IdFilter, Scratch, pieces_of, spread_join, without
 
 MEMTABLE_ROWS = 200_000
 #: Rows behind an index shard; rows of a digest, and most digests, that are broadcast with their answer.
 SHARD_ROWS, HOT_ROWS, HOT_DIGESTS = 500_000, 10_000, 100_000
-LAST = (1 << 63) - 1  # stands for a null doc_id
 FAN_IN = 8
 FILTER_BITS, FILTER_PROBES = 12, 4  # bits for each digest, cells for each digest
 RUN = pa.schema([("shard", pa.int32()), ("run", pa.string()), ("digests", pa.binary()), ("ids", pa.binary()), ("counts", pa.binary()), ("filter", pa.binary())])
@@ -201,11 +200,12 @@ def exact_dedup(docs: DataFrame, digest_bytes: int = 32, memtable_rows: int = ME
 def keep_first(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with all their columns: the first of equal texts. A row that repeats both doc_id and text stays once; of a doc_id with
     several texts each text is judged by itself."""
-    told = exact_dedup(docs.select("doc_id", "text"))
-    gone = told.where("not kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    ids = F.col("doc_id").cast("long")
+    scratch = Scratch(docs.sparkSession, "keep_first")
+    told = exact_dedup(docs.select("doc_id", "text")).where("not kept")
+    gone = scratch.keep(told.select(F.coalesce("doc_id", F.lit(LAST)).alias("_id"), F.col("text_sha256").alias("_sha")), "gone")
+    ids = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
     if docs.groupBy(ids).count().where("count > 1").isEmpty():
-        return docs.join(gone, ids.eqNullSafe(F.col("_id")), "left_anti")
+        return without(docs, gone.select("_id"), scratch, "filter")
     sha = F.sha2(normalised(F.col("text")), 256)
     marked = docs.withColumns({"_own": ids, "_digest": sha})
-    return marked.join(gone, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_sha")), "left_anti").dropDuplicates(["_own", "_digest"]).drop("_own", "_digest")
+    return marked.join(gone, (F.col("_own") == F.col("_id")) & (F.col("_digest") == F.col("_sha")), "left_anti").dropDuplicates(["_own", "_digest"]).drop("_own", "_digest")

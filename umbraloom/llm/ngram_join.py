@@ -24,11 +24,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from umbraloom.llm.common import IdFilter, Scratch, components, pieces_of, spread_join
+from umbraloom.llm.common import IdFilter, Scratch, components, pieces_of, spread_join, without
 from umbraloom.llm.words import LOWER, Words, mixed, runs, slices
 
 WIDTH = 5
@@ -175,6 +176,7 @@ def prefixes(docs: DataFrame, counts: np.ndarray, n_shards: int) -> DataFrame:
     order = docs.sparkSession.sparkContext.broadcast(counts)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=1).compress
         for b in batches:
             token, doc, place, size = [], [], [], []
             for k, s in enumerate(shingle_sets(b.column("text").to_pylist())):
@@ -205,7 +207,9 @@ def prefixes(docs: DataFrame, counts: np.ndarray, n_shards: int) -> DataFrame:
             for i, (x, y) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
                 if y > x:
                     used, local = np.unique(doc[x:y], return_inverse=True)
-                    rows.append({"shard": i, "token": token[x:y].tobytes(), "doc": local.astype(np.int32).tobytes(), "place": place[x:y].tobytes(), "ids": ids[used].tobytes(), "comps": comps[used].tobytes(), "sizes": size[used].tobytes()})
+                    # the shard tells the higher half of a hash; where two lower ones are equal by chance, the pair is compared for nothing
+                    cols = {"token": token[x:y].astype(np.uint32), "doc": local.astype(np.int32), "place": place[x:y], "ids": ids[used], "comps": comps[used] - ids[used], "sizes": size[used]}
+                    rows.append({"shard": i} | {c: pack(v.tobytes()) for c, v in cols.items()})
             yield pa.RecordBatch.from_pylist(rows, pa.schema([("shard", pa.int32()), *((c, pa.binary()) for c in ("token", "doc", "place", "ids", "comps", "sizes"))]))
 
     return docs.mapInArrow(index, "shard int, token binary, doc binary, place binary, ids binary, comps binary, sizes binary")
@@ -214,12 +218,11 @@ def prefixes(docs: DataFrame, counts: np.ndarray, n_shards: int) -> DataFrame:
 def candidates(blocks: pa.Table) -> pa.Table:
     """The pairs of one shard's lists that can link and lie in different components."""
     parts = {c: [] for c in ("token", "place", "id", "comp", "size")}
+    unpack = zstandard.ZstdDecompressor().decompress
     for r in blocks.to_pylist():
-        doc = np.frombuffer(r["doc"], np.int32)
-        parts["token"].append(np.frombuffer(r["token"], np.uint64))
-        parts["place"].append(np.frombuffer(r["place"], np.int32))
-        for c, k, kind in (("id", "ids", np.int64), ("comp", "comps", np.int64), ("size", "sizes", np.int32)):
-            parts[c].append(np.frombuffer(r[k], kind)[doc])
+        doc, token, place, ids, comps, size = (np.frombuffer(unpack(r[c]), k) for c, k in (("doc", np.int32), ("token", np.uint32), ("place", np.int32), ("ids", np.int64), ("comps", np.int64), ("sizes", np.int32)))
+        for c, v in (("token", token), ("place", place), ("id", ids[doc]), ("comp", (comps + ids)[doc]), ("size", size[doc])):
+            parts[c].append(v)
     token, place, ids, comp, size = (np.concatenate(p) for p in parts.values())
     by = np.lexsort((size, token))  # lists by set size
     token, place, ids, comp, size = token[by], place[by], ids[by], comp[by], size[by].astype(np.int64)
@@ -315,8 +318,9 @@ def ngram_components(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, that are the first of their component. Rows that share a doc_id stay or go together; those without stay."""
-    gone = ngram_components(docs.select("doc_id", "text")).where("doc_id != component_id").select(F.col("doc_id").alias("_id"))
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_id"), "left_anti")
+    scratch = Scratch(docs.sparkSession, "keep_one")
+    gone = scratch.keep(ngram_components(docs.select("doc_id", "text")).where("doc_id != component_id").select(F.col("doc_id").alias("_id")), "gone")
+    return without(docs, gone, scratch, "filter")
 
 
 SQL = r"""
