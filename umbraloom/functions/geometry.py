@@ -202,3 +202,29 @@ def centre_lonlat(t: Column, width, height, zone=None, south=None) -> Column:
     """struct(lon, lat) of a raster's centre: of its own coordinates, or of its UTM zone."""
     c = pixel_to_map(t, col(width) / 2, col(height) / 2)
     return F.struct(c["x"].alias("lon"), c["y"].alias("lat")) if zone is None else utm_inverse(c["x"], c["y"], zone, south)
+
+
+def georeference_reason(crs, transform: Column, width, height) -> Column:
+    """Why a grid does not say where it lies on the Earth, or null."""
+    t, c = transform, col(crs)
+    same = lambda k, v: t[k] == v
+    identity = same("a", 1) & same("b", 0) & same("c", 0) & same("d", 0) & same("e", 1) & same("f", 0)
+    return (
+        F.when(c.isNull() | (c == ""), "no CRS").when(t.isNull() | identity, "no spatial transform").when(t["a"] * t["e"] - t["b"] * t["d"] == 0, "degenerate transform")
+        .when((col(width) <= 0) | (col(height) <= 0), "invalid dimensions")
+    )
+
+
+def sample_xz(transform: Column, row, column, origin_x, origin_y) -> Column:
+    """struct(x, z): a pixel centre in the scene's horizontal coordinates, z to the south."""
+    p = pixel_to_map(transform, col(column) + 0.5, col(row) + 0.5)
+    return F.struct((p["x"] - col(origin_x)).alias("x"), (col(origin_y) - p["y"]).alias("z"))
+
+
+def world_to_map(x, z, origin_x, origin_y) -> Column:
+    """struct(x, y) in map coordinates of a point in the scene's."""
+    return F.struct((col(x) + col(origin_x)).alias("x"), (col(origin_y) - col(z)).alias("y"))
+
+
+def world_y_to_value(y, vertical_scale) -> Column:
+    return F.try_divide(col(y), col(vertical_scale))

@@ -94,3 +94,13 @@ def rpc_offsets(tables: Column) -> Column:
     has = F.try_element_at(F.filter(tables, lambda t: F.map_contains_key(t["table"], F.lit(keys[0])) & F.map_contains_key(t["table"], F.lit(keys[1]))), F.lit(1))
     given = F.struct(*(first_number(F.element_at(has["table"], k)).alias(k.split("_")[0].lower()) for k in keys))
     return F.when(has.isNotNull(), given)
+
+
+def checked_keys(data: object, known: dict[str, bool], where: str) -> dict:
+    """A mapping whose keys are all known (name -> whether it is required) and none that is required is missing; else an error that names them."""
+    if not isinstance(data, dict):
+        raise ValueError(f"{where}: expected a mapping, got {type(data).__name__}")
+    unknown, missing = sorted(set(data) - set(known)), sorted(k for k, needed in known.items() if needed and k not in data)
+    if unknown or missing:
+        raise ValueError(f"{where}: " + "; ".join(f"{what} {names}" for what, names in (("unknown keys", unknown), ("missing keys", missing)) if names))
+    return data

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from umbraloom.functions.values import classify_failure, classify_fit, col, not_finite
+from umbraloom.operators.metrics import pearson
 
 #: Reference gates, references used, constraints of a fit, limits of its condition and consensus.
 MIN_AREA, MIN_SOLIDITY, MIN_HEIGHT, MIN_VALID, MIN_GROUND, MAX_SPREAD = 200, 0.8, 3.0, 0.9, 0.8, 0.5
@@ -89,50 +90,66 @@ def fit_labels(fits: DataFrame) -> DataFrame:
     return fits.withColumn("label", F.when(F.col("reason").isNotNull(), classify_failure("reason")).otherwise(classify_fit("a", "se_a")))
 
 
-def solve(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float] | None:
-    sw, sx, sy, sxx, sxy = w.sum(), (w * x).sum(), (w * y).sum(), (w * x * x).sum(), (w * x * y).sum()
-    det = sw * sxx - sx * sx
-    return ((sw * sxy - sx * sy) / det, (sxx * sy - sx * sxy) / det) if len(x) > 1 and np.ptp(x) > 0 and det > 0 else None
-
-
-def consensus(x: np.ndarray, y: np.ndarray, dh: np.ndarray, w: np.ndarray, seed: int, least: int = MIN_CONSTRAINTS) -> dict:
-    """Seeded pairs of points; the line with most points within SIGMAS * dh, then the least residual; refitted until its points stay the same."""
-    nothing = {"a": None, "b": None, "inliers": 0}
-    if len(x) < max(2, least):
-        return nothing | {"reason": f"underdetermined: {len(x)} points, need at least {max(2, least)}"}
-    ij = np.random.default_rng(seed).integers(0, len(x), (PAIRS, 2))
-    ij = ij[x[ij[:, 0]] != x[ij[:, 1]]]
-    if not len(ij):
+def solve(x: np.ndarray, y: np.ndarray, w: np.ndarray, max_condition: float = MAX_CONDITION) -> dict:
+    """The weighted line of points with its standard errors, or the reason why there is none."""
+    if len(x) < 2 or np.ptp(x) == 0:
+        return {"reason": "degenerate: all x are equal"}
+    design = np.sqrt(w)[:, None] * np.stack([x, np.ones(len(x))], axis=1)
+    singular = np.linalg.svd(design, compute_uv=False)
+    if singular[1] == 0 or singular[0] / singular[1] > max_condition:
+        return {"reason": "ill-conditioned: condition number over the limit"}
+    normal = np.linalg.inv(design.T @ design)
+    a, b = normal @ (design.T @ (np.sqrt(w) * y))
+    chi2 = float((w * (a * x + b - y) ** 2).sum() / (len(x) - 2)) if len(x) > 2 else None
+    se = [float(np.sqrt(normal[k, k] * chi2)) if chi2 is not None else None for k in (0, 1)]
+    return {"a": float(a), "b": float(b), "se_a": se[0], "se_b": se[1], "chi2_red": chi2, "reason": None}
+
+
+def consensus(x: np.ndarray, y: np.ndarray, dh: np.ndarray, w: np.ndarray, seed: int, least: int = MIN_CONSTRAINTS, pairs: int = PAIRS) -> dict:
+    """Seeded pairs of different points; the line with most points within SIGMAS * dh, then the least residual of those, then the first; refitted until its points stay the same,
+    as long as enough points are left."""
+    nothing = {"a": None, "b": None, "se_a": None, "se_b": None, "chi2_red": None, "inliers": 0, "outliers": 0}
+    n, limit = len(x), SIGMAS * dh
+    if n < max(2, least):
+        return nothing | {"reason": f"underdetermined: {n} points, need at least {max(2, least)}"}
+    if not (np.isfinite(limit).all() and (limit > 0).all()):
+        return nothing | {"reason": "not finite: a point's uncertainty"}
+    if np.ptp(x) == 0:
         return nothing | {"reason": "degenerate: all x are equal"}
-    a = (y[ij[:, 1]] - y[ij[:, 0]]) / (x[ij[:, 1]] - x[ij[:, 0]])
-    b = y[ij[:, 0]] - a * x[ij[:, 0]]
-    off = np.abs(a[:, None] * x + b[:, None] - y)
-    near = off <= SIGMAS * dh
-    best = np.lexsort((np.where(near, off, 0).sum(axis=1), -near.sum(axis=1)))[0]
-    inside = near[best]
-    line = None
+    rng = np.random.default_rng(seed)
+    i, j = rng.integers(0, n, pairs), rng.integers(0, n - 1, pairs)
+    j += j >= i
+    ok = x[i] != x[j]
+    i, j = i[ok], j[ok]
+    if not len(i):
+        return nothing | {"reason": f"at most 0 points agree, need at least {least}"}
+    a = (y[j] - y[i]) / (x[j] - x[i])
+    off = np.abs(a[:, None] * (x - x[i][:, None]) + y[i][:, None] - y)
+    near = off <= limit
+    inside = near[np.lexsort((np.where(near, off, 0).sum(axis=1), -near.sum(axis=1)))[0]]
+    if inside.sum() < least:
+        return nothing | {"reason": f"at most {int(inside.sum())} points agree, need at least {least}"}
+    line = solve(x[inside], y[inside], w[inside])
     for _ in range(REFINEMENTS):
-        line = solve(x[inside], y[inside], w[inside])
-        if line is None:
-            return nothing | {"reason": "degenerate: consensus points share one x"}
-        now = np.abs(line[0] * x + line[1] - y) <= SIGMAS * dh
-        if (now == inside).all():
+        if line["reason"]:
+            return nothing | line
+        now = np.abs(line["a"] * x + line["b"] - y) <= limit
+        if (now == inside).all() or now.sum() < least:
             break
         inside = now
-    if inside.sum() < max(2, least):
-        return nothing | {"reason": f"at most {int(inside.sum())} points agree, need at least {max(2, least)}"}
-    return {"a": float(line[0]), "b": float(line[1]), "inliers": int(inside.sum()), "reason": None}
+        line = solve(x[inside], y[inside], w[inside])
+    return nothing | line | {"inliers": int(inside.sum()), "outliers": int(n - inside.sum())}
 
 
 def ransac(points: DataFrame, by: str, seed: int = 0) -> DataFrame:
-    """(by, n, a, b, inliers, reason) for points (x, y, dh, weight). A tile's buildings are one group, which is small by its nature."""
+    """(by, n, a, b, se_a, se_b, chi2_red, inliers, outliers, reason) for points (x, y, dh, weight). A tile's buildings are one group, which is small by its nature."""
     kind = points.schema[by].dataType.simpleString()
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         got = consensus(*(pdf[c].to_numpy(float) for c in ("x", "y", "dh", "weight")), seed)
         return pd.DataFrame([{by: pdf[by].iloc[0], "n": len(pdf), **got}])
 
-    return points.groupBy(by).applyInPandas(fit, f"{by} {kind}, n long, a double, b double, inliers long, reason string")
+    return points.groupBy(by).applyInPandas(fit, f"{by} {kind}, n long, a double, b double, se_a double, se_b double, chi2_red double, inliers long, outliers long, reason string")
 
 
 def leave_references_out(buildings: DataFrame, tile: str, height: str, length: str, rank: str = "rank", k: int = REFERENCES, least: int = MIN_REFERENCES) -> DataFrame:
@@ -145,7 +162,72 @@ def leave_references_out(buildings: DataFrame, tile: str, height: str, length: s
 
 
 def evaluate(estimates: DataFrame, references: DataFrame, key: str = "building_id", estimate: str = "estimate", reference: str = "reference", order: str | None = None) -> DataFrame:
-    """All estimates with their reference and error, null where there is none; of several references to a building the first counts."""
-    w = Window.partitionBy(key).orderBy(order or reference)
-    first = references.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
+    """All estimates with their reference and error, null where there is none. Several references to a building are an error, unless a column of their order is given: then the first counts."""
+    w = Window.partitionBy(key)
+    if order is None:
+        once = F.when(F.count("*").over(w) > 1, F.raise_error(F.concat(F.lit("duplicate reference: "), F.col(key).cast("string"))).cast(references.schema[key].dataType)).otherwise(F.col(key))
+        first = references.withColumn(key, once)
+    else:
+        first = references.withColumn("_k", F.row_number().over(w.orderBy(order))).where("_k = 1")
     return estimates.join(first.select(key, reference, *([c for c in ("kind",) if c in references.columns])), key, "left").withColumn("error", F.col(estimate) - F.col(reference))
+
+
+def evaluation_metrics(evaluated: DataFrame, kind: str = "kind", estimate: str = "estimate", reference: str = "reference") -> DataFrame:
+    """(kind, n, mae, rmse, bias, max_abs, pearson) of evaluated buildings by kind of reference; without any reference no row."""
+    e = F.col("error")
+    ok = evaluated.where(F.col(reference).isNotNull() & F.col(estimate).isNotNull())
+    return ok.groupBy(kind).agg(F.count(e).alias("n"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(e).alias("bias"), F.max(F.abs(e)).alias("max_abs"), pearson(estimate, reference).alias("pearson"))
+
+
+def oracle_fits(buildings: DataFrame, by: Sequence[str], relative: str = "r_bar", truth: str = "height_m", least: int = MIN_CONSTRAINTS) -> DataFrame:
+    """The unweighted line of each group through its buildings' true heights, labelled; buildings without truth are left out."""
+    points = buildings.select(*by, F.col(relative).alias("x"), F.when(F.col(truth).isNotNull(), F.col(truth)).alias("y"), F.lit(1.0).alias("w")).where("y is not null")
+    return fit_labels(wls(points, by, least=least))
+
+
+#: Reasons of the gates of an ablation's variants, in order.
+VARIANT_GATES = ("failed_measurement", "rejected", "merged_shadow", "not_nominal", "below_reference_min_area", "low_solidity", "not_isolated", "insufficient_valid_agl", "below_reference_min_height", "unreliable_shadow_spread", "shadow_zone_not_open_ground")
+
+
+def variants(rows: DataFrame, isolations: Sequence[int], max_merged: float = 0.5) -> DataFrame:
+    """Measured buildings once for each variant (isolation, merged_check), with the first gate that fails there, and whether they are usable with truth.
+
+    rows: ok, rejection, merged, confidence, area, solidity, isolated (map of distance to boolean), valid_fraction, h, spread, length, zone_ground.
+    """
+    v = F.array(*(F.struct(F.lit(i).alias("isolation"), F.lit(m).alias("merged_check")) for i in isolations for m in (False, True)))
+    out = rows.withColumn("_v", F.explode(v)).select("*", "_v.isolation", "_v.merged_check").drop("_v")
+    c, no = F.col, F.lit(False)
+    merged = c("merged_check") & F.coalesce(c("merged") > max_merged, no)
+    tests = (
+        ~c("ok"), c("rejection").isNotNull(), merged, c("confidence") != "NOMINAL", c("area") < MIN_AREA, c("solidity") < MIN_SOLIDITY, ~F.coalesce(F.element_at("isolated", c("isolation")), no),
+        c("valid_fraction") < MIN_VALID, F.coalesce(c("h") < MIN_HEIGHT, ~no), F.coalesce(c("spread") / c("length") > MAX_SPREAD, ~no), F.coalesce(c("zone_ground") < MIN_GROUND, ~no),
+    )
+    gate = F.when(tests[0], VARIANT_GATES[0]).when(tests[1], c("rejection"))
+    for test, name in zip(tests[2:], VARIANT_GATES[2:], strict=True):
+        gate = gate.when(test, name)
+    usable = c("ok") & c("rejection").isNull()
+    return out.withColumns({"gate": gate, "usable": usable, "with_truth": usable & c("h").isNotNull() & (c("valid_fraction") >= MIN_VALID) & ~merged})
+
+
+def variant_summary(judged: DataFrame, keys: Sequence[str] = ("mode", "gap", "isolation", "merged_check"), tile: str = "tile", city: str = "city") -> DataFrame:
+    """A row for each variant and city, and for all cities together (city `combined`): rates, medians, references, and the error of heights from references' scale.
+
+    A tile with MIN_REFERENCES eligible buildings has a scale: the median ratio of its REFERENCES first ones by spread, area and key; errors are of its
+    other buildings with truth. Two windows by tile, then one aggregation with grouping sets.
+    """
+    c = F.col
+    w = Window.partitionBy(*keys, city, tile)
+    rank = F.row_number().over(w.orderBy(c("gate").isNotNull(), c("spread") / c("length"), F.desc("area"), "id"))
+    r = judged.withColumns({"_rank": rank, "_eligible": F.count(F.when(c("gate").isNull(), 1)).over(w)})
+    r = r.withColumn("_ref", c("gate").isNull() & (c("_rank") <= REFERENCES))
+    scale = F.percentile(F.when(c("_ref"), c("h") / c("length")), 0.5).over(w)
+    e = F.when((c("_eligible") >= MIN_REFERENCES) & ~c("_ref") & c("with_truth"), c("_k") * c("length") - c("h"))
+    r = r.withColumn("_k", scale).withColumn("_e", e).withColumn("_tile", F.when(c("_eligible") >= MIN_REFERENCES, F.struct(city, tile)))
+    rel, share = F.when(c("usable"), c("spread") / c("length")), lambda cond, of: F.avg(F.when(of, cond.cast("double")))
+    out = r.groupingSets([[c(k) for k in (*keys, city)], [c(k) for k in keys]], *keys, city).agg(
+        F.count("*").alias("buildings"), F.count(F.when(c("ok"), 1)).alias("measured_ok"), F.count(F.when(c("usable"), 1)).alias("usable"), F.percentile("hit_fraction", 0.5).alias("median_hit_fraction"),
+        F.percentile(rel, 0.5).alias("median_relative_spread"), share(rel > MAX_SPREAD, rel.isNotNull()).alias("high_spread_fraction"), share(c("merged") > 0.5, c("usable") & c("merged").isNotNull()).alias("merged_fraction_of_usable"),
+        F.count(F.when(c("gate").isNull(), 1)).alias("eligible_references"), F.countDistinct("_tile").alias("tiles_with_references"), F.count("_e").alias("n_errors"), F.avg(F.abs("_e")).alias("mae_m"), F.percentile(F.abs("_e"), 0.5).alias("median_ae_m"),
+        F.avg("_e").alias("bias_m"), F.grouping(city).alias("_all"),
+    )
+    return out.withColumn(city, F.when(c("_all") == 1, "combined").otherwise(c(city).cast("string"))).drop("_all")

@@ -66,7 +66,7 @@ def footprints(labels: DataFrame, building_class: int = BUILDING_CLASS, connecti
 
 
 def screen_footprints(pixels: DataFrame, height, width, by: Sequence[str] = ("tile_id",), min_area: int = MIN_AREA_PX) -> DataFrame:
-    """(by, building_id, area_px, bounding box, solidity, rejection): area is tested before the touch of an edge."""
+    """(by, building_id, area_px, bounding box, extent, rejection): extent is the share of the box; area is tested before the touch of an edge."""
     agg = pixels.groupBy(*by, "building_id").agg(F.count("*").alias("area_px"), F.min("row").alias("r0"), F.max("row").alias("r1"), F.min("col").alias("c0"), F.max("col").alias("c1"))
     edge = (F.col("r0") == 0) | (F.col("c0") == 0) | (F.col("r1") == height - 1) | (F.col("c1") == width - 1)
     box = (F.col("r1") - F.col("r0") + 1) * (F.col("c1") - F.col("c0") + 1)
@@ -81,3 +81,61 @@ def zonal_means(pixels: DataFrame, zones: DataFrame, zone: str, value: str, min_
     """(zone, n, valid_fraction, mean): null mean below the least share of valid pixels."""
     got = zones.join(pixels.select(*at, value), list(at), "left").groupBy(zone).agg(F.count("*").alias("n"), (F.count(value) / F.count("*")).alias("valid_fraction"), F.avg(value).alias("mean"))
     return got.withColumn("mean", F.when(F.col("valid_fraction") >= min_valid, F.col("mean")))
+
+
+def hull_pixels(rows: np.ndarray, cols: np.ndarray) -> int:
+    """The number of pixels whose centre lies in the convex hull of the pixels' edge middles, border included."""
+    p = np.unique(np.concatenate([np.stack([rows + dr, cols + dc], axis=1) for dr, dc in ((0.5, 0), (-0.5, 0), (0, 0.5), (0, -0.5))]), axis=0)
+    cross = lambda o, a, b: (a[0] - o[0]) * (b[1] - o[1]) - (a[1] - o[1]) * (b[0] - o[0])
+    sides = []
+    for points in (p.tolist(), p[::-1].tolist()):
+        side: list[list[float]] = []
+        for q in points:
+            while len(side) > 1 and cross(side[-2], side[-1], q) <= 0:
+                side.pop()
+            side.append(q)
+        sides += side[:-1]
+    r, c = np.mgrid[rows.min() : rows.max() + 1, cols.min() : cols.max() + 1]
+    inside = np.ones(r.shape, bool)
+    for (ar, ac), (br, bc) in zip(sides, [*sides[1:], sides[0]], strict=True):
+        inside &= (br - ar) * (c - ac) - (bc - ac) * (r - ar) >= -1e-9
+    return int(inside.sum())
+
+
+def solidity(pixels: DataFrame, by: Sequence[str] = ("tile_id", "building_id")) -> DataFrame:
+    """(by, area_px, hull_px, solidity): the share of the convex hull that a footprint fills. A building is one group, which is small by its nature."""
+    by = list(by)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        n = hull_pixels(pdf["row"].to_numpy(float), pdf["col"].to_numpy(float))
+        return pd.DataFrame([{**{b: pdf[b].iloc[0] for b in by}, "area_px": len(pdf), "hull_px": n, "solidity": len(pdf) / n}])
+
+    kinds = ", ".join(f"{b} {pixels.schema[b].dataType.simpleString()}" for b in by)
+    return pixels.select(*by, "row", "col").distinct().groupBy(*by).applyInPandas(run, f"{kinds}, area_px long, hull_px long, solidity double")
+
+
+def isolation(footprints: DataFrame, buildings: DataFrame, distance: int, by: Sequence[str] = ("tile_id",), key: str = "building_id") -> DataFrame:
+    """(by, building_id, isolated): whether no building pixel outside of the footprint lies within so many steps to the four sides.
+
+    Steps become rows, so the join is on equal keys; 0 finds all isolated.
+    """
+    steps = F.explode(F.array(*(F.struct(F.lit(r).alias("r"), F.lit(c).alias("c")) for r in range(-distance, distance + 1) for c in range(abs(r) - distance, distance - abs(r) + 1))))
+    near = footprints.withColumn("_s", steps).select(*by, key, (F.col("row") + F.col("_s.r")).alias("row"), (F.col("col") + F.col("_s.c")).alias("col")).distinct()
+    other = near.join(buildings.select(*by, "row", "col").distinct(), [*by, "row", "col"]).join(footprints.select(*by, key, "row", "col"), [*by, key, "row", "col"], "left_anti")
+    met = other.select(*by, key).distinct().withColumn("_met", F.lit(True))
+    return footprints.select(*by, key).distinct().join(met, [*by, key], "left").select(*by, key, F.col("_met").isNull().alias("isolated"))
+
+
+def windows(footprints: DataFrame, margin: int, height, width, by: Sequence[str] = ("tile_id", "building_id")) -> DataFrame:
+    """(by, r0, r1, c0, c1), ends exclusive: each footprint's box with a margin, cut at the image's edge."""
+    lo = lambda c: F.greatest(F.lit(0), F.min(c) - margin)
+    return footprints.groupBy(*by).agg(lo("row").alias("r0"), F.least(F.lit(height), F.max("row") + margin + 1).alias("r1"), lo("col").alias("c0"), F.least(F.lit(width), F.max("col") + margin + 1).alias("c1"))
+
+
+def assessed(shadows: DataFrame, footprints: DataFrame, agl: DataFrame, buildings: DataFrame, distance: int, zone: DataFrame, by: Sequence[str] = ("tile_id",), key: str = "building_id") -> DataFrame:
+    """Measured buildings (by, key, usable, confidence, length_px, spread_px) with all that a reference is judged by: area, solidity, isolation, share of valid
+    heights, median height, relative spread and the shadow zone's share of open ground (zone: by, key, ground_share)."""
+    at, px = [*by, key], [*by, "row", "col"]
+    heights = footprints.select(*at, "row", "col").join(agl.select(*px, "z"), px, "left").groupBy(*at).agg((F.count("z") / F.count("*")).alias("valid_fraction"), F.percentile("z", 0.5).alias("height_m"))
+    out = shadows.join(solidity(footprints, at), at, "left").join(isolation(footprints, buildings, distance, by, key), at, "left").join(heights, at, "left").join(zone, at, "left")
+    return out.withColumn("rel_spread", F.try_divide(F.col("spread_px"), F.col("length_px")))

@@ -85,7 +85,8 @@ def valid_stats(cells: DataFrame, by: Sequence[str], value: str) -> DataFrame:
 def balanced(selected: DataFrame, nodes: DataFrame, depth: int, leaf: int) -> DataFrame:
     """Selected nodes (level, nr, nc), split until neighbours differ by one level at most; sorted order is (level, nr, nc).
 
-    Each round splits all nodes that touch one two levels finer; depth rounds are enough, as each adds a level at most.
+    Each round splits all nodes that touch one two levels finer; depth rounds are enough, as each adds a level at most,
+    and a round that splits nothing is the last.
     """
     at = ["level", "nr", "nc"]
     selected, nodes = cut(selected.select(*at)), cut(nodes.select(*at))
@@ -94,7 +95,9 @@ def balanced(selected: DataFrame, nodes: DataFrame, depth: int, leaf: int) -> Da
         pairs = shared_edges(boxes, ["page"])
         level = boxes.select("node_id", "level")
         met = pairs.join(level.select(F.col("node_id").alias("a"), F.col("level").alias("la")), "a").join(level.select(F.col("node_id").alias("b"), F.col("level").alias("lb")), "b")
-        coarse = met.where("lb - la >= 2").select(F.col("a").alias("node_id")).unionAll(met.where("la - lb >= 2").select(F.col("b").alias("node_id"))).distinct()
+        coarse = cut(met.where("lb - la >= 2").select(F.col("a").alias("node_id")).unionAll(met.where("la - lb >= 2").select(F.col("b").alias("node_id"))).distinct())
+        if coarse.isEmpty():
+            break
         split = boxes.join(coarse, "node_id", "left_semi").select(*at)
         four = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1))))
         children = split.withColumn("_k", four).select((F.col("level") + 1).alias("level"), (F.col("nr") * 2 + F.col("_k.i")).alias("nr"), (F.col("nc") * 2 + F.col("_k.j")).alias("nc"))

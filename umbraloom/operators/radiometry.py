@@ -44,7 +44,7 @@ def otsu(pixels: DataFrame, by: Sequence[str], v: str = "v") -> DataFrame:
     got = hist.select(*by, "t", (F.sum(n).over(upto) / all_n).alias("w"), (F.sum(t * n).over(upto) / all_n).alias("m"), (F.sum(t * n).over(whole) / all_n).alias("mt"), (F.sum(t * t * n).over(whole) / all_n).alias("sq"))
     w, m, mt = F.col("w"), F.col("m"), F.col("mt")
     between = F.when((w > 0) & (w < 1), F.try_divide((mt * w - m) * (mt * w - m), w * (1 - w))).otherwise(0.0)
-    first = Window.partitionBy(*by).orderBy(F.desc(F.round("between", 9)), "t")
+    first = Window.partitionBy(*by).orderBy(F.desc("between"), "t")
     best = got.withColumn("between", F.coalesce(between, F.lit(0.0))).withColumn("_k", F.row_number().over(first)).where("_k = 1")
     return best.select(*by, F.col("t").alias("threshold"), F.coalesce(F.try_divide(F.col("between"), F.col("sq") - mt * mt), F.lit(0.0)).alias("separability"), w.alias("dark"))
 

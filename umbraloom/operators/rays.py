@@ -81,9 +81,9 @@ def cast_rays(rays: DataFrame, by: Sequence[str], shadow: DataFrame, occupied: D
 
 
 def measure(rays: DataFrame, by: Sequence[str], percentile: float = PERCENTILE, min_rays: int = MIN_RAYS) -> DataFrame:
-    """A length for each building from its rays, with spread, hit fraction, failure and reasons for reduced confidence."""
+    """A length for each building from its rays, with spread, hit fraction, share of hits whose ray ends at the image's edge, failure and reasons for reduced confidence."""
     length = F.when(F.col("hit"), F.col("length_px"))
-    agg = rays.groupBy(*by).agg(F.count("*").alias("n_rays"), F.count(length).alias("n_hits"), F.percentile(length, F.array(F.lit(percentile), F.lit(0.84), F.lit(0.16))).alias("_q"), F.avg(F.when(F.col("terminated_by") == "image_edge", 1.0).otherwise(0.0)).alias("edge_fraction"))
+    agg = rays.groupBy(*by).agg(F.count("*").alias("n_rays"), F.count(length).alias("n_hits"), F.percentile(length, F.array(F.lit(percentile), F.lit(0.84), F.lit(0.16))).alias("_q"), F.coalesce(F.avg(F.when(F.col("hit"), F.when(F.col("terminated_by") == "image_edge", 1.0).otherwise(0.0))), F.lit(0.0)).alias("edge_fraction"))
     share = F.try_divide(F.col("n_hits"), F.col("n_rays"))
     failure = (
         F.when(F.col("n_rays") < min_rays, F.format_string("too few rays: %d of at least %d", "n_rays", F.lit(min_rays))).when(share < MIN_HITS, "too few hits: hit fraction below 0.5")
@@ -96,10 +96,10 @@ def measure(rays: DataFrame, by: Sequence[str], percentile: float = PERCENTILE,
 
 
 def merged_fraction(rays: DataFrame, by: Sequence[str], footprints: DataFrame, sun_azimuth, step: float = STEP) -> DataFrame:
-    """(by, merged_fraction): of the rays with a hit, the share whose way to it touches another building; null without hits."""
+    """(by, merged_fraction): of the rays with a hit at some length, the share whose way to it, by whole steps to its end or just beyond, touches another building; null without such rays."""
     d = shadow_direction_pixels(sun_azimuth)
-    hits = rays.where("hit")
-    s = ray_samples(hits.where(F.col("length_px") >= step), by, d["d_row"], d["d_col"], F.col("length_px"), step)
+    hits = rays.where("hit and length_px != 0")
+    s = ray_samples(hits.where("length_px > 0"), by, d["d_row"], d["d_col"], F.ceil(F.col("length_px") / step) * step, step)
     other = footprints.select("scene_id", "row", "col", F.col("building_id").alias("_other"))
     touched = s.join(other, ["scene_id", "row", "col"]).where("_other != building_id").select(*by, "ray_id").distinct().withColumn("_t", F.lit(1))
     return hits.join(touched, [*by, "ray_id"], "left").groupBy(*by).agg(F.avg(F.coalesce("_t", F.lit(0)).cast("double")).alias("merged_fraction"))
@@ -118,7 +118,7 @@ def shadow_zone(footprints: DataFrame, by: Sequence[str], sun_azimuth, length_px
     """(by, ground_share): share of surface classes in the zone that the footprint sweeps, itself left out; 0 for an empty zone."""
     d = shadow_direction_pixels(sun_azimuth)
     swept = footprints.withColumn("_k", F.explode(F.sequence(F.lit(1), F.ceil(col(length_px)).cast("int"))))
-    zone = swept.select("scene_id", *by, F.rint(F.col("row") + d["d_row"] * F.col("_k")).cast("int").alias("row"), F.rint(F.col("col") + d["d_col"] * F.col("_k")).cast("int").alias("col")).distinct()
+    zone = swept.select("scene_id", *by, (F.col("row") + F.rint(d["d_row"] * F.col("_k"))).cast("int").alias("row"), (F.col("col") + F.rint(d["d_col"] * F.col("_k"))).cast("int").alias("col")).distinct()
     zone = zone.join(footprints.select(*by, "row", "col"), [*by, "row", "col"], "left_anti").join(labels, ["scene_id", "row", "col"])
     share = zone.groupBy(*by).agg(F.avg(F.col("cls").isin(*surface).cast("double")).alias("ground_share"))
     return footprints.select(*by).distinct().join(share, list(by), "left").fillna(0.0, ["ground_share"])

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from umbraloom.functions.metadata import scene_of
+from umbraloom.operators.tiling import axis_offsets
 
 
 def discover_pairs(images: DataFrame, heights: DataFrame, pattern: str, strict: bool = True) -> DataFrame:
@@ -43,19 +44,22 @@ def per_group_validation(pairs: DataFrame, group: str, scene: str, fraction: flo
 def audit_split(declared: DataFrame, pairs: DataFrame, region: str = "region", scene: str = "scene_id") -> DataFrame:
     """(check, n, ok) for declared (region, side) and pairs (region, side, scene_id): every count must be 0, but for the last, which must not.
 
-    One pass over the pairs' distinct (region, scene, side), whose number follows that of scenes.
+    One pass over the pairs: regions and scenes become rows (kind, name) with flags for the sides that they are on and those declared.
     """
-    seen = pairs.select(region, scene, "side").distinct()
-    of = lambda df, side: df.where(F.col("side") == side).select(region).distinct()
-    train, held = of(seen, "train"), of(seen, "validation")
-    said_train, said_held = of(declared, "train"), of(declared, "validation")
-    shared = seen.where("side = 'train'").select(scene).distinct().join(seen.where("side = 'validation'").select(scene).distinct(), scene)
-    checks = [("heldout_region_trained_on", said_held.join(train, region)), ("trained_region_undeclared", train.join(said_train, region, "left_anti")), ("declared_region_unused", said_train.join(train, region, "left_anti")), ("shared_scenes", shared), ("heldout_pairs", held)]
-    out = None
-    for name, df in checks:
-        row = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("check"), "n", ((F.col("n") > 0) if name == "heldout_pairs" else (F.col("n") == 0)).alias("ok"))
-        out = row if out is None else out.unionAll(row)
-    return out
+    side = lambda c, v: F.max(F.when(c, F.col("side") == v).otherwise(False))
+    both = F.array(F.struct(F.lit("region").alias("kind"), F.col(region).cast("string").alias("name")), F.struct(F.lit("scene").alias("kind"), F.col(scene).cast("string").alias("name")))
+    seen = pairs.select(F.explode(both).alias("_k"), "side").select("_k.*", "side", F.lit(False).alias("said"))
+    said = declared.select(F.lit("region").alias("kind"), F.col(region).cast("string").alias("name"), "side", F.lit(True).alias("said"))
+    f = seen.unionAll(said).where("name is not null").groupBy("kind", "name").agg(
+        side(~F.col("said"), "train").alias("train"), side(~F.col("said"), "validation").alias("held"), side(F.col("said"), "train").alias("said_train"), side(F.col("said"), "validation").alias("said_held"))
+    r, s = F.col("kind") == "region", F.col("kind") == "scene"
+    tests = {
+        "heldout_region_trained_on": r & F.col("said_held") & F.col("train"), "trained_region_undeclared": r & F.col("train") & ~F.col("said_train"), "declared_region_unused": r & F.col("said_train") & ~F.col("train"),
+        "shared_scenes": s & F.col("train") & F.col("held"), "heldout_pairs": r & F.col("held"),
+    }
+    counts = f.agg(*(F.count(F.when(t, 1)).alias(k) for k, t in tests.items()))
+    rows = F.explode(F.array(*(F.struct(F.lit(k).alias("check"), F.col(k).alias("n"), ((F.col(k) > 0) if k == "heldout_pairs" else (F.col(k) == 0)).alias("ok")) for k in tests)))
+    return counts.select(rows.alias("_t")).select("_t.*")
 
 
 def audit_selection(audit: DataFrame, selection_regions: DataFrame, heldout: DataFrame, rule: str, region: str = "region") -> DataFrame:
@@ -78,9 +82,9 @@ def region_counts(pairs: DataFrame, region: str) -> DataFrame:
 
 
 def validation_crops(scenes: DataFrame, size: int) -> DataFrame:
-    """A grid of crops of scenes (scene_id, width, height) that do not overlap, rows first; rests at the edges are left out."""
-    origins = lambda extent: F.when(F.col(extent) >= size, F.sequence(F.lit(0), F.col(extent).cast("int") - size, F.lit(size))).otherwise(F.array().cast("array<int>"))
-    return scenes.select("scene_id", "width", F.explode(origins("height")).alias("row_off")).select("scene_id", "row_off", F.explode(origins("width")).alias("col_off"))
+    """The crops that cover scenes (scene_id, width, height), rows first: side by side, the last of a row or column pushed back to end at the edge;
+    a scene smaller than a crop has one at its origin."""
+    return scenes.select("scene_id", "width", F.explode(axis_offsets("height", size, 0)).alias("row_off")).select("scene_id", "row_off", F.explode(axis_offsets("width", size, 0)).alias("col_off"))
 
 
 def train_crops(scenes: DataFrame, size: int, n: int, epoch: int, seed: int = 0) -> DataFrame:
@@ -91,17 +95,37 @@ def train_crops(scenes: DataFrame, size: int, n: int, epoch: int, seed: int = 0)
 
 
 def crops_with_data(crops: DataFrame, valid: DataFrame, size: int, least: float, tries: str = "k") -> DataFrame:
-    """The first crop of each scene whose share of valid pixels reaches `least`, else the best; crops (scene_id, k, row_off, col_off) by valid (scene_id, row, col)."""
-    got = crops.join(valid, "scene_id", "left")
+    """The first crop of each scene whose share of valid pixels reaches `least`, else the best; crops (scene_id, k, row_off, col_off) by valid (scene_id, row, col).
+
+    Pixels are joined to crops by the coarse cells of the crop's size that both lie in: four for a crop, one for a pixel.
+    """
+    cell = lambda c: F.floor(F.col(c) / size).cast("int")
+    cells = lambda c: F.sequence(cell(c), F.floor((F.col(c) + size - 1) / size).cast("int"))
+    keyed = crops.withColumn("_r", F.explode(cells("row_off"))).withColumn("_c", F.explode(cells("col_off")))
     inside = F.col("row").between(F.col("row_off"), F.col("row_off") + size - 1) & F.col("col").between(F.col("col_off"), F.col("col_off") + size - 1)
-    share = got.groupBy("scene_id", tries, "row_off", "col_off").agg((F.count(F.when(inside, 1)) / float(size * size)).alias("share"))
+    px = valid.select("scene_id", "row", "col", cell("row").alias("_r"), cell("col").alias("_c"))
+    at = ["scene_id", tries, "row_off", "col_off"]
+    share = keyed.join(px, ["scene_id", "_r", "_c"], "left").groupBy(*at).agg((F.count(F.when(inside, 1)) / float(size * size)).alias("share"))
     w = Window.partitionBy("scene_id").orderBy(F.when(F.col("share") >= least, F.col(tries)).asc_nulls_last(), F.desc("share"), tries)
     return share.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
 
 
-def representative_tiles(records: DataFrame, group: str, value: str, key: str = "tile_id") -> DataFrame:
-    """(group, highest, lowest): the tiles with the largest and the smallest value; ties by key."""
-    hi = Window.partitionBy(group).orderBy(F.desc(value), key)
-    lo = Window.partitionBy(group).orderBy(value, key)
-    got = records.where(F.col(value).isNotNull()).withColumns({"_h": F.row_number().over(hi), "_l": F.row_number().over(lo)})
-    return got.groupBy(group).agg(F.max(F.when(F.col("_h") == 1, F.col(key))).alias("highest"), F.max(F.when(F.col("_l") == 1, F.col(key))).alias("lowest"))
+def representative_tiles(records: DataFrame, group: str = "city", key: str = "tile_id", n: str = "n_footprints", height_group: str = "height_group", tallest: str = "max_height_m", ok: str = "azimuth_ok") -> DataFrame:
+    """(group, dense_urban, sparse_urban, low_rise, tallest): tiles picked by structure alone among those with an azimuth, the first by key of equal ones:
+    most footprints, fewest of three at least, most where all is low, and the tallest building."""
+    first = lambda order, cond: F.min_by(F.when(cond, F.col(key)), F.when(cond, F.struct(order, F.col(key))))
+    every = F.lit(True)
+    return records.where(F.col(ok)).groupBy(group).agg(
+        first(-F.col(n), every).alias("dense_urban"), first(F.col(n), F.col(n) >= 3).alias("sparse_urban"),
+        first(-F.col(n), F.col(height_group) == "0-5 m").alias("low_rise"), first(-F.col(tallest), F.col(tallest).isNotNull()).alias("tallest"),
+    )
+
+
+def missing_regions(pairs: DataFrame, region: str = "city") -> DataFrame:
+    """The pairs; one without a region is an error."""
+    return pairs.withColumn(region, F.when(F.col(region).isNull(), F.raise_error(F.lit(f"a pair has no {region}")).cast("string")).otherwise(F.col(region)))
+
+
+def selected_regions(pairs: DataFrame, regions: Sequence[str], region: str = "city") -> DataFrame:
+    """The pairs of some regions."""
+    return missing_regions(pairs, region).where(F.col(region).isin(*regions))

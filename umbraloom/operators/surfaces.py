@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from umbraloom.functions.geometry import map_to_pixel_index
 from umbraloom.functions.values import calibrated_agl
-from umbraloom.operators.morphology import filled_nearest
+from umbraloom.operators.morphology import filled_nearest, ground_filter
 
 #: Passes of the terrain's re-admission.
 PASSES = 5
@@ -186,3 +186,20 @@ def acceptance(pixels: DataFrame, by: Sequence[str], derived: str, truth: str, t
     """max, mean absolute, RMSE and bias of a derived surface, and whether the largest is within the tolerance."""
     e = F.col(derived) - F.col(truth)
     return pixels.groupBy(*by).agg(F.count(e).alias("n"), F.max(F.abs(e)).alias("max_abs"), F.avg(F.abs(e)).alias("mean_abs"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(e).alias("bias")).withColumn("accepted", F.coalesce(F.col("max_abs") <= tolerance, F.lit(False)))
+
+
+def derive_surfaces(dsm: DataFrame, by: Sequence[str], gsd: float, extent_m: float, value: str = "z", readmit_m: float = 0.5, extractor: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """A dense DSM's cells with is_ground, dtm, is_final_ground, ndsm and non_ground (valid, but no ground): ground -> terrain -> height above it.
+
+    extractor: any function from cells to cells with is_ground; the progressive opening by default.
+    """
+    found = (extractor or (lambda c: ground_filter(c, by, value, gsd, extent_m)))(dsm)
+    out = interpolate_dtm(found, by, value, readmit_m)
+    return ndsm(out, value, "dtm").withColumn("non_ground", F.col(value).isNotNull() & ~F.col("is_ground"))
+
+
+def overlapping(a: DataFrame, b: DataFrame, by: str = "scene_id") -> DataFrame:
+    """(by, overlap) of two tables of extents (by, left, bottom, right, top) in one CRS: whether they share an area; touching edges do not."""
+    both = a.select(by, F.struct("left", "bottom", "right", "top").alias("x")).join(b.select(by, F.struct("left", "bottom", "right", "top").alias("y")), by)
+    apart = (F.col("y.right") <= F.col("x.left")) | (F.col("y.left") >= F.col("x.right")) | (F.col("y.top") <= F.col("x.bottom")) | (F.col("y.bottom") >= F.col("x.top"))
+    return both.select(by, (~apart).alias("overlap"))

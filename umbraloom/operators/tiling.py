@@ -58,9 +58,10 @@ def pixels_to_tiles(pixels: DataFrame, plan: DataFrame, stride: int = TILE - OVE
 
 
 def select_views(pairs: DataFrame, scene: str, key: str, n: int) -> DataFrame:
-    """n evenly spaced rows of each scene in the order of key; all of a scene with fewer."""
+    """n rows of each scene in the order of key, evenly spaced from the first to the last (half-even rounding); all of a scene with fewer."""
     w = Window.partitionBy(scene)
     got = pairs.withColumns({"_k": F.row_number().over(w.orderBy(key)) - 1, "_n": F.count("*").over(w)})
-    # the i-th view is row floor(i * count / n)
-    wanted = F.exists(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.floor(i * F.col("_n") / F.lit(n)) == F.col("_k"))
-    return got.where((F.col("_n") <= n) | wanted).drop("_k", "_n")
+    k = F.least(F.lit(n), F.col("_n").cast("int"))
+    step = F.when(k > 1, (F.col("_n") - 1) / (k - 1)).otherwise(0.0)
+    wanted = F.exists(F.sequence(F.lit(0), k - 1), lambda i: F.rint(i * step) == F.col("_k"))
+    return got.where(wanted).drop("_k", "_n")

@@ -135,7 +135,7 @@ def stretch_apply(spark, sf_dir):
 @query("otsu_threshold", """WITH v AS (SELECT p_type AS band, (p_partkey * 7 + p_size * 5)::BIGINT % 256 AS v FROM part), h AS (SELECT band, v AS t, count(*) AS n FROM v GROUP BY 1, 2),
     c AS (SELECT band, t, sum(n) OVER a / sum(n) OVER b AS w, sum(t * n) OVER a / sum(n) OVER b AS m, sum(t * n) OVER b / sum(n) OVER b AS mt, sum(t * t * n) OVER b / sum(n) OVER b AS sq FROM h WINDOW a AS (PARTITION BY band ORDER BY t ROWS UNBOUNDED PRECEDING), b AS (PARTITION BY band)),
     s AS (SELECT *, CASE WHEN w > 0 AND w < 1 THEN (mt * w - m) * (mt * w - m) / (w * (1 - w)) ELSE 0 END AS between_ FROM c),
-    k AS (SELECT *, row_number() OVER (PARTITION BY band ORDER BY round(between_, 9) DESC, t) AS k FROM s)
+    k AS (SELECT *, row_number() OVER (PARTITION BY band ORDER BY between_ DESC, t) AS k FROM s)
     SELECT band, t::INT AS threshold, round(coalesce(between_ / nullif(sq - mt * mt, 0), 0), 6) AS separability, round(w, 6) AS dark FROM k WHERE k = 1""")
 def otsu_threshold(spark, sf_dir):
     v = read(spark, sf_dir, "part").select(F.col("p_type").alias("band"), ((F.col("p_partkey") * 7 + F.col("p_size") * 5) % 256).alias("v"))
@@ -341,7 +341,7 @@ def pixels_to_tiles(spark, sf_dir):
     return tiling.pixels_to_tiles(q, tile_plan(spark, sf_dir)).select("l_orderkey", "l_linenumber", "tile_id")
 
 
-@query("select_views", "WITH d AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS k, count(*) OVER (PARTITION BY source) AS n FROM documents) SELECT source, doc_id FROM d WHERE n <= 4 OR k IN (0, floor(n / 4.0), floor(2 * n / 4.0), floor(3 * n / 4.0))")
+@query("select_views", "WITH d AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS k, count(*) OVER (PARTITION BY source) AS n FROM documents) SELECT source, doc_id FROM d WHERE n <= 4 OR k IN (SELECT round_even(i * ((d.n - 1) / 3), 0) FROM range(4) r(i))")
 def select_views(spark, sf_dir):
     return tiling.select_views(read(spark, sf_dir, "documents").select("source", "doc_id"), "source", "doc_id", 4)
 
@@ -446,10 +446,12 @@ def region_counts(spark, sf_dir):
     return splits.region_counts(read(spark, sf_dir, "documents").select("lang", F.col("source").alias("scene_id")), "lang")
 
 
-@query("representative_tiles", "SELECT n_name AS city, arg_max(s_suppkey, (s_acctbal, -s_suppkey)) AS highest, arg_min(s_suppkey, (s_acctbal, s_suppkey)) AS lowest FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY n_name")
+@query("representative_tiles", """WITH r AS (SELECT n_name AS city, s_suppkey AS t, s_suppkey % 11 AS n, s_acctbal < 2000 AS low, CASE WHEN s_acctbal > 0 THEN s_acctbal END AS h FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey % 7 > 0)
+    SELECT city, arg_min(t, (-n, t)) AS dense_urban, arg_min(t, (n, t)) FILTER (n >= 3) AS sparse_urban, arg_min(t, (-n, t)) FILTER (low) AS low_rise, arg_min(t, (-h, t)) FILTER (h IS NOT NULL) AS tallest FROM r GROUP BY city""")
 def representative_tiles(spark, sf_dir):
     s = read(spark, sf_dir, "supplier").join(read(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-    return splits.representative_tiles(s.withColumnRenamed("n_name", "city"), "city", "s_acctbal", "s_suppkey")
+    r = s.select(F.col("n_name").alias("city"), F.col("s_suppkey").alias("tile_id"), (F.col("s_suppkey") % 11).alias("n_footprints"), F.when(F.col("s_acctbal") < 2000, "0-5 m").otherwise(">=20 m").alias("height_group"), F.when(F.col("s_acctbal") > 0, F.col("s_acctbal")).alias("max_height_m"), (F.col("s_suppkey") % 7 > 0).alias("azimuth_ok"))
+    return splits.representative_tiles(r)
 
 
 @query("discover_pairs", "SELECT c_name AS stem, regexp_extract(c_name, '^(Customer)#0*([0-9]+)$', 1) AS scene_id, regexp_extract(c_name, '^(Customer)#0*([0-9]+)$', 2) AS city, c_custkey AS image_path, c_nationkey AS height_path FROM customer")
@@ -459,7 +461,10 @@ def discover_pairs(spark, sf_dir):
     return got.withColumns({"image_path": F.col("image_path").cast("long"), "height_path": F.col("height_path").cast("int")})
 
 
-@query("validation_crops", f"WITH {SCENES_SQL} SELECT scene_id, r * 256 AS row_off, c * 256 AS col_off FROM scenes, range(6) a(r), range(7) b(c) WHERE r * 256 + 256 <= height AND c * 256 + 256 <= width")
+CROP_SQL = "{a}_c AS (SELECT DISTINCT scene_id, o FROM (SELECT scene_id, unnest(range(0, {a} - 256 + 1, 256)) AS o FROM scenes WHERE {a} > 256 UNION ALL SELECT scene_id, greatest({a} - 256, 0) FROM scenes))"
+
+
+@query("validation_crops", f"WITH {SCENES_SQL}, {CROP_SQL.format(a='height')}, {CROP_SQL.format(a='width')} SELECT scene_id, h.o::BIGINT AS row_off, w.o::BIGINT AS col_off FROM height_c h JOIN width_c w USING (scene_id)")
 def validation_crops(spark, sf_dir):
     return splits.validation_crops(tile_scenes(spark, sf_dir), 256).withColumns({"row_off": F.col("row_off").cast("long"), "col_off": F.col("col_off").cast("long")})
 
@@ -506,7 +511,7 @@ def sun_geometry(spark, sf_dir):
     el, az, h = 5 + F.col("l_quantity") * 1.6, F.col("l_partkey") % 360, F.col("l_extendedprice") / 1000
     g = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", G.shadow_length_m(h, el).alias("length_m"), G.height_from_shadow_length_m(G.shadow_length_m(h, el), el).alias("height_m"), G.shadow_azimuth_deg(az).alias("shadow_azimuth"), G.shadow_direction_unit(az).alias("u"), G.shadow_pixel_offset(h, el, az, 0.5).alias("o"))
     zero = lambda c: F.round(c, 6) + 0.0
-    return rounded(g.select("l_orderkey", "l_linenumber", "length_m", "height_m", "shadow_azimuth", zero("u.east").alias("east"), zero("u.north").alias("north"), zero("o.d_row").alias("d_row"), zero("o.d_col").alias("d_col")))
+    return g.select("l_orderkey", "l_linenumber", *(F.round(c, 6).alias(c) for c in ("length_m", "height_m")), "shadow_azimuth", zero("u.east").alias("east"), zero("u.north").alias("north"), zero("o.d_row").alias("d_row"), zero("o.d_col").alias("d_col"))
 
 
 @query("sun_band", f"WITH g AS (SELECT {EL} AS el, l_extendedprice / 100 AS len FROM lineitem), b AS (SELECT CASE WHEN el < 25 THEN 'below' WHEN el > 45 THEN 'above' ELSE 'within' END AS band, len * tan(radians(el)) AS h, 0.5 * tan(radians(el)) AS dh FROM g) SELECT band, CASE WHEN band = 'within' THEN 'NOMINAL' ELSE 'REDUCED' END AS confidence, count(*) AS n, round(avg(h), 6) AS height_m, round(avg(dh), 6) AS uncertainty_m FROM b GROUP BY band")
@@ -600,8 +605,9 @@ def valid_stats(spark, sf_dir):
 # components and azimuth -------------------------------------------------------------------------------------------------
 
 
-@query("connected_components", f"""WITH RECURSIVE {CELLS}, f AS (SELECT row, col, row * 64 + col AS id FROM cells WHERE z > 280000), w AS (SELECT id, id AS reach FROM f UNION SELECT w.id, g.id FROM w JOIN f h ON h.id = w.reach JOIN f g ON abs(g.row - h.row) + abs(g.col - h.col) = 1),
-    m AS (SELECT id, min(reach) AS root FROM w GROUP BY id), n AS (SELECT root, row_number() OVER (ORDER BY root) AS k FROM (SELECT DISTINCT root FROM m)) SELECT (id // 64)::INT AS row, (id % 64)::INT AS col, 'orders:b' || lpad(k::VARCHAR, 4, '0') AS building_id FROM m JOIN n USING (root)""")
+@query("connected_components", f"""WITH RECURSIVE {CELLS}, f AS (SELECT row, col, row * 64 + col AS id FROM cells WHERE z > 280000), g AS (SELECT a.id, b.id AS nb FROM f a JOIN f b ON abs(a.row - b.row) + abs(a.col - b.col) = 1),
+    l AS (SELECT 0 AS step, id, id AS root FROM f UNION ALL SELECT step + 1, id, min(root) FROM (SELECT l.step, l.id, l.root FROM l UNION ALL SELECT l.step, g.nb, l.root FROM l JOIN g ON g.id = l.id) x WHERE step < 200 GROUP BY step, id),
+    m AS (SELECT id, min(root) AS root FROM l GROUP BY id), n AS (SELECT root, row_number() OVER (ORDER BY root) AS k FROM (SELECT DISTINCT root FROM m)) SELECT (id // 64)::INT AS row, (id % 64)::INT AS col, 'orders:b' || lpad(k::VARCHAR, 4, '0') AS building_id FROM m JOIN n USING (root)""")
 def connected_components(spark, sf_dir):
     from umbraloom.operators import components
 
@@ -669,3 +675,6 @@ def shadow_heights(spark, sf_dir):
     ref = b.select("building_id", F.col("height_m").alias("reference"))
     out = calibration.evaluate(got.withColumn("estimate", F.col("height_m")), ref)
     return rounded(out.select("building_id", "n_rays", "hit_fraction", "length_px", "height_m", "confidence", "rejection", "reference", "error"))
+
+
+from umbraloom.plans import products  # noqa: E402, F401  registers its queries

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from umbraloom.functions.geometry import height_from_shadow, pixels_to_metres
+from umbraloom.operators.lineage import cut
 from umbraloom.operators.radiometry import detect_shadow
 from umbraloom.operators.rays import cast_rays, launch_pixels, measure, merged_fraction, shadow_gate
 
@@ -33,7 +34,7 @@ def shadow_heights(pixels: DataFrame, footprints: DataFrame, gsd: float | None,
     found = (detector or (lambda p: detect_shadow(p, ["scene_id"])))(pixels)
     shadow = found.where("is_shadow").select("scene_id", "row", "col")
     az = F.lit(float(sun_azimuth))
-    rays = cast_rays(launch_pixels(footprints, BY, az, max_rays), BY, shadow, footprints, az, height, width, max_length_px)
+    rays = cut(cast_rays(launch_pixels(footprints, BY, az, max_rays), BY, shadow, footprints, az, height, width, max_length_px))  # read twice below
     got = measure(rays, BY).join(merged_fraction(rays, BY, footprints, az), BY, "left")
     metres = pixels_to_metres("length_px", F.lit(gsd))
     est = height_from_shadow(metres, F.lit(float(sun_elevation)), F.lit(uncertainty_px * gsd), F.col("reduced_reasons"))

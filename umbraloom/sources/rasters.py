@@ -93,15 +93,25 @@ def pair_pixels(image: DataFrame, height: DataFrame, max_height: float, by: str
     return both.withColumns({"valid": ok, "height_m": F.when(ok, F.col("_h")).otherwise(0.0)}).drop("_h")
 
 
-def registration(pairs: DataFrame, tolerance_px: float = 0.01) -> DataFrame:
-    """Pairs of header structs (image, height) with `reason`: CRS, rotation or corners that do not agree; sizes, where there is no CRS."""
+def registration(pairs: DataFrame, tolerance_px: float = 0.01, resampled_px: float = 0.5) -> DataFrame:
+    """Pairs of header structs (image, height) with `reason`: one CRS only, CRS, rotations or any of the four corners that do not agree; without any CRS the grids must be the same.
+
+    Corners may be tolerance_px of the image's pixel apart, or resampled_px of the coarser one where sizes differ.
+    """
     i, h = F.col("image"), F.col("height")
-    at = lambda s, k: s["transform"][k]
-    corner = F.greatest(F.abs(at(i, 2) - at(h, 2)) / F.abs(at(i, 0)), F.abs(at(i, 5) - at(h, 5)) / F.abs(at(i, 4)))
+    t = lambda s, k: s["transform"]["abcdef".index(k)]
+    px = lambda s: F.greatest(F.abs(t(s, "a")), F.abs(t(s, "e")), F.lit(1e-12))
+    x = lambda s, c, r: t(s, "a") * c + t(s, "b") * r + t(s, "c")
+    y = lambda s, c, r: t(s, "d") * c + t(s, "e") * r + t(s, "f")
+    zero = F.lit(0)
+    corners = [(lambda s: zero, lambda s: zero), (lambda s: s["width"], lambda s: zero), (lambda s: zero, lambda s: s["height"]), (lambda s: s["width"], lambda s: s["height"])]
+    worst = F.greatest(*(F.abs(at(i, c(i), r(i)) - at(h, c(h), r(h))) for c, r in corners for at in (x, y)))
     none = i["crs"].isNull() & h["crs"].isNull()
     size = (i["width"] != h["width"]) | (i["height"] != h["height"])
+    limit = F.when(size, resampled_px * F.greatest(px(i), px(h))).otherwise(tolerance_px * px(i))
+    turned = F.greatest(F.abs(t(i, "b") - t(h, "b")), F.abs(t(i, "d") - t(h, "d"))) > 1e-9 * F.greatest(px(i), px(h))
     reason = (
-        F.when(none & size, "sizes differ and there is no CRS").when(none, None).when(~i["crs"].eqNullSafe(h["crs"]), "CRS differ")
-        .when((at(i, 1) != at(h, 1)) | (at(i, 3) != at(h, 3)), "rotations differ").when(corner > tolerance_px, "corners differ")
+        F.when(none & size, "sizes differ and there is no CRS").when(none & ~i["transform"].eqNullSafe(h["transform"]), "grids differ and there is no CRS").when(none, None)
+        .when(i["crs"].isNull() | h["crs"].isNull(), "only one has a CRS").when(i["crs"] != h["crs"], "CRS differ").when(turned, "rotations differ").when(worst > limit, "corners differ")
     )
     return pairs.withColumn("reason", reason)

@@ -1,11 +1,12 @@
-"""Products as files: grids become GeoTIFF, NPY or PNG on executors, and are saved one by one through Hadoop's file systems."""
+"""Products as files: grids become GeoTIFF, NPY or PNG on executors, and are saved there."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 from umbraloom.functions.values import CONFIDENCE
@@ -64,14 +65,22 @@ def save_text(spark: SparkSession, path: str, text: str) -> None:
 
 
 def save_files(files: DataFrame, folder: str) -> list[str]:
-    """Saves files one at a time, whichever store the folder is in; one with problems is refused."""
-    saved = []
-    for name, content, problems in files.toLocalIterator():
-        if problems:
-            raise ValueError(f"{name}: {', '.join(problems)}")
-        _save(files.sparkSession, f"{folder}/{name}", bytes(content))
-        saved.append(name)
-    return saved
+    """Saves files where they are made, on the executors, into a folder that all of them share; one with problems is refused. Names come back.
+
+    A file that a lost task had begun is written again as a whole."""
+
+    def save(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, at = fs.FileSystem.from_uri(folder)
+        store.create_dir(at, recursive=True)
+        for pdf in batches:
+            for name, content, problems in zip(pdf["name"], pdf["content"], pdf["problems"], strict=True):
+                if len(problems):
+                    raise ValueError(f"{name}: {', '.join(problems)}")
+                with store.open_output_stream(f"{at.rstrip('/')}/{name}") as out:
+                    out.write(bytes(content))
+            yield pdf[["name"]]
+
+    return sorted(r["name"] for r in files.mapInPandas(save, "name string").collect())
 
 
 def _save(spark: SparkSession, path: str, data: bytes) -> None:
