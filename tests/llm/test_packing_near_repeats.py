@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow.parquet as pq
 import pytest
 from conftest import SF
 from hypothesis import given, settings
@@ -46,6 +47,14 @@ def test_ids_are_those_of_the_tokenizer():
         assert t.encode(x, add_special_tokens=False).ids == encode(e, x)
 
 
+def test_ids_of_all_documents():
+    t, e = Tokenizer.from_file(P.path("byte_bpe_50k.json")), encoder(VOCABULARY, P.PATTERN, 50256)
+    texts = [x or "" for x in pq.read_table(SF.replace("0.001", "0.1") + "/documents.parquet", columns=["text"])["text"].to_pylist()]
+    for k in range(0, len(texts), 500):
+        part = texts[k : k + 500]
+        assert [x.ids for x in t.encode_batch(part, add_special_tokens=False)] == [encode(e, x) for x in part]
+
+
 def test_packing(spark):
     docs = [(1, "hello world " * 3000), (2, None), (3, ""), (None, "a b"), (4, "x y z " * 200), (4, "x y z " * 200)]
     df = spark.createDataFrame(docs, DOCS).withColumns({"length": F.lit(1), "rank": F.lit(1), "part": F.lit(1)}).repartition(3)
