@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -210,15 +211,40 @@ def test_words_of_many_texts(texts):
 def test_pipeline(spark):
     import corpus_pipeline as C
 
-    docs, kept = table(spark, SF, "documents"), []
+    docs, kept, texts = table(spark, SF, "documents"), [], []
     for _, stage in C.STAGES[:-1]:
-        before = docs.select("doc_id").toPandas()["doc_id"].tolist()
+        texts.append(dict(map(tuple, docs.select("doc_id", "text").collect())))
         docs = stage(spark, docs, SF).cache()
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
         kept.append([r["doc_id"] for r in docs.select("doc_id").collect()])
-        assert set(kept[-1]) <= set(before) and len(kept[-1]) == len(set(kept[-1]))
+        assert set(kept[-1]) <= set(texts[-1]) and len(kept[-1]) == len(set(kept[-1]))
+    first = {}
+    for i in sorted(texts[1]):
+        first.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", texts[1][i] or ""), i)
+    assert sorted(kept[1]) == sorted(first.values())
+    assert sorted(kept[2]) == sorted(i for i, (_, c) in brute_components(list(texts[2].items())).items() if i == c)
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m.group().lower(), t or ""))
+    windows = {tuple(w[k : k + 10]) for r in table(spark, SF, "benchmark").collect() for w in [words(r["text"])] for k in range(max(1, len(w) - 9)) if w}
+    sizes = {len(w) for w in windows}
+    hit = lambda w: any(tuple(w[k : k + n]) in windows for n in sizes for k in range(len(w) - n + 1))
+    assert sorted(kept[3]) == sorted(i for i, t in texts[3].items() if not hit(words(t)))
     assert len(kept[-1]) > 100
     comp = brute_components([(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()])
     assert all(i == c for i, (_, c) in comp.items())  # nothing that links is left
     out = C.run(spark, SF).collect()
     assert sorted({r["doc_id"] for r in out}) == sorted(kept[-1])
+
+
+def test_pipeline_stages_on_odd_tables(spark):
+    from umbraloom.llm.decontamination import clean_documents
+    from umbraloom.llm.exact_dedup import keep_first
+    from umbraloom.llm.quality import keep_good
+
+    schema = "doc_id long, text string, lang string, component_id int, kept boolean, score double, items string"
+    rows = [(None, "one two three four five", "x", 1, True, 0.1, "a"), (1, None, None, 2, None, None, None), (2, "", "x", 3, False, 0.2, "b"), (3, "one two three four five", "x", 4, True, 0.3, "c")]
+    df, bench = spark.createDataFrame(rows, schema), spark.createDataFrame([(1, "one two")], "item_id long, text string")
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    for stage, want in ((lambda d: keep_good(d, labels), {1, 2, 3, 4}), (keep_first, {2, 4}), (keep_one, {1, 2, 3, 4}), (lambda d: clean_documents(d, bench), {2, 3})):
+        got = stage(df)
+        assert got.columns == df.columns and {r["component_id"] for r in got.collect()} == want
+        assert stage(df.limit(0)).count() == 0
