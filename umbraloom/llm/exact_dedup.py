@@ -185,6 +185,7 @@ def exact_dedup(docs: DataFrame, digest_bytes: int = 32, memtable_rows: int = ME
     others = scratch.keep(member.where("doc_id != keep_id"), "others")
     held = spread_join(others, kept, "digest", scratch, "others").join(own, keys)
     differ = scratch.keep(held.where("norm != kept_norm").select("doc_id", "digest", "sha", "norm"), "differ")
+    scratch.drop("digests", "index", "hits", "hot", "filter", "others", "others_heavy")  # what is returned reads the other two
     out = joined
     if not differ.isEmpty():
         apart = differ.groupBy("digest", "norm").agg(F.min("doc_id").alias("keep2"), F.count("*").alias("n2"))
