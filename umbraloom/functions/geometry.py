@@ -22,12 +22,12 @@ WGS84_A, WGS84_E2 = 6378137.0, 0.00669437999014
 def finite(x) -> Column:
     """The value as a double, null where it is NaN or infinite."""
     x = col(x).cast("double")
-    return F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x)
+    return F.when(F.abs(x) < float("inf"), x)  # NaN is greater than infinity here
 
 
 def elevation(x) -> Column:
     """A sun elevation in (0, 90], else null."""
-    x = finite(x)
+    x = col(x).cast("double")
     return F.when((x > 0) & (x <= 90), x)
 
 
@@ -42,13 +42,13 @@ def _tan(el: Column) -> Column:
 
 def shadow_length_m(height, sun_elevation) -> Column:
     """Length of the shadow of a height; 0 with the sun overhead; null for a negative height."""
-    h, el = finite(height), elevation(sun_elevation)
-    return F.when(h >= 0, F.when(el == 90, F.lit(0.0)).otherwise(F.try_divide(h, _tan(el))))
+    h, el = col(height).cast("double"), elevation(sun_elevation)
+    return F.when((h >= 0) & (h < float("inf")), F.when(el == 90, F.lit(0.0)).otherwise(F.try_divide(h, _tan(el))))
 
 
 def height_from_shadow_length_m(length, sun_elevation) -> Column:
-    length = finite(length)
-    return F.when(length >= 0, length * _tan(elevation(sun_elevation)))
+    length = col(length).cast("double")
+    return F.when((length >= 0) & (length < float("inf")), length * _tan(elevation(sun_elevation)))
 
 
 def height_uncertainty_m(sun_elevation, length_uncertainty) -> Column:

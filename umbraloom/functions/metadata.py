@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,24 +28,55 @@ def first_number(raw) -> Column:
     return F.nullif(F.regexp_extract(text, r"[-+]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][-+]?[0-9]+)?", 0), F.lit("")).cast("double")
 
 
-def resolved(tables: Column, keys: tuple[str, ...]) -> Column:
-    """The first hit in array<struct<label, table map>>: tables in order, aliases in order inside a table.
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value worked out once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def numbered(tables: Column) -> Column:
+    """The tables' entries that hold a number, keys normalised: array<struct<label, entries>>, for all aliases at once."""
+    read = lambda e: F.struct(normalised_key(e["key"]).alias("k"), first_number(e["value"]).alias("value"), e["key"].alias("key"), e["value"].alias("raw_value"))
+    return F.transform(tables, lambda t: F.struct(t["label"].alias("label"), F.filter(F.transform(F.map_entries(t["table"]), read), lambda e: e["value"].isNotNull()).alias("entries")))
+
+
+def resolved(numbers: Column, keys: tuple[str, ...]) -> Column:
+    """The first hit in numbered tables: tables in order, aliases in order inside a table, entries in order inside an alias.
 
     struct(value, source, key, raw_value), or null; a value without a number is no hit."""
+    names = F.array(*(F.lit(re.sub("[^a-z0-9]", "", k.lower())) for k in keys))
 
-    def hits(t: Column) -> Column:
-        pairs = F.map_entries(t["table"])
-        return F.flatten(F.transform(F.array(*(normalised_key(F.lit(k)) for k in keys)), lambda k: F.transform(F.filter(pairs, lambda e: (normalised_key(e["key"]) == k) & first_number(e["value"]).isNotNull()), lambda e: F.struct(first_number(e["value"]).alias("value"), t["label"].alias("source"), e["key"].alias("key"), e["value"].alias("raw_value")))))
+    def hits(t: Column, n: Column) -> Column:
+        ranked = lambda e, i: F.struct(n.alias("table"), F.array_position(names, e["k"]).alias("alias"), i.alias("entry"), F.struct(e["value"].alias("value"), t["label"].alias("source"), e["key"].alias("key"), e["raw_value"].alias("raw_value")).alias("hit"))
+        return F.filter(F.transform(t["entries"], ranked), lambda h: h["alias"] > 0)
 
-    return F.try_element_at(F.flatten(F.transform(tables, hits)), F.lit(1))
+    return F.array_min(F.flatten(F.transform(numbers, hits)))["hit"]
 
 
 def resolved_sun(tables: Column) -> Column:
     """struct(elevation, azimuth), each struct(value, source, key, raw_value, conversion): both or neither. Without an elevation, 90 - zenith."""
-    el, zen, az = resolved(tables, SUN_ELEVATION_KEYS), resolved(tables, SUN_ZENITH_KEYS), resolved(tables, SUN_AZIMUTH_KEYS)
     given = lambda s, v, how: F.struct(v.alias("value"), s["source"].alias("source"), s["key"].alias("key"), s["raw_value"].alias("raw_value"), F.lit(how).cast("string").alias("conversion"))
-    elevation = F.when(el.isNotNull(), given(el, el["value"], None)).when(zen.isNotNull(), given(zen, 90.0 - zen["value"], "90 - zenith"))
-    return F.when(elevation.isNotNull() & az.isNotNull(), F.struct(elevation.alias("elevation"), given(az, az["value"], None).alias("azimuth")))
+
+    def both(s: Column) -> Column:
+        el, zen, az = s["el"], s["zen"], s["az"]
+        elevation = F.when(el.isNotNull(), given(el, el["value"], None)).when(zen.isNotNull(), given(zen, 90.0 - zen["value"], "90 - zenith"))
+        return F.when((el.isNotNull() | zen.isNotNull()) & az.isNotNull(), F.struct(elevation.alias("elevation"), given(az, az["value"], None).alias("azimuth")))
+
+    found = lambda n: F.struct(resolved(n, SUN_ELEVATION_KEYS).alias("el"), resolved(n, SUN_ZENITH_KEYS).alias("zen"), resolved(n, SUN_AZIMUTH_KEYS).alias("az"))
+    return bound(numbered(tables), lambda n: bound(found(n), both))
+
+
+def key_problems(settings, known: Sequence[str], required: Sequence[str] = ()) -> Column:
+    """struct(unknown, missing) keys of a map of settings, sorted; a null map lacks all that is required."""
+    keys = F.coalesce(F.map_keys(col(settings)), F.array().cast("array<string>"))
+    texts = lambda names: F.array(*map(F.lit, names)).cast("array<string>")
+    return F.struct(F.sort_array(F.array_except(keys, texts(known))).alias("unknown"), F.sort_array(F.array_except(texts(required), keys)).alias("missing"))
+
+
+def checked_keys(settings, known: Sequence[str], required: Sequence[str] = ()) -> Column:
+    """The map itself; one with unknown or missing keys raises."""
+    bad = key_problems(settings, known, required)
+    said = F.concat(F.lit("unknown keys ["), F.array_join(bad["unknown"], ", "), F.lit("], missing keys ["), F.array_join(bad["missing"], ", "), F.lit("]"))
+    return F.when((F.size(bad["unknown"]) > 0) | (F.size(bad["missing"]) > 0), F.raise_error(said).cast("map<string,string>")).otherwise(col(settings))
 
 
 def suffix(path) -> Column:
