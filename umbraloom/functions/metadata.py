@@ -72,13 +72,6 @@ def key_problems(settings, known: Sequence[str], required: Sequence[str] = ()) -
     return F.struct(F.sort_array(F.array_except(keys, texts(known))).alias("unknown"), F.sort_array(F.array_except(texts(required), keys)).alias("missing"))
 
 
-def checked_keys(settings, known: Sequence[str], required: Sequence[str] = ()) -> Column:
-    """The map itself; one with unknown or missing keys raises."""
-    bad = key_problems(settings, known, required)
-    said = F.concat(F.lit("unknown keys ["), F.array_join(bad["unknown"], ", "), F.lit("], missing keys ["), F.array_join(bad["missing"], ", "), F.lit("]"))
-    return F.when((F.size(bad["unknown"]) > 0) | (F.size(bad["missing"]) > 0), F.raise_error(said).cast("map<string,string>")).otherwise(col(settings))
-
-
 def suffix(path) -> Column:
     return F.lower(F.regexp_extract(col(path), r"\.([A-Za-z0-9]+)$", 1))
 

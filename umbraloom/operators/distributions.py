@@ -95,3 +95,37 @@ def height_census(pixels: DataFrame, by: Sequence[str] = ("scene_id", "building_
     each = pixels.groupBy(*by).agg(F.count("*").alias("_n"), F.percentile(F.col(height), 0.5).alias("_h"))
     small = F.col("_n") < speckle_px
     return each.groupBy(scene).agg(F.count("*").alias("components"), F.count(F.when(small, 1)).alias("speckles"), F.avg(small.cast("double")).alias("speckle_share"), F.percentile(F.when(~small, F.col("_h")), 0.5).alias("median_height"))
+
+
+#: Statuses of tiles on which the sun was calibrated.
+SUN_CALIBRATED = ("calibrated", "fit_failed")
+
+
+def funnel(records: DataFrame, group: str, least_references: int = 2, total: str = "combined") -> DataFrame:
+    """How many tiles reach each step, by group and for all together.
+
+    records: (group, image, scene_id, status, surviving, azimuth_ok, eligible, fit_class); eligible is null for a tile that
+    never came to the choice of references. A group that is null is a group, apart from the total.
+    """
+    n = lambda cond: F.count(F.when(cond, 1))
+    done = F.col("status") == "calibrated"
+    steps = {
+        "tiles": F.count("*"), "images": F.countDistinct("image"), "scenes": F.countDistinct("scene_id"), "with_buildings": n(F.col("surviving") > 0), "azimuth_recovered": n(F.col("azimuth_ok")),
+        "reached_selection": F.count("eligible"), "with_references": n(F.col("eligible") >= least_references), "sun_calibrated": n(F.col("status").isin(*SUN_CALIBRATED)), "fit_returned": n(done),
+        "fit_identifiable": n(done & (F.col("fit_class") == "identifiable_positive")), "calibrated_images": F.countDistinct(F.when(done, F.col("image"))), "calibrated_scenes": F.countDistinct(F.when(done, F.col("scene_id"))),
+    }
+    out = records.groupingSets([[F.col(group)], []], group).agg(*(c.alias(k) for k, c in steps.items()), F.grouping(group).alias("_all"))
+    return out.select(F.when(F.col("_all") == 1, total).otherwise(F.col(group)).alias(group), *steps)
+
+
+def merged_counts(records: DataFrame, group: str, counts: str, total: str = "combined") -> DataFrame:
+    """(group, reason, n): maps of reason to count, added up by group and for all together."""
+    each = records.select(group, F.explode(counts).alias("reason", "_n"))
+    out = each.groupingSets([[F.col(group), F.col("reason")], [F.col("reason")]], group, "reason").agg(F.sum("_n").alias("n"), F.grouping(group).alias("_all"))
+    return out.select(F.when(F.col("_all") == 1, total).otherwise(F.col(group)).alias(group), "reason", "n")
+
+
+def expected_steps(tiles, batch: int, accumulation: int) -> Column:
+    """Optimiser steps of one epoch: batches rounded up, then groups of them rounded up."""
+    t = F.col(tiles) if isinstance(tiles, str) else tiles
+    return F.ceil(F.ceil(t / batch) / accumulation)

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from umbraloom.functions.values import not_finite
 from umbraloom.operators.lineage import cut
+from umbraloom.operators.morphology import block_sums, summed_area
 
 
 def quadtree_nodes(cells: DataFrame, by: Sequence[str], value: str, depth: int, leaf: int) -> DataFrame:
@@ -103,3 +104,46 @@ def balanced(selected: DataFrame, nodes: DataFrame, depth: int, leaf: int) -> Da
         children = split.withColumn("_k", four).select((F.col("level") + 1).alias("level"), (F.col("nr") * 2 + F.col("_k.i")).alias("nr"), (F.col("nc") * 2 + F.col("_k.j")).alias("nc"))
         selected = cut(selected.select(*at).join(split, at, "left_anti").unionAll(children.join(nodes.select(*at), at, "left_semi")))
     return selected.select(*at)
+
+
+def stitched_triangles(boxes: DataFrame, cells: DataFrame, by: Sequence[str], value: str = "z", key: str = "node_id") -> DataFrame:
+    """(by, key, p, q, s) triangles of tiles that meet coarser ones without cracks; p, q and s are struct(row, col), counter-clockwise seen from above.
+
+    boxes: (by, key, r0, c0, r1, c1, stride, top, bottom, left, right), ends inclusive, the last four the strides of the neighbours
+    there. A corner on an edge that the neighbour does not sample moves back to one that it does; triangles that collapse go, as do
+    those whose bounding block holds a cell without a value (at stride 1 and unmoved, those with such a corner). Neighbours should
+    be one level apart, as `balanced` leaves them: further apart, a triangle may fold over where two coarser tiles meet.
+    """
+    ends = lambda a, b: F.concat(F.when(F.col(b) > F.col(a), F.sequence(F.col(a), F.col(b) - 1, F.col("stride"))).otherwise(F.array().cast("array<int>")), F.array(F.col(b)))
+    lines = boxes.withColumns({"_rs": ends("r0", "r1"), "_cs": ends("c0", "c1")})
+    steps = lambda xs: F.explode(F.zip_with(F.slice(xs, F.lit(1), F.size(xs) - 1), F.slice(xs, F.lit(2), F.size(xs) - 1), lambda a, b: F.struct(a.alias("lo"), b.alias("hi"))))
+    squares = lines.where((F.col("r1") > F.col("r0")) & (F.col("c1") > F.col("c0"))).withColumn("_r", steps(F.col("_rs"))).withColumn("_c", steps(F.col("_cs")))
+
+    def along(v: Column, step: str, end: str) -> Column:
+        return F.when(v == F.col(end), v).otherwise(v - v % F.col(step))
+
+    def corner(r: Column, c: Column) -> Column:
+        col = F.when((r == F.col("r0")) & (F.col("top") > F.col("stride")), along(c, "top", "c1")).when((r != F.col("r0")) & (r == F.col("r1")) & (F.col("bottom") > F.col("stride")), along(c, "bottom", "c1")).otherwise(c)
+        # a corner that has moved along a row edge may by that have come to a column edge
+        row = F.when((col == F.col("c0")) & (F.col("left") > F.col("stride")), along(r, "left", "r1")).when((col != F.col("c0")) & (col == F.col("c1")) & (F.col("right") > F.col("stride")), along(r, "right", "r1")).otherwise(r)
+        return F.struct(row.alias("row"), col.alias("col"))
+
+    at = {f"_{r}{c}": corner(F.col(f"_r.{r}"), F.col(f"_c.{c}")) for r in ("lo", "hi") for c in ("lo", "hi")}
+    names = {f"_{r}{c}": F.struct(F.col(f"_r.{r}").alias("row"), F.col(f"_c.{c}").alias("col")) for r in ("lo", "hi") for c in ("lo", "hi")}
+    moved = F.lit(False)
+    for k, where in names.items():
+        moved = moved | (F.col(k) != where)
+    tri = lambda a, b, c: F.struct(F.col(a).alias("p"), F.col(b).alias("q"), F.col(c).alias("s"))
+    both = F.explode(F.array(tri("_lolo", "_hilo", "_lohi"), tri("_lohi", "_hilo", "_hihi")))
+    got = squares.withColumns(at).withColumn("_exact", (F.col("stride") == 1) & ~moved).withColumn("_t", both).select(*by, key, "_exact", "_t.p", "_t.q", "_t.s")
+    pqs = ("p", "q", "s")
+    got = got.where("p != q and q != s and p != s")
+    box = {f"{n}{i}": f(*(F.col(f"{k}.{n}") for k in pqs)) for n in ("row", "col") for i, f in ((0, F.least), (1, F.greatest))}
+    got = got.withColumns(box).withColumnsRenamed({"row0": "r0", "row1": "r1", "col0": "c0", "col1": "c1"})
+    judged = block_sums(got, summed_area(cells, by, not_finite(value).cast("int")), by)
+    # an exact triangle does not touch the fourth corner of its square, so that may be without a value
+    fourth = {f"_{n}": 2 * (F.col(f"{a}0") + F.col(f"{a}1")) - F.col(f"p.{n}") - F.col(f"q.{n}") - F.col(f"s.{n}") for n, a in (("row", "r"), ("col", "c"))}
+    bad = cells.where(not_finite(value)).select(*by, F.col("row").alias("_row"), F.col("col").alias("_col"), F.lit(1).alias("_bad"))
+    judged = judged.withColumns(fourth).join(bad, [*by, "_row", "_col"], "left")
+    spared = F.when(F.col("_exact"), F.coalesce("_bad", F.lit(0))).otherwise(0)
+    return judged.where(F.col("inside") == spared).select(*by, key, *pqs)
