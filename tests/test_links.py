@@ -10,7 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from umbraloom.functions import metadata as M
-from umbraloom.operators import distributions, links, lod
+from umbraloom.functions import values as V
+from umbraloom.operators import distributions, links, lod, metrics
 from umbraloom.sources import checkpoints
 
 GRID = dict(a=0.5, b=0.0, c=100.0, d=0.0, e=-0.5, f=200.0)
@@ -125,3 +126,43 @@ def test_funnel_and_counts(spark):
     n = spark.createDataFrame([("a", {"x": 1, "y": 2}), ("b", {"x": 4}), ("b", {}), ("b", None)], "city string, m map<string,long>")
     assert {(r.city, r.reason): r.n for r in distributions.merged_counts(n, "city", "m").collect()} == {("a", "x"): 1, ("a", "y"): 2, ("b", "x"): 4, ("combined", "x"): 5, ("combined", "y"): 2}
     assert [r.n for r in spark.createDataFrame([(0,), (1,), (9,), (33,)], "t int").select(distributions.expected_steps("t", 4, 2).alias("n")).collect()] == [0, 1, 2, 5]
+
+
+def test_height_groups_of_odd_heights(spark):
+    df = spark.createDataFrame([(x,) for x in (-1.0, 0.0, 4.9, 5.0, 20.0, None, float("nan"), float("inf"))], "h double")
+    assert [r.g for r in df.select(V.height_group("h").alias("g")).collect()] == ["0-5 m", "0-5 m", "0-5 m", "5-10 m", ">=20 m", *["no buildings"] * 3]
+    t = spark.createDataFrame([("0-5 m", "a"), ("0-5 m", "a"), ("0-5 m", "b")], "height_group string, status string")
+    got = {r.height_group: (r.tiles, r.status) for r in distributions.height_group_table(t, ["0-5 m", "5-10 m"]).collect()}
+    assert got == {"0-5 m": (3, {"a": 2, "b": 1}), "5-10 m": (0, {})}
+
+
+def test_census_counts_a_scene_once(spark):
+    pairs = spark.createDataFrame([("X", "s1", "v2"), ("X", "s1", "v1"), ("X", "s2", "v3"), ("Y", "s3", "v4")], "city string, scene_id string, stem string")
+    rows = [("v1", 1, 5.0), ("v1", 1, 7.0), ("v1", 1, None), ("v1", 2, 99.0), ("v2", 1, 50.0), ("v3", 1, float("nan")), ("v3", 1, None), ("v3", 1, None)]
+    got = {r.city: r for r in distributions.city_census(pairs, spark.createDataFrame(rows, "stem string, building_id int, height_m double"), 3).collect()}
+    x, y = got["X"], got["Y"]
+    assert (x.scenes, x.components, x.small, x.pixels, x.small_pixels, x.heights, x.p50) == (2, 3, 1, 7, 1, 1, 6.0)
+    assert (y.scenes, y.components, y.pixels, y.p50) == (1, 0, 0, None)
+
+
+def test_gap_is_over_common_tiles(spark):
+    s = "region string, tile int, n long, sum_abs double, sum_sq double, sum_err double"
+    a = spark.createDataFrame([("b", 1, 2, 4.0, 8.0, 0.0), ("b", 2, 1, 100.0, 1e4, 0.0), ("g", 1, 1, 3.0, 9.0, 3.0)], s)
+    b = spark.createDataFrame([("b", 1, 2, 2.0, 2.0, 0.0), ("b", 3, 1, 50.0, 1.0, 0.0)], s)
+    got = {r.region: r for r in metrics.paired_gap(a, b, ["region"], "tile").collect()}
+    assert (got["b"].tiles, got["b"].mae_gap, got["b"].rmse_gap) == (1, 1.0, 1.0) and got["g"].mae_gap is None
+
+
+def test_layers_lie_over_the_validated_surface_only(spark):
+    s, e = raster(), raster(path="e", product_type="error")
+    cases = [("error", s, e, "d/x", "d//x", "dsm", None), ("error", raster(product_type="dtm"), e, None, None, None, "source DSM"), ("error", s, None, None, None, None, "no error raster"), ("error", s, s, None, None, None, "no error product"), ("error", s, e, None, None, "dtm", "another product"), ("error", s, e, "d/y", "d/x", None, "another DSM"), ("confidence", s, e | {"product_type": "confidence", "crs": None}, None, "d/x", "dtm", "CRS differ")]
+    for kind, a, b, said, validated, product, want in cases:
+        df = spark.createDataFrame([(a, b, said, validated, product)], f"a {links.RASTER}, b {links.RASTER}, said string, validated string, product string")
+        got = df.select(links.diagnostic_eligibility(kind, F.col("a"), F.col("b"), F.col("said"), F.col("validated"), F.col("product")).alias("g")).first().g
+        assert got.available == (want is None) and (want or "") in (got.reason or "")
+
+
+def test_tag_tables_in_order(spark):
+    d = "array(struct('A' AS name, map('k', '1') AS table), struct('A' AS name, map('k', '2') AS table), struct('B' AS name, map() AS table))"
+    t = one(spark, M.candidate_tables(F.expr("map('x', 'y')"), F.expr(d).cast("array<struct<name:string,table:map<string,string>>>")).alias("t"), M.candidate_tables(F.lit(None).cast("map<string,string>")).alias("n"))
+    assert [(x.label, x.table) for x in t.t] == [("gdal:default", {"x": "y"}), ("gdal:A", {"k": "1"})] and t.n == []

@@ -65,6 +65,21 @@ def resolved_sun(tables: Column) -> Column:
     return bound(numbered(tables), lambda n: bound(found(n), both))
 
 
+def candidate_tables(default, domains=None, rpc=None, sidecars=None) -> Column:
+    """Tag tables by priority as array<struct<label, table>>: default, domains in their order, RPC, sidecars; empty ones are left out.
+
+    domains and sidecars: array<struct<name, table>>; of several domains of one name the first counts.
+    """
+    empty = F.array().cast("array<struct<name:string,table:map<string,string>>>")
+    listed = lambda xs: empty if xs is None else F.coalesce(col(xs), empty)
+    named = lambda prefix, xs: F.transform(xs, lambda d: F.struct(F.concat(F.lit(prefix), d["name"]).alias("label"), d["table"].alias("table")))
+    single = lambda label, t: F.array(F.struct(F.lit(label).alias("label"), col(t).alias("table")))
+    given = listed(domains)
+    once = F.filter(given, lambda d, i: F.array_position(F.transform(given, lambda e: e["name"]), d["name"]) == i + 1)
+    parts = [single("gdal:default", default), named("gdal:", once), *([] if rpc is None else [single("rpc", rpc)]), named("imd:", listed(sidecars))]
+    return F.filter(F.concat(*parts), lambda t: F.coalesce(F.size(t["table"]), F.lit(0)) > 0)
+
+
 def key_problems(settings, known: Sequence[str], required: Sequence[str] = ()) -> Column:
     """struct(unknown, missing) keys of a map of settings, sorted; a null map lacks all that is required."""
     keys = F.coalesce(F.map_keys(col(settings)), F.array().cast("array<string>"))

@@ -80,9 +80,9 @@ def confidence_code(state) -> Column:
 
 
 def height_group(h) -> Column:
-    """The label of a height's half-open bin; negative heights are in the lowest, null is no buildings."""
+    """The label of a height's half-open bin; negative heights are in the lowest, null, NaN and infinity are no buildings."""
     h = col(h)
-    out = F.when(h.isNull(), "no buildings")
+    out = F.when(not_finite(h), "no buildings")
     for low, label in reversed(HEIGHT_GROUPS[1:]):
         out = out.when(h >= low, label)
     return out.otherwise(HEIGHT_GROUPS[0][1])

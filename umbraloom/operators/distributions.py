@@ -13,6 +13,8 @@ from umbraloom.functions.values import not_finite
 PERCENTILES = (10, 25, 50, 75, 90, 95)
 LIMITS = (10, 20, 30)
 BINS = (0.0, 5.0, 10.0, 20.0, 40.0, float("inf"))
+#: Classes of a fit.
+FIT_CLASSES = ("identifiable_positive", "statistically_weak", "non_positive", "numerically_unstable", "insufficient_constraints")
 
 
 def distribution(rows: DataFrame, by: Sequence[str], value: str, limits: Sequence[int] = LIMITS) -> DataFrame:
@@ -129,3 +131,42 @@ def expected_steps(tiles, batch: int, accumulation: int) -> Column:
     """Optimiser steps of one epoch: batches rounded up, then groups of them rounded up."""
     t = F.col(tiles) if isinstance(tiles, str) else tiles
     return F.ceil(F.ceil(t / batch) / accumulation)
+
+
+def first_views(pairs: DataFrame, scene: str = "scene_id", stem: str = "stem") -> DataFrame:
+    """One pair for each scene: the one whose stem sorts first."""
+    w = Window.partitionBy(scene).orderBy(stem)
+    return pairs.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
+
+
+def city_census(pairs: DataFrame, pixels: DataFrame, min_area: int, city: str = "city") -> DataFrame:
+    """Buildings of each city, each scene counted by its first view alone.
+
+    pairs: (city, scene_id, stem); pixels: (stem, building_id, height_m), a row for each building pixel. Heights are medians of a
+    component's finite pixels, and only of components with min_area pixels; a component without any has none.
+    """
+    first = first_views(pairs).select(city, "scene_id", "stem")
+    each = pixels.join(first.select("stem", city), "stem").groupBy(city, "stem", "building_id").agg(F.count("*").alias("_n"), F.percentile(F.when(~not_finite("height_m"), F.col("height_m")), 0.5).alias("_h"))
+    small, h = F.col("_n") < min_area, F.when(F.col("_n") >= min_area, F.col("_h"))
+    got = each.groupBy(city).agg(F.count("*").alias("components"), F.count(F.when(small, 1)).alias("small"), F.sum("_n").alias("pixels"), F.sum(F.when(small, F.col("_n")).otherwise(0)).alias("small_pixels"), F.count(h).alias("heights"), *(F.percentile(h, q / 100).alias(f"p{q}") for q in (50, 90)))
+    out = first.groupBy(city).agg(F.countDistinct("scene_id").alias("scenes")).join(got, city, "left")
+    return out.fillna(0, ["components", "small", "pixels", "small_pixels", "heights"])
+
+
+def fit_stats(records: DataFrame, by: Sequence[str], fit_class: str = "fit_class", slope: str = "a") -> DataFrame:
+    """Attempted and returned fits, how many of each class, the share that is identifiable, and the median slope.
+
+    A record without a class was not attempted; one without a slope came to nothing.
+    """
+    n = lambda name: F.count(F.when(F.col(fit_class) == name, 1))
+    tried = records.groupBy(*by).agg(F.count(fit_class).alias("attempted"), F.count(F.when(F.col(fit_class).isNotNull(), F.col(slope))).alias("returned"), *(n(c).alias(c) for c in FIT_CLASSES), F.percentile(F.when(F.col(fit_class).isNotNull(), F.col(slope)), 0.5).alias("median_slope"))
+    return tried.withColumn("identifiable_share", F.try_divide(F.col("identifiable_positive"), F.col("attempted")))
+
+
+def height_group_table(records: DataFrame, labels: Sequence[str]) -> DataFrame:
+    """(height_group, tiles, status): tiles of each status as a map, for every label, also those without tiles."""
+    n = records.groupBy("height_group", "status").agg(F.count("*").alias("n"))
+    by = n.groupBy("height_group").agg(F.sum("n").alias("tiles"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("status", "n")))).alias("status"))  # a few statuses
+    every = records.sparkSession.createDataFrame([(x,) for x in labels], "height_group string")
+    none = F.create_map().cast("map<string,bigint>")
+    return every.join(by, "height_group", "left").select("height_group", F.coalesce("tiles", F.lit(0)).alias("tiles"), F.coalesce("status", none).alias("status"))

@@ -40,6 +40,24 @@ def link_alignment(surface: Column, panel: Column) -> Column:
     return bound(reasons, lambda r: F.struct((F.size(r) == 0).alias("aligned"), r.alias("reasons")))
 
 
+def diagnostic_eligibility(kind: str, surface: Column, diagnostic: Column, source_dsm=None, validated_dsm=None, product=None) -> Column:
+    """struct(available, reason): an error or confidence layer lies only over the very DSM that was validated, on the same grid.
+
+    source_dsm: what the surface says it was exported from; validated_dsm: what the diagnostic validates; product: what it says it is of.
+    """
+    none = F.lit(None).cast("string")
+    declared, validated, of = (none if x is None else x for x in (source_dsm, validated_dsm, product))
+    apart = alignment_reasons(surface, diagnostic)
+    reason = (
+        F.when(~surface["product_type"].eqNullSafe(F.lit("dsm")), f"{kind} is of the source DSM, not of this surface").when(diagnostic.isNull(), f"no {kind} raster")
+        .when(~diagnostic["product_type"].eqNullSafe(F.lit(kind)), f"the linked file is no {kind} product")
+    )
+    if kind == "error":
+        reason = reason.when(of != "dsm", "the error map validates another product")
+    reason = reason.when(normalised_path(declared) != normalised_path(validated), "another DSM was validated").when(F.size(apart) > 0, F.array_join(apart, "; "))
+    return bound(reason, lambda r: F.struct(r.isNull().alias("available"), r.alias("reason")))
+
+
 def pixel_for(shown: Column, measured: Column, x: Column, z: Column, origin_x: Column, origin_y: Column) -> Column:
     """struct(row, col, map_x, map_y, reason): the measured raster's pixel below a world point of the shown surface.
 

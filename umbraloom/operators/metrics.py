@@ -71,6 +71,16 @@ def merged_errors(sums: DataFrame, by: Sequence[str], tile: str | None = None) -
     return sums.groupBy(*by).agg(*agg).withColumn("reason", F.when(F.coalesce("n", F.lit(0)) == 0, "not yet measured"))
 
 
+def paired_gap(sums: DataFrame, control: DataFrame, by: Sequence[str], tile: str) -> DataFrame:
+    """(by, tiles, mae_gap, rmse_gap): errors less those of a control, over the tiles that have both; null where either has no row.
+
+    Both are sufficient statistics (by, tile, n, sum_abs, sum_sq, sum_err).
+    """
+    both = sums.select(tile).distinct().join(control.select(tile).distinct(), tile, "left_semi")
+    a, b = (merged_errors(s.join(both, tile, "left_semi"), by, tile).select(*by, "tiles", *(F.col(c).alias(f"_{c}{k}") for c in ("mae", "rmse"))) for k, s in enumerate((sums, control)))
+    return a.join(b.drop("tiles"), [*by], "left").select(*by, "tiles", *((F.col(f"_{c}0") - F.col(f"_{c}1")).alias(f"{c}_gap") for c in ("mae", "rmse")))
+
+
 def scale_invariant_loss(pixels: DataFrame, sample: str, p: str = "p", r: str = "r", lam: float = 0.5, least: int = 32) -> DataFrame:
     """(sample, n, usable, loss): mean(d^2) - lam * mean(d)^2 of d = log p - log r, at least 0; a sample needs min(least, its pixels) valid ones."""
     ok = (F.col(p) > 0) & (F.col(r) > 0) & ~(not_finite(p) | not_finite(r))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from umbraloom.functions import metadata as M
-from umbraloom.operators import distributions, links, lod
+from umbraloom.functions import values as V
+from umbraloom.operators import distributions, links, lod, metrics
 from umbraloom.plans.catalogue import CELLS, DENSE, cells, query, read, rounded
 from umbraloom.plans.catalogue import dense as dense_cells
 
@@ -115,3 +116,62 @@ def merged_counts(spark, sf_dir):
 def expected_steps(spark, sf_dir):
     n = read(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("scene_id")).agg(F.count("*").alias("tiles"))
     return n.withColumn("steps", distributions.expected_steps("tiles", 4, 3))
+
+
+@query("city_census", """WITH p AS (SELECT p_partkey AS stem, 'city' || p_size % 3 AS city, p_partkey % 60 AS scene_id FROM part), f AS (SELECT *, row_number() OVER (PARTITION BY scene_id ORDER BY stem) AS k FROM p),
+    c AS (SELECT city, stem, l_suppkey % 4 AS building_id, count(*) AS n, median(CASE WHEN l_quantity > 5 THEN l_quantity END) AS h FROM lineitem JOIN f ON stem = l_partkey AND k = 1 GROUP BY ALL)
+    SELECT city, count(DISTINCT scene_id) AS scenes, coalesce(any_value(components), 0) AS components, coalesce(any_value(small), 0) AS small, coalesce(any_value(pixels), 0) AS pixels, coalesce(any_value(small_pixels), 0) AS small_pixels, coalesce(any_value(heights), 0) AS heights, round(any_value(p50), 6) AS p50, round(any_value(p90), 6) AS p90
+    FROM f LEFT JOIN (SELECT city, count(*) AS components, count(*) FILTER (n < 6) AS small, sum(n)::BIGINT AS pixels, (sum(n) FILTER (n < 6))::BIGINT AS small_pixels, count(h) FILTER (n >= 6) AS heights, quantile_cont(h, 0.5) FILTER (n >= 6) AS p50, quantile_cont(h, 0.9) FILTER (n >= 6) AS p90 FROM c GROUP BY city) g USING (city) WHERE k = 1 GROUP BY city""")
+def city_census(spark, sf_dir):
+    k = F.col("p_partkey")
+    pairs = read(spark, sf_dir, "part").select(k.alias("stem"), F.concat(F.lit("city"), (F.col("p_size") % 3).cast("string")).alias("city"), (k % 60).alias("scene_id"))
+    px = read(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("stem"), (F.col("l_suppkey") % 4).alias("building_id"), F.when(F.col("l_quantity") > 5, F.col("l_quantity").cast("double")).otherwise(float("nan")).alias("height_m"))
+    return rounded(distributions.city_census(pairs, px, 6))
+
+
+FITS_SQL = "f AS (SELECT o_orderpriority AS city, CASE o_orderkey % 6 WHEN 0 THEN 'identifiable_positive' WHEN 1 THEN 'statistically_weak' WHEN 2 THEN 'non_positive' WHEN 3 THEN 'numerically_unstable' WHEN 4 THEN 'insufficient_constraints' END AS c, CASE WHEN o_orderkey % 6 < 3 OR o_orderkey % 6 = 5 THEN o_totalprice END AS a FROM orders)"
+
+
+@query("fit_stats", f"WITH {FITS_SQL} SELECT city, count(c) AS attempted, count(a) FILTER (c IS NOT NULL) AS returned, count(*) FILTER (c = 'identifiable_positive') AS identifiable_positive, count(*) FILTER (c = 'statistically_weak') AS statistically_weak, count(*) FILTER (c = 'non_positive') AS non_positive, count(*) FILTER (c = 'numerically_unstable') AS numerically_unstable, count(*) FILTER (c = 'insufficient_constraints') AS insufficient_constraints, round(median(a) FILTER (c IS NOT NULL), 6) AS median_slope, round(count(*) FILTER (c = 'identifiable_positive') / nullif(count(c), 0), 6) AS identifiable_share FROM f GROUP BY city")
+def fit_stats(spark, sf_dir):
+    k = F.col("o_orderkey") % 6
+    names = F.array(*map(F.lit, distributions.FIT_CLASSES))
+    f = read(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("city"), F.get(names, k.cast("int")).alias("fit_class"), F.when((k < 3) | (k == 5), F.col("o_totalprice")).alias("a"))
+    return rounded(distributions.fit_stats(f, ["city"]))
+
+
+@query("height_group_tiles", "WITH g(height_group, low, high) AS (VALUES ('0-5 m', -1e9, 5), ('5-10 m', 5, 10), ('10-20 m', 10, 20), ('>=20 m', 20, 1e9)), t AS (SELECT s_nationkey % 12 * 1.5 AS h, 'status' || s_suppkey % 3 AS status FROM supplier), n AS (SELECT height_group, status, count(status) AS n FROM g LEFT JOIN t ON h >= low AND h < high GROUP BY 1, 2) SELECT height_group, sum(n)::BIGINT AS tiles, coalesce(string_agg(status || '=' || n, ',' ORDER BY status), '') AS status FROM n GROUP BY 1")
+def height_group_tiles(spark, sf_dir):
+    t = read(spark, sf_dir, "supplier").select(V.height_group(F.col("s_nationkey") % 12 * 1.5).alias("height_group"), F.concat(F.lit("status"), (F.col("s_suppkey") % 3).cast("string")).alias("status"))
+    got = distributions.height_group_table(t, [x for _, x in V.HEIGHT_GROUPS])
+    text = F.array_join(F.transform(F.map_entries("status"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
+    return got.select("height_group", "tiles", text.alias("status"))
+
+
+@query("paired_gap", """WITH a AS (SELECT l_returnflag AS region, l_suppkey AS tile, l_quantity AS p, l_linenumber AS r FROM lineitem WHERE l_suppkey % 3 > 0), b AS (SELECT l_returnflag AS region, l_suppkey AS tile, l_quantity / 2 AS p, l_linenumber AS r FROM lineitem WHERE l_suppkey % 5 > 0),
+    x AS (SELECT region, count(DISTINCT tile) AS tiles, avg(abs(p - r)) AS mae, sqrt(avg((p - r) * (p - r))) AS rmse FROM a WHERE tile IN (SELECT tile FROM b) GROUP BY region), y AS (SELECT region, avg(abs(p - r)) AS mae, sqrt(avg((p - r) * (p - r))) AS rmse FROM b WHERE tile IN (SELECT tile FROM a) GROUP BY region)
+    SELECT region, tiles, round(x.mae - y.mae, 6) AS mae_gap, round(x.rmse - y.rmse, 6) AS rmse_gap FROM x LEFT JOIN y USING (region)""")
+def paired_gap(spark, sf_dir):
+    px = read(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("region"), F.col("l_suppkey").alias("tile"), F.col("l_quantity").alias("p"), F.col("l_linenumber").alias("r"))
+    a = metrics.error_sums(px.where("tile % 3 > 0"), ["region", "tile"])
+    b = metrics.error_sums(px.where("tile % 5 > 0").withColumn("p", F.col("p") / 2), ["region", "tile"])
+    return rounded(metrics.paired_gap(a, b, ["region"], "tile"))
+
+
+@query("candidate_tables", "SELECT event_id, concat_ws(',', CASE WHEN event_type = 'view' THEN 'gdal:default' END, CASE WHEN user_id % 2 = 0 THEN 'gdal:A' END, 'gdal:B', CASE WHEN user_id % 3 = 0 THEN 'rpc' END, CASE WHEN user_id % 5 = 0 THEN 'imd:x.IMD' END) AS labels, CASE WHEN user_id % 2 = 0 THEN '1' ELSE '2' END AS first_of_b FROM events")
+def candidate_tables(spark, sf_dir):
+    u, empty = F.col("user_id"), F.create_map().cast("map<string,string>")
+    table = lambda v: F.create_map(F.lit("k"), F.lit(v))
+    named = lambda name, t: F.struct(F.lit(name).alias("name"), t.alias("table"))
+    domains = F.when(u % 2 == 0, F.array(named("A", table("0")), named("B", table("1")), named("B", table("2")))).otherwise(F.array(named("A", empty), named("B", table("2"))))
+    e = read(spark, sf_dir, "events").select("event_id", M.candidate_tables(F.when(F.col("event_type") == "view", table("d")).otherwise(empty), domains, F.when(u % 3 == 0, table("r")), F.when(u % 5 == 0, F.array(named("x.IMD", table("s"))))).alias("t"))
+    return e.select("event_id", F.array_join(F.transform("t", lambda x: x["label"]), ",").alias("labels"), F.get(F.filter("t", lambda x: x["label"] == "gdal:B"), 0)["table"]["k"].alias("first_of_b"))
+
+
+@query("layer_eligibility", """SELECT p_partkey, reason IS NULL AS available, reason FROM (SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN 'error is of the source DSM, not of this surface' WHEN p_partkey % 5 = 0 THEN 'no error raster' WHEN p_partkey % 3 = 0 THEN 'the linked file is no error product' WHEN p_size % 4 = 0 THEN 'the error map validates another product' WHEN p_size % 6 = 1 THEN 'another DSM was validated' WHEN p_size % 5 = 0 THEN 'sizes differ; CRS differ' END AS reason FROM part)""")
+def layer_eligibility(spark, sf_dir):
+    k, s = F.col("p_partkey"), F.col("p_size")
+    surface = raster("s", 64, 64, "x", 0.5, 10, 20, product=F.when(k % 7 == 0, "dtm").otherwise("dsm"))
+    layer = F.when(k % 5 > 0, raster("e", F.when(s % 5 == 0, 65).otherwise(64), 64, F.when(s % 5 > 0, "x"), 0.5, 10, 20, product=F.when(k % 3 == 0, "confidence").otherwise("error")))
+    got = links.diagnostic_eligibility("error", surface, layer, F.when(s % 6 == 1, "a/c").otherwise("a/./b"), F.lit("a//b"), F.when(s % 4 == 0, "dtm").otherwise("dsm"))
+    return read(spark, sf_dir, "part").select("p_partkey", got.alias("g")).select("p_partkey", "g.*")
