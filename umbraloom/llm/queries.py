@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from umbraloom.llm import decontamination, ngram_join, repeats
+from umbraloom.llm import decontamination, fill_in_middle, ngram_join, repeats
 from umbraloom.llm.common import Scratch, table
 from umbraloom.llm.decontamination import decontaminate
 from umbraloom.llm.exact_dedup import exact_dedup
@@ -63,6 +63,12 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), with_text=False).drop("kept")
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle.fill_in_middle(table(spark, sf_dir, "documents"))
+    text = fill_in_middle.restored(F.col("output"), F.col("form"))
+    return made.withColumns({"output_sha256": F.sha2("output", 256), "restored_sha256": F.sha2(text, 256)}).drop("output")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_url_filter": op2_url_filter,
@@ -74,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_ngram_join": op9_ngram_join,
     "op10_repeats": op10_repeats,
+    "op11_fill_in_middle": op11_fill_in_middle,
 }
 
 SQL: dict[str, str] = {
@@ -87,4 +94,5 @@ SQL: dict[str, str] = {
     "op6_licences": licence_sql(),
     "op9_ngram_join": ngram_join.SQL,
     "op10_repeats": repeats.SQL,
+    "op11_fill_in_middle": fill_in_middle.SQL,
 }
