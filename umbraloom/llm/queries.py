@@ -8,10 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from umbraloom.llm import decontamination, fill_in_middle, ngram_join, repeats
+from umbraloom.llm import alignment, decontamination, fill_in_middle, ngram_join, repeats
 from umbraloom.llm.common import Scratch, table
 from umbraloom.llm.decontamination import decontaminate
 from umbraloom.llm.exact_dedup import exact_dedup
+from umbraloom.llm.hmm import hmm_scores
 from umbraloom.llm.html_text import extract
 from umbraloom.llm.licences import licence_scan, licence_sql
 from umbraloom.llm.ngram_join import ngram_components
@@ -19,6 +20,7 @@ from umbraloom.llm.packing import pack
 from umbraloom.llm.pii import pseudonymise
 from umbraloom.llm.quality import quality_scores
 from umbraloom.llm.repeats import remove_repeats
+from umbraloom.llm.tokens import ByteBpe, Pieces
 from umbraloom.llm.url_filter import url_filter, url_filter_sql
 
 
@@ -69,6 +71,15 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.withColumns({"output_sha256": F.sha2("output", 256), "restored_sha256": F.sha2(text, 256)}).drop("output")
 
 
+def op12_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm_scores(table(spark, sf_dir, "documents"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b, pattern = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.PATTERN
+    return alignment.align_tokenizers(table(spark, sf_dir, "documents"), lambda: (ByteBpe(a, pattern), Pieces(b)), Pieces(b).size)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_url_filter": op2_url_filter,
@@ -81,6 +92,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_ngram_join": op9_ngram_join,
     "op10_repeats": op10_repeats,
     "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_hmm": op12_hmm,
+    "op13_token_alignment": op13_token_alignment,
 }
 
 SQL: dict[str, str] = {
