@@ -110,15 +110,6 @@ def test_components_against_flood(seed, h, w, n):
     assert (got == want).all()
 
 
-def test_nearest_fill_against_brute():
-    rng = np.random.default_rng(5)
-    z = np.where(rng.random((13, 9)) < 0.3, rng.random((13, 9)), np.nan)
-    got, ok = morphology.filled_nearest(z), np.argwhere(~np.isnan(z))
-    for r, c in np.argwhere(np.isnan(z)):
-        d = ((ok - [r, c]) ** 2).sum(axis=1)
-        assert got[r, c] in {z[tuple(p)] for p in ok[d == d.min()]}
-
-
 def test_ray_stops_at_gap_and_skips(spark):
     marks = "ssskk.....s"  # s shadow, k skipped, . neither
     df = spark.createDataFrame([(1, i, c) for i, c in enumerate(marks, 1)] + [(2, i, "s") for i in range(1, 4)], "ray int, k int, m string")
@@ -170,23 +161,6 @@ def test_box_outside_is_refused(spark):
         scenes.boxes_px(b, 0.5, 512, 512).collect()
 
 
-def test_terrain_under_a_box():
-    r, c = np.mgrid[0:30, 0:30]
-    plane = 5 + 0.1 * r - 0.05 * c
-    z, ground = plane.copy(), np.ones((30, 30), bool)
-    z[10:18, 8:20] += 12
-    ground[10:18, 8:20] = False
-    dtm, final, _ = surfaces.terrain_grid(z, ground, 0.5)
-    assert np.abs(dtm - plane).max() < 1e-9 and not final[12, 12]
-
-
-def test_delaunay_is_empty_of_points():
-    p = np.random.default_rng(4).random((40, 2))
-    for t in surfaces.delaunay(p):
-        x, y, r2 = surfaces._circle(p[t])
-        assert (((p - [x, y]) ** 2).sum(axis=1) >= r2 - 1e-9).all()
-
-
 def test_resampled_plane(spark):
     dem = spark.createDataFrame([("d", r, c, 3.0 + 2 * (c + 0.5) - (r + 0.5)) for r in range(6) for c in range(6)], "dem_id string, row int, col int, z double")
     t = F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b"), F.lit(0.0).alias("c"), F.lit(0.0).alias("d"), F.lit(1.0).alias("e"), F.lit(0.0).alias("f"))

@@ -9,6 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from umbraloom.operators.lineage import cut
+from umbraloom.operators.unions import ranked, united
+
 #: Least footprint area, class of roofs.
 MIN_AREA_PX, BUILDING_CLASS = 50, 6
 
@@ -139,3 +142,43 @@ def assessed(shadows: DataFrame, footprints: DataFrame, agl: DataFrame, building
     heights = footprints.select(*at, "row", "col").join(agl.select(*px, "z"), px, "left").groupBy(*at).agg((F.count("z") / F.count("*")).alias("valid_fraction"), F.percentile("z", 0.5).alias("height_m"))
     out = shadows.join(solidity(footprints, at), at, "left").join(isolation(footprints, buildings, distance, by, key), at, "left").join(heights, at, "left").join(zone, at, "left")
     return out.withColumn("rel_spread", F.try_divide(F.col("spread_px"), F.col("length_px")))
+
+
+def tiled_footprints(labels: DataFrame, tile: int = 512, building_class: int = BUILDING_CLASS, connectivity: int = 4, by: Sequence[str] = ("scene_id",)) -> DataFrame:
+    """labels (by, row, col, cls) of rasters of any size -> (by, building_id, row, col) of the class's components; ids are <by>:b0001 in raster order of each component's first pixel.
+
+    Pixels are labelled within tiles, so a group is a tile. A label is its first pixel's place in the whole raster. Pixels that touch across a border tie labels together,
+    and the labels, not the pixels, are united. A component that stays inside its tile has no tie and takes no part in that. Results do not depend on the size of tiles.
+    Rows whose place is null are left out; repeated pixels count once; an empty table gives no rows.
+    """
+    by = list(by)
+    place = F.col("row").cast("long") * (1 << 32) + F.col("col")
+    kinds = ", ".join(f"{b} {labels.schema[b].dataType.simpleString()}" for b in by)
+    px = labels.where((F.col("cls") == building_class) & F.col("row").isNotNull() & F.col("col").isNotNull()).select(*by, F.col("row").cast("int"), F.col("col").cast("int")).distinct()
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        r0, c0 = int(pdf["row"].min()), int(pdf["col"].min())
+        r, c = pdf["row"].to_numpy() - r0, pdf["col"].to_numpy() - c0
+        mask = np.zeros((r.max() + 1, c.max() + 1), bool)
+        mask[r, c] = True
+        found = label_grid(mask, connectivity)
+        first = np.full(found.max() + 1, np.iinfo(np.int64).max)
+        rows, cols = np.nonzero(found)
+        np.minimum.at(first, found[rows, cols], (rows + r0).astype(np.int64) * (1 << 32) + cols + c0)
+        return pdf[[*by, "row", "col"]].assign(label=first[found[r, c]])
+
+    cells = px.withColumns({"_tr": F.floor(F.col("row") / tile), "_tc": F.floor(F.col("col") / tile)})
+    marked = cut(cells.groupBy(*by, "_tr", "_tc").applyInPandas(run, f"{kinds}, row int, col int, label long"))
+    # pixels of the last row or column of a tile, beside those of the next tiles; diagonal ones as well where eight neighbours touch
+    steps = [(0, 1), (1, 0)] + ([(1, 1), (1, -1)] if connectivity == 8 else [])
+    lies = lambda dr, dc: (F.floor((F.col("row") + dr) / tile) != F.floor(F.col("row") / tile)) | (F.floor((F.col("col") + dc) / tile) != F.floor(F.col("col") / tile))
+    moved = F.filter(F.array(*(F.when(lies(dr, dc), F.struct((F.col("row") + dr).alias("row"), (F.col("col") + dc).alias("col"))) for dr, dc in steps)), lambda s: s.isNotNull())
+    across = marked.select(*by, F.col("label").alias("a"), F.explode(moved).alias("s")).select(*by, "a", F.col("s.row").alias("row"), F.col("s.col").alias("col"))
+    edge = (F.pmod("row", F.lit(tile)) == 0) | (F.pmod("col", F.lit(tile)).isin(0, tile - 1))
+    ties = across.join(marked.where(edge).select(*by, "row", "col", F.col("label").alias("b")), [*by, "row", "col"]).select(*by, "a", "b").where("a != b").distinct()
+    roots = united(ties, by)
+    whole = marked.join(roots, [*by, "label"], "left").select(*by, "row", "col", F.coalesce("root", "label").alias("_root"))
+    numbers = ranked(whole.where(F.col("_root") == place).select(*by, "_root"), by, "_root", "_k", bits=42)
+    tag = F.concat_ws(":", *(F.col(b).cast("string") for b in by), F.concat(F.lit("b"), F.lpad(F.col("_k").cast("string"), 4, "0")))
+    wide = F.concat_ws(":", *(F.col(b).cast("string") for b in by), F.concat(F.lit("b"), F.col("_k").cast("string")))
+    return whole.join(numbers, [*by, "_root"]).select(*by, F.when(F.col("_k") < 10_000, tag).otherwise(wide).alias("building_id"), "row", "col")

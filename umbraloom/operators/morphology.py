@@ -6,6 +6,7 @@ in the frame already. Frames count rows, so a grid has to be dense: densify it f
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 
 import numpy as np
@@ -84,37 +85,52 @@ def block_sums(blocks: DataFrame, sat: DataFrame, by: Sequence[str], name: str =
     return out.select(*blocks.columns, (v[0] - v[1] - v[2] + v[3]).alias("inside"))
 
 
-def nearest_fill(cells: DataFrame, by: Sequence[str], value: str = "z") -> DataFrame:
-    """The cells with `filled`: invalid ones take the value of the nearest valid cell (Euclidean; ties by row, then col).
+def nearest_fill(cells: DataFrame, by: Sequence[str], value: str = "z", strip: int = 16) -> DataFrame:
+    """The cells of a dense grid with `filled`: invalid ones take the value of the nearest valid cell (Euclidean; ties by row, then col).
 
-    Nearest along each row first, then among the rows: for each cell the best of one candidate from each row, which is exact and needs
-    no pair of all cells. A grid is one group; cut large ones into tiles with a halo.
+    Two passes over lines, so no task holds a raster. Along each row, windows find the nearest valid cell. Along each column the least squared distance over all rows is the lower
+    envelope of one parabola for each row, which is exact; columns are dealt in strips. A grid without valid cells stays null.
     """
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cells.schema.fields) + ", filled double"
+    seen = F.when(F.col(value).isNotNull() & ~F.isnan(value), F.struct(F.col("col").alias("c"), F.col(value).cast("double").alias("z")))
+    row = Window.partitionBy(*by, "row").orderBy("col")
+    left, right = F.last(seen, ignorenulls=True).over(row.rowsBetween(Window.unboundedPreceding, 0)), F.first(seen, ignorenulls=True).over(row.rowsBetween(0, Window.unboundedFollowing))
+    near = cells.withColumns({"_l": left, "_r": right})
+    nearer = F.col("_r").isNull() | (F.col("col") - F.col("_l.c") <= F.col("_r.c") - F.col("col"))  # the left one of two
+    at = F.when(F.col("_l").isNotNull() & nearer, F.col("_l")).otherwise(F.col("_r"))
+    near = near.withColumn("_a", at).withColumns({"_d": F.abs(F.col("col") - F.col("_a.c")).cast("long"), "_z": F.col("_a.z"), "_strip": F.floor(F.col("col") / strip)}).drop("_l", "_r", "_a")
+    kept, names = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cells.schema.fields), cells.columns
 
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        h, w = int(pdf["row"].max()) + 1, int(pdf["col"].max()) + 1
-        z = np.full((h, w), np.nan)
-        z[pdf["row"], pdf["col"]] = pdf[value].to_numpy(float)
-        return pdf.assign(filled=filled_nearest(z)[pdf["row"], pdf["col"]])
-
-    return cells.groupBy(*by).applyInPandas(fill, schema)
-
-
-def filled_nearest(z: np.ndarray) -> np.ndarray:
-    ok = ~np.isnan(z)
-    if ok.all() or not ok.any():
-        return z
-    h, w = z.shape
-    cols = np.arange(w)
-    left = np.maximum.accumulate(np.where(ok, cols, -(10**6)), axis=1)
-    right = np.minimum.accumulate(np.where(ok, cols, 10**6)[:, ::-1], axis=1)[:, ::-1]
-    near = np.where(cols - left <= right - cols, left, right)  # nearest valid column in each row, the left one of two
-    far = np.minimum(np.abs(cols - near), 10**6).astype(np.int64) ** 2
-    out = z.copy()
-    for r, c in zip(*np.nonzero(~ok), strict=True):
-        d = far[:, c] + (np.arange(h) - r) ** 2
-        k = int(np.argmin(d))
-        out[r, c] = z[k, near[k, c]]
-    return out
+        pdf = pdf.sort_values(["col", "row"], kind="stable").reset_index(drop=True)
+        out = pdf["_z"].to_numpy(float).copy()
+        rows, d, ok = pdf["row"].to_numpy(np.int64), pdf["_d"].fillna(-1).to_numpy(np.int64), pdf["_d"].notna().to_numpy()
+        cut = [0, *np.flatnonzero(np.diff(pdf["col"].to_numpy())) + 1, len(pdf)]
+        for a, b in itertools.pairwise(cut):
+            if d[a:b].any() and ok[a:b].any():
+                best = nearest_rows(rows[a:b], np.where(ok[a:b], d[a:b], -1))
+                out[a:b] = out[a + best]
+        return pdf[names].assign(filled=out)
+
+    return near.groupBy(*by, "_strip").applyInPandas(fill, f"{kept}, filled double")
+
+
+def nearest_rows(rows: np.ndarray, distances: np.ndarray) -> np.ndarray:
+    """For each of the ascending rows of a column, which index k makes (row - rows[k])^2 + distances[k]^2 least; the first of equal ones. -1: k is no candidate, but some k is."""
+    ks: list[int] = []
+    starts: list[int] = []  # from which row on each beats all before it
+    row, far = rows.tolist(), distances.tolist()
+    for k, (r, d) in enumerate(zip(row, far, strict=True)):
+        if d < 0:
+            continue
+        height, start = r * r + d * d, row[0]
+        while ks:
+            j = ks[-1]
+            start = (height - row[j] ** 2 - far[j] ** 2) // (2 * (r - row[j])) + 1
+            if start > starts[-1]:
+                break
+            ks.pop()
+            starts.pop()
+            start = row[0]
+        ks.append(k)
+        starts.append(start)
+    return np.array(ks)[np.searchsorted(starts, rows, side="right") - 1]

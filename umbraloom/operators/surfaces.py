@@ -5,16 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from umbraloom.functions.geometry import map_to_pixel_index
 from umbraloom.functions.values import calibrated_agl
-from umbraloom.operators.morphology import filled_nearest, ground_filter
-
-#: Passes of the terrain's re-admission.
-PASSES = 5
+from umbraloom.operators.morphology import ground_filter
+from umbraloom.operators.terrain import interpolate_dtm
 
 
 def fuse_dsm(terrain: DataFrame, relative: DataFrame, a, b, at: Sequence[str] = ("scene_id", "row", "col")) -> DataFrame:
@@ -76,112 +73,6 @@ def resample_terrain(targets: DataFrame, dem: DataFrame, grids: DataFrame, dem_i
     return got.groupBy(*targets.columns).agg(F.when(F.count("_z") == F.count("*"), F.sum(F.col("_z") * F.col("_w"))).alias("terrain"))
 
 
-def delaunay(p: np.ndarray) -> np.ndarray:
-    """Triangles (n, 3) of points in the plane by insertion with a flip of cavities (Bowyer and Watson)."""
-    lo, hi = p.min(axis=0), p.max(axis=0)
-    size, mid = max(1.0, float((hi - lo).max())), (lo + hi) / 2
-    q = np.vstack([p, mid + size * np.array([[-60.0, -30.0], [60.0, -30.0], [0.0, 60.0]])])
-    n = len(p)
-    tri = {0: (n, n + 1, n + 2)}
-    circle = {0: _circle(q[[n, n + 1, n + 2]])}
-    serial = 1
-    for i in np.lexsort((p[:, 1], p[:, 0])):
-        keys = np.fromiter(circle, int, len(circle))
-        cs = np.array([circle[k] for k in keys])
-        bad = keys[((cs[:, :2] - q[i]) ** 2).sum(axis=1) < cs[:, 2] * (1 - 1e-12)]
-        edges: dict[tuple[int, int], int] = {}
-        for k in bad.tolist():
-            a, b, c = tri.pop(k)
-            circle.pop(k)
-            for e in ((a, b), (b, c), (c, a)):
-                key = (min(e), max(e))
-                edges[key] = edges.get(key, 0) + 1
-        for (a, b), times in edges.items():
-            if times == 1:
-                got = _circle(q[[a, b, i]])
-                if got is not None:
-                    tri[serial], circle[serial] = (a, b, int(i)), got
-                    serial += 1
-    return np.array([t for t in tri.values() if max(t) < n], int).reshape(-1, 3)
-
-
-def _circle(t: np.ndarray) -> tuple[float, float, float] | None:
-    (ax, ay), (bx, by), (cx, cy) = t
-    d = 2 * (ax * (by - cy) + bx * (cy - ay) + cx * (ay - by))
-    if d == 0:
-        return None
-    sa, sb, sc = ax * ax + ay * ay, bx * bx + by * by, cx * cx + cy * cy
-    x, y = (sa * (by - cy) + sb * (cy - ay) + sc * (ay - by)) / d, (sa * (cx - bx) + sb * (ax - cx) + sc * (bx - ax)) / d
-    return x, y, (ax - x) ** 2 + (ay - y) ** 2
-
-
-def tin(points: np.ndarray, z: np.ndarray, targets: np.ndarray) -> np.ndarray:
-    """Linear interpolation inside the triangles of the points; NaN outside of their hull."""
-    out = np.full(len(targets), np.nan)
-    if len(points) < 3:
-        return out
-    for t in delaunay(points):
-        a, b, c = points[t]
-        m = np.array([b - a, c - a]).T
-        det = np.linalg.det(m)
-        if det == 0:
-            continue
-        lo, hi = points[t].min(axis=0), points[t].max(axis=0)
-        near = np.flatnonzero(np.isnan(out) & (targets >= lo - 1e-9).all(axis=1) & (targets <= hi + 1e-9).all(axis=1))
-        u = np.linalg.solve(m, (targets[near] - a).T)
-        ok = (u[0] >= -1e-9) & (u[1] >= -1e-9) & (u.sum(axis=0) <= 1 + 1e-9)
-        out[near[ok]] = z[t[0]] + u[0, ok] * (z[t[1]] - z[t[0]]) + u[1, ok] * (z[t[2]] - z[t[0]])
-    return out
-
-
-def _rim(ground: np.ndarray) -> np.ndarray:
-    """Ground pixels beside others, and those of the border: what triangles over the gaps stand on."""
-    g = np.pad(ground, 1, constant_values=False)
-    beside = np.zeros_like(ground)
-    for dr in (0, 1, 2):
-        for dc in (0, 1, 2):
-            beside |= ~g[dr : dr + ground.shape[0], dc : dc + ground.shape[1]]
-    return ground & beside
-
-
-def terrain_grid(z: np.ndarray, ground: np.ndarray, readmit: float, passes: int = PASSES) -> tuple[np.ndarray, np.ndarray, int]:
-    """Terrain of one grid: ground keeps its height, gaps are a TIN inside the ground's hull and the nearest ground outside.
-
-    Each pass takes pixels within `readmit` of the terrain back as ground; it stops when there are none."""
-    ok = ~np.isnan(z)
-    ground = ground & ok
-    out = np.where(ground, z, np.nan)
-    for k in range(passes + 1):
-        gaps = np.argwhere(~ground)
-        out = np.where(ground, z, np.nan)
-        near = filled_nearest(out)
-        if len(gaps) and ground.any():
-            rim = np.argwhere(_rim(ground))
-            got = tin(rim.astype(float), z[tuple(rim.T)], gaps.astype(float))
-            out[tuple(gaps.T)] = np.where(np.isnan(got), near[tuple(gaps.T)], got)
-        again = ok & ~ground & (np.abs(z - out) <= readmit)
-        if k == passes or not again.any():
-            return out, ground, k
-        ground = ground | again
-
-
-def interpolate_dtm(cells: DataFrame, by: Sequence[str], value: str = "z", readmit_m: float = 0.5, passes: int = PASSES) -> DataFrame:
-    """The cells (with is_ground) with dtm and is_final_ground. A grid is one group: cut large ones into tiles with a halo."""
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cells.schema.fields)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        r0, c0 = pdf["row"].min(), pdf["col"].min()
-        r, c = pdf["row"] - r0, pdf["col"] - c0
-        z = np.full((r.max() + 1, c.max() + 1), np.nan)
-        ground = np.zeros(z.shape, bool)
-        z[r, c] = pdf[value].to_numpy(float)
-        ground[r, c] = pdf["is_ground"].to_numpy(bool)
-        dtm, final, _ = terrain_grid(z, ground, readmit_m, passes)
-        return pdf.assign(dtm=dtm[r, c], is_final_ground=final[r, c])
-
-    return cells.groupBy(*by).applyInPandas(run, f"{kinds}, dtm double, is_final_ground boolean")
-
-
 def acceptance(pixels: DataFrame, by: Sequence[str], derived: str, truth: str, tolerance: float) -> DataFrame:
     """max, mean absolute, RMSE and bias of a derived surface, and whether the largest is within the tolerance."""
     e = F.col(derived) - F.col(truth)
