@@ -217,30 +217,33 @@ def expected(model: Model, symbols: np.ndarray, starts: np.ndarray, lengths: np.
     n, top = len(starts), int(lengths[0])
     active = np.searchsorted(-lengths, -np.arange(top), side="left")  # stretches with more than t tokens
     seen = symbols[np.minimum(starts[None] + np.arange(top)[:, None], len(symbols) - 1)]
-    moves, back = model.moves.astype(np.float32), np.ascontiguousarray(model.moves.T.astype(np.float32))
-    e = model.emits.astype(np.float32)[seen]
-    alpha = np.zeros((top, n, k), np.float32)
-    alpha[0] = np.where(opening[:, None], model.first.astype(np.float32), model.middle.astype(np.float32)) * e[0]
-    scale = np.ones((top, n, 1), np.float32)
+    # by token, state and stretch: sums over states are then sums of whole rows
+    moves, back = np.ascontiguousarray(model.moves.T.astype(np.float32)), model.moves.astype(np.float32)
+    e = np.empty((top, k, n), np.float32)
+    table = model.emits.T.astype(np.float32)
+    for s in range(k):
+        e[:, s] = table[s][seen]
+    alpha, scale = np.zeros((top, k, n), np.float32), np.ones((top, n), np.float32)
+    alpha[0] = np.where(opening, model.first.astype(np.float32)[:, None], model.middle.astype(np.float32)[:, None]) * e[0]
     for t in range(top):
         m = active[t]
         if t:
-            np.multiply(alpha[t - 1, :m] @ moves, e[t, :m], out=alpha[t, :m])
-        scale[t, :m] = alpha[t, :m].sum(axis=1, keepdims=True)
-        alpha[t, :m] /= scale[t, :m]
-    gone, beta = np.zeros((k, k)), np.ones((n, k), np.float32)
-    gamma = alpha
+            np.multiply(moves @ alpha[t - 1, :, :m], e[t, :, :m], out=alpha[t, :, :m])
+        scale[t, :m] = alpha[t, :, :m].sum(axis=0)
+        alpha[t, :, :m] /= scale[t, :m]
+    gone, beta = np.zeros((k, k)), np.ones((k, n), np.float32)
     for t in range(top - 1, -1, -1):
         if t + 1 < top:
             m = active[t + 1]
-            after = e[t + 1, :m] * beta[:m] / scale[t + 1, :m]
-            gone += alpha[t, :m].T @ after
-            beta[:m] = after @ back
-        gamma[t] *= beta  # alpha[t] has been used for the last time
+            after = e[t + 1, :, :m] * beta[:, :m]
+            after /= scale[t + 1, :m]
+            gone += alpha[t, :, :m] @ after.T
+            beta[:, :m] = back @ after
+        alpha[t] *= beta  # the states' probabilities: alpha[t] has been used for the last time
     mask = np.arange(top)[:, None] < lengths[None]
-    at, weights = seen[mask], gamma[mask].astype(np.float64)
-    emits = np.stack([np.bincount(at, weights[:, s], minlength=len(model.emits)) for s in range(k)], axis=1)
-    return emits, gone * model.moves, gamma[0, opening].sum(axis=0, dtype=np.float64), gamma[0, ~opening].sum(axis=0, dtype=np.float64)
+    at = seen[mask]
+    emits = np.stack([np.bincount(at, alpha[:, s][mask], minlength=len(model.emits)) for s in range(k)], axis=1)
+    return emits, gone * model.moves, alpha[0][:, opening].sum(axis=1, dtype=np.float64), alpha[0][:, ~opening].sum(axis=1, dtype=np.float64)
 
 
 def stretches(lengths: np.ndarray, size: int = STRETCH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
