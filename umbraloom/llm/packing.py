@@ -8,7 +8,6 @@ it, plus a running sum over tasks: no length, however common, is gathered anywhe
 
 from __future__ import annotations
 
-import base64
 import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict
@@ -16,30 +15,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from umbraloom.llm.common import Scratch
+from umbraloom.llm.tokens import ByteBpe
 
 CAPACITY = 2048
 END = 0
-SPECIAL = "<|endoftext|>"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, place long"
 
 
-def encoder(vocabulary: str, pattern: str, special_id: int) -> tiktoken.Encoding:
-    """The byte-level vocabulary's encoder. Its ids are those of the tokenizers file of the same vocabulary (see the tests), several times faster."""
-    with open(vocabulary, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("vocabulary", pat_str=pattern, mergeable_ranks=ranks, special_tokens={SPECIAL: special_id})
-
-
-def encode(e: tiktoken.Encoding, text: str) -> list[int]:
-    return e.encode(text, allowed_special="all") if SPECIAL in text else e.encode_ordinary(text)
-
-
 def cuts(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
     """(start, length) of the pieces of n ids: all but the first are full."""
     first = (n - 1) % capacity + 1
@@ -137,15 +124,15 @@ class Places:
         return sequence, offset
 
 
-def pieces(docs: DataFrame, vocabulary: str, pattern: str, special_id: int = 50256, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, vocabulary: str, pattern: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """The pieces of every document, with their rank among those of their length in the same task."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e, seen, part = encoder(vocabulary, pattern, special_id), defaultdict(int), TaskContext.get().partitionId()
+        e, seen, part = ByteBpe(vocabulary, pattern, special_as_text=False), defaultdict(int), TaskContext.get().partitionId()
         for b in batches:
             out: list[list] = [[] for _ in range(7 + with_ids)]
             for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
-                ids = np.array([*encode(e, text.as_py() or ""), END], "<u4")
+                ids = np.array([*e.encode(text.as_py() or ""), END], "<u4")
                 for k, (start, n) in enumerate(cuts(len(ids), capacity)):
                     own = ids[start : start + n]
                     for c, v in zip(out, (doc_id, k, start, n, zlib.crc32(own.tobytes()), part, seen[n], own.tolist() if with_ids else None), strict=False):
@@ -158,14 +145,14 @@ def pieces(docs: DataFrame, vocabulary: str, pattern: str, special_id: int = 502
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, PIECES + ", ids array<int>" * with_ids)
 
 
-def pack(docs: DataFrame, vocabulary: str, pattern: str, special_id: int = 50256, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, pattern: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset[, ids]) for each piece of every row of docs.
 
-    Null text is empty, and an empty text has one piece with the end id alone. A null doc_id is passed on; repeated rows are
-    packed each. An empty table gives no rows. Sequences are numbered from 0. Other columns are not read.
+    vocabulary is a byte-level tokenizers file, pattern what its texts are split by. Null text is empty, and an empty text has one piece with the end id alone. A null doc_id is passed on; repeated rows are
+    packed each. Very long texts, runs of one character among them, have the ids that the tokenizers library gives. doc_id must be a number, or text of one. An empty table gives no rows. Sequences are numbered from 0. Other columns are not read.
     """
     scratch = Scratch(docs.sparkSession, "packing")
-    cut = scratch.keep(pieces(docs, vocabulary, pattern, special_id, capacity, with_ids), "pieces")
+    cut = scratch.keep(pieces(docs, vocabulary, pattern, capacity, with_ids), "pieces")
     counted = cut.groupBy("part", "length").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     ranks = counted.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
