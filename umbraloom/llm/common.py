@@ -36,6 +36,14 @@ def shards(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that a table lacks: the name, with as many underscores as it takes."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
 def pieces_of(total: int, each: int) -> int:
     """How many pieces of a size a total is cut into."""
     return max(1, -(-int(total or 0) // each))
@@ -78,15 +86,22 @@ class IdFilter:
         h = F.xxhash64(col)
         return F.pmod(h, F.lit(self.words)), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftrightunsigned(h, 32), F.lit(64)).cast("int"))
 
+    def _met(self, df: DataFrame, col: str, how: str) -> tuple[DataFrame, Column, list[str]]:
+        """df with the filter's words beside its rows, the bit of each row, and the names that were added."""
+        word, bit = self._spot(col)
+        at, held = fresh(df, "_word"), fresh(df, "_bits")
+        bits = self.bits.select(F.col("_word").alias(at), F.col("_bits").alias(held))
+        return df.join(F.broadcast(bits), word == F.col(at), how), F.col(held).bitwiseAND(bit), [at, held]
+
     def maybe_in(self, df: DataFrame, col: str) -> DataFrame:
         """The rows whose id may be in the filter."""
-        word, bit = self._spot(col)
-        return df.join(F.broadcast(self.bits), word == F.col("_word")).where(F.col("_bits").bitwiseAND(bit) != 0).drop("_word", "_bits")
+        met, bit, added = self._met(df, col, "inner")
+        return met.where(bit != 0).drop(*added)
 
     def not_in(self, df: DataFrame, col: str) -> DataFrame:
         """The other rows: ids that are surely not in the filter, and null ones."""
-        word, bit = self._spot(col)
-        return df.join(F.broadcast(self.bits), word == F.col("_word"), "left").where(F.coalesce(F.col("_bits").bitwiseAND(bit), F.lit(0)) == 0).drop("_word", "_bits")
+        met, bit, added = self._met(df, col, "left")
+        return met.where(F.coalesce(bit, F.lit(0)) == 0).drop(*added)
 
 
 def frequent(counts: DataFrame, col: str, most: int) -> Column:
@@ -119,13 +134,20 @@ def spread_join(left: DataFrame, right: DataFrame, key: str, scratch: Scratch, n
     return salted.join(copied, [key, "_salt"]).drop("_salt")
 
 
-def without(docs: DataFrame, gone: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """The rows of docs whose doc_id is not in a written column of ids, _id. Only rows that may be in it leave their place."""
-    own = docs.withColumn("_own", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)))
+def without(docs: DataFrame, gone: DataFrame, scratch: Scratch, name: str, digest: Column | None = None) -> DataFrame:
+    """The rows of docs whose doc_id is not in a written column of ids, _id; with a digest of the text, whose (doc_id, digest) is not in (_id, _sha). Only rows
+    that may be in it leave their place. Columns of docs may have any names."""
+    own, there, sha, mine = (fresh(docs, n) for n in ("_own", "_id", "_sha", "_mine"))
+    marked = docs.withColumn(own, F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)))
     listed = IdFilter(scratch, gone, "_id", gone.count(), name)
+    some = listed.maybe_in(marked, own)
+    ids = gone.select(F.col("_id").alias(there), *([F.col("_sha").alias(sha)] if digest is not None else [])).distinct()
+    on = F.col(own) == F.col(there)
+    if digest is not None:
+        some, on = some.withColumn(mine, digest), on & (F.col(mine) == F.col(sha))
     # an anti join would be pushed below the filter's join, to where all rows are shuffled; an outer one stays above it
-    rest = listed.maybe_in(own, "_own").join(gone.select("_id").distinct(), F.col("_own") == F.col("_id"), "left").where("_id is null").drop("_id")
-    return listed.not_in(own, "_own").unionAll(rest).drop("_own")
+    rest = some.join(ids, on, "left").where(F.col(there).isNull()).drop(there, sha, mine)
+    return listed.not_in(marked, own).unionAll(rest.select(*marked.columns)).drop(own)
 
 
 def components(edges: DataFrame, scratch: Scratch, name: str = "cc") -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from umbraloom.llm.common import LAST, IdFilter, Scratch, pieces_of, spread_join, without
+from umbraloom.llm.common import LAST, IdFilter, Scratch, fresh, pieces_of, spread_join, without
 
 MEMTABLE_ROWS = 200_000
 #: Rows behind an index shard; rows of a digest, and most digests, that are broadcast with their answer.
@@ -151,24 +151,21 @@ def exact_dedup(docs: DataFrame, digest_bytes: int = 32, memtable_rows: int = ME
     """(doc_id, keep_id, group_size, kept, text_sha256) for every document.
 
     Texts are equal when they are after each run of white space has become one space. Null text counts as empty, and
-    empty texts are equal to each other. Rows that repeat a doc_id with an equal text are one document; a doc_id with
-    different texts gets a row for each, of which the text decides. A null doc_id is an id like others that comes after all of them. doc_id must
-    be a number, or text of one, below 2^63 - 1. An empty table gives no rows. Other columns are not read. digest_bytes, a
+    empty texts are equal to each other. Each row has a result of its own, rows that repeat a doc_id among them: they count in
+    group_size, and all rows with the smallest doc_id of a text are kept. A doc_id with different texts is judged by each text. A null doc_id is an id like others that comes after all of
+    them. doc_id must be a number, or text of one, below 2^63 - 1. An empty table gives no rows. Other columns are not read. digest_bytes, a
     multiple of 8, shortens the digests of the index; results are the same for any, as hits are verified.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "exact")
     norm, ids = normalised(F.col("text")), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id")
     seen = scratch.keep(docs.select(ids, F.unhex(F.sha2(norm, 256)).alias("sha")), "digests")
-    one = seen.groupBy("doc_id", "sha").agg(F.count("*").alias("n"))
-    if one.where("n > 1").isEmpty():  # repeated rows are rare: without them the table is used as it is
-        one = seen
-    one = one.select("doc_id", "sha", F.substring("sha", 1, digest_bytes).alias("digest"))
-    n_shards = pieces_of(seen.count(), SHARD_ROWS)
+    one, rows = seen.select("doc_id", "sha", F.substring("sha", 1, digest_bytes).alias("digest")), seen.count()
+    n_shards = pieces_of(rows, SHARD_ROWS)
     index = scratch.keep(build_index(one.select("doc_id", "digest"), n_shards, memtable_rows), "index")
     found = scratch.keep(hits(index), "hits")
     # a digest of many rows is broadcast with its answer: there are few, as their rows add up to no more than the table's
-    many = max(HOT_ROWS, seen.count() // HOT_DIGESTS)
+    many = max(HOT_ROWS, rows // HOT_DIGESTS)
     hot = scratch.keep(found.where(F.col("group_size") > many), "hot")
     known = one.join(F.broadcast(hot), "digest", "left")
     rest = known.where("keep_id is null").select(*one.columns).join(found.where(F.col("group_size") <= many), "digest", "left")
@@ -178,10 +175,11 @@ def exact_dedup(docs: DataFrame, digest_bytes: int = 32, memtable_rows: int = ME
     member = joined.where("keep_id is not null").select("doc_id", "digest", "sha", "keep_id")
     grouped = joined.where("keep_id is not null").count()
     text = IdFilter(scratch, member, "doc_id", grouped, "filter").maybe_in(docs.select(ids, norm.alias("norm")), "doc_id")
-    twice = one is not seen or not seen.groupBy("doc_id").count().where("count > 1").isEmpty()
-    own = text.select("doc_id", "norm", F.unhex(F.sha2("norm", 256)).alias("sha")).dropDuplicates(["doc_id", "sha"]) if twice else text
-    keys = ["doc_id", "sha"] if twice else ["doc_id"]
-    kept = member.where("doc_id = keep_id").select("digest", *keys).join(own, keys).groupBy("digest").agg(F.min("norm").alias("kept_norm"))
+    own = text.select("doc_id", "norm", F.unhex(F.sha2("norm", 256)).alias("sha"))
+    if not member.groupBy("doc_id", "sha").count().where("count > 1").isEmpty():  # repeated rows: one text for each
+        own = own.dropDuplicates(["doc_id", "sha"])
+    keys = ["doc_id", "sha"]
+    kept = member.where("doc_id = keep_id").select("digest", *keys).distinct().join(own, keys).groupBy("digest").agg(F.min("norm").alias("kept_norm"))
     others = scratch.keep(member.where("doc_id != keep_id"), "others")
     held = spread_join(others, kept, "digest", scratch, "others").join(own, keys)
     differ = scratch.keep(held.where("norm != kept_norm").select("doc_id", "digest", "sha", "norm"), "differ")
@@ -189,7 +187,7 @@ def exact_dedup(docs: DataFrame, digest_bytes: int = 32, memtable_rows: int = ME
     out = joined
     if not differ.isEmpty():
         apart = differ.groupBy("digest", "norm").agg(F.min("doc_id").alias("keep2"), F.count("*").alias("n2"))
-        moved = differ.join(apart, ["digest", "norm"]).select("doc_id", "sha", "keep2", "n2")
+        moved = differ.join(apart, ["digest", "norm"]).select("doc_id", "sha", "keep2", "n2").distinct()
         fewer = differ.groupBy("digest").agg(F.count("*").alias("less"))
         out = joined.join(moved, ["doc_id", "sha"], "left").join(fewer, "digest", "left").select(
             "doc_id", "sha", F.coalesce("keep2", "keep_id").alias("keep_id"), F.coalesce("n2", F.col("group_size") - F.coalesce("less", F.lit(0))).alias("group_size"))
@@ -200,13 +198,17 @@ def exact_dedup(docs: DataFrame, digest_bytes: int = 32, memtable_rows: int = ME
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with all their columns: the first of equal texts. A row that repeats both doc_id and text stays once; of a doc_id with
-    several texts each text is judged by itself."""
+    several texts each text is judged by itself. Columns may have any names."""
     scratch = Scratch(docs.sparkSession, "keep_first")
-    told = exact_dedup(docs.select("doc_id", "text")).where("not kept")
-    gone = scratch.keep(told.select(F.coalesce("doc_id", F.lit(LAST)).alias("_id"), F.col("text_sha256").alias("_sha")), "gone")
-    ids = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
-    if docs.groupBy(ids).count().where("count > 1").isEmpty():
-        return without(docs, gone.select("_id"), scratch, "filter")
-    sha = F.sha2(normalised(F.col("text")), 256)
-    marked = docs.withColumns({"_own": ids, "_digest": sha})
-    return marked.join(gone, (F.col("_own") == F.col("_id")) & (F.col("_digest") == F.col("_sha")), "left_anti").dropDuplicates(["_own", "_digest"]).drop("_own", "_digest")
+    told = exact_dedup(docs.select("doc_id", "text"))
+    members = scratch.keep(told.where("group_size > 1").select(F.coalesce("doc_id", F.lit(LAST)).alias("_id"), F.col("text_sha256").alias("_sha"), "kept"), "members")
+    digest = F.sha2(normalised(F.col("text")), 256)
+    twice = scratch.keep(members.where("kept").groupBy("_id", "_sha").count().where("count > 1").select("_id", "_sha"), "twice")
+    left = without(docs, members.where("not kept").select("_id", "_sha"), scratch, "gone", digest)
+    if twice.isEmpty():
+        return left
+    # rows that repeat others: one of each stays, beside all other rows
+    own, mine = fresh(docs, "_own"), fresh(docs, "_mine")
+    marked = docs.withColumns({own: F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), mine: digest})
+    again = marked.join(twice, (F.col(own) == twice["_id"]) & (F.col(mine) == twice["_sha"]), "left_semi").dropDuplicates([own, mine]).drop(own, mine)
+    return without(left, twice, scratch, "repeated", digest).unionAll(again)

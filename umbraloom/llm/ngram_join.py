@@ -257,19 +257,43 @@ def candidates(blocks: pa.Table) -> pa.Table:
     return pa.table({"x": pa.array(pairs[:, 0]), "y": pa.array(pairs[:, 1])})
 
 
+def _rows_apart(texts: DataFrame, scratch: Scratch) -> DataFrame | None:
+    """A written table (row, doc_id, text) with a number for each row, if any doc_id repeats."""
+    if texts.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        return None
+    return scratch.keep(texts.withColumn("row", F.monotonically_increasing_id()), "rows")
+
+
 def ngram_components(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every document.
+    """(doc_id, n_shingles, component_id) for every row of docs, one for one.
 
-    Null and empty texts, and texts of white space, have an empty set and are linked with nothing. Rows that repeat a doc_id are
-    one document; should their texts differ, the one that sorts last counts. Rows without doc_id get a row each, link with
+    Null and empty texts, and texts of white space, have an empty set and are linked with nothing. Rows that repeat a doc_id have a set each, link
+    as any others do, and each has the smallest doc_id that it reaches. Rows without doc_id link with
     nothing and have a null component_id. doc_id must be a number, or text of one. An empty table gives no rows. Other columns
     are not read. Shingles are held as 64-bit hashes.
     """
     scratch = Scratch(docs.sparkSession, "ngram")
     texts = _texts(docs)
-    if not texts.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        once = texts.where("doc_id is not null").groupBy("doc_id").agg(F.max("text").alias("text"))
-        texts = scratch.keep(once.unionAll(texts.where("doc_id is null")), "once")
+    rows = _rows_apart(texts, scratch)
+    if rows is None:
+        return _components(texts, scratch)
+    return _by_row(rows, scratch).drop("row")
+
+
+def _by_row(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """(row, doc_id, n_shingles, component_id) of a table where ids repeat: rows are linked by their own numbers."""
+    ids = rows.select("row", F.col("doc_id").alias("id"))
+    got = _components(rows.select(F.when(F.col("doc_id").isNotNull(), F.col("row")).alias("doc_id"), "text"), scratch)
+    got = scratch.keep(got.where("doc_id is not null").withColumnRenamed("doc_id", "row").join(ids, "row"), "by_row")
+    least = got.groupBy("component_id").agg(F.min("id").alias("least"))
+    known = got.join(least, "component_id").select("row", F.col("id").alias("doc_id"), "n_shingles", F.col("least").alias("component_id"))
+    lone = rows.where("doc_id is null")
+    sizes = signatures(lone.select(F.col("row").alias("doc_id"), "text")).where("chunk is null")
+    return known.unionAll(sizes.select(F.col("doc_id").alias("row"), F.lit(None).cast("long"), F.col("n").cast("long"), F.lit(None).cast("long")))
+
+
+def _components(texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """The same for texts (doc_id, text) whose ids do not repeat, but for null ones."""
     signed = scratch.keep(signatures(texts), "signed")
     own, texts = signed.where("chunk is null and doc_id is not null"), texts.where("doc_id is not null")
     reps = scratch.keep(own.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "reps")
@@ -317,18 +341,24 @@ def ngram_components(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs, with all their columns, that are the first of their component. Rows that share a doc_id stay or go together; those without stay."""
+    """The rows of docs, with all their columns, that are the first of their component. Rows without doc_id stay. Of rows that repeat a doc_id, each is judged by its own text; equal ones stay or
+    go together. Columns may have any names."""
     scratch = Scratch(docs.sparkSession, "keep_one")
-    gone = scratch.keep(ngram_components(docs.select("doc_id", "text")).where("doc_id != component_id").select(F.col("doc_id").alias("_id")), "gone")
-    return without(docs, gone, scratch, "filter")
+    rows = _rows_apart(_texts(docs), scratch)
+    if rows is None:
+        gone = scratch.keep(_components(_texts(docs), scratch).where("doc_id != component_id").select(F.col("doc_id").alias("_id")), "gone")
+        return without(docs, gone, scratch, "filter")
+    told = _by_row(rows, scratch).where("doc_id != component_id").select("row", F.col("doc_id").alias("_id"))
+    gone = scratch.keep(told.join(rows.select("row", F.sha2("text", 256).alias("_sha")), "row").select("_id", "_sha"), "gone")
+    return without(docs, gone, scratch, "filter", F.sha2(F.col("text").cast("binary"), 256))
 
 
 SQL = r"""
-    WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
-         k AS (SELECT DISTINCT doc_id, array_to_string(w[s : s + 4], ' ') AS key FROM (SELECT *, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS s FROM d WHERE len(w) > 0)),
-         n AS (SELECT doc_id, count(*) AS n FROM k GROUP BY doc_id),
-         p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM k a JOIN k b ON a.key = b.key AND a.doc_id < b.doc_id GROUP BY 1, 2),
-         l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 80 * (a.n + b.n - c)),
+    WITH RECURSIVE d AS (SELECT row_number() OVER () AS id, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+         k AS (SELECT DISTINCT id, array_to_string(w[s : s + 4], ' ') AS key FROM (SELECT *, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS s FROM d WHERE len(w) > 0)),
+         n AS (SELECT id, count(*) AS n FROM k GROUP BY id),
+         p AS (SELECT a.id AS x, b.id AS y, count(*) AS c FROM k a JOIN k b ON a.key = b.key AND a.id < b.id GROUP BY 1, 2),
+         l AS (SELECT x, y FROM p JOIN n a ON a.id = x JOIN n b ON b.id = y WHERE 100 * c >= 80 * (a.n + b.n - c)),
          e AS (SELECT x AS a, y AS b FROM l UNION ALL SELECT y, x FROM l),
-         r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
-    SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a) m USING (doc_id)"""
+         r AS (SELECT id AS a, id AS b FROM d UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+    SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id FROM d LEFT JOIN n USING (id) JOIN (SELECT r.a AS id, min(d.doc_id) AS component_id FROM r JOIN d ON d.id = r.b GROUP BY r.a) m USING (id)"""
