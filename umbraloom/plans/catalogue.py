@@ -677,4 +677,4 @@ def shadow_heights(spark, sf_dir):
     return rounded(out.select("building_id", "n_rays", "hit_fraction", "length_px", "height_m", "confidence", "rejection", "reference", "error"))
 
 
-from umbraloom.plans import linking, products  # noqa: E402, F401  register their queries
+from umbraloom.plans import linking, products, tiled  # noqa: E402, F401  register their queries
