@@ -4,8 +4,10 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from umbraloom.functions import metadata as M
+from umbraloom.functions import values as V
 from umbraloom.operators import calibration, components, rays, splits, surfaces, tiling
 from umbraloom.sources import rasters, sinks
 
@@ -121,3 +123,29 @@ def test_keys_and_refused_files(spark, tmp_path):
     regions = spark.createDataFrame([("a",), (None,)], "city string")
     with pytest.raises(Exception, match="no city"):
         splits.selected_regions(regions, ("a",)).collect()
+
+
+def test_calibrations_are_refused(spark):
+    for a, b, what in (("x", 1, "real numbers"), (None, 1, "real numbers"), (float("nan"), 1, "finite"), (1, float("inf"), "finite"), (0, 1, "positive scale"), (-2.0, 1, "positive scale")):
+        with pytest.raises(ValueError, match=what):
+            V.checked_calibration(a, b)
+    ok = spark.range(1).select(*(c.alias(n) for n, c in zip("ab", V.checked_calibration(-2, 3, require_positive_scale=False), strict=True))).first()
+    assert tuple(ok) == (-2.0, 3.0)
+    rows = spark.createDataFrame([(1.0, 2.0), (0.5, -1.0)], "a double, b double")
+    pick = lambda df, *k: df.select(*(c.alias(n) for n, c in zip("xy", V.checked_calibration(F.col("a"), F.col("b"), *k), strict=True))).collect()
+    assert [tuple(r) for r in pick(rows)] == [(1.0, 2.0), (0.5, -1.0)]
+    for bad, what in ((None, "finite"), (float("nan"), "finite"), (-1.0, "positive scale")):
+        with pytest.raises(Exception, match=what):
+            pick(spark.createDataFrame([(bad, 1.0)], "a double, b double"))
+
+
+def test_missing_sun_angles_are_named(spark):
+    kind = "path string, tables array<struct<label:string,table:map<string,string>>>"
+    good = spark.createDataFrame([("a.tif", [("gdal:default", {"SUN_ELEVATION": "40", "SUN_AZIMUTH": "100"})])], kind)
+    got = good.select(M.required_sun(F.col("tables"), "path").alias("s")).first()["s"]
+    assert (got["elevation"]["value"], got["azimuth"]["value"]) == (40.0, 100.0)
+    for table, what in (({"SUN_ELEVATION": "40"}, "missing: sun_azimuth_deg in b.tif; probed: gdal:default"), ({"SUN_AZIMUTH": "x"}, "missing: sun_elevation_deg, sun_azimuth_deg in b.tif")):
+        with pytest.raises(Exception, match=what):
+            spark.createDataFrame([("b.tif", [("gdal:default", table)])], kind).select(M.required_sun(F.col("tables"), "path").alias("s")).collect()
+    with pytest.raises(Exception, match="probed: nothing"):
+        spark.createDataFrame([("c.tif", [])], kind).select(M.required_sun(F.col("tables"), "path").alias("s")).collect()

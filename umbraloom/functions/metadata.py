@@ -65,6 +65,17 @@ def resolved_sun(tables: Column) -> Column:
     return bound(numbered(tables), lambda n: bound(found(n), both))
 
 
+def required_sun(tables: Column, path=None) -> Column:
+    """resolved_sun, or an error that names what is missing, the tables that were probed and the keys that were tried."""
+    found = lambda n: F.struct((resolved(n, SUN_ELEVATION_KEYS).isNull() & resolved(n, SUN_ZENITH_KEYS).isNull()).alias("el"), resolved(n, SUN_AZIMUTH_KEYS).isNull().alias("az"))
+    missing = bound(numbered(tables), lambda n: bound(found(n), lambda m: F.concat_ws(", ", F.when(m["el"], F.lit("sun_elevation_deg")), F.when(m["az"], F.lit("sun_azimuth_deg")))))
+    probed = F.concat_ws(", ", F.transform(tables, lambda t: t["label"]))
+    where = F.concat(F.lit(" in "), col(path)) if path is not None else F.lit("")
+    tried = ", ".join((*SUN_ELEVATION_KEYS, *SUN_ZENITH_KEYS, *SUN_AZIMUTH_KEYS))
+    told = F.concat(F.lit("missing: "), missing, where, F.lit("; probed: "), F.coalesce(F.nullif(probed, F.lit("")), F.lit("nothing")), F.lit(f"; tried: {tried}"))
+    return bound(resolved_sun(tables), lambda s: F.when(s.isNotNull(), s).otherwise(F.when(F.raise_error(told).isNull(), s)))
+
+
 def candidate_tables(default, domains=None, rpc=None, sidecars=None) -> Column:
     """Tag tables by priority as array<struct<label, table>>: default, domains in their order, RPC, sidecars; empty ones are left out.
 

@@ -5,6 +5,8 @@ A value that cannot be computed is null and comes with a reason; it never is 0 o
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -114,6 +116,27 @@ def apply_affine(r, a, b) -> Column:
     return col(a) * col(r) + col(b)
 
 
+def checked_calibration(a, b, require_positive_scale: bool = True) -> tuple[Column, Column]:
+    """Both parameters of a calibration as numbers, or an error: not real, not finite, or a scale that is not above zero (heights would fall as the relative ones rise),
+    unless that is allowed. Given as numbers they are refused at once, as columns where a row shows it."""
+    if isinstance(a, Column) or isinstance(b, Column):
+        a, b = (v if isinstance(v, Column) else F.lit(v) for v in (a, b))
+        text = lambda what: F.raise_error(F.concat(F.lit(f"calibration parameters must be {what}: a="), F.coalesce(a.cast("string"), F.lit("null")), F.lit(", b="), F.coalesce(b.cast("string"), F.lit("null")))).cast("double")
+        bad = F.when(not_finite(a.cast("double")) | not_finite(b.cast("double")), text("finite"))
+        if require_positive_scale:
+            bad = bad.when(a <= 0, text("of a positive scale"))
+        return bad.otherwise(a.cast("double")), b.cast("double")
+    try:
+        a, b = float(a), float(b)
+    except (TypeError, ValueError) as e:
+        raise ValueError(f"calibration parameters must be real numbers: a={a!r}, b={b!r}") from e
+    if not (math.isfinite(a) and math.isfinite(b)):
+        raise ValueError(f"calibration parameters must be finite: a={a}, b={b}")
+    if require_positive_scale and a <= 0:
+        raise ValueError(f"calibration parameters must be of a positive scale: a={a}, b={b}")
+    return F.lit(a), F.lit(b)
+
+
 def calibrated_agl(z, a, b, valid=True) -> Column:
     """a * exp(z) + b for a positive finite scale, where valid."""
     ok = col(valid) & (col(a) > 0) & ~not_finite(a) & ~not_finite(b)

@@ -9,13 +9,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from umbraloom.functions.geometry import map_to_pixel_index
-from umbraloom.functions.values import calibrated_agl
+from umbraloom.functions.values import calibrated_agl, checked_calibration
 from umbraloom.operators.morphology import ground_filter
 from umbraloom.operators.terrain import interpolate_dtm
 
 
-def fuse_dsm(terrain: DataFrame, relative: DataFrame, a, b, at: Sequence[str] = ("scene_id", "row", "col")) -> DataFrame:
-    """terrain + a * exp(z_rel) + b where both sides are valid; grids are joined by position."""
+def fuse_dsm(terrain: DataFrame, relative: DataFrame, a, b, at: Sequence[str] = ("scene_id", "row", "col"), require_positive_scale: bool = True) -> DataFrame:
+    """terrain + a * exp(z_rel) + b where both sides are valid; grids are joined by position. Parameters that are not finite, and a scale that is not positive unless allowed, are refused."""
+    a, b = checked_calibration(a, b, require_positive_scale)
     both = terrain.join(relative, list(at), "full")
     agl = calibrated_agl(F.col("z_rel"), a, b)
     return both.select(*at, "terrain", agl.alias("agl"), (F.col("terrain") + agl).alias("dsm"))

@@ -47,7 +47,11 @@ def footprint_windows(spark, sf_dir):
     return components.windows(feet(spark, sf_dir), 3, 64, 64)
 
 
-@query("solidity")
+@query("solidity", f"""WITH {FOOT_SQL}, p AS (SELECT DISTINCT tile_id, building_id, 2 * row + dr AS r, 2 * col + dc AS c FROM f, (VALUES (1, 0), (-1, 0), (0, 1), (0, -1)) o(dr, dc)), e AS (SELECT tile_id, building_id, r, min(c) AS c FROM p GROUP BY 1, 2, 3 UNION SELECT tile_id, building_id, r, max(c) FROM p GROUP BY 1, 2, 3),
+    h AS (SELECT a.tile_id, a.building_id, a.r AS ar, a.c AS ac, b.r AS br, b.c AS bc FROM e a JOIN e b ON b.tile_id = a.tile_id AND b.building_id = a.building_id AND (b.r <> a.r OR b.c <> a.c) JOIN e d ON d.tile_id = a.tile_id AND d.building_id = a.building_id GROUP BY ALL HAVING min((b.r - a.r) * (d.c - a.c) - (b.c - a.c) * (d.r - a.r)) >= 0),
+    x AS (SELECT tile_id, building_id, count(*) AS area_px, min(row) AS r0, max(row) AS r1, min(col) AS c0, max(col) AS c1 FROM f GROUP BY 1, 2), q AS (SELECT tile_id, building_id, y.row AS row, z.col AS col FROM x, range(64) y(row), range(64) z(col) WHERE y.row BETWEEN r0 AND r1 AND z.col BETWEEN c0 AND c1),
+    i AS (SELECT q.tile_id, q.building_id, q.row, q.col FROM q JOIN h ON h.tile_id = q.tile_id AND h.building_id = q.building_id GROUP BY ALL HAVING min((br - ar) * (2 * q.col - ac) - (bc - ac) * (2 * q.row - ar)) >= 0), n AS (SELECT tile_id, building_id, count(*) AS hull_px FROM i GROUP BY 1, 2)
+    SELECT tile_id, building_id, area_px, hull_px, round(area_px / hull_px, 6) AS solidity FROM x JOIN n USING (tile_id, building_id)""")
 def solidity(spark, sf_dir):
     return rounded(components.solidity(feet(spark, sf_dir)))
 

@@ -176,3 +176,49 @@ def warp_bilinear(spark, sf_dir):
 @query("warp_cubic", warp_sql("cubic"))
 def warp_cubic(spark, sf_dir):
     return warped(spark, sf_dir, "cubic")
+
+
+# rays and rounds --------------------------------------------------------------------------------------------------------
+
+
+@query("raycast", f"""WITH {CELLS}, c AS (SELECT row, col, z / 10000 AS z FROM cells), q AS (SELECT a.row, a.col, a.z AS z00, b.z AS z01, c.z AS z10, d.z AS z11 FROM c a JOIN c b ON b.row = a.row AND b.col = a.col + 1 JOIN c ON c.row = a.row + 1 AND c.col = a.col JOIN c d ON d.row = a.row + 1 AND d.col = a.col + 1),
+    t AS (SELECT row, col, 0 AS half, col AS x0, row AS y0, z00 AS z0, col AS x1, row + 1 AS y1, z10 AS z1, col + 1 AS x2, row AS y2, z01 AS z2 FROM q UNION ALL SELECT row, col, 1, col + 1, row, z01, col, row + 1, z10, col + 1, row + 1, z11 FROM q),
+    r AS (SELECT s_suppkey AS ray_id, s_suppkey * 7 % 61 + 0.37 AS ox, s_suppkey * 13 % 61 + 0.41 AS oy, 60.0 AS oz, (s_nationkey - 12) / 10 AS dx, (s_suppkey % 11 - 5) / 10 AS dy, -1.0 AS dz FROM supplier),
+    e AS (SELECT ray_id, row, col, half, dx, dy, dz, x1 - x0 AS ax, y1 - y0 AS ay, z1 - z0 AS az, x2 - x0 AS bx, y2 - y0 AS by_, z2 - z0 AS bz, ox - x0 AS sx, oy - y0 AS sy, oz - z0 AS sz FROM r, t),
+    f AS (SELECT *, dy * bz - dz * by_ AS hx, dz * bx - dx * bz AS hy, dx * by_ - dy * bx AS hz, sy * az - sz * ay AS qx, sz * ax - sx * az AS qy, sx * ay - sy * ax AS qz FROM e),
+    g AS (SELECT *, ax * hx + ay * hy + az * hz AS det FROM f), h AS (SELECT ray_id, row, col, half, (sx * hx + sy * hy + sz * hz) / det AS u, (dx * qx + dy * qy + dz * qz) / det AS v, (bx * qx + by_ * qy + bz * qz) / det AS t FROM g WHERE det <> 0),
+    k AS (SELECT *, row_number() OVER (PARTITION BY ray_id ORDER BY t, row, col, half) AS o FROM h WHERE u >= 0 AND v >= 0 AND u + v <= 1 AND t >= 0)
+    SELECT r.ray_id, round(k.t, 6) AS t, round(oz + k.t * dz, 6) AS z, k.row, k.col, k.half::INT AS half FROM r LEFT JOIN k ON k.ray_id = r.ray_id AND k.o = 1""")
+def raycast(spark, sf_dir):
+    from umbraloom.operators.raycast import raycast as cast
+
+    k = F.col("s_suppkey")
+    r = read(spark, sf_dir, "supplier").select(F.lit("orders").alias("scene"), k.alias("ray_id"), (k * 7 % 61 + 0.37).alias("ox"), (k * 13 % 61 + 0.41).alias("oy"), F.lit(60.0).alias("oz"), ((F.col("s_nationkey") - 12) / 10).alias("dx"), ((k % 11 - 5) / 10).alias("dy"), F.lit(-1.0).alias("dz"))
+    got = cast(r, cells(spark, sf_dir).withColumn("z", F.col("z") / 10000), ["scene"], depth=4, leaf=4)
+    return rounded(got.select("ray_id", "t", "z", "row", "col", "half"))
+
+
+ROUNDS, RATE = 4, 0.3
+
+
+def _rounds_sql() -> str:
+    """Each round as a step of a query: sums by tile, over tiles, then the next weights."""
+    steps = ["p AS (SELECT l_suppkey AS tile, CASE WHEN l_suppkey % 5 = 0 THEN 'val' ELSE 'train' END AS side, l_quantity / 50 AS x0, l_discount * 10 AS x1, ln(l_extendedprice / 10000) AS y FROM lineitem)", "w0 AS (SELECT 0.0::DOUBLE AS a, 0.0::DOUBLE AS b, 0.0::DOUBLE AS c)"]
+    for k in range(ROUNDS + 1):
+        steps.append(f"d{k} AS (SELECT tile, side, x0, x1, a * x0 + b * x1 + c - y AS d FROM p, w{k})")
+        steps.append(f"s{k} AS (SELECT side, tile, avg(d) AS m, avg(d * d) AS q, avg(x0) AS x0, avg(x1) AS x1, avg(x0 * d) AS g0, avg(x1 * d) AS g1 FROM d{k} GROUP BY ALL HAVING count(*) >= 32)")
+        steps.append(f"t{k} AS (SELECT side, avg(q - 0.85 * m * m) AS loss, avg(2 * (g0 - 0.85 * m * x0)) AS sa, avg(2 * (g1 - 0.85 * m * x1)) AS sb, avg(2 * (m - 0.85 * m)) AS sc FROM s{k} GROUP BY side)")
+        steps.append(f"w{k + 1} AS (SELECT a - {RATE} * sa AS a, b - {RATE} * sb AS b, c - {RATE} * sc AS c FROM w{k}, t{k} WHERE side = 'train')")
+    rows = " UNION ALL ".join(f"SELECT {k} AS round, (SELECT loss FROM t{k} WHERE side = 'train') AS train, (SELECT loss FROM t{k} WHERE side = 'val') AS val, a, b, c FROM w{k}" for k in range(ROUNDS + 1))
+    return f"WITH {', '.join(steps)}, r AS ({rows}) SELECT round::INT AS round, round(train, 6) AS train, round(val, 6) AS val, round(a, 6) AS w0, round(b, 6) AS w1, round(c, 6) AS bias, val = min(val) OVER () AS best FROM r"
+
+
+@query("fit_rounds", _rounds_sql())
+def fit_rounds(spark, sf_dir):
+    """The losses and weights of each round over all line items as pixels, suppliers as tiles."""
+    from umbraloom.operators import rounds
+
+    p = read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("tile"), F.when(F.col("l_suppkey") % 5 == 0, "val").otherwise("train").alias("side"), (F.col("l_quantity") / 50).alias("x0"), (F.col("l_discount") * 10).alias("x1"), (F.col("l_extendedprice") / 10000).alias("height"))
+    got = rounds.fit_rounds(p, ["x0", "x1"], "height", "tile", "side", ROUNDS, RATE)
+    rows = [(h["round"], h["train"], h["val"], *h["weights"], h["round"] == got.best_round) for h in got.history]
+    return rounded(spark.createDataFrame(rows, "round int, train double, val double, w0 double, w1 double, bias double, best boolean"))

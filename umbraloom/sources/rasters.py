@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from umbraloom.sources import geotiff as T
 from umbraloom.sources.geotiff import Raster, affine_from_tags, crs_from_geokeys, parse_geotiff, read_header
+from umbraloom.sources.jpeg import parse_bmp, parse_jpeg
 from umbraloom.sources.npy import parse_npy
 from umbraloom.sources.png import parse_png
 
@@ -24,7 +25,7 @@ def files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
 
 
 def decode(path: str, data: bytes) -> Raster:
-    """By suffix: TIFF, NPY or PNG; the latter two have no georeference, whatever lies beside them."""
+    """By suffix: TIFF, NPY, PNG, JPEG or BMP; all but the first have no georeference, whatever lies beside them."""
     kind = path.rsplit(".", 1)[-1].lower()
     if kind in ("tif", "tiff"):
         return parse_geotiff(data)
@@ -33,6 +34,10 @@ def decode(path: str, data: bytes) -> Raster:
         a = a.astype(float) if a.ndim == 3 else a.astype(float)[None]
     elif kind == "png":
         a = np.moveaxis(parse_png(data), 2, 0)
+    elif kind in ("jpg", "jpeg"):
+        a = np.moveaxis(parse_jpeg(data), 2, 0)
+    elif kind == "bmp":
+        a = np.moveaxis(parse_bmp(data), 2, 0)
     else:
         raise ValueError(f"no reader for .{kind}")
     return Raster(a, np.isfinite(a.astype(float)).all(axis=0))
