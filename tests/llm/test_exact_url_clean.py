@@ -113,11 +113,18 @@ def test_url_odd_rows_and_tables_of_terms(spark):
     assert sorted((r["page_id"] or 0, r["verdict"]) for r in U.url_filter(df).collect()) == [(0, "block"), (1, "block"), (1, "block"), (2, "allow")]
     assert U.url_filter(df.limit(0)).count() == 0
     strict, soft = U.vocabulary(spark.createDataFrame([("Bad", 5), ("meh", 1), ("so", 1), ("meh", 1), ("", 9), (None, 2)], "term string, weight int"))
-    assert (strict, soft) == (["bad"], ["meh", "so"])
+    assert (strict, soft) == (["bad"], {"meh": 1, "so": 1})
     urls = spark.createDataFrame(list(enumerate(["h://a/bad", "h://a/meh", "h://a/meh/so", "h://a/casino"])), "page_id long, url string")
     assert [r["verdict"] for r in U.url_filter(urls, strict=strict, soft=soft).orderBy("page_id").collect()] == ["block", "allow", "block", "allow"]
     with pytest.raises(ValueError):
         U.vocabulary(spark.createDataFrame([("a", 1), ("b", 1)], "term string, weight int"), most=1)
+    weighted = spark.createDataFrame([("three", 3), ("also", 3), ("one", 1), ("uno", 1), ("five", 5)], "term string, weight int")
+    strict, soft = U.vocabulary(weighted, soft_limit=5)
+    cases = {"h://a/three/also": "block", "h://a/three/three": "allow", "h://a/three/one/uno": "block", "h://a/three/one": "allow", "h://a/five": "block", "h://a/three-also": "block", "h://a/threealso": "allow"}
+    got = U.url_filter(spark.createDataFrame(list(enumerate(cases)), "page_id long, url string"), strict=strict, soft=soft, soft_limit=5).orderBy("page_id").collect()
+    assert [r["verdict"] for r in got] == list(cases.values()) and [r["weight"] for r in got] == [6, 3, 5, 4, 5, 6, 0]
+    with pytest.raises(Exception, match="no whole weight: a"):
+        U.vocabulary(spark.createDataFrame([("a", 1.5)], "term string, weight double"))
     same = U.url_filter(urls, rules=(("block", "a/me"), ("allow", "a/me"))).collect()
     assert [r["verdict"] for r in same if r["rule"]] == ["allow", "allow"]
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import ahocorasick
 import pyarrow as pa
@@ -20,19 +20,21 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = frozenset(LOWER + "0123456789")
 
 
-def vocabulary(terms: DataFrame, soft_limit: int = SOFT_LIMIT, most: int = 1_000_000) -> tuple[list[str], list[str]]:
-    """(strict, soft) terms of a table (term, weight): a weight of soft_limit or more is strict. The table is sent to all workers, so it has at most `most` terms; more are an error."""
-    rows = terms.select(F.translate("term", UPPER, LOWER).alias("term"), "weight").where("length(term) > 0 and weight > 0").groupBy("term").agg(F.max("weight").alias("weight")).orderBy("term").limit(most + 1).collect()
+def vocabulary(terms: DataFrame, soft_limit: int = SOFT_LIMIT, most: int = 1_000_000) -> tuple[list[str], dict[str, int]]:
+    """(strict terms, weights of soft terms) of a table (term, weight) of whole numbers: a weight of soft_limit or more is strict, of equal terms the largest weight counts. The table is
+    sent to all workers, so it has at most `most` terms; more are an error, and so is a weight that is no whole number."""
+    whole = F.when(F.col("weight") != F.floor("weight"), F.raise_error(F.concat(F.lit("no whole weight: "), F.col("term"))).cast("long")).otherwise(F.floor("weight"))
+    rows = terms.select(F.translate("term", UPPER, LOWER).alias("term"), whole.alias("weight")).where("length(term) > 0 and weight > 0").groupBy("term").agg(F.max("weight").alias("weight")).orderBy("term").limit(most + 1).collect()
     if len(rows) > most:
         raise ValueError(f"more than {most} terms")
-    return [r["term"] for r in rows if r["weight"] >= soft_limit], [r["term"] for r in rows if r["weight"] < soft_limit]
+    return [r["term"] for r in rows if r["weight"] >= soft_limit], {r["term"]: int(r["weight"]) for r in rows if r["weight"] < soft_limit}
 
 
-def automaton(strict: Sequence[str], soft: Sequence[str], soft_limit: int) -> ahocorasick.Automaton:
-    """Terms with their weights: a strict one weighs as much as the limit."""
+def automaton(strict: Sequence[str], soft: Sequence[str] | Mapping[str, int], soft_limit: int) -> ahocorasick.Automaton:
+    """Terms with their weights: a soft one has its own, or 1 where none are given; a strict one weighs as much as the limit."""
     a = ahocorasick.Automaton()
     for term in soft:
-        a.add_word(term, (term, 1))
+        a.add_word(term, (term, soft[term] if isinstance(soft, Mapping) else 1))
     for term in strict:
         a.add_word(term, (term, soft_limit))
     if len(a):
@@ -50,7 +52,7 @@ def found_terms(a: ahocorasick.Automaton, url: str) -> dict[str, int]:
     return out
 
 
-def url_filter(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, strict: Sequence[str] = STRICT, soft: Sequence[str] = SOFT, soft_limit: int = SOFT_LIMIT) -> DataFrame:
+def url_filter(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, strict: Sequence[str] = STRICT, soft: Sequence[str] | Mapping[str, int] = SOFT, soft_limit: int = SOFT_LIMIT) -> DataFrame:
     """(page_id, host, path, rule, verdict, weight, terms) for every row of pages, one for one.
 
     The longest rule that fits decides, of equally long ones the last in the order of their texts; without one, a url is blocked if the weights of its distinct terms reach
