@@ -122,3 +122,32 @@ def test_plans_index_and_figures(spark, tmp_path):
     assert png.parse_png(plots.scatter_png(np.array([1.0, 5.0]), np.array([2.0, 4.0]))).shape == (400, 400, 3)
     got = png.parse_png(plots.error_map_png(np.array([[0.0, 2.0], [-2.0, np.nan]])))
     assert got.tolist() == [[[255, 255, 255], [255, 0, 0]], [[0, 0, 255], [128, 128, 128]]]
+
+
+def test_error_and_prediction_files(spark, tmp_path):
+    from umbraloom.operators import predictor
+
+    cells = spark.createDataFrame([("s", r, c, None if (r, c) == (1, 2) else float(r - c)) for r in range(5) for c in range(6)], "scene string, row int, col int, error double")
+    for epsg in (None, 32643):
+        f = sinks.error_files(cells, ["scene"], "error", (1.0, 0.0, 0.0, 0.0, -1.0, 9.0) if epsg else None, epsg, tags={"UNITS": "m"}).first()
+        r = parse_geotiff(bytes(f["content"]))
+        assert f["problems"] == [] and r.tags["UNITS"] == "m" and r.tags["CONTENT"].startswith("error") and r.nodata == -9999 and not r.valid[1, 2] and r.valid.sum() == 29 and r.bands[0][4, 1] == 3
+    bad = sinks.error_files(cells.withColumn("error", F.lit(-9999.0)), ["scene"]).first()
+    assert any("nodata" in p for p in bad["problems"])
+    with pytest.raises(ValueError, match="needs a reason"):
+        predictor.load_fallback("m", " ", lambda s: None)
+    with pytest.raises(ValueError, match="cannot be had .OSError: gone"):
+        predictor.load_fallback("m", "why", lambda s: (_ for _ in ()).throw(OSError("gone")))
+    tiles = spark.createDataFrame([("s", 7, 2, 3, [float(v) for v in range(18)])], "scene_id string, tile_id long, height int, width int, rgb array<double>")
+    model = predictor.load_fallback(str(tmp_path), "stalled", lambda s: lambda x: x[0])
+    with pytest.raises(ValueError, match="not allowed"):
+        predictor.predict(tiles, model)
+    got = predictor.predict(tiles, model, allow_fallback=True)
+    assert got.first()["reason"] == f"stalled (local:{tmp_path})" and got.first()["fallback"]
+    with pytest.raises(Exception, match="refusing to export a surface: a fallback made tile 7"):
+        predictor.refused_fallbacks(got, "export a surface").collect()
+    assert predictor.refused_fallbacks(predictor.predict(tiles, lambda x: x[1]), "x").first()["fallback"] is False
+    assert sinks.save_files(sinks.prediction_files(got), f"file://{tmp_path}/out") == ["s-7.json", "s-7.png", "s-7_relative_height.npy"]
+    about = json.loads((tmp_path / "out" / "s-7.json").read_text())
+    assert about["fallback"] and about["reason"].startswith("stalled") and about["units"].endswith("not metres") and (about["height"], about["width"]) == (2, 3)
+    assert np.allclose(np.load(tmp_path / "out" / "s-7_relative_height.npy"), (np.arange(0, 18, 3).reshape(2, 3) / 255 - 0.485) / 0.229, atol=1e-6) and len(list((tmp_path / "out").iterdir())) == 3

@@ -22,7 +22,7 @@ LAMBDA, MIN_PIXELS = 0.85, 32
 
 @dataclass
 class State:
-    """Weights (the last is the constant), the round that they are of, and what has been seen so far."""
+    """Weights (the last is the constant), the round that is next with them, and what has been seen so far."""
 
     weights: list[float]
     round: int = 0
@@ -64,8 +64,7 @@ def fit_rounds(rows: DataFrame, features: Sequence[str], target: str, sample: st
         held = (val or train)["loss"]
         if state.best_loss is None or held < state.best_loss:
             state.best_loss, state.best_round, state.best_weights = held, state.round, list(state.weights)
-        if state.round < rounds:
-            state.weights = [w - rate * s for w, s in zip(state.weights, train["slope"], strict=True)]
+        state.weights = [w - rate * s for w, s in zip(state.weights, train["slope"], strict=True)]
         state.round += 1
         _store(folder, state)
     return state

@@ -222,3 +222,40 @@ def fit_rounds(spark, sf_dir):
     got = rounds.fit_rounds(p, ["x0", "x1"], "height", "tile", "side", ROUNDS, RATE)
     rows = [(h["round"], h["train"], h["val"], *h["weights"], h["round"] == got.best_round) for h in got.history]
     return rounded(spark.createDataFrame(rows, "round int, train double, val double, w0 double, w1 double, bias double, best boolean"))
+
+
+# predictions and files --------------------------------------------------------------------------------------------------
+
+
+def rgb_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cells' grid as tiles of 16 x 16 pixels with three channels of 0 to 255."""
+    whole = morphology.densify(cells(spark, sf_dir), ["scene"], 64, 64).withColumn("v", F.floor(F.coalesce("z", F.lit(0.0)) / 100))
+    channels = F.array(*(F.pmod(F.floor(F.col("v") / k), F.lit(256)).cast("double") for k in (1, 7, 13)))
+    px = whole.select(F.col("scene").alias("scene_id"), (F.floor(F.col("row") / 16) * 4 + F.floor(F.col("col") / 16)).alias("tile_id"), ((F.col("row") % 16) * 16 + F.col("col") % 16).alias("k"), channels.alias("c"))
+    rows = px.groupBy("scene_id", "tile_id").agg(F.array_sort(F.collect_list(F.struct("k", "c"))).alias("p"))  # 256 pixels each
+    return rows.select("scene_id", "tile_id", F.lit(16).alias("height"), F.lit(16).alias("width"), F.flatten(F.transform("p", lambda x: x["c"])).alias("rgb"))
+
+
+TILES_SQL = f"WITH {CELLS}, d AS (SELECT r.row, c.col, coalesce(floor(z / 100), 0)::BIGINT AS v FROM range(64) r(row) CROSS JOIN range(64) c(col) LEFT JOIN cells ON cells.row = r.row AND cells.col = c.col), n AS (SELECT row, col, (v % 256 / 255 - 0.485) / 0.229 AS red, (v // 7 % 256 / 255 - 0.456) / 0.224 AS green FROM d)"
+
+
+@query("predicted_tiles", f"{TILES_SQL} SELECT row // 16 * 4 + col // 16 AS tile_id, sum((red > green)::INT)::BIGINT AS redder, true AS fallback, 'no training yet (named:rule)' AS reason FROM n GROUP BY 1")
+def predicted_tiles(spark, sf_dir):
+    """An injected predictor on all tiles, labelled as what it is."""
+    from umbraloom.operators.predictor import load_fallback, predict
+
+    rule = load_fallback("rule", "no training yet", lambda _: lambda x: (x[0] > x[1]).astype("f4"))
+    got = predict(rgb_tiles(spark, sf_dir), rule, allow_fallback=True)
+    return got.select("tile_id", F.aggregate("z", F.lit(0.0), lambda s, x: s + x).cast("long").alias("redder"), "fallback", "reason")
+
+
+@query("error_rasters", f"WITH {CELLS} SELECT row, col, round(round(z / 1000, 2) - 150, 3) AS value FROM cells WHERE z > 100000")
+def error_rasters(spark, sf_dir):
+    """Errors as a verified raster, read again by the data source."""
+    from umbraloom.sources import rasters, sinks
+    from umbraloom.sources.raster_source import scan_blocks
+
+    folder = f"{lineage.shared_folder(spark)}/errors-{uuid.uuid4().hex}"
+    e = morphology.densify(cells(spark, sf_dir), ["scene"], 64, 64).withColumn("error", F.when(F.col("z") > 100000, F.round(F.col("z") / 1000, 2) - 150))
+    sinks.save_files(sinks.error_files(e, ["scene"], "error", (0.5, 0.0, 10.0, 0.0, -0.5, 20.0), 32643), folder)
+    return rasters.pixels(scan_blocks(spark, folder)).where("value is not null").select("row", "col", F.round("value", 3).alias("value"))
