@@ -3,6 +3,7 @@
 import hashlib
 import random
 import textwrap
+import time
 import zlib
 from datetime import date, timedelta
 
@@ -307,3 +308,49 @@ def test_page_text_of_regions_and_comments(spark):
 def test_article_blocks_come_back(blocks):
     html = "<body><nav>m</nav><article>" + "".join(f"<p>{b}</p>" for b in blocks) + "</article><footer>f</footer></body>"
     assert main_text(html) == "\n".join(" ".join(b.split()) for b in blocks)
+
+
+PARA = "A paragraph of the story itself, long enough to be told apart from what stands around it, and then some more words. "
+
+
+def page(body):
+    return f"<html><head><title>t</title></head><body><nav><a href=x>Home</a> <a href=y>News</a></nav>{body}<footer>imprint</footer></body></html>"
+
+
+def test_pages_that_a_form_holds():
+    inner = f"<h1>Title</h1><p>{PARA * 3}</p><input name=q><p>{PARA * 2}</p><p>End.</p>"
+    for form in ("form", "fieldset", "form class='aspnet'"):
+        name = form.split()[0]
+        assert main_text(page(f"<{form}>{inner}</{name}>")).split("\n") == ["Title", (PARA * 3).strip(), (PARA * 2).strip(), "End."]
+        assert main_text(page(f"<{form}><main>{inner}</main></{name}>")).startswith("Title\n")
+    news = f"<main><h1>T</h1><p>{PARA * 3}</p><form><label>Your mail</label><button>Go</button></form></main>"
+    assert main_text(page(news)) == "T\n" + (PARA * 3).strip()
+    assert main_text(page(f"<h1>T</h1><p>{PARA * 3}</p><form>Search the site</form><p>{PARA}</p>")) == "\n".join(("T", (PARA * 3).strip(), PARA.strip()))
+
+
+def test_articles_side_by_side():
+    two = f"<article><h2>One</h2><p>{PARA * 3}</p></article><p>between</p><article><h2>Two</h2><p>{PARA * 2}</p></article>"
+    assert main_text(page(two)) == "\n".join(("One", (PARA * 3).strip(), "Two", (PARA * 2).strip()))
+    teaser = f"<article><h1>One</h1><p>{PARA * 9}</p></article><article><p>Also read this short one</p></article>"
+    assert main_text(page(teaser)) == "One\n" + (PARA * 9).strip()
+
+
+def test_titles_before_a_region():
+    lead = f"<div><h1>Title</h1><p>The lead, a sentence or two.</p><article><p>{PARA * 3}</p></article></div>"
+    assert main_text(page(lead)) == "\n".join(("Title", "The lead, a sentence or two.", (PARA * 3).strip()))
+    own = f"<div><h1>Site</h1><p>Slogan</p><article><h1>Title</h1><p>{PARA * 3}</p></article></div>"
+    assert main_text(page(own)) == "Title\n" + (PARA * 3).strip()
+    no_title = f"<p>Some words before</p><article><p>{PARA * 3}</p></article>"
+    assert main_text(page(no_title)) == (PARA * 3).strip()
+
+
+def test_pages_of_many_elements_take_little_time():
+    began = time.time()
+    comments = "".join(f'<div class="comment">comment {k} of a reader</div>' for k in range(50_000))
+    assert main_text(page(f"<main><h1>T</h1><p>{PARA * 20_000}</p>{comments}</main>")).startswith("T\n")
+    nested = '<div class="sidebar">' * 20_000 + "<article><p>" + PARA * 3 + "</p></article>" + "</div>" * 20_000
+    assert main_text(page(nested)) == (PARA * 3).strip()
+    deep = "<article>" * 8_000 + "<p>" + PARA + "</p>" + "</article>" * 8_000
+    assert main_text(page(deep)) == PARA.strip()
+    assert main_text(page("</b></i>" * 50_000 + "<div>" * 20_000 + f"<p>{PARA}</p>")) == PARA.strip()
+    assert time.time() - began < 20
