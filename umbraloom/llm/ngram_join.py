@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from umbraloom.llm.common import IdFilter, Scratch, components, pieces_of, spread_join, without
-from umbraloom.llm.words import LOWER, Words, mixed, runs, slices
+from umbraloom.llm.words import LOWER, Words, mixed, parts_of, runs, slices
 
 WIDTH = 5
 NUMERATOR, DENOMINATOR = 80, 100  # least similarity
@@ -81,14 +81,15 @@ def signatures(texts: DataFrame) -> DataFrame:
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(CELLS, np.uint64)
         for b in batches:
-            n, keys, marks, maps, seen = [], [], [], [], []
-            for s in shingle_sets(b.column("text").to_pylist()):
-                n.append(len(s))
-                keys.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                marks.append(bands(s) if len(s) else [])
-                maps.append(parity(s))
-                seen.append(((s >> np.uint64(20)) & np.uint64(CELLS - 1)).astype(np.int32))
-            if seen:
+            n, keys, marks, maps = [], [], [], []
+            for _, texts in parts_of(b.column("text")):
+                seen = []
+                for s in shingle_sets(texts):
+                    n.append(len(s))
+                    keys.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
+                    marks.append(bands(s) if len(s) else [])
+                    maps.append(parity(s))
+                    seen.append(((s >> np.uint64(20)) & np.uint64(CELLS - 1)).astype(np.int32))
                 cells += np.bincount(np.concatenate(seen), minlength=CELLS).astype(np.uint64)
             none = pa.nulls(b.num_rows, pa.int32())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int32()), pa.array(keys, pa.binary()), pa.array(marks, pa.list_(pa.int64())), pa.array(maps, pa.binary()), none, none, pa.nulls(b.num_rows, pa.binary())], ["doc_id", "n", "key", "bands", "bits", "chunk", "part", "counts"])
@@ -153,7 +154,8 @@ def sets_of(texts: DataFrame, ids: DataFrame, most: int, scratch: Scratch, name:
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([s.tobytes() for s in shingle_sets(b.column("text").to_pylist())], pa.binary())], ["doc_id", "s"])
+            for x, part in parts_of(b.column("text")):
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(x, len(part)), pa.array([s.tobytes() for s in shingle_sets(part)], pa.binary())], ["doc_id", "s"])
 
     return IdFilter(scratch, ids, "doc_id", most, f"{name}_filter").maybe_in(texts, "doc_id").mapInArrow(build, "doc_id long, s binary")
 
@@ -179,7 +181,7 @@ def prefixes(docs: DataFrame, counts: np.ndarray, n_shards: int) -> DataFrame:
         pack = zstandard.ZstdCompressor(level=1).compress
         for b in batches:
             token, doc, place, size = [], [], [], []
-            for k, s in enumerate(shingle_sets(b.column("text").to_pylist())):
+            for k, s in enumerate(s for _, part in parts_of(b.column("text")) for s in shingle_sets(part)):
                 n = len(s)
                 size.append(n)
                 if n:

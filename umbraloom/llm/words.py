@@ -87,6 +87,19 @@ def slices(texts: list[bytes], size: int = 16 * CHUNK) -> Iterator[tuple[int, in
         yield x, len(texts)
 
 
+def parts_of(column, size: int = 16 * CHUNK) -> Iterator[tuple[int, list[bytes | None]]]:
+    """The values of an Arrow column of bytes in lists of about so many bytes, but of one value at least, each with the place of its first. A list is made when it is asked for,
+    so a batch of long texts is not held twice."""
+    x = held = 0
+    for y, n in enumerate(np.diff(np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, 4 * column.offset)).tolist() if len(column) else []):
+        held += n
+        if held >= size:
+            yield x, column.slice(x, y + 1 - x).to_pylist()
+            x, held = y + 1, 0
+    if x < len(column):
+        yield x, column.slice(x).to_pylist()
+
+
 def runs(hashes: np.ndarray, k: int) -> np.ndarray:
     """The hash of each run of k words, by its first word."""
     n = len(hashes) - k + 1
