@@ -141,3 +141,28 @@ def test_epochs_of_workers(spark):
     assert epochs.epoch(spark, 0, 5, 2).count() == 0
     moved = np.array([swapped(x, n, epochs.round_keys(5, 3)) for x in range(n)])
     assert (moved != np.array(want)).mean() > 0.98 and abs(np.corrcoef(moved, np.arange(n))[0, 1]) < 0.15
+
+
+# diagnostics ------------------------------------------------------------------------------------------------------------
+
+
+def test_segments_outlines_and_layers(spark):
+    from umbraloom.operators import diagnostic
+
+    ends = [("s", 2, 3, 2, 3), ("s", 0, 0, 5, 5), ("s", 7, 1, 4, 9), ("s", -3, 4, 3, 4), ("s", None, 1, 1, 1)]
+    got = {(r["row"], r["col"]) for r in diagnostic.segment_pixels(spark.createDataFrame(ends, "scene string, r0 int, c0 int, r1 int, c1 int"), ["scene"], 8, 10).collect()}
+    want = set()
+    for _, r0, c0, r1, c1 in ends[:4]:
+        n = max(abs(r1 - r0), abs(c1 - c0))
+        want |= {(r0 + int(np.rint((r1 - r0) * k / n if n else 0)), c0 + int(np.rint((c1 - c0) * k / n if n else 0))) for k in range(n + 1)}
+    assert got == {(r, c) for r, c in want if 0 <= r < 8 and 0 <= c < 10}
+    m = np.random.default_rng(4).random((12, 14)) < 0.8
+    mask = spark.createDataFrame([("s", int(r), int(c)) for r, c in np.argwhere(m)], "scene string, row int, col int")
+    inner = np.pad(m, 1)
+    edge = m & ~(inner[:-2, 1:-1] & inner[2:, 1:-1] & inner[1:-1, :-2] & inner[1:-1, 2:])
+    assert {(r["row"], r["col"]) for r in diagnostic.outline_pixels(mask.unionAll(mask), ["scene"]).collect()} == {(int(r), int(c)) for r, c in np.argwhere(edge)}
+    base = spark.createDataFrame([("s", r, c, None if (r, c) == (1, 1) else 300.0 * c) for r in range(3) for c in range(3)], "scene string, row int, col int, v double")
+    dot = lambda *p: spark.createDataFrame([("s", *x) for x in p], "scene string, row int, col int")
+    out = {(r["row"], r["col"]): (r["red"], r["green"], r["blue"]) for r in diagnostic.composed(base, [(dot((0, 0), (0, 1)), (1, 2, 3)), (dot((0, 1), (9, 9)), (4, 5, 6))], ["scene"]).collect()}
+    assert len(out) == 9 and out[0, 0] == (1, 2, 3) and out[0, 1] == (4, 5, 6) and out[1, 1] == (0, 0, 0) and out[2, 2] == (255, 255, 255) and out[2, 0] == (0, 0, 0)
+    assert diagnostic.composed(base, [], ["scene"]).count() == 9

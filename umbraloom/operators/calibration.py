@@ -152,6 +152,18 @@ def ransac(points: DataFrame, by: str, seed: int = 0) -> DataFrame:
     return points.groupBy(by).applyInPandas(fit, f"{by} {kind}, n long, a double, b double, se_a double, se_b double, chi2_red double, inliers long, outliers long, reason string")
 
 
+def pair_consensus(points: DataFrame, pairs: DataFrame, by: str, key: str = "id") -> DataFrame:
+    """(by, i, j, a, b, inliers, residual) of the best of given pairs (by, i, j) of points (by, key, x, y, dh): the line through both that most points lie within SIGMAS * dh of, then the one with the
+    least sum of their distances, then the first by i and j. Pairs of equal x give no line; groups without one give no row. A pair meets the points of its own group only."""
+    end = lambda k: points.select(by, F.col(key).alias(k), F.col("x").alias(f"_x{k}"), F.col("y").alias(f"_y{k}"))
+    lines = pairs.select(by, "i", "j").join(end("i"), [by, "i"]).join(end("j"), [by, "j"]).where("_xi != _xj").withColumn("a", (F.col("_yj") - F.col("_yi")) / (F.col("_xj") - F.col("_xi")))
+    off = F.abs(F.col("a") * (F.col("x") - F.col("_xi")) + F.col("_yi") - F.col("y"))
+    met = lines.join(points.select(by, "x", "y", "dh"), by)
+    counted = met.groupBy(by, "i", "j", "a", (F.col("_yi") - F.col("a") * F.col("_xi")).alias("b")).agg(F.count(F.when(off <= SIGMAS * F.col("dh"), 1)).alias("inliers"), F.coalesce(F.sum(F.when(off <= SIGMAS * F.col("dh"), off)), F.lit(0.0)).alias("residual"))
+    best = counted.groupBy(by).agg(F.min(F.struct((-F.col("inliers")).alias("n"), F.round("residual", 9).alias("r"), "i", "j", "a", "b", "inliers", "residual")).alias("_b"))
+    return best.select(by, *(F.col(f"_b.{c}").alias(c) for c in ("i", "j", "a", "b", "inliers", "residual")))
+
+
 def leave_references_out(buildings: DataFrame, tile: str, height: str, length: str, rank: str = "rank", k: int = REFERENCES, least: int = MIN_REFERENCES) -> DataFrame:
     """(n, mae, rmse, bias, tiles, undefined): a tile's scale is the median ratio of its first k references; errors are of all its other buildings."""
     ok = buildings.where((F.col(length) > 0) & F.col(height).isNotNull())

@@ -259,3 +259,38 @@ def error_rasters(spark, sf_dir):
     e = morphology.densify(cells(spark, sf_dir), ["scene"], 64, 64).withColumn("error", F.when(F.col("z") > 100000, F.round(F.col("z") / 1000, 2) - 150))
     sinks.save_files(sinks.error_files(e, ["scene"], "error", (0.5, 0.0, 10.0, 0.0, -0.5, 20.0), 32643), folder)
     return rasters.pixels(scan_blocks(spark, folder)).where("value is not null").select("row", "col", F.round("value", 3).alias("value"))
+
+
+# diagnostics and consensus ----------------------------------------------------------------------------------------------
+
+
+@query("tile_diagnostic", f"""WITH {CELLS}, m AS (SELECT row, col FROM cells WHERE z > 200000), o AS (SELECT row, col FROM m WHERE (SELECT count(*) FROM m n WHERE abs(n.row - m.row) + abs(n.col - m.col) = 1) < 4),
+    g AS (SELECT s_suppkey, (s_suppkey * 7 % 80 - 8)::INT AS r0, (s_suppkey * 5 % 64)::INT AS c0, (s_suppkey * 11 % 64)::INT AS r1, (s_suppkey * 13 % 80)::INT AS c1 FROM supplier WHERE s_suppkey % 5 = 0), n AS (SELECT *, greatest(abs(r1 - r0), abs(c1 - c0)) AS n FROM g),
+    p AS (SELECT DISTINCT (r0 + round_even((r1 - r0) * k / greatest(n, 1)::DOUBLE, 0))::INT AS row, (c0 + round_even((c1 - c0) * k / greatest(n, 1)::DOUBLE, 0))::INT AS col FROM (SELECT *, unnest(range(0, n + 1)) AS k FROM n))
+    SELECT c.row, c.col, CASE WHEN p.row IS NOT NULL THEN 0 WHEN o.row IS NOT NULL THEN 255 ELSE round_even(least(z / 2000, 255), 0)::INT END AS red, CASE WHEN p.row IS NOT NULL THEN 200 WHEN o.row IS NOT NULL THEN 64 ELSE round_even(least(z / 2000, 255), 0)::INT END AS green,
+        CASE WHEN p.row IS NOT NULL THEN 0 WHEN o.row IS NOT NULL THEN 64 ELSE round_even(least(z / 2000, 255), 0)::INT END AS blue FROM cells c LEFT JOIN o ON o.row = c.row AND o.col = c.col LEFT JOIN p ON p.row = c.row AND p.col = c.col""")
+def tile_diagnostic(spark, sf_dir):
+    """Cells in grey, outlines of the high ones above them, and rays above both."""
+    from umbraloom.operators import diagnostic
+
+    c, k = cells(spark, sf_dir), F.col("s_suppkey")
+    rays = read(spark, sf_dir, "supplier").where(k % 5 == 0).select(F.lit("orders").alias("scene"), (k * 7 % 80 - 8).alias("r0"), (k * 5 % 64).alias("c0"), (k * 11 % 64).alias("r1"), (k * 13 % 80).alias("c1"))
+    layers = [(diagnostic.outline_pixels(c.where("z > 200000"), ["scene"]), (255, 64, 64)), (diagnostic.segment_pixels(rays, ["scene"], 64, 64), (0, 200, 0))]
+    return diagnostic.composed(c.withColumn("v", F.col("z") / 2000), layers, ["scene"]).drop("scene")
+
+
+@query("pair_consensus", """WITH p AS (SELECT l_suppkey AS tile, l_orderkey * 10 + l_linenumber AS id, max(l_quantity) AS x, max(l_extendedprice) / 1000 AS y FROM lineitem GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY tile ORDER BY id) AS k FROM p), q AS (SELECT a.tile, a.id AS i, b.id AS j, a.x AS xi, a.y AS yi, (b.y - a.y) / (b.x - a.x) AS a FROM r a JOIN r b ON b.tile = a.tile AND b.k > a.k WHERE a.k <= 6 AND b.k <= 6 AND a.x <> b.x),
+    o AS (SELECT q.tile, i, j, a, yi - a * xi AS b, abs(a * (x - xi) + yi - y) AS off FROM q JOIN p ON p.tile = q.tile), c AS (SELECT tile, i, j, a, b, count(*) FILTER (off <= 15) AS inliers, coalesce(sum(off) FILTER (off <= 15), 0) AS residual FROM o GROUP BY 1, 2, 3, 4, 5),
+    w AS (SELECT *, row_number() OVER (PARTITION BY tile ORDER BY inliers DESC, round(residual, 9), i, j) AS k FROM c) SELECT tile, i, j, round(a, 6) AS a, round(b, 6) AS b, inliers, round(residual, 4) AS residual FROM w WHERE k = 1""")
+def pair_consensus(spark, sf_dir):
+    """The best of all pairs of each tile's first six points."""
+    from pyspark.sql import Window
+
+    from umbraloom.operators import calibration
+
+    keys = F.col("l_suppkey").alias("tile"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id")
+    p = read(spark, sf_dir, "lineitem").groupBy(*keys).agg(F.max("l_quantity").alias("x"), (F.max("l_extendedprice") / 1000).alias("y")).withColumn("dh", F.lit(5.0))
+    first = p.withColumn("k", F.row_number().over(Window.partitionBy("tile").orderBy("id"))).where("k <= 6")
+    pairs = first.select("tile", F.col("id").alias("i"), F.col("k").alias("ki")).join(first.select("tile", F.col("id").alias("j"), F.col("k").alias("kj")), "tile").where("kj > ki").select("tile", "i", "j")
+    got = calibration.pair_consensus(p, pairs, "tile")
+    return got.select("tile", "i", "j", F.round("a", 6).alias("a"), F.round("b", 6).alias("b"), "inliers", F.round("residual", 4).alias("residual"))
