@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from umbraloom.functions.geometry import WGS84_A, WGS84_E2
 from umbraloom.operators import components, epochs, lineage, morphology, surfaces, warp
-from umbraloom.plans.catalogue import CELLS, cells, query, read, rounded
+from umbraloom.plans.catalogue import CELLS, QUERIES, SQL, cells, query, read, rounded
 
 #: Two scenes of 96 x 96 pixels.
 SCENES = "cells2 AS (SELECT 's' || (o_orderkey % 2) AS scene_id, (o_custkey % 96)::INT AS row, (o_orderkey // 2 % 96)::INT AS col, max(o_totalprice) AS z FROM orders GROUP BY 1, 2, 3)"
@@ -294,3 +294,61 @@ def pair_consensus(spark, sf_dir):
     pairs = first.select("tile", F.col("id").alias("i"), F.col("k").alias("ki")).join(first.select("tile", F.col("id").alias("j"), F.col("k").alias("kj")), "tile").where("kj > ki").select("tile", "i", "j")
     got = calibration.pair_consensus(p, pairs, "tile")
     return got.select("tile", "i", "j", F.round("a", 6).alias("a"), F.round("b", 6).alias("b"), "inliers", F.round("residual", 4).alias("residual"))
+
+
+# round trips ------------------------------------------------------------------------------------------------------------
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{lineage.shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _product(path: str) -> F.Column:
+    """The product in a file's name, <scene>-<product>.<suffix>."""
+    return F.regexp_extract(path, r"-([a-z]+)\.[a-z]+$", 1)
+
+
+@query("array_round_trip", f"WITH {CELLS} SELECT row, col, floor(z / 100)::DOUBLE AS value FROM cells")
+def array_round_trip(spark, sf_dir):
+    """A grid saved as an array file and read again."""
+    from umbraloom.sources import rasters, sinks
+
+    folder = _folder(spark, "arrays")
+    sinks.save_files(sinks.array_files(cells(spark, sf_dir).withColumn("z", F.floor(F.col("z") / 100).cast("double")), ["scene"], "z"), folder)
+    return rasters.pixels(rasters.read_blocks(spark, folder, "*.npy")).where("value is not null").select("row", "col", "value")
+
+
+@query("surface_round_trip", f"""WITH {CELLS}, d AS (SELECT r.row::INT AS row, c.col::INT AS col, floor(coalesce(z, 0) / 100)::DOUBLE AS dsm, floor(coalesce(z, 0) / 200)::DOUBLE AS dtm FROM range(64) r(row) CROSS JOIN range(64) c(col) LEFT JOIN cells ON cells.row = r.row AND cells.col = c.col)
+    SELECT 'dsm' AS product, row, col, dsm AS value FROM d UNION ALL SELECT 'dtm', row, col, dtm FROM d UNION ALL SELECT 'ndsm', row, col, dsm - dtm FROM d UNION ALL SELECT 'ground', row, col, (dsm < 1500)::INT::DOUBLE FROM d""")
+def surface_round_trip(spark, sf_dir):
+    """The four surfaces of a scene as validated rasters, read again by the data source."""
+    from umbraloom.sources import rasters, sinks
+    from umbraloom.sources.raster_source import scan_blocks
+
+    folder, z = _folder(spark, "surfaces"), F.coalesce("z", F.lit(0.0))
+    d = morphology.densify(cells(spark, sf_dir), ["scene"], 64, 64).select("scene", "row", "col", F.floor(z / 100).cast("double").alias("dsm"), F.floor(z / 200).cast("double").alias("dtm"))
+    d = d.withColumns({"ndsm": F.col("dsm") - F.col("dtm"), "ground": (F.col("dsm") < 1500).cast("int")})
+    sinks.save_files(sinks.surface_files(d, ["scene"], (0.5, 0.0, 10.0, 0.0, -0.5, 20.0), 32643), folder)
+    return rasters.pixels(scan_blocks(spark, folder)).select(_product("path").alias("product"), "row", "col", "value")
+
+
+@query("confidence_round_trip", f"WITH {CELLS}, d AS (SELECT r.row::INT AS row, c.col::INT AS col, coalesce(z, 0) AS z FROM range(64) r(row) CROSS JOIN range(64) c(col) LEFT JOIN cells ON cells.row = r.row AND cells.col = c.col) SELECT row, col, CASE WHEN z > 250000 THEN 4 WHEN z > 150000 THEN 2 WHEN z > 0 THEN 1 ELSE 0 END::DOUBLE AS value, 'HIGH' AS high FROM d")
+def confidence_round_trip(spark, sf_dir):
+    """Codes of confidence states with a tag for each state."""
+    from umbraloom.sources import rasters, sinks
+    from umbraloom.sources.raster_source import scan_blocks, scan_headers
+
+    folder = _folder(spark, "confidence")
+    d = morphology.densify(cells(spark, sf_dir), ["scene"], 64, 64).withColumn("confidence", F.when(F.col("z") > 250000, 4).when(F.col("z") > 150000, 2).when(F.col("z") > 0, 1).otherwise(0))
+    sinks.save_files(sinks.confidence_files(d, ["scene"]), folder)
+    tags = scan_headers(spark, folder).select("path", F.col("tags")["STATE_4"].alias("high"))
+    return rasters.pixels(scan_blocks(spark, folder)).join(tags, "path").select("row", "col", "value", "high")
+
+
+@query("tile_plan_file", SQL["tile_plan"])
+def tile_plan_file(spark, sf_dir):
+    """The tile plan as a file of JSON lines, read again."""
+    from umbraloom.sources import records
+
+    records.save_tile_plan(QUERIES["tile_plan"](spark, sf_dir), folder := _folder(spark, "plan"))
+    return records.tile_plan(spark, folder).withColumn("scene_id", F.col("scene_id").cast("long"))
