@@ -20,7 +20,8 @@ ROUNDS = 8
 RANGES = (("1900-01-01", 73049), ("0001-01-01", 693595), ("2100-01-01", 2885415))
 WALK = 64  # steps of cycle walking: a failure has odds below 1e-12
 
-SECRET_NAME = r"(?i:password|passwd|secret|token|api_key)\h*+[=:]\h*+(?:\R\h*+)?+"
+#: A name of a secret, in quotes or not, and what stands between it and its value; or the name of a bearer's token.
+SECRET_NAME = r"(?:(?i:password|passwd|pwd|secret|token|api[_-]?key)[\x22\x27]?+\h*+[=:]\h*+(?:\R\h*+)?+(?:(?i:bearer)\h++)?+|(?i:bearer)\h++(?=[A-Za-z0-9._~+/-]{16}))"
 SECRET_HEAD = rf"^{SECRET_NAME}[\x22\x27]?"
 #: A value in quotes ends at the closing one (or the text's end), any other at white space or a quote.
 SECRET_VALUE = r"(?:\x22(?!\s)[^\x22\r\n]{6,}(?=\x22|$)|\x27(?!\s)[^\x27\r\n]{6,}(?=\x27|$)|[\x22\x27]?[^\s\x22\x27]{6,})"
