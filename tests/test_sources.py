@@ -151,3 +151,34 @@ def test_error_and_prediction_files(spark, tmp_path):
     about = json.loads((tmp_path / "out" / "s-7.json").read_text())
     assert about["fallback"] and about["reason"].startswith("stalled") and about["units"].endswith("not metres") and (about["height"], about["width"]) == (2, 3)
     assert np.allclose(np.load(tmp_path / "out" / "s-7_relative_height.npy"), (np.arange(0, 18, 3).reshape(2, 3) / 255 - 0.485) / 0.229, atol=1e-6) and len(list((tmp_path / "out").iterdir())) == 3
+
+
+def test_exported_meshes(spark):
+    cells = spark.createDataFrame([(s, r, c, None if (r, c) == (2, 2) else float(r * c)) for s in ("a/b.tif", "x_dsm") for r in range(5) for c in range(6)] + [("line", 0, c, 1.0) for c in range(4)], "scene string, row int, col int, z double")
+    got = {r["name"]: r for r in mesh.export_meshes(cells, ["scene"], "z", "dsm", "ABSOLUTE", now=lambda: 2.0).collect()}
+    assert sorted(got) == ["b_dsm_ABSOLUTE.glb", "line_dsm_ABSOLUTE.glb", "x_dsm_ABSOLUTE.glb"]
+    good = got["b_dsm_ABSOLUTE.glb"]
+    assert good["problems"] == [] and (good["vertices"], good["triangles"], good["export_ms"]) == (29, 2 * (20 - 4), 0.0)
+    assert mesh.parse_glb(bytes(good["content"]))[2]["product"] == "dsm" and mesh.inspected(bytes(good["content"])) == {"bytes": len(good["content"]), "primitives": 1, "compressed": 0, "uses": False}
+    assert got["line_dsm_ABSOLUTE.glb"]["problems"] == ["no square of valid cells"]
+    with pytest.raises(ValueError, match="no encoder is given"):
+        mesh.export_meshes(cells, ["scene"], "z", "dsm", "ABSOLUTE", compressed=True)
+
+    def packed(v, t, extras):
+        data = mesh.glb_bytes(v, t, extras)
+        n = struct.unpack_from("<I", data, 12)[0]
+        doc = json.loads(data[20 : 20 + n])
+        doc["extensionsUsed"] = ["KHR_draco_mesh_compression"]
+        doc["meshes"][0]["primitives"][0]["extensions"] = {"KHR_draco_mesh_compression": {}}
+        text = json.dumps(doc).encode()
+        text += b" " * (-len(text) % 4)
+        rest = data[20 + n :]
+        return struct.pack("<4sII", b"glTF", 2, 20 + len(text) + len(rest)) + struct.pack("<I4s", len(text), b"JSON") + text + rest
+
+    one = cells.where("scene = 'x_dsm'")
+    assert mesh.export_meshes(one, ["scene"], "z", "dsm", "RELATIVE", compressed=True, encoder=packed).first()["problems"] == []
+    assert mesh.export_meshes(one, ["scene"], "z", "dsm", "RELATIVE", compressed=True, encoder=mesh.glb_bytes).first()["problems"] == ["compression was asked for but the file is not compressed"]
+    assert mesh.export_meshes(one, ["scene"], "z", "dsm", "RELATIVE", encoder=packed).first()["problems"] == ["the file is compressed, unasked"]
+    for data in (b"", b"glTF" + bytes(30), bytes(good["content"])[:-4]):
+        with pytest.raises(ValueError, match="GLB"):
+            mesh.inspected(data)

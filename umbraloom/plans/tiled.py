@@ -352,3 +352,13 @@ def tile_plan_file(spark, sf_dir):
 
     records.save_tile_plan(QUERIES["tile_plan"](spark, sf_dir), folder := _folder(spark, "plan"))
     return records.tile_plan(spark, folder).withColumn("scene_id", F.col("scene_id").cast("long"))
+
+
+@query("mesh_exports", f"WITH {SCENES}, c AS (SELECT * FROM cells2 WHERE row < 48 AND col < 48), q AS (SELECT a.scene_id FROM c a JOIN c b ON b.scene_id = a.scene_id AND b.row = a.row AND b.col = a.col + 1 JOIN c d ON d.scene_id = a.scene_id AND d.row = a.row + 1 AND d.col = a.col JOIN c e ON e.scene_id = a.scene_id AND e.row = a.row + 1 AND e.col = a.col + 1), n AS (SELECT scene_id, 2 * count(*) AS triangles FROM q GROUP BY 1) SELECT c.scene_id || '_dsm_ABSOLUTE.glb' AS name, count(*) AS vertices, coalesce(any_value(triangles), 0) AS triangles, any_value(triangles) IS NOT NULL AS sound FROM c LEFT JOIN n USING (scene_id) GROUP BY c.scene_id")
+def mesh_exports(spark, sf_dir):
+    """A mesh file of each scene, verified."""
+    from umbraloom.sources.mesh import export_meshes
+
+    c = scenes(spark, sf_dir).where("row < 48 and col < 48")
+    got = export_meshes(c, ["scene_id"], "z", "dsm", "ABSOLUTE")
+    return got.select("name", "vertices", "triangles", (F.size("problems") == 0).alias("sound"))
