@@ -281,7 +281,7 @@ def tile_diagnostic(spark, sf_dir):
 
 @query("pair_consensus", """WITH p AS (SELECT l_suppkey AS tile, l_orderkey * 10 + l_linenumber AS id, max(l_quantity) AS x, max(l_extendedprice) / 1000 AS y FROM lineitem GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY tile ORDER BY id) AS k FROM p), q AS (SELECT a.tile, a.id AS i, b.id AS j, a.x AS xi, a.y AS yi, (b.y - a.y) / (b.x - a.x) AS a FROM r a JOIN r b ON b.tile = a.tile AND b.k > a.k WHERE a.k <= 6 AND b.k <= 6 AND a.x <> b.x),
     o AS (SELECT q.tile, i, j, a, yi - a * xi AS b, abs(a * (x - xi) + yi - y) AS off FROM q JOIN p ON p.tile = q.tile), c AS (SELECT tile, i, j, a, b, count(*) FILTER (off <= 15) AS inliers, coalesce(sum(off) FILTER (off <= 15), 0) AS residual FROM o GROUP BY 1, 2, 3, 4, 5),
-    w AS (SELECT *, row_number() OVER (PARTITION BY tile ORDER BY inliers DESC, round(residual, 9), i, j) AS k FROM c) SELECT tile, i, j, round(a, 6) AS a, round(b, 6) AS b, inliers, round(residual, 4) AS residual FROM w WHERE k = 1""")
+    w AS (SELECT *, row_number() OVER (PARTITION BY tile ORDER BY inliers DESC, round(residual, 9), i, j) AS k FROM c) SELECT tile, i, j, round(a, 6) AS a, round(b, 6) AS b, inliers, round(residual / inliers, 6) AS mean_off FROM w WHERE k = 1""")
 def pair_consensus(spark, sf_dir):
     """The best of all pairs of each tile's first six points."""
     from pyspark.sql import Window
@@ -293,7 +293,7 @@ def pair_consensus(spark, sf_dir):
     first = p.withColumn("k", F.row_number().over(Window.partitionBy("tile").orderBy("id"))).where("k <= 6")
     pairs = first.select("tile", F.col("id").alias("i"), F.col("k").alias("ki")).join(first.select("tile", F.col("id").alias("j"), F.col("k").alias("kj")), "tile").where("kj > ki").select("tile", "i", "j")
     got = calibration.pair_consensus(p, pairs, "tile")
-    return got.select("tile", "i", "j", F.round("a", 6).alias("a"), F.round("b", 6).alias("b"), "inliers", F.round("residual", 4).alias("residual"))
+    return got.select("tile", "i", "j", F.round("a", 6).alias("a"), F.round("b", 6).alias("b"), "inliers", F.round(F.col("residual") / F.col("inliers"), 6).alias("mean_off"))
 
 
 # round trips ------------------------------------------------------------------------------------------------------------
