@@ -196,3 +196,14 @@ def test_terrain_under_a_box(spark):
     for r, c in itertools.product(range(20, 32), range(17, 30)):
         assert abs(got["town", r, c][0] - (5 + 0.1 * r - 0.05 * c)) < 1e-9 and not got["town", r, c][1]
     assert all(got["none", r, 5] == (None, False) for r in range(48))
+
+
+def test_terrain_keeps_columns_of_any_name(spark):
+    names = ["filled", "raster", "tin", "_g", "_e", "_h", "gap"]
+    rows = [("s", r, c, 5.0 + (9.0 if 3 <= r < 6 and 3 <= c < 6 else 0.0), not (3 <= r < 6 and 3 <= c < 6), *[f"{r}-{c}-{n}" for n in names]) for r in range(9) for c in range(9) if (r, c) not in ((0, 0),)]
+    rows.append(("s", 0, 0, None, False, *[f"0-0-{n}" for n in names]))
+    cells = spark.createDataFrame(rows, "scene_id string, row int, col int, z double, is_ground boolean, " + ", ".join(f"`{n}` string" for n in names))
+    got = surfaces.interpolate_dtm(cells, ["scene_id"], tile=4, halo=2)
+    assert got.columns == [*cells.columns, "dtm", "is_final_ground"]
+    for r in got.collect():
+        assert r["dtm"] == 5.0 and all(r[n] == f"{r['row']}-{r['col']}-{n}" for n in names)

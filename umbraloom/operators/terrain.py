@@ -305,9 +305,11 @@ def interpolate_dtm(cells: DataFrame, by: Sequence[str], value: str = "z", readm
     result. A grid without ground has no terrain: null. Groups are tiles with their halo, and lines.
     """
     by, at = list(by), [*by, "row", "col"]
-    edges = cells.groupBy(*by).agg(F.array(*(F.expr(f"cast({f}({c}) as int)") for f, c in (("min", "row"), ("min", "col"), ("max", "row"), ("max", "col")))).alias("raster"))
+    edges = cells.groupBy(*by).agg(F.array(*(F.expr(f"cast({f}({c}) as int)") for f, c in (("min", "row"), ("min", "col"), ("max", "row"), ("max", "col")))).alias("raster")).withColumnRenamed("raster", "_raster")
     valid = F.col(value).isNotNull() & ~F.isnan(value)
-    base = cells.join(edges, by).select(*cells.columns, "raster", (F.coalesce(F.col("is_ground"), F.lit(False)) & valid).alias("_g"))
+    # the caller's other columns go by names of their own meanwhile
+    own = {c: f"_own{i}" for i, c in enumerate(cells.columns) if c not in (*at, value)}
+    base = cells.join(edges, by).select(*(F.col(c).alias(own.get(c, c)) for c in cells.columns), F.col("_raster").alias("raster"), (F.coalesce(F.col("is_ground"), F.lit(False)) & valid).alias("_g"))
     for k in range(passes + 1):
         base = cut(base)
         lone = erosion(base.withColumn("_e", F.col("_g").cast("int")), by, "_e", 3)  # 1 where all around is ground
@@ -323,6 +325,6 @@ def interpolate_dtm(cells: DataFrame, by: Sequence[str], value: str = "z", readm
             filled = cut(nearest_fill(ground, by, "_v").withColumn("_h", F.coalesce("_h", "filled")).drop("_v", "filled"))
         again = ~F.col("_g") & valid & F.coalesce(F.abs(F.col(value) - F.col("_h")) <= readmit_m, F.lit(False))
         if k == passes or filled.where(again).isEmpty():
-            return filled.select(*cells.columns, F.col("_h").alias("dtm"), F.col("_g").alias("is_final_ground"))
+            return filled.select(*(F.col(own.get(c, c)).alias(c) for c in cells.columns), F.col("_h").alias("dtm"), F.col("_g").alias("is_final_ground"))
         base = filled.withColumn("_g", F.col("_g") | again).drop("_h")
     raise AssertionError
