@@ -98,11 +98,15 @@ def measure(rays: DataFrame, by: Sequence[str], percentile: float = PERCENTILE,
 def merged_fraction(rays: DataFrame, by: Sequence[str], footprints: DataFrame, sun_azimuth, step: float = STEP) -> DataFrame:
     """(by, merged_fraction): of the rays with a hit at some length, the share whose way to it, by whole steps to its end or just beyond, touches another building; null without such rays."""
     d = shadow_direction_pixels(sun_azimuth)
-    hits = rays.where("hit and length_px != 0")
-    s = ray_samples(hits.where("length_px > 0"), by, d["d_row"], d["d_col"], F.ceil(F.col("length_px") / step) * step, step)
-    other = footprints.select("scene_id", "row", "col", F.col("building_id").alias("_other"))
-    touched = s.join(other, ["scene_id", "row", "col"]).where("_other != building_id").select(*by, "ray_id").distinct().withColumn("_t", F.lit(1))
-    return hits.join(touched, [*by, "ray_id"], "left").groupBy(*by).agg(F.avg(F.coalesce("_t", F.lit(0)).cast("double")).alias("merged_fraction"))
+    c, length = F.col, F.col("length_px")
+    hits = rays.where("hit and length_px != 0").select(*by, "ray_id", "start_row", "start_col", "length_px", F.when(length > 0, F.sequence(F.lit(1), F.ceil(length / step).cast("int"))).alias("_ks"), *(v.alias(n) for n, v in (("_dr", d["d_row"]), ("_dc", d["d_col"]))))
+    s = hits.repartition(*by, "ray_id").select("*", F.explode_outer("_ks").alias("k")).withColumn("t", c("k") * step)
+    s = s.select(*by, "ray_id", F.coalesce(c("k") == 1, F.lit(True)).alias("_first"), F.rint(c("start_row") + c("_dr") * c("t")).cast("int").alias("row"), F.rint(c("start_col") + c("_dc") * c("t")).cast("int").alias("col"))
+    # the least and the greatest building of a pixel tell whether any other one lies there, so a sample stays one row and rays need no second join
+    held = footprints.groupBy("scene_id", "row", "col").agg(F.min("building_id").alias("_lo"), F.max("building_id").alias("_hi"))
+    touch = F.coalesce(((c("_lo") != c("building_id")) | (c("_hi") != c("building_id"))) & c("ray_id").isNotNull(), F.lit(False))
+    of_ray = s.join(held, ["scene_id", "row", "col"], "left").groupBy(*by, "ray_id").agg(F.count(F.when(c("_first"), 1)).alias("_n"), F.max(touch.cast("int")).alias("_t"))
+    return of_ray.groupBy(*by).agg((F.sum(c("_n") * c("_t")) / F.sum("_n")).alias("merged_fraction"))
 
 
 def shadow_gate(measured: DataFrame, max_edge: float = 0.5, max_merged: float = 0.5) -> DataFrame:
