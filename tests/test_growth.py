@@ -1,8 +1,11 @@
 """What grows with the input stays off the driver, out of single tasks and out of repeated work; results stay those of the SQL."""
 
+import datetime
+
 from pyspark.sql import functions as F
 
 from umbraloom.operators import rays
+from umbraloom.plans import catalogue
 
 
 def test_merged_fraction_joins_no_rays_to_rays(spark):
@@ -14,3 +17,15 @@ def test_merged_fraction_joins_no_rays_to_rays(spark):
     # of a: both rays 1 touch b and c; 2 is too short, 3 has no way, a ray without a number touches nothing
     assert {tuple(x) for x in got.collect()} == {("s", "a", 0.4), ("s", "d", 0.0), ("t", "b", 0.0)}
     assert got._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+
+
+def test_azimuths_without_a_band_have_no_row(spark, tmp_path):
+    """Where all cells are buildings, no candidate has a band, and the SQL has no row."""
+    when = datetime.datetime(2000, 1, 1)
+    full = [(r * 64 + c, (r * 64 + c) // 64, "O", 300000.0, when, "1") for r in range(64) for c in range(64)]
+    schema = "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp, o_orderpriority string"
+    spark.createDataFrame(full, schema).write.parquet(f"{tmp_path}/full/orders.parquet")
+    assert catalogue.azimuth_scores(spark, f"{tmp_path}/full").collect() == []
+    # one free cell, in shadow: a candidate has a band if it moves any cell there
+    spark.createDataFrame([(k, c, s, 1000.0 if k == 32 * 64 + 32 else p, d, q) for k, c, s, p, d, q in full], schema).write.parquet(f"{tmp_path}/free/orders.parquet")
+    assert {tuple(x) for x in catalogue.azimuth_scores(spark, f"{tmp_path}/free").collect()} == {(float(a), 1.0) for a in range(0, 360, 10)}

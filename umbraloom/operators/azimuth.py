@@ -13,7 +13,7 @@ BAND_PX, STEP_DEG, MIN_PX, MIN_PEAK = 8, 1, 200, 1.25
 
 
 def azimuth_scores(buildings: DataFrame, shadow: DataFrame, height: int, width: int, band_px: int = BAND_PX, step_deg: int = STEP_DEG, by: str = "scene_id") -> DataFrame:
-    """(scene_id, azimuth, score): the share of shadow in the band behind all buildings, for each candidate.
+    """(scene_id, azimuth, score, band_n): the share of shadow in the band behind all buildings, for each candidate, and the pixels of that band; without any, score is 0.
 
     Many candidates shift a pixel to the same place, so places are found once for each distinct offset and only then dealt to
     candidates. The offsets, at most 17 x 17, are part of the plan; joins are on equal keys.
@@ -29,9 +29,9 @@ def azimuth_scores(buildings: DataFrame, shadow: DataFrame, height: int, width:
     moved = px.withColumn("_s", F.explode(shifts)).select(by, (F.col("row") + F.col("_s.dr")).alias("row"), (F.col("col") + F.col("_s.dc")).alias("col"), "_s.azimuths")
     moved = moved.where(F.col("row").between(0, height - 1) & F.col("col").between(0, width - 1)).join(px, [by, "row", "col"], "left_anti")
     band = moved.withColumn("azimuth", F.explode("azimuths")).select(by, "azimuth", "row", "col").distinct()
-    score = band.join(shadow.select(by, "row", "col", F.lit(1.0).alias("_s")).distinct(), [by, "row", "col"], "left").groupBy(by, "azimuth").agg(F.avg(F.coalesce("_s", F.lit(0.0))).alias("score"))
+    score = band.join(shadow.select(by, "row", "col", F.lit(1.0).alias("_s")).distinct(), [by, "row", "col"], "left").groupBy(by, "azimuth").agg(F.avg(F.coalesce("_s", F.lit(0.0))).alias("score"), F.count("*").alias("band_n"))
     every = px.select(by).distinct().withColumn("azimuth", F.explode(F.from_json(F.lit(json.dumps(candidates)), "array<double>")))
-    return every.join(score, [by, "azimuth"], "left").fillna(0.0, ["score"])
+    return every.join(score, [by, "azimuth"], "left").fillna(0, ["score", "band_n"])
 
 
 def estimate_azimuth(scores: DataFrame, building_px: DataFrame, by: str = "scene_id", min_px: int = MIN_PX, min_peak: float = MIN_PEAK) -> DataFrame:
