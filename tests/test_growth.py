@@ -2,10 +2,14 @@
 
 import datetime
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from umbraloom.operators import rays
 from umbraloom.plans import catalogue
+from umbraloom.sources import pair_windows
+from umbraloom.sources.geotiff import geotiff_bytes
+from umbraloom.sources.tiff_ranges import Block, Memory, Tiff
 
 
 def test_merged_fraction_joins_no_rays_to_rays(spark):
@@ -29,3 +33,29 @@ def test_azimuths_without_a_band_have_no_row(spark, tmp_path):
     # one free cell, in shadow: a candidate has a band if it moves any cell there
     spark.createDataFrame([(k, c, s, 1000.0 if k == 32 * 64 + 32 else p, d, q) for k, c, s, p, d, q in full], schema).write.parquet(f"{tmp_path}/free/orders.parquet")
     assert {tuple(x) for x in catalogue.azimuth_scores(spark, f"{tmp_path}/free").collect()} == {(float(a), 1.0) for a in range(0, 360, 10)}
+
+
+def test_windows_are_dealt_to_tasks(spark, tmp_path):
+    """Requests of few bytes ended up in one task, which did all the work."""
+    (tmp_path / "i.tif").write_bytes(geotiff_bytes(np.arange(6400.0).reshape(80, 80)))
+    ask = spark.range(80).select(F.col("id").alias("stem"), *(F.lit(f"{tmp_path}/i.tif").alias(c) for c in ("image_path", "height_path")), F.col("id").cast("int").alias("row_off"), F.lit(3).alias("col_off"))
+    got = pair_windows.pair_tiles(ask, 4).select("stem", F.element_at("height_m", 1).alias("z"), F.spark_partition_id().alias("task")).collect()
+    assert {(int(t["stem"]), t["z"]) for t in got} == {(k, 80.0 * k + 3) for k in range(80)}
+    assert len({t["task"] for t in got}) > 1
+
+
+def test_blocks_are_decoded_once_while_they_fit():
+    t, seen = Tiff(Memory(geotiff_bytes(np.arange(4096.0).reshape(64, 64)))), []
+    real = t.decoded
+
+    def decode(b):
+        seen.append(b)
+        return real(b)
+
+    block = next(t.blocks())
+    once = pair_windows.kept(decode)
+    assert (once(block) == real(block)).all() and (once(block) == real(block)).all() and seen == [block]
+    none = pair_windows.kept(lambda b: seen.append(b) or np.zeros(10), most=100)  # room for one block of 80 bytes
+    for k in (0, 0, 1, 0):
+        none(Block(k, None, 0, 0))
+    assert [b.k for b in seen[1:]] == [0, 1, 0]

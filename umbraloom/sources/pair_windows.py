@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from umbraloom.sources.rasters import rgb_bands
-from umbraloom.sources.tiff_ranges import Stored, Tiff
+from umbraloom.sources.tiff_ranges import Block, Stored, Tiff
 
+#: Bytes of decoded blocks that are kept for each open file, and of tiles that leave a task at once.
+KEPT, SENT = 32 << 20, 8 << 20
 TILES_SQL = "stem string, row_off int, col_off int, resampled boolean, image array<float>, height_m array<float>, valid array<boolean>"
 
 
@@ -46,24 +49,65 @@ def cut_pair(image: Tiff, height: Tiff, row: int, col: int, size: int, resample:
     return np.where(np.isfinite(pixels), pixels, 0), np.where(ok, z, 0).astype(np.float32), ok, resampled
 
 
+def kept(decode: Callable[[Block], np.ndarray | None], most: int = KEPT) -> Callable[[Block], np.ndarray | None]:
+    """decode with its last blocks at hand, up to so many bytes: neighbouring windows share blocks."""
+    held: dict[Block, np.ndarray | None] = {}
+    size = 0
+
+    def decoded(b: Block) -> np.ndarray | None:
+        nonlocal size
+        if b in held:
+            held[b] = a = held.pop(b)
+            return a
+        a = decode(b)
+        size += 0 if a is None else a.nbytes
+        while held and size > most:
+            old = held.pop(next(iter(held)))
+            size -= 0 if old is None else old.nbytes
+        held[b] = a
+        return a
+
+    return decoded
+
+
 def pair_tiles(requests: DataFrame, size: int, **rules) -> DataFrame:
     """A tile for each row of requests (stem, image_path, height_path, row_off, col_off). rules: as of cut_pair.
 
-    Requests are grouped by their files, so that a file's directory is read once for a task, and each group is cut where it is read. A null place or path is refused; an
-    empty table gives no rows."""
-    asked = requests.select("stem", "image_path", "height_path", "row_off", "col_off").repartition("image_path", "height_path", "row_off").sortWithinPartitions("image_path", "height_path")
+    Requests are grouped by their files, so that a file's directory is read once for a task, and each group is cut where it is read. Their number of tasks is
+    fixed: requests have few bytes but much work, so Spark would put all of them into one task. A null place or path is refused; an empty table gives no rows."""
+    spark = requests.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    asked = requests.select(F.col("stem").cast("string").alias("stem"), "image_path", "height_path", "row_off", "col_off").repartition(tasks, "image_path", "height_path", "row_off").sortWithinPartitions("image_path", "height_path", "row_off", "col_off")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def opened(path: str) -> Tiff:
+        t = Tiff(Stored(path))
+        t.decoded = kept(t.decoded)
+        return t
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_: dict[str, Tiff] = {}
-        for pdf in batches:
-            for stem, image, height, row, col in pdf.itertuples(index=False):
+        cut, taken = [], 0
+        for batch in batches:
+            for stem, image, height, row, col in zip(*(batch.column(c).to_pylist() for c in ("stem", "image_path", "height_path", "row_off", "col_off")), strict=True):
                 if image not in open_ or height not in open_:
                     for t in open_.values():
                         t.source.close()
-                    open_ = {p: Tiff(Stored(p)) for p in (image, height)}
+                    open_ = {p: opened(p) for p in (image, height)}
                 pixels, z, ok, resampled = cut_pair(open_[image], open_[height], int(row), int(col), size, **rules)
-                yield pd.DataFrame([(stem, int(row), int(col), resampled, pixels.ravel(), z.ravel(), ok.ravel())], columns=["stem", "row_off", "col_off", "resampled", "image", "height_m", "valid"])
+                cut.append((stem, int(row), int(col), resampled, pixels.ravel(), z.ravel(), ok.ravel()))
+                taken += pixels.nbytes + z.nbytes + ok.nbytes
+                if taken > SENT:
+                    yield _tiles(cut)
+                    cut, taken = [], 0
+        if cut:
+            yield _tiles(cut)
         for t in open_.values():
             t.source.close()
 
-    return asked.mapInPandas(run, TILES_SQL)
+    return asked.mapInArrow(run, TILES_SQL)
+
+
+def _tiles(cut: list[tuple]) -> pa.RecordBatch:
+    stem, row, col, resampled, *values = zip(*cut, strict=True)
+    lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1, dtype=np.int32) * len(v[0])), pa.array(np.concatenate(v), t)) for v, t in zip(values, (pa.float32(), pa.float32(), pa.bool_()), strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(stem, pa.string()), pa.array(row, pa.int32()), pa.array(col, pa.int32()), pa.array(resampled, pa.bool_()), *lists], [c.split()[0] for c in TILES_SQL.split(", ")])
