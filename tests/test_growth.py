@@ -3,9 +3,10 @@
 import datetime
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from umbraloom.operators import rays
+from umbraloom.operators import calibration, rays
 from umbraloom.plans import catalogue
 from umbraloom.sources import pair_windows
 from umbraloom.sources.geotiff import geotiff_bytes
@@ -59,3 +60,40 @@ def test_blocks_are_decoded_once_while_they_fit():
     for k in (0, 0, 1, 0):
         none(Block(k, None, 0, 0))
     assert [b.k for b in seen[1:]] == [0, 1, 0]
+
+
+def test_references_are_found_without_a_window_over_all_rows(spark):
+    """Tiles against a plain version; ids that repeat and keys that are null count as before, and no row but the first eligible ones is sorted."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for k in range(300):
+        rows.append((str(k % 2), 0, [None, "x", "y"][k % 3], int(rng.integers(0, 6)), k // 2 if k < 40 else k, bool(k % 7), "edge" if k % 11 == 0 else None, [None, 0.2, 0.9][int(rng.integers(0, 3))], "NOMINAL", 190.0 + k % 40, 0.9, {0: True, 4: k % 4 > 0}, 0.95, float(rng.integers(2, 30)), float(rng.integers(0, 4)), float(rng.integers(4, 8)), 0.9, float(k % 13)))
+    rows += [("0", 0, "x", 9, 1, True, None, 0.1, "NOMINAL", 300.0, 0.9, {0: True, 4: True}, 0.95, 5.0, 1.0, 4.0, 0.9, 1.0)] * 5  # one building five times: three are references
+    kinds = "mode string, gap int, city string, tile int, id int, ok boolean, rejection string, merged double, confidence string, area double, solidity double, isolated map<int,boolean>, valid_fraction double, h double, spread double, length double, zone_ground double, hit_fraction double"
+    judged = calibration.variants(spark.createDataFrame(rows, kinds), (0, 4))
+    got = calibration.variant_summary(judged)
+    tiles, groups = {}, {}
+    for r in judged.collect():
+        tiles.setdefault((r.mode, r.isolation, r.merged_check, r.city, r.tile), []).append(r)
+    for (mode, isolation, check, city, _), of in tiles.items():
+        fit = sorted((r for r in of if r.gate is None), key=lambda r: (r.spread / r.length, -r.area, r.id, r.h, r.length))
+        refs = fit[:3]
+        errors = []
+        if len(fit) >= 2:
+            scale, left = float(np.median([r.h / r.length for r in refs])), list(refs)
+            for r in of:
+                if r in left:
+                    left.remove(r)
+                elif r.with_truth:
+                    errors.append(scale * r.length - r.h)
+        for name in (city, "combined"):
+            g = groups.setdefault((mode, isolation, check, name), [0, 0, [], []])
+            g[0], g[1] = g[0] + len(of), g[1] + (len(fit) >= 2)
+            g[2] += errors
+            g[3] += [r.hit_fraction for r in of]
+    assert got.count() == len(groups)
+    for r in got.collect():
+        n, with_refs, errors, hits = groups[r["mode"], r["isolation"], r["merged_check"], r["city"]]
+        assert (r["buildings"], r["tiles_with_references"], r["n_errors"], r["median_hit_fraction"]) == (n, with_refs, len(errors), np.median(hits))
+        assert (r["mae_m"], r["median_ae_m"], r["bias_m"]) == tuple(pytest.approx(f(errors)) for f in (lambda e: np.mean(np.abs(e)), lambda e: np.median(np.abs(e)), np.mean))
+    assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()  # ranks are cut off before

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from umbraloom.functions.values import classify_failure, classify_fit, col, not_finite
+from umbraloom.operators.lineage import cut
 from umbraloom.operators.metrics import pearson
 
 #: Reference gates, references used, constraints of a fit, limits of its condition and consensus.
@@ -225,21 +226,32 @@ def variant_summary(judged: DataFrame, keys: Sequence[str] = ("mode", "gap", "is
     """A row for each variant and city, and for all cities together (city `combined`): rates, medians, references, and the error of heights from references' scale.
 
     A tile with MIN_REFERENCES eligible buildings has a scale: the median ratio of its REFERENCES first ones by spread, area and key; errors are of its
-    other buildings with truth. Two windows by tile, then one aggregation with grouping sets.
+    other buildings with truth. Only the first eligible buildings of each tile are ranked; rows that agree in what is asked of them become one with their
+    number before anything is summed up for a city and for all.
     """
     c = F.col
-    w = Window.partitionBy(*keys, city, tile)
-    rank = F.row_number().over(w.orderBy(c("gate").isNotNull(), c("spread") / c("length"), F.desc("area"), "id"))
-    r = judged.withColumns({"_rank": rank, "_eligible": F.count(F.when(c("gate").isNull(), 1)).over(w)})
-    r = r.withColumn("_ref", c("gate").isNull() & (c("_rank") <= REFERENCES))
-    scale = F.percentile(F.when(c("_ref"), c("h") / c("length")), 0.5).over(w)
-    e = F.when((c("_eligible") >= MIN_REFERENCES) & ~c("_ref") & c("with_truth"), c("_k") * c("length") - c("h"))
-    r = r.withColumn("_k", scale).withColumn("_e", e).withColumn("_tile", F.when(c("_eligible") >= MIN_REFERENCES, F.struct(city, tile)))
-    rel, share = F.when(c("usable"), c("spread") / c("length")), lambda cond, of: F.avg(F.when(of, cond.cast("double")))
+    at, rel = [*keys, city, tile], c("spread") / c("length")
+    place = F.struct(rel.alias("rel"), c("area").isNull().alias("no_area"), (-c("area")).alias("area"), c("id").alias("id"))
+    w = Window.partitionBy(*at).orderBy("_at")
+    first = judged.where("gate is null").select(*at, place.alias("_at"), "h", "length", "with_truth").withColumn("_rank", F.rank().over(w)).where(c("_rank") <= REFERENCES)
+    first = cut(first.withColumn("_k", F.row_number().over(w)))  # more than REFERENCES of a tile only where ids repeat
+    scale = F.percentile(F.when(c("_k") <= REFERENCES, c("h") / c("length")), 0.5)
+    tiles = cut(first.groupBy(*at).agg(scale.alias("_scale"), F.max("_at").alias("_last"), F.count("*").alias("_n")).where(c("_n") >= MIN_REFERENCES).drop("_n"))
+    to = tiles.select(F.struct(*at).alias("_tile"), "_scale", "_last")
+    e = (c("_scale") * c("length") - c("h")).alias("e")
+    others = judged.where("with_truth").withColumns({"_tile": F.struct(*at), "_at": place}).join(to, "_tile").where(c("gate").isNotNull() | (c("_at") > c("_last"))).select(*keys, city, e)
+    repeated = first.where((c("_k") > REFERENCES) & c("with_truth")).withColumn("_tile", F.struct(*at)).join(to, "_tile").select(*keys, city, e)
+    errors = others.unionAll(repeated).where("e is not null").groupBy(*keys, city, "e").agg(F.count("*").alias("n_e"))
+    asked = {"hit": c("hit_fraction"), "rel": F.when(c("usable"), rel), "merged": F.when(c("usable"), c("merged") > 0.5), "ok": c("ok"), "usable": c("usable"), "fit": c("gate").isNull()}
+    rates = judged.select(*keys, city, *(v.alias(k) for k, v in asked.items())).groupBy(*keys, city, *asked).agg(F.count("*").alias("n"))
+    r = rates.unionByName(errors, allowMissingColumns=True).unionByName(tiles.select(*keys, city, F.lit(1).alias("n_tiles")), allowMissingColumns=True)
+    n = lambda cond: F.coalesce(F.sum(F.when(cond, c("n"))), F.lit(0))
+    share = lambda cond, of: n(cond & of) / F.sum(F.when(of, c("n")))
+    median = lambda v, k: F.percentile(v, 0.5, F.coalesce(c(k), F.lit(0)))
     out = r.groupingSets([[c(k) for k in (*keys, city)], [c(k) for k in keys]], *keys, city).agg(
-        F.count("*").alias("buildings"), F.count(F.when(c("ok"), 1)).alias("measured_ok"), F.count(F.when(c("usable"), 1)).alias("usable"), F.percentile("hit_fraction", 0.5).alias("median_hit_fraction"),
-        F.percentile(rel, 0.5).alias("median_relative_spread"), share(rel > MAX_SPREAD, rel.isNotNull()).alias("high_spread_fraction"), share(c("merged") > 0.5, c("usable") & c("merged").isNotNull()).alias("merged_fraction_of_usable"),
-        F.count(F.when(c("gate").isNull(), 1)).alias("eligible_references"), F.countDistinct("_tile").alias("tiles_with_references"), F.count("_e").alias("n_errors"), F.avg(F.abs("_e")).alias("mae_m"), F.percentile(F.abs("_e"), 0.5).alias("median_ae_m"),
-        F.avg("_e").alias("bias_m"), F.grouping(city).alias("_all"),
+        F.sum("n").alias("buildings"), n(c("ok")).alias("measured_ok"), n(c("usable")).alias("usable"), median(c("hit"), "n").alias("median_hit_fraction"),
+        median(c("rel"), "n").alias("median_relative_spread"), share(c("rel") > MAX_SPREAD, c("rel").isNotNull()).alias("high_spread_fraction"), share(c("merged"), c("merged").isNotNull()).alias("merged_fraction_of_usable"),
+        n(c("fit")).alias("eligible_references"), F.coalesce(F.sum("n_tiles"), F.lit(0)).alias("tiles_with_references"), F.coalesce(F.sum("n_e"), F.lit(0)).alias("n_errors"), (F.sum(F.abs("e") * c("n_e")) / F.sum("n_e")).alias("mae_m"), median(F.abs("e"), "n_e").alias("median_ae_m"),
+        (F.sum(c("e") * c("n_e")) / F.sum("n_e")).alias("bias_m"), F.grouping(city).alias("_all"),
     )
     return out.withColumn(city, F.when(c("_all") == 1, "combined").otherwise(c(city).cast("string"))).drop("_all")
