@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from umbraloom.llm import alignment
 from umbraloom.operators import calibration, rays
 from umbraloom.plans import catalogue
 from umbraloom.sources import pair_windows
@@ -97,3 +98,17 @@ def test_references_are_found_without_a_window_over_all_rows(spark):
         assert (r["buildings"], r["tiles_with_references"], r["n_errors"], r["median_hit_fraction"]) == (n, with_refs, len(errors), np.median(hits))
         assert (r["mae_m"], r["median_ae_m"], r["bias_m"]) == tuple(pytest.approx(f(errors)) for f in (lambda e: np.mean(np.abs(e)), lambda e: np.median(np.abs(e)), np.mean))
     assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()  # ranks are cut off before
+
+
+def test_token_lists_that_spell_other_bytes_are_told_by_the_transducer():
+    """The transducer reads all bytes of both sides, so B's need no check of their own; groups of one token each are kept as text."""
+    t = alignment.Transducer([b" a", b"b", b" ab", b"c"], [b" ", b"ab", b" a", b"b", b"bc"])
+    for _ in range(2):  # the second time from the kept transitions
+        assert t.align([0, 1], [2, 3]) == ([2, 1 * 5 + 3], ["0|2", "1|3"])
+        assert t.align([2], [0, 1]) == ([2 * 5, 2 * 5 + 1], ["2|0,1"])
+        assert t.align([0, 1, 3], [2, 4]) == ([2, 5 + 4, 3 * 5 + 4], ["0|2", "1,3|4"])
+        assert t.align([], []) == ([], [])
+        for a, b in (([0], [2, 3]), ([0, 1], [2]), ([0], [0]), ([2], [2, 1]), ([], [0]), ([0], [])):
+            with pytest.raises(ValueError, match="different bytes"):
+                t.align(a, b)
+    assert t.opened[2] == "0|2"

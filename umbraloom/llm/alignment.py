@@ -31,7 +31,7 @@ A_LEADS, B_LEADS = 0, 1
 
 
 class Transducer:
-    """States are residuals with the side that leads; state 0 is the empty residual."""
+    """States are residuals with the side that leads: above 0 those of B, below 0 those of A; state 0 is the empty residual."""
 
     def __init__(self, a_bytes: list[bytes], b_bytes: list[bytes]) -> None:
         self.bytes, self.width = (a_bytes, b_bytes), len(b_bytes)
@@ -40,17 +40,17 @@ class Transducer:
 
     def clear(self) -> None:
         """Forgets all transitions."""
-        self.ids: dict[tuple[int, bytes], int] = {(A_LEADS, b""): 0}
-        self.states: list[tuple[int, bytes]] = [(A_LEADS, b"")]
+        self.ids: dict[tuple[int, bytes], int] = {}
+        self.states: dict[int, tuple[int, bytes]] = {0: (A_LEADS, b"")}
         self.moves: dict[int, int] = {}  # by state and next token: the state after
-        self.opened: dict[int, int] = {}  # by the two next tokens, from the empty residual
+        self.opened: dict[int, int | str] = {}  # by the two next tokens, from the empty residual: the state after, or the group that they are
 
     def state(self, side: int, residual: bytes) -> int:
         if not residual:
             return 0
         if (got := self.ids.get(key := (side, residual))) is None:
-            got = self.ids[key] = len(self.states)
-            self.states.append(key)
+            got = self.ids[key] = len(self.states) if side == B_LEADS else -len(self.states)
+            self.states[got] = key
         return got
 
     def after(self, side: int, residual: bytes, token: bytes) -> int:
@@ -64,42 +64,53 @@ class Transducer:
         return self.state(1 - side, token[len(residual) :])
 
     def align(self, a: list[int], b: list[int]) -> tuple[list[int], list[str]]:
-        """Links as numbers a * width + b in reading order, and each closed group as text. Both lists must spell the same bytes."""
+        """Links as numbers a * width + b in reading order, and each closed group as text. A ValueError where the lists do not spell the same bytes."""
         links, groups, width, span = [], [], self.width, self.span
         if len(self.moves) + len(self.opened) > KEPT:
             self.clear()
-        moves, opened, states = self.moves, self.opened, self.states
+        moves, opened, link, close = self.moves.get, self.opened.get, links.append, groups.append
         i = j = 0
-        n = len(a)
-        while i < n:
-            x, y = a[i], b[j]
-            pair = x * width + y
-            links.append(pair)
-            s = opened.get(pair)
-            if s is None:
-                s = opened[pair] = self.after(A_LEADS, self.bytes[0][x], self.bytes[1][y])
-            i0, j0 = i, j
-            i += 1
-            j += 1
-            if not s:
-                groups.append(f"{x}|{y}")
-                continue
-            while s:
-                if states[s][0]:  # b leads, so a reads
-                    x = a[i]
-                    i += 1
-                    t = moves.get(s * span + x)
-                    if t is None:
-                        t = moves[s * span + x] = self.after(*states[s], self.bytes[0][x])
+        n, m = len(a), len(b)
+        try:
+            while i < n:
+                x, y = a[i], b[j]
+                pair = x * width + y
+                link(pair)
+                s = opened(pair)
+                if s is None:
+                    s = self.after(A_LEADS, self.bytes[0][x], self.bytes[1][y]) or f"{x}|{y}"
+                    self.opened[pair] = s
+                i += 1
+                j += 1
+                if s.__class__ is str:  # most groups are one token of each
+                    close(s)
+                    continue
+                i0, j0 = i - 1, j - 1
+                while s:
+                    if s > 0:  # b leads, so a reads
+                        x = a[i]
+                        i += 1
+                        t = moves(s * span + x)
+                        if t is None:
+                            t = self.moves[s * span + x] = self.after(*self.states[s], self.bytes[0][x])
+                    else:
+                        y = b[j]
+                        j += 1
+                        t = moves(s * span + y)
+                        if t is None:
+                            t = self.moves[s * span + y] = self.after(*self.states[s], self.bytes[1][y])
+                    link(x * width + y)
+                    s = t
+                if i - i0 == 1 and j - j0 == 2:
+                    close(f"{x}|{b[j0]},{y}")
+                elif i - i0 == 2 and j - j0 == 1:
+                    close(f"{a[i0]},{x}|{y}")
                 else:
-                    y = b[j]
-                    j += 1
-                    t = moves.get(s * span + y)
-                    if t is None:
-                        t = moves[s * span + y] = self.after(*states[s], self.bytes[1][y])
-                links.append(x * width + y)
-                s = t
-            groups.append(f"{','.join(map(str, a[i0:i]))}|{','.join(map(str, b[j0:j]))}")
+                    close(f"{','.join(map(str, a[i0:i]))}|{','.join(map(str, b[j0:j]))}")
+        except IndexError:
+            j = -1
+        if j != m:
+            raise ValueError("the two token strings spell different bytes")
         return links, groups
 
 
@@ -114,17 +125,20 @@ def aligned(docs: DataFrame, encoders: Callable[[], tuple[ByteBpe, Pieces]], wit
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, second = encoders()
         machine, row = Transducer(first.bytes, second.bytes), TaskContext.get().partitionId() << 40
-        a_of, b_of = first.bytes.__getitem__, second.bytes.__getitem__
+        a_of = first.bytes.__getitem__
         for batch in batches:
             out, size = [[] for _ in _FIELDS], 0
             for doc_id, value in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
                 text, a, b, links, groups = value.as_py() or "", [], [], [], []
                 if text:
                     whole = " " + text
-                    a, b, spelt = first.encode(whole), second.encode(text), whole.encode()
-                    if b"".join(map(a_of, a)) != spelt or b"".join(map(b_of, b)) != spelt:
-                        a, b = [], []
-                    links, groups = machine.align(a, b)
+                    a, b = first.encode(whole), second.encode(text)
+                    try:  # the transducer reads every byte of both, so B's bytes are A's
+                        if b"".join(map(a_of, a)) != whole.encode():
+                            raise ValueError("the tokens do not spell the text")
+                        links, groups = machine.align(a, b)
+                    except ValueError:
+                        a, b, links, groups = [], [], [], []
                 pairs, times = np.unique(np.array(links, np.int64), return_counts=True)
                 told = ";".join(groups)
                 sha = hashlib.sha256(told.encode()).hexdigest() if groups else ""
