@@ -1,13 +1,15 @@
 """What grows with the input stays off the driver, out of single tasks and out of repeated work; results stay those of the SQL."""
 
 import datetime
+import glob
+import math
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from umbraloom.llm import alignment
-from umbraloom.operators import calibration, rays
+from umbraloom.operators import calibration, distributions, rays
 from umbraloom.plans import catalogue
 from umbraloom.sources import pair_windows
 from umbraloom.sources.geotiff import geotiff_bytes
@@ -112,3 +114,32 @@ def test_token_lists_that_spell_other_bytes_are_told_by_the_transducer():
             with pytest.raises(ValueError, match="different bytes"):
                 t.align(a, b)
     assert t.opened[2] == "0|2"
+
+
+@pytest.mark.parametrize("sizes", [{}, {"few": 0}, {"cells": 3, "few": 4}, {"cells": 3, "few": 0, "rounds": 1}])
+def test_medians_are_those_of_percentile(spark, sizes):
+    """Whatever the cells and rounds: outliers, two heaps, values that are not finite, differences over the largest double, weights, nulls."""
+    rng = np.random.default_rng(7)
+    big, inf, nan = 1.7e308, math.inf, math.nan
+    sets = [[*rng.normal(0, 1, 60)], [*rng.normal(5, 1e-9, 31), 1e300, -1e300], [0.0] * 10 + [1000.0] * 10, [1e-9 * k for k in range(9)] + [1000 + 1e-9 * k for k in range(9)], [-big, -1.0, 2.0, big], [-inf, -inf, 1.0, 2.0, inf], [-big, big, big, inf, nan, nan, nan],
+            [5e-324, 1e-323, 1.5e-323, 0.0, -0.0], [2.5], [None, None], [None, 1.0, 4.0], [10.0 ** k for k in range(-300, 300, 7)]]
+    rows = [("k", [None, "x", "y"][(k + i) % 3], str(i), None if v is None else float(v), int(k % 4)) for i, of in enumerate(sets) for k, v in enumerate(of)] + [(None, "x", "0", 3.0, 1), (None, "x", "0", 8.0, 2)]
+    df = spark.createDataFrame(rows, "a string, part string, b string, v double, n int")
+    got = {(r["a"], r["b"], r["part"], r["_all"]): r["median"] for r in distributions.medians(df, ["a", "b"], "part", "v", "n", **sizes).collect()}
+    want = df.groupingSets([["a", "b", "part"], ["a", "b"]], "a", "b", "part").agg(F.percentile("v", 0.5, F.col("n")).alias("m"), F.grouping("part").alias("g")).where("m is not null")
+    want = {(r["a"], r["b"], r["part"], r["g"]): r["m"] for r in want.collect()}
+    assert got.keys() == want.keys()
+    assert {k: (v, got[k]) for k, v in want.items() if not (v == got[k] or math.isnan(v) and math.isnan(got[k]))} == {}
+
+
+def test_summaries_hold_no_group_of_values_in_memory(spark, monkeypatch):
+    """`percentile` kept all distinct errors of a variant in one task's memory; only the few references of a tile may be held so. Tables in between are deleted."""
+    seen, real = [], F.percentile
+    monkeypatch.setattr(F, "percentile", lambda *a: seen.append(a) or real(*a))
+    kinds = "mode string, gap int, city string, tile int, id int, ok boolean, rejection string, merged double, confidence string, area double, solidity double, isolated map<int,boolean>, valid_fraction double, h double, spread double, length double, zone_ground double, hit_fraction double"
+    rows = [("m", 0, "xy"[k % 2], k % 3, k, True, None, 0.1, "NOMINAL", 300.0, 0.9, {0: True, 4: True}, 0.95, 5.0 + k, 1.0, 4.0 + k % 5, 0.9, k / 40) for k in range(40)]
+    got = calibration.variant_summary(calibration.variants(spark.createDataFrame(rows, kinds), (0,)))
+    assert {(r["city"], r["buildings"], r["n_errors"], r["median_hit_fraction"]) for r in got.collect()} == {("x", 20, 11, 0.475), ("y", 20, 11, 0.5), ("combined", 40, 22, 0.4875)}
+    assert len(seen) == 1 and "ercentile" not in got._jdf.queryExecution().optimizedPlan().toString()
+    shared = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    assert glob.glob(f"{shared}/variant-*") == []

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from umbraloom.functions.values import classify_failure, classify_fit, col, not_finite
-from umbraloom.operators.lineage import cut
+from umbraloom.operators.distributions import medians
+from umbraloom.operators.lineage import cut, kept, light
 from umbraloom.operators.metrics import pearson
 
 #: Reference gates, references used, constraints of a fit, limits of its condition and consensus.
@@ -227,7 +228,7 @@ def variant_summary(judged: DataFrame, keys: Sequence[str] = ("mode", "gap", "is
 
     A tile with MIN_REFERENCES eligible buildings has a scale: the median ratio of its REFERENCES first ones by spread, area and key; errors are of its
     other buildings with truth. Only the first eligible buildings of each tile are ranked; rows that agree in what is asked of them become one with their
-    number before anything is summed up for a city and for all.
+    number before anything is summed up for a city and for all. Errors are written once, without a shuffle; medians hold no group's values in memory.
     """
     c = F.col
     at, rel = [*keys, city, tile], c("spread") / c("length")
@@ -237,21 +238,28 @@ def variant_summary(judged: DataFrame, keys: Sequence[str] = ("mode", "gap", "is
     first = cut(first.withColumn("_k", F.row_number().over(w)))  # more than REFERENCES of a tile only where ids repeat
     scale = F.percentile(F.when(c("_k") <= REFERENCES, c("h") / c("length")), 0.5)
     tiles = cut(first.groupBy(*at).agg(scale.alias("_scale"), F.max("_at").alias("_last"), F.count("*").alias("_n")).where(c("_n") >= MIN_REFERENCES).drop("_n"))
-    to = tiles.select(F.struct(*at).alias("_tile"), "_scale", "_last")
+    to = light(tiles.select(F.struct(*at).alias("_tile"), "_scale", "_last"))
     e = (c("_scale") * c("length") - c("h")).alias("e")
     others = judged.where("with_truth").withColumns({"_tile": F.struct(*at), "_at": place}).join(to, "_tile").where(c("gate").isNotNull() | (c("_at") > c("_last"))).select(*keys, city, e)
     repeated = first.where((c("_k") > REFERENCES) & c("with_truth")).withColumn("_tile", F.struct(*at)).join(to, "_tile").select(*keys, city, e)
-    errors = others.unionAll(repeated).where("e is not null").groupBy(*keys, city, "e").agg(F.count("*").alias("n_e"))
     asked = {"hit": c("hit_fraction"), "rel": F.when(c("usable"), rel), "merged": F.when(c("usable"), c("merged") > 0.5), "ok": c("ok"), "usable": c("usable"), "fit": c("gate").isNull()}
     rates = judged.select(*keys, city, *(v.alias(k) for k, v in asked.items())).groupBy(*keys, city, *asked).agg(F.count("*").alias("n"))
-    r = rates.unionByName(errors, allowMissingColumns=True).unionByName(tiles.select(*keys, city, F.lit(1).alias("n_tiles")), allowMissingColumns=True)
     n = lambda cond: F.coalesce(F.sum(F.when(cond, c("n"))), F.lit(0))
-    share = lambda cond, of: n(cond & of) / F.sum(F.when(of, c("n")))
-    median = lambda v, k: F.percentile(v, 0.5, F.coalesce(c(k), F.lit(0)))
+    sums = {"buildings": F.sum("n"), "measured_ok": n(c("ok")), "usable": n(c("usable")), "_high": n(c("rel") > MAX_SPREAD), "_rel": n(c("rel").isNotNull()), "_merged": n(c("merged")), "_of": n(c("merged").isNotNull()), "eligible_references": n(c("fit"))}
+    of = {"median_hit_fraction": "hit", "median_relative_spread": "rel", "median_ae_m": "e"}
+    with kept(rates, "variant-rates") as rates, kept(others.unionAll(repeated).where("e is not null"), "variant-errors") as errors:
+        r = rates.groupBy(*keys, city).agg(*(v.alias(k) for k, v in sums.items()))
+        r = r.unionByName(errors.groupBy(*keys, city).agg(F.count("*").alias("n_errors"), F.sum(F.abs("e")).alias("_abs"), F.sum("e").alias("_e")), allowMissingColumns=True)
+        r = cut(r.unionByName(tiles.groupBy(*keys, city).agg(F.count("*").alias("tiles_with_references")), allowMissingColumns=True))
+        v = rates.select(*keys, city, F.explode(F.array(*(F.struct(F.lit(k).alias("_of"), c(f).alias("_v")) for k, f in of.items() if f != "e"))).alias("_m"), "n").select(*keys, city, "_m.*", "n")
+        v = v.unionByName(errors.select(*keys, city, F.lit("median_ae_m").alias("_of"), F.abs("e").alias("_v"), F.lit(1).cast("long").alias("n")))
+        middle = cut(medians(v, ["_of", *keys], city, "_v", "n"))
+    total = lambda k: F.coalesce(F.sum(k), F.lit(0)).alias(k)
     out = r.groupingSets([[c(k) for k in (*keys, city)], [c(k) for k in keys]], *keys, city).agg(
-        F.sum("n").alias("buildings"), n(c("ok")).alias("measured_ok"), n(c("usable")).alias("usable"), median(c("hit"), "n").alias("median_hit_fraction"),
-        median(c("rel"), "n").alias("median_relative_spread"), share(c("rel") > MAX_SPREAD, c("rel").isNotNull()).alias("high_spread_fraction"), share(c("merged"), c("merged").isNotNull()).alias("merged_fraction_of_usable"),
-        n(c("fit")).alias("eligible_references"), F.coalesce(F.sum("n_tiles"), F.lit(0)).alias("tiles_with_references"), F.coalesce(F.sum("n_e"), F.lit(0)).alias("n_errors"), (F.sum(F.abs("e") * c("n_e")) / F.sum("n_e")).alias("mae_m"), median(F.abs("e"), "n_e").alias("median_ae_m"),
-        (F.sum(c("e") * c("n_e")) / F.sum("n_e")).alias("bias_m"), F.grouping(city).alias("_all"),
+        F.sum("buildings").alias("buildings"), total("measured_ok"), total("usable"), F.try_divide(F.sum("_high"), F.sum("_rel")).alias("high_spread_fraction"), F.try_divide(F.sum("_merged"), F.sum("_of")).alias("merged_fraction_of_usable"),
+        total("eligible_references"), total("tiles_with_references"), total("n_errors"), F.try_divide(F.sum("_abs"), F.sum("n_errors")).alias("mae_m"), F.try_divide(F.sum("_e"), F.sum("n_errors")).alias("bias_m"), F.grouping(city).cast("int").alias("_all"),
     )
-    return out.withColumn(city, F.when(c("_all") == 1, "combined").otherwise(c(city).cast("string"))).drop("_all")
+    group = F.struct(*keys, "_all", city).alias("_g")  # nulls are equal in it
+    middle = middle.groupBy(group).agg(*(F.max(F.when(c("_of") == k, c("median"))).alias(k) for k in of))
+    out = out.withColumn("_g", group).join(middle, "_g", "left").withColumn(city, F.when(c("_all") == 1, "combined").otherwise(c(city).cast("string")))
+    return out.select(*keys, city, "buildings", "measured_ok", "usable", "median_hit_fraction", "median_relative_spread", "high_spread_fraction", "merged_fraction_of_usable", "eligible_references", "tiles_with_references", "n_errors", "mae_m", "median_ae_m", "bias_m")

@@ -8,11 +8,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from umbraloom.functions.values import not_finite
+from umbraloom.operators.lineage import cut, light
 
 #: Percentiles of a distribution, height limits that are counted, edges of height bins.
 PERCENTILES = (10, 25, 50, 75, 90, 95)
 LIMITS = (10, 20, 30)
 BINS = (0.0, 5.0, 10.0, 20.0, 40.0, float("inf"))
+#: Fixed values of medians: cells of a round, rows that are left to be told apart by value, rounds.
+CELLS, FEW, MEDIAN_ROUNDS = 1024, 1_000_000, 8
 #: Classes of a fit.
 FIT_CLASSES = ("identifiable_positive", "statistically_weak", "non_positive", "numerically_unstable", "insufficient_constraints")
 
@@ -64,6 +67,38 @@ def abs_percentile(rows: DataFrame, by: Sequence[str], value: str, q: float) ->
     return rows.where(~not_finite(value)).groupBy(*by).agg(F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY abs({value}))").alias("value"))
 
 
+def medians(rows: DataFrame, by: Sequence[str], part: str, value: str, weight: str, cells: int = CELLS, few: int = FEW, rounds: int = MEDIAN_ROUNDS) -> DataFrame:
+    """(by, part, _all, median) of values that count weight times, nulls left out: for each part (_all 0), and for all parts together (part null, _all 1).
+
+    `percentile` holds all values of a group in one task's memory. Here a round counts the values in cells between the least and greatest one, and goes on with the cell
+    that holds the middle; no more than the counts is held, and they can spill. Once few rows are left, or after so many rounds, a cell is one value. Reads rows in each round.
+    """
+    c, kind = F.col, rows.schema[part].dataType
+    each = F.explode(F.array(F.struct(F.lit(0).alias("_all"), c("_part")), F.struct(F.lit(1).alias("_all"), F.lit(None).cast(kind).alias("_part"))))
+    scoped = lambda df, *cols: df.withColumn("_s", each).select(F.struct(*by, "_s._all", "_s._part").alias("_g"), *cols)
+    rows = rows.select(*by, c(part).alias("_part"), c(value).cast("double").alias("_v"), c(weight).cast("long").alias("_n")).where("_v is not null and _n > 0")
+    held = rows.groupBy(*by, "_part").agg(F.sum("_n").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count("*").alias("_rows"))
+    held = scoped(held, "_n", "_lo", "_hi", "_rows").groupBy("_g").agg(F.sum("_n").alias("_n"), F.min("_lo").alias("lo"), F.max("_hi").alias("hi"), F.sum("_rows").alias("rows"))
+    # ranks a to b are asked of the values from lo to hi, before which there are `before` others
+    at = cut(held.select("_g", "lo", "hi", F.lit(0).cast("long").alias("before"), F.shiftright(c("_n") - 1, 1).alias("a"), F.shiftright("_n", 1).alias("b"), "rows"))
+    place = (c("_v") - c("lo")) / (c("hi") - c("lo")) * (cells - 2)  # never falls as _v grows; not a number only where these differ by more than a double
+    cell = F.when(c("_v") == c("lo"), 0).when(c("_v") == c("hi"), cells).when(F.isnan(place), cells - 1).otherwise(F.least(F.lit(cells - 1), F.floor(place) + 1))
+    w = Window.partitionBy("_g", "lo").orderBy("_cell")
+    for k in range(rounds + 1):
+        todo = at.where("lo != hi")
+        n, left = todo.agg(F.count("*"), F.sum("rows")).first()
+        if not n:
+            break
+        met = scoped(rows, "_v", "_n").join(light(todo.drop("rows"), n), "_g").where(c("_v").between(c("lo"), c("hi")))
+        cell = c("_v") if left <= few or k == rounds else cell
+        found = met.groupBy("_g", "lo", "before", "a", "b", cell.alias("_cell")).agg(F.sum("_n").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count("*").alias("rows"))
+        found = found.withColumn("_to", c("before") + F.sum("_n").over(w)).withColumn("_from", c("_to") - c("_n")).where((c("_from") <= c("b")) & (c("_to") > c("a")))
+        found = found.select("_g", c("_lo").alias("lo"), c("_hi").alias("hi"), c("_from").alias("before"), F.greatest("a", "_from").alias("a"), F.least("b", c("_to") - 1).alias("b"), "rows")
+        at = cut(found.unionAll(at.where("lo = hi")))
+    out = at.groupBy("_g").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    return out.select(*(c(f"_g.{k}").alias(k) for k in by), c("_g._part").alias(part), c("_g._all").alias("_all"), F.when(c("lo") == c("hi"), c("lo")).otherwise(c("lo") * 0.5 + c("hi") * 0.5).alias("median"))
+
+
 def grouped_summary(records: DataFrame, group: str, scene: str, status: str, value: str, total: str = "combined") -> DataFrame:
     """Records by group and together: rows, distinct scenes, share that succeeded, mean and median of a value."""
     out = records.groupingSets([[F.col(group)], []], group).agg(F.count("*").alias("records"), F.countDistinct(scene).alias("scenes"), F.count(F.when(F.col(status) == "ok", 1)).alias("ok"), F.avg(value).alias("mean"), F.percentile(F.col(value), 0.5).alias("median"), F.grouping(group).alias("_all"))
